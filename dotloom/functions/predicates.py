@@ -26,7 +26,7 @@ SENTENCE_END = r"[.!?…][\"')\]]*$"
 
 LAYOUT_MATH_SYMBOL = r"[=≠≤≥∞∫√±×÷→←↔⇔∈∉^/_]"
 LAYOUT_MATH_NAME = r"(?i)\b(?:lim|sin|cos|tan|log|ln|sqrt|int|diff)\b"
-LAYOUT_MATH_CALL = r"\b[fgh]\(x\)\B"
+LAYOUT_MATH_CALL = r"\b[fgh]\(x\)\b"
 RULE_ITEM = r"^\d+\.\s+\S"
 CAPTION = r"(?i)^(?:figure|fig\.|table)\s*\d+"
 SHORT_EXPLANATION = r"(?i)^(?:by|so|thus|therefore|hence|since|because|using|where|then|now)\b"

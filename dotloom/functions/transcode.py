@@ -61,7 +61,7 @@ def _strict_by_token(col: Column) -> Column:
         + C.TURKISH["ı"] + C.LATIN["i"]
     )
 
-    def one(tok: Column, i: Column) -> Column:
+    def one(tokens: Column, tok: Column, i: Column) -> Column:
         before = F.when(i >= 1, F.get(tokens, i - 1)).otherwise("")
         before2 = F.when(i >= 2, F.get(tokens, i - 2)).otherwise("")
         script = before == "^"
@@ -83,7 +83,7 @@ def _strict_by_token(col: Column) -> Column:
             .otherwise(_map_characters(tok, C.STRICT_SYMBOLS))
         )
 
-    return F.array_join(F.transform(tokens, one), "")
+    return F.array_join(R.let(tokens, lambda ts: F.transform(ts, lambda t, i: one(ts, t, i))), "")
 
 
 def to_braille_strict(col: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions import wordrepair as WR
 # --- fixed values: patterns ---------------------------------------------------
 LIMIT_SUBSCRIPT = r"^[A-Za-z]\s*→\s*[+\-−]?(?:\d+(?:\.\d+)?|[A-Za-z][A-Za-z0-9]*|∞)$"
 MATH_CONTINUATION = [
-    r"[=≠≤≥∞∫√→^/_()]", r"(?i)\b(?:lim|sin|cos|tan|log|ln|sqrt)\b", r"\b[fgh]\(x\)\B",
+    r"[=≠≤≥∞∫√→^/_()]", r"(?i)\b(?:lim|sin|cos|tan|log|ln|sqrt)\b", r"\b[fgh]\(x\)\b",
 ]
 RULE_HEADING = r"^(\d+\.\s+)?[A-Za-z][A-Za-z\s-]{1,80}:\s*$"
 LIMIT_WITH_SUBSCRIPT = r"\blim\s+[A-Za-z]→[+\-−]?(?:\d+(?:\.\d+)?|[A-Za-z][A-Za-z0-9]*|∞)\b"
@@ -147,20 +147,20 @@ def merge_wrapped_lines(lines: Column) -> Column:
 
     def step(s: Column, nxt: Column) -> Column:
         cur = s["cur"]
-        merge = P.can_merge(cur, nxt)
-        tight = joins_without_space(cur, nxt)
-        fix = (
-            F.when(tight, F.when(R.strip(cur).endswith("-"), "merged hyphenated word").otherwise("merged broken word"))
-            .otherwise("merged wrapped line")
-        )
+
+        def merged(tight: Column) -> Column:
+            hyphen = F.when(R.strip(cur).endswith("-"), "merged hyphenated word").otherwise("merged broken word")
+            return F.struct(
+                s["done"].alias("done"), merged_line(cur, nxt, tight).alias("cur"),
+                F.array_union(
+                    s["fixes"], F.array(F.when(tight, hyphen).otherwise("merged wrapped line"))
+                ).alias("fixes"),
+            )
+
         return F.when(
             cur.isNull(), F.struct(s["done"].alias("done"), nxt.alias("cur"), s["fixes"].alias("fixes"))
         ).when(
-            merge,
-            F.struct(
-                s["done"].alias("done"), merged_line(cur, nxt, tight).alias("cur"),
-                F.array_distinct(F.array_append(s["fixes"], fix)).alias("fixes"),
-            ),
+            P.can_merge(cur, nxt), R.let(joins_without_space(cur, nxt), merged)
         ).otherwise(
             F.struct(F.array_append(s["done"], R.strip(cur)).alias("done"), nxt.alias("cur"), s["fixes"].alias("fixes"))
         )
@@ -176,46 +176,62 @@ def merge_wrapped_lines(lines: Column) -> Column:
     return F.aggregate(clean, start, step, finish)
 
 
-def join_math_lines(col: Column) -> Column:
-    """Rule heading, formula, limit subscript and tail on one readable line."""
-    norm = B.normalize_pdf_math(col)
-    all_lines = F.transform(F.split(norm, "\n"), B.normalize_pdf_math)
-    lines = F.filter(all_lines, lambda l, i: (l != "") | ((i > 0) & (F.get(all_lines, i - 1) != "")))
+def _continues_math(l: Column) -> Column:
+    return (l != "") & (
+        R.matches(l, MATH_CONTINUATION[0]) | R.matches(l, MATH_CONTINUATION[1]) | R.matches(l, MATH_CONTINUATION[2])
+    )
 
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(lines, i), F.lit(""))
 
-    def continues(l: Column) -> Column:
-        return (l != "") & (
-            R.matches(l, MATH_CONTINUATION[0]) | R.matches(l, MATH_CONTINUATION[1]) | R.matches(l, MATH_CONTINUATION[2])
-        )
+def join_math_lines(col: Column) -> Column:
+    """Rule heading, formula, limit subscript and tail on one readable line.
+
+    How many following lines a line would absorb depends on those lines only;
+    a fold then walks the lines and skips the absorbed ones.
+    """
 
-    def taken(i: Column) -> Column:
-        """How many following lines the line at i absorbs."""
-        cur, n1, n2, n3 = at(i), at(i + 1), at(i + 2), at(i + 3)
-        heading = R.matches(cur, RULE_HEADING) & continues(n1)
+    def merge(lines: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
         limit = lambda l: R.matches(l, r"\blim\b")
         under = lambda l: R.matches(l, LIMIT_SUBSCRIPT)
-        return (
-            F.when(heading & limit(n1) & under(n2), F.when(continues(n3), 3).otherwise(2))
-            .when(heading, 1)
-            .when(limit(cur) & under(n1), F.when(continues(n2), F.when(continues(n3), 3).otherwise(2)).otherwise(1))
-            .when(R.matches(cur, LIMIT_WITH_SUBSCRIPT) & continues(n1), 1)
-            .otherwise(0)
-        )
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-
-    def step(s: Column, i: Column) -> Column:
-        n = taken(i)
-        joined = B.normalize_pdf_math(F.array_join(F.filter(F.slice(lines, i + 1, n + 1), lambda l: l != ""), " "))
-        line = F.when(n > 0, joined).otherwise(at(i))
-        repeat_blank = (at(i) == "") & (F.coalesce(F.try_element_at(s["out"], F.lit(-1)), F.lit("x")) == "")
-        return (
-            F.when(s["skip"] > 0, F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip")))
-            .when(repeat_blank, s)
-            .otherwise(F.struct(F.array_append(s["out"], line).alias("out"), n.alias("skip")))
+        def taken(i: Column) -> Column:
+            heading = R.matches(at(i), RULE_HEADING) & _continues_math(at(i + 1))
+            return (
+                F.when(heading & limit(at(i + 1)) & under(at(i + 2)), F.when(_continues_math(at(i + 3)), 3).otherwise(2))
+                .when(heading, 1)
+                .when(
+                    limit(at(i)) & under(at(i + 1)),
+                    F.when(_continues_math(at(i + 2)), F.when(_continues_math(at(i + 3)), 3).otherwise(2)).otherwise(1),
+                )
+                .when(R.matches(at(i), LIMIT_WITH_SUBSCRIPT) & _continues_math(at(i + 1)), 1)
+                .otherwise(0)
+            )
+
+        def step(s: Column, i: Column) -> Column:
+            def put(n: Column) -> Column:
+                joined = B.normalize_pdf_math(
+                    F.array_join(F.filter(F.slice(lines, i + 1, n + 1), lambda l: l != ""), " ")
+                )
+                return F.struct(
+                    F.array_append(s["out"], F.when(n > 0, joined).otherwise(at(i))).alias("out"), n.alias("skip")
+                )
+
+            blank_again = (at(i) == "") & (F.coalesce(F.try_element_at(s["out"], F.lit(-1)), F.lit("x")) == "")
+            return (
+                F.when(s["skip"] > 0, F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip")))
+                .when(blank_again, s)
+                .otherwise(R.let(taken(i), put))
+            )
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda s: F.array_join(s["out"], "\n")
         )
 
-    merged = F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda s: F.array_join(s["out"], "\n"))
-    return F.when(norm == "", "").otherwise(R.strip(F.regexp_replace(merged, r"\n{3,}", "\n\n")))
+    def body(norm: Column) -> Column:
+        # each line is normalised once more on its own; blank runs shrink
+        lines = F.split(F.regexp_replace(norm, r"\n{2,}", "\n\n"), "\n")
+        merged = R.let(F.transform(lines, B.normalize_pdf_math), merge)
+        return F.when(norm == "", "").otherwise(R.strip(F.regexp_replace(merged, r"\n{3,}", "\n\n")))
+
+    return R.let(B.normalize_pdf_math(col), body)

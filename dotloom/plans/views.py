@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.readers import spread
+from .duck import q
+from .snippets import SNIPPETS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,9 +142,50 @@ def with_views(body: str, *views: str) -> str:
     known = {
         "library_docs": LIBRARY_DOCS, "layout_lines": LAYOUT_LINES, "paragraph_docs": PARAGRAPH_DOCS,
         "equations": EQUATIONS, "profiles": PROFILES,
+        "marked_docs": MARKED_DOCS, "marked_lines": MARKED_LINES,
     }
     ctes = ",\n".join(f"{v} AS ({known[v]})" for v in views)
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def _picks(doc: Column) -> list[Column]:
+    lines = F.array(*map(F.lit, SNIPPETS))
+    n = len(SNIPPETS)
+    return [F.element_at(lines, ((doc * m + k) % n + 1).cast("int")) for m, k in PICKS]
+
+
+PICKS = [(1, 0), (7, 3), (11, 5), (13, 17)]
+
+
+def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents followed by four of the sample lines, chosen by document."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "lang",
+        F.element_at(F.array(*map(F.lit, ["manual", "pdf", "image", "camera"])), (F.col("doc_id") % 4 + 1).cast("int")).alias("source_type"),
+        F.concat_ws("\n", F.col("text"), *_picks(F.col("doc_id"))).alias("text"),
+    )
+
+
+_LIST = "[" + ", ".join(q(s) for s in SNIPPETS) + "]"
+MARKED_DOCS = f"""
+SELECT doc_id, lang, (['manual','pdf','image','camera'])[doc_id % 4 + 1] AS source_type,
+ concat_ws(chr(10), text, {', '.join(f"({_LIST})[(doc_id * {m} + {k}) % {len(SNIPPETS)} + 1]" for m, k in PICKS)}) AS text FROM documents"""
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of marked_docs; every sixth line is followed by a blank one."""
+    lines = F.split("text", "\n")
+    spaced = F.flatten(
+        F.transform(lines, lambda l, i: F.when(i % 6 == 5, F.array(l, F.lit(""))).otherwise(F.array(l)))
+    )
+    return marked_docs(spark, sf_dir).select(
+        "doc_id", "source_type", F.posexplode(spaced).alias("line_no", "text")
+    )
+
+
+MARKED_LINES = """
+SELECT doc_id, source_type, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS text FROM (
+ SELECT doc_id, source_type, flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 6 = 5 THEN [x, ''] ELSE [x] END)) AS l FROM marked_docs)"""
