@@ -147,3 +147,113 @@ def _(spark, sf):
         _r6(c("radius")).alias("radius"), _r6(F.get(c("y_intercepts"), F.lit(0))["y"]).alias("y1"), _r6(F.get(c("notable_points"), F.lit(0))["x"]).alias("n1"),
         F.array_join(c("increasing_intervals"), ",").alias("inc"), F.array_join(c("decreasing_intervals"), ",").alias("dec"),
     )
+
+
+# ------------------------------------------------------------ graph descriptions
+
+from ..functions import graphs as G  # noqa: E402
+from ..operators import graphs as GO  # noqa: E402
+from .sqlrules import trim  # noqa: E402
+from .views import layout_lines, marked_docs  # noqa: E402
+
+_EQ = "regexp_replace(translate(text, '−–—', '---'), '^', '')"
+_KINDS = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), {D.q(p)}) THEN '{k}'" for p, k in G.CHART_KINDS) + " ELSE 'generic' END"
+
+
+@catalog.add("visible_equations_and_values", "K13", with_views(f"""
+WITH x AS (SELECT doc_id, text, {D.extract_all('text', G.VISIBLE_VALUE)}[1:8] AS vs FROM marked_docs)
+SELECT doc_id, {trim("regexp_replace(" + D.extract("translate(text, '−–—', '---')", G.VISIBLE_EQUATION, 0) + ", '" + chr(92) + "s+', ' ', 'g')")} AS equation,
+ array_to_string(list_filter(vs, lambda v, i: list_position(vs, v) = i), ',') AS vals, {_KINDS} AS kind FROM x""", "marked_docs"))
+def _(spark, sf):
+    t = F.col("text")
+    return marked_docs(spark, sf).select(
+        "doc_id", G.extract_equation(t).alias("equation"), F.array_join(G.extract_values(t), ",").alias("vals"), G.chart_kind(t).alias("kind")
+    )
+
+
+_OCR = "o AS (SELECT doc_id, text, (x0 + x1) / 2 AS x_mid, ((792 - y0) + (792 - y1)) / 2 AS y_mid FROM layout_lines)"
+
+
+def _best(name: str, cond: str, order: str) -> str:
+    return f"{name} AS (SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS r FROM o WHERE regexp_matches(text, '\\p{{L}}') AND {cond}) WHERE r = 1)"
+
+
+@catalog.add("graph_labels", "K14", with_views(f"""
+WITH {_OCR}, {_best('ti', 'y_mid <= 792 * 0.24', 'length(text) DESC, y_mid, x_mid')}, {_best('ax', 'y_mid >= 792 * 0.72', 'y_mid, length(text) DESC, x_mid')},
+ {_best('ay', 'x_mid <= 612 * 0.28 AND y_mid BETWEEN 792 * 0.12 AND 792 * 0.84', 'y_mid, length(text) DESC, x_mid')}, {_best('ca', 'y_mid >= 792 * 0.82', 'length(text) DESC, y_mid DESC, x_mid')}
+SELECT d.doc_id, coalesce(ti.text, '') AS title, coalesce(ax.text, '') AS axis_x, coalesce(ay.text, '') AS axis_y, coalesce(ca.text, '') AS caption
+FROM (SELECT DISTINCT doc_id FROM o) d LEFT JOIN ti USING (doc_id) LEFT JOIN ax USING (doc_id) LEFT JOIN ay USING (doc_id) LEFT JOIN ca USING (doc_id)""", "layout_lines"))
+def _(spark, sf):
+    o = layout_lines(spark, sf).select(
+        "doc_id", "text", ((F.col("x0") + F.col("x1")) / 2).alias("x_mid"), (((792 - F.col("y0")) + (792 - F.col("y1"))) / 2).alias("y_mid")
+    )
+    return GO.pick_labels(o, ["doc_id"], 612, 792)
+
+
+def raw_payloads(spark, sf) -> DataFrame:
+    """What a simple reader returns for an equation: some fields, in part."""
+    k = F.col("p_partkey")
+    text = lambda n: F.lit("").alias(n)
+    return equations(spark, sf).select(
+        "p_partkey",
+        F.struct(
+            F.when(k % 3 == 0, "unclear").otherwise("function_graph").alias("graph_type"), F.col("equation").alias("equation_text"),
+            F.when(k % 4 == 0, "falling").otherwise("").alias("trend_direction"), text("x_intercept_text"),
+            F.when(k % 5 == 0, "1").otherwise("").alias("y_intercept_text"), F.when(k % 2 == 0, "x").otherwise("").alias("axis_x"), text("axis_y"),
+            (k % 7 == 0).alias("coordinate_plane_present"), text("confidence"), text("caption_text"), F.when(k % 6 == 1, "Check the scale.").otherwise("").alias("note"),
+        ).alias("p"),
+    )
+
+
+def _two(x: str) -> str:
+    return f"CASE WHEN abs({x} - floor({x} + 0.5)) < 1e-9 THEN CAST(CAST(floor({x} + 0.5) AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.2f', CAST({x} AS DOUBLE)), '\\.?0+$', '') END"
+
+
+@_eq("enhanced_payloads", "K15", f""", r0 AS (SELECT p_partkey, equation, t, {D.matches('t', G.CONSTANT)} AS fl, {D.matches('t', G.LINEAR)} AS li FROM c),
+ r1 AS (SELECT *, CASE WHEN fl THEN 0.0 ELSE CASE WHEN {D.extract('t', G.LINEAR, 1)} = '-' THEN -1 ELSE 1 END * coalesce({_num(D.extract('t', G.LINEAR, 2))}, 1) + 0.0 END AS m,
+   CASE WHEN fl THEN {_num(D.extract('t', G.CONSTANT, 1))} ELSE CASE WHEN {D.extract('t', G.LINEAR, 3)} = '-' THEN -1 ELSE 1 END * coalesce({_num(D.extract('t', G.LINEAR, 4))}, 0) END AS b FROM r0),
+ r2 AS (SELECT *, fl OR li AS known, p_partkey % 7 = 0 OR p_partkey % 2 = 0 AS seen FROM r1)
+SELECT p_partkey, CASE WHEN known THEN 'line_graph' WHEN p_partkey % 3 = 0 AND seen THEN 'coordinate_plane_graph' WHEN p_partkey % 3 = 0 THEN 'unclear' ELSE 'function_graph' END AS graph_type,
+ CASE WHEN p_partkey % 4 = 0 THEN 'falling' WHEN NOT known THEN '' WHEN m > 0 THEN 'increasing' WHEN m < 0 THEN 'decreasing' ELSE 'horizontal' END AS trend_direction,
+ CASE WHEN NOT known OR abs(m) < 1e-9 THEN '' ELSE {_two('(-b / m + 0.0)')} END AS x_intercept_text, CASE WHEN p_partkey % 5 = 0 THEN '1' WHEN known THEN {_two('b')} ELSE '' END AS y_intercept_text,
+ CASE WHEN p_partkey % 2 = 0 OR (known AND seen) THEN 'x' ELSE '' END AS axis_x, CASE WHEN known AND seen THEN 'y' ELSE '' END AS axis_y, seen AS axes_visible, CASE WHEN known THEN 'medium' ELSE 'low' END AS confidence FROM r2""".lstrip().replace(", r0", ", r0", 1))
+def _(spark, sf):
+    e = raw_payloads(spark, sf).select("p_partkey", G.enhance_payload(F.col("p")).alias("e"))
+    return e.select("p_partkey", *[f"e.{n}" for n in ("graph_type", "trend_direction", "x_intercept_text", "y_intercept_text", "axis_x", "axis_y", "axes_visible", "confidence")])
+
+
+@catalog.add("graph_explanations", "K16")
+def _(spark, sf):
+    e = raw_payloads(spark, sf).select("p_partkey", G.enhance_payload(F.col("p")).alias("e"))
+    return e.select("p_partkey", G.explanation(F.col("e"), "en").alias("english"), G.explanation(F.col("e"), "tr").alias("turkish"))
+
+
+def json_payloads(spark, sf) -> DataFrame:
+    """Payload JSON as a vision model writes it, code fences included."""
+    d = labelled(spark, sf)
+    k = F.col("p_partkey")
+    body = F.to_json(
+        F.struct(
+            F.col("label").alias("graph_type"), F.when(k % 3 == 0, "high").otherwise("0.5").alias("confidence"), F.col("equation").alias("equation_text"),
+            F.when(k % 4 == 0, F.col("summary")).alias("shape_summary"),
+            F.struct(F.array(F.struct(F.lit("1").alias("x"), F.lit(True).alias("approx"))).alias("x_intercepts"), F.when(k % 5 == 0, "(0, 3)").alias("vertex")).alias("key_features"),
+            F.array(F.lit("scale is faint")).alias("uncertainties"),
+        )
+    )
+    return d.select("p_partkey", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("json"))
+
+
+@catalog.add("normalized_payloads", "K9 K10 K11 K12 A7")
+def _(spark, sf):
+    n = GO.normalize_payloads(json_payloads(spark, sf), "json")
+    return n.select(
+        "p_partkey", "graph_type", "confidence", "equation", "summary", "natural_description", "compact_description",
+        F.array_join("relations", "|").alias("relations"), F.array_join("notes", "|").alias("notes"),
+    )
+
+
+@catalog.add("graph_display_records", "K17")
+def _(spark, sf):
+    n = GO.normalize_payloads(json_payloads(spark, sf), "json")
+    rec = lambda loc: G.display_record(F.col("graph_type"), F.col("features"), F.col("equation"), F.col("confidence"), F.col("axes"), loc)
+    return n.withColumn("en", rec("en")).withColumn("tr", rec("tr")).select("p_partkey", "en.*", F.col("tr.graph_type").alias("graph_type_tr"), F.col("tr.trend").alias("trend_tr"), F.col("tr.tip").alias("tip_tr"))
