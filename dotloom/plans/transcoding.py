@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cells as C, mathcode as M, transcode as X
 from ..operators import transcoding as T
-from . import duck as D
+from . import duck as D, sqlrules as S
 from .catalog import catalog
-from .views import equations, table, with_views
+from .sqlmath import linear_sql
+from .views import equations, marked_docs, marked_lines, table, with_views
 
 _STRICT_TOKENS = (
     f"[{X.WORD}]+|\\p{{Nd}}+|[ \\n\\r\\t\\x0B\\f]|"
@@ -191,3 +192,43 @@ FROM (SELECT item_id AS line_id, CAST(generate_subscripts(x, 1) AS INT) AS i, un
 def _(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("line_id"), "text")
     return T.segment_tokens(b, "text")
+
+
+def _linear(x: str, profile: str) -> str:
+    return linear_sql(x, profile, token_type_sql, token_value_sql)
+
+
+@catalog.add("linear_math_cells", "C8", with_views(f"SELECT doc_id, line_no, {_linear('text', 'strict')} AS cells FROM marked_lines", "marked_docs", "marked_lines"))
+def _(spark, sf):
+    return marked_lines(spark, sf).select("doc_id", "line_no", M.linear_math_to_cells(F.col("text")).alias("cells"))
+
+
+@catalog.add("equation_cells", "C8", with_views(f"SELECT p_partkey, equation, {_linear('equation', 'strict')} AS cells FROM equations", "equations"))
+def _(spark, sf):
+    return equations(spark, sf).select("p_partkey", "equation", M.linear_math_to_cells(F.col("equation")).alias("cells"))
+
+
+@catalog.add("converted_texts", "C4", with_views(f"""
+WITH l AS (SELECT doc_id, CAST(generate_subscripts(x, 1) AS INT) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM marked_docs)),
+ c AS (SELECT doc_id, i, CASE WHEN {S.is_math_line('line')} THEN coalesce({_linear('line', 'lenient')}, {lenient_sql('line')}) ELSE {lenient_sql('line')} END AS braille FROM l)
+SELECT doc_id, string_agg(braille, chr(10) ORDER BY i) AS braille FROM c GROUP BY doc_id""", "marked_docs"))
+def _(spark, sf):
+    return T.convert_lines(marked_docs(spark, sf).select("doc_id", "text")).select("doc_id", "braille")
+
+
+_EXPRESSIONS = f"""l AS (SELECT doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split({S.fix_encoding('text')}, chr(10)) AS x FROM marked_docs)),
+ m AS (SELECT doc_id, line_no, {D.strip('line')} AS expression FROM l WHERE {D.strip('line')} <> ''),
+ n AS (SELECT doc_id, line_no, expression, {S.normalize_math_input('expression')} AS e FROM m),
+ x AS (SELECT doc_id, line_no, expression, {_linear('e', 'strict')} AS braille FROM n)"""
+
+
+@catalog.add("expression_rows", "C6", with_views(f"WITH {_EXPRESSIONS} SELECT doc_id, line_no, expression, braille, 'Direct translation' AS explanation FROM x WHERE braille IS NOT NULL", "marked_docs"))
+def _(spark, sf):
+    return T.explode_expressions(marked_docs(spark, sf).select("doc_id", "text"))
+
+
+@catalog.add("auto_conversions", "C5", with_views(f"""
+WITH {_EXPRESSIONS}, g AS (SELECT doc_id, string_agg(braille, chr(10) ORDER BY line_no) AS math FROM x WHERE braille IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN math IS NOT NULL THEN 'math' ELSE 'text' END AS mode, coalesce(math, {strict_sql(S.fix_encoding('d.text'))}) AS braille FROM marked_docs d LEFT JOIN g USING (doc_id)""", "marked_docs"))
+def _(spark, sf):
+    return T.auto_convert(marked_docs(spark, sf).select("doc_id", "text")).select("doc_id", "mode", "braille")
