@@ -13,19 +13,31 @@ from pyspark.sql import Column, functions as F
 from . import cells as C
 from . import regex as R
 
-# Word characters of the strict profile and their upper-case part.
+# Word characters of the strict profile and their upper-case part; texts without
+# Greek use the shorter classes, which the regex engine tests much faster.
+LATIN_WORD = "a-zA-ZçğışıöüÇĞIŞİÖÜ"
+LATIN_UPPER = "A-ZÇĞŞİÖÜ"
 WORD = "a-zA-ZçğışıöüÇĞIŞİÖÜ\u0370-\u03ff"
 UPPER = "A-ZÇĞŞİÖÜ\u0386\u0388-\u038f\u0391-\u03ab\u03d2-\u03d4\u03f4\u03f7\u03f9\u03fa\u03fd-\u03ff"
 # Spaces that the strict tokenizer does not know.
 _ODD_SPACES = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # What the strict profile drops: letters, numbers and spaces outside its classes.
-DROPPED = rf"[[\p{{L}}\p{{N}}_{_ODD_SPACES}]&&[^{WORD}\p{{Nd}}]]+"
+# The first set lets plain ASCII fail at once.
+DROPPED = (
+    rf"[[_\x1c-\x1f\x80-\x{{10ffff}}]&&[\p{{L}}\p{{N}}_{_ODD_SPACES}]&&[^{WORD}\p{{Nd}}]]+"
+)
 # White space of the lenient profile.
 LENIENT_SPACE = "\\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-# Scripts that hold no symbol with a multi-cell entry.
-_PLAIN = r"[\x80-\xbf×÷]|[^\x00-\u024f\u2800-\u28ff]"
+# Some character outside ASCII and the Latin letters: one class, no alternation,
+# which is what makes the test cheap.
+_ODD = "[\\x80-\\xbf×÷\\u0250-\\uffff]"
+
+
+def _is_ascii(col: Column) -> Column:
+    """As many bytes as characters: decides without scanning the characters."""
+    return F.octet_length(col) == F.length(col)
 
 
 def _map_characters(col: Column, table: dict[str, str], probe: Column | None = None) -> Column:
@@ -38,12 +50,13 @@ def _map_characters(col: Column, table: dict[str, str], probe: Column | None = N
     multi = {k: v for k, v in table.items() if len(v) > 1}
     common = {k: v for k, v in multi.items() if k.isascii()}
     rare = {k: v for k, v in multi.items() if not k.isascii()}
-    out = F.translate(col, "".join(single) + "".join(erased), "".join(single.values()))
-    out = R.replace_all(out, list(common.items()))
-    if not rare:
-        return out
-    odd = (col if probe is None else probe).rlike(_PLAIN)
-    return F.when(odd, R.replace_all(out, list(rare.items()))).otherwise(out)
+    # cells are in no table, so the order is free: replace while the text is short
+    out = R.replace_all(col, list(common.items()))
+    if rare:
+        seen = col if probe is None else probe
+        odd = ~_is_ascii(seen) & seen.rlike(_ODD)
+        out = F.when(odd, R.replace_all(out, list(rare.items()))).otherwise(out)
+    return F.translate(out, "".join(single) + "".join(erased), "".join(single.values()))
 
 
 def _strict_by_token(col: Column) -> Column:
@@ -86,24 +99,36 @@ def _strict_by_token(col: Column) -> Column:
     return F.array_join(R.let(tokens, lambda ts: F.transform(ts, lambda t, i: one(ts, t, i))), "")
 
 
-def to_braille_strict(col: Column) -> Column:
-    """Grade-1 cells; characters outside the code's word class are dropped."""
-    x = R.text(col)
-    greek_caps = x.rlike("[\u0386-\u03ff]") & x.rlike(
-        rf"(?<![{WORD}])(?=[{UPPER}]*[\u0386-\u03ab\u03d2-\u03ff])[{UPPER}]{{2,}}(?![{WORD}])"
+def _strict_by_passes(x: Column, word: str, upper: str, letters: dict[str, str]) -> Column:
+    # '_' is itself dropped, so it can stand for any dropped run until the end;
+    # plain ASCII text has nothing else to drop
+    t = F.when(_is_ascii(x) & ~x.contains("__") & ~x.rlike("[\\x1c-\\x1f]"), x).otherwise(
+        F.regexp_replace(x, DROPPED, "_")
     )
-    # '_' is itself dropped, so it can stand for any dropped run until the end
-    t = F.regexp_replace(x, DROPPED, "_")
     # one number sign per digit run, none right after '^'
     t = F.regexp_replace(t, r"\p{Nd}(?<!\p{Nd}.)(?<!\^_?.)\p{Nd}*+(?:_\p{Nd}+)*", C.NUMBER + "$0")
     # all-capital words get one sign here and the second one in the next pass
-    t = F.regexp_replace(t, rf"(?=[{UPPER}]{{2}})(?<![{WORD}])(?=[{UPPER}]{{2,}}(?![{WORD}]))", C.CAPITAL)
-    t = F.regexp_replace(t, rf"[{UPPER}](?:(?<![{WORD}].)[{UPPER}]+(?![{WORD}]))?", C.CAPITAL + "$0")
+    t = F.regexp_replace(t, rf"(?=[{upper}]{{2}})(?<![{word}])(?=[{upper}]{{2,}}(?![{word}]))", C.CAPITAL)
+    t = F.regexp_replace(t, rf"[{upper}](?:(?<![{word}].)[{upper}]+(?![{word}]))?", C.CAPITAL + "$0")
     # a raised mixed-case word carries no capital signs at all
-    t = F.regexp_replace(t, rf"((?:\^_?|\G(?!\A))[{WORD}]*?){C.CAPITAL}(?=[{UPPER}])", "$1")
-    table = {**C.letter_cells("strict"), **C.DIGITS, **C.STRICT_SYMBOLS}
-    fast = _map_characters(t, {**table, "_": ""}, probe=x)
-    return F.when(greek_caps, _strict_by_token(x)).otherwise(fast)
+    raised = F.regexp_replace(t, rf"((?:\^_?|\G(?!\A))[{word}]*?){C.CAPITAL}(?=[{upper}])", "$1")
+    t = F.when(x.contains("^"), raised).otherwise(t)
+    return _map_characters(t, {**letters, **C.DIGITS, **C.STRICT_SYMBOLS, "_": ""}, probe=x)
+
+
+def to_braille_strict(col: Column) -> Column:
+    """Grade-1 cells; characters outside the code's word class are dropped."""
+    x = R.text(col)
+    letters = C.letter_cells("strict")
+    latin = {k: v for k, v in letters.items() if not "\u0370" <= k <= "\u03ff"}
+    greek_caps = x.rlike(
+        rf"(?<![{WORD}])(?=[{UPPER}]*[\u0386-\u03ab\u03d2-\u03ff])[{UPPER}]{{2,}}(?![{WORD}])"
+    )
+    return (
+        F.when(_is_ascii(x) | ~x.rlike("[\u0370-\u03ff]"), _strict_by_passes(x, LATIN_WORD, LATIN_UPPER, latin))
+        .when(greek_caps, _strict_by_token(x))
+        .otherwise(_strict_by_passes(x, WORD, UPPER, letters))
+    )
 
 
 def to_braille_lenient(col: Column) -> Column:
@@ -116,11 +141,17 @@ def to_braille_lenient(col: Column) -> Column:
         rf"(?={upper}{{2}})(?<!{ns})(?={upper}*+(?!{ns}))"
         rf"(?=[^{LENIENT_SPACE}\p{{L}}]*\p{{L}}[^{LENIENT_SPACE}\p{{L}}]*\p{{L}})(?={ns}*?\p{{Lu}})"
     )
-    t = F.regexp_replace(x, r"(?<![0-9^_])[0-9]+", C.NUMBER + "$0")
-    t = F.regexp_replace(
-        t, rf"{caps_word}{upper}++|\p{{Lu}}(?<![\^_][0-9]{{0,64}}.)", C.CAPITAL + "$0"
+    t = F.regexp_replace(x, r"[0-9](?<![0-9^_].)[0-9]*+", C.NUMBER + "$0")
+    single = r"\p{Lu}(?<![\^_][0-9]{0,64}.)"
+    words = F.regexp_replace(
+        F.regexp_replace(t, rf"{caps_word}{upper}++|{single}", C.CAPITAL + "$0"), caps_word, C.CAPITAL
+    )
+    # a capital and another letter with no small letter between: only then can a
+    # whole word be capital, and only then are the word passes worth their scans
+    may_have_words = F.when(_is_ascii(x), x.rlike(r"[A-Z][^a-z\s]*[A-Z]")).otherwise(
+        x.rlike(r"[\p{L}&&[^\p{Ll}\p{Lt}]][^\p{Ll}\p{Lt}\s]*[\p{L}&&[^\p{Ll}\p{Lt}]]")
     )
-    t = F.regexp_replace(t, caps_word, C.CAPITAL)
+    t = F.when(may_have_words, words).otherwise(F.regexp_replace(t, single, C.CAPITAL + "$0"))
     return _map_characters(
         t, {**C.letter_cells("lenient"), **C.DIGITS, **C.LENIENT_SYMBOLS}, probe=x
     )
