@@ -144,11 +144,14 @@ def is_caption(col: Column) -> Column:
 
 def keyword_block_type(col: Column) -> Column:
     """Block type announced by the first word of a line, else null."""
-    word = F.lower(R.extract(R.strip(R.text(col)), KEYWORD, 2))
-    out = F.lit(None).cast("string")
-    for key, kind in reversed(list(KEYWORD_TYPES.items())):
-        out = F.when(word == key, kind).otherwise(out)
-    return out
+
+    def kind(word: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for key, value in reversed(list(KEYWORD_TYPES.items())):
+            out = F.when(word == key, value).otherwise(out)
+        return F.when(word != "", out)
+
+    return R.let(F.lower(R.extract(R.strip(R.text(col)), KEYWORD, 2)), kind)
 
 
 def is_short_explanation(col: Column) -> Column:
@@ -223,6 +226,55 @@ def is_example_boundary(col: Column) -> Column:
     )
 
 
+def layout_facts(col: Column) -> Column:
+    """All layout predicates of a line as one struct.
+
+    Fields: math, any_math, step, prose, short, lead, caption, kw, heading,
+    theorem_end, example_end.  The shared parts are computed once per line.
+    """
+
+    def derived(v: Column) -> Column:
+        t, n, math, caption, kw, rule = (v[k] for k in ("t", "n", "math", "caption", "kw", "rule"))
+        full_stop = R.matches(t, r"[.!?…]$")
+        prose = ~math & ((n >= 7) | (full_stop & (n >= 4)))
+        short = (
+            n.between(2, 7) & ~math & ~caption & kw.isNull() & R.matches(t, SHORT_EXPLANATION)
+        )
+        shape = (n <= 10) & (F.length(t) <= 80) & (t != "") & ~math
+        heading = shape & ~R.matches(t, HEADING_END) & (
+            (_capitalised(t) >= F.greatest(F.lit(1), n - 1)) | (~t.rlike(r"\p{Ll}") & t.rlike("[A-Z]"))
+        )
+        numbered = R.matches(t, NUMBERED_SECTION)
+        return R.let(
+            heading,
+            lambda h: F.struct(
+                math.alias("math"), v["any_math"].alias("any_math"),
+                (math | t.startswith("=") | (R.matches(t, r"^[+\-−]") & t.contains("="))).alias("step"),
+                prose.alias("prose"), short.alias("short"), R.matches(t, EXPLANATORY_LEAD).alias("lead"),
+                caption.alias("caption"), kw.alias("kw"), h.alias("heading"), rule.alias("rule"),
+                F.when(t == "", False).when(kw.isNotNull() & (kw != "theorem"), True).when(caption, True).when(rule, False)
+                .when(numbered, True).otherwise(h & ~R.matches(t, THEOREM_START)).alias("theorem_end"),
+                F.when(t == "", False).when(kw.isNotNull() & (kw != "example"), True).when(caption, True)
+                .when(numbered, True).otherwise(h & ~R.matches(t, EXAMPLE_START)).alias("example_end"),
+            ),
+        )
+
+    def shared(t: Column) -> Column:
+        found = R.matches(t, LAYOUT_MATH_SYMBOL) | R.matches(t, LAYOUT_MATH_NAME) | R.matches(t, LAYOUT_MATH_CALL)
+        return R.let(
+            F.struct(found.alias("m"), R.matches(t, RULE_ITEM).alias("r")),
+            lambda f: R.let(
+                F.struct(
+                    t.alias("t"), _word_count(t).alias("n"), f["m"].alias("any_math"), (f["m"] & ~f["r"]).alias("math"),
+                    f["r"].alias("rule"), is_caption(t).alias("caption"), keyword_block_type(t).alias("kw"),
+                ),
+                derived,
+            ),
+        )
+
+    return R.let(R.strip(R.text(col)), shared)
+
+
 def is_math_block_type(col: Column) -> Column:
     return col == "equation_group"
 

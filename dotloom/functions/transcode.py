@@ -107,9 +107,10 @@ def _strict_by_passes(x: Column, word: str, upper: str, letters: dict[str, str])
     )
     # one number sign per digit run, none right after '^'
     t = F.regexp_replace(t, r"\p{Nd}(?<!\p{Nd}.)(?<!\^_?.)\p{Nd}*+(?:_\p{Nd}+)*", C.NUMBER + "$0")
-    # all-capital words get one sign here and the second one in the next pass
-    t = F.regexp_replace(t, rf"(?=[{upper}]{{2}})(?<![{word}])(?=[{upper}]{{2,}}(?![{word}]))", C.CAPITAL)
-    t = F.regexp_replace(t, rf"[{upper}](?:(?<![{word}].)[{upper}]+(?![{word}]))?", C.CAPITAL + "$0")
+    # all-capital words get one sign in a first pass and the second one with the others
+    signed = F.regexp_replace(t, rf"(?=[{upper}]{{2}})(?<![{word}])(?=[{upper}]{{2,}}(?![{word}]))", C.CAPITAL)
+    signed = F.regexp_replace(signed, rf"[{upper}](?:(?<![{word}].)[{upper}]+(?![{word}]))?", C.CAPITAL + "$0")
+    t = F.when(x.rlike(rf"[{upper}]{{2}}"), signed).otherwise(F.regexp_replace(t, rf"[{upper}]", C.CAPITAL + "$0"))
     # a raised mixed-case word carries no capital signs at all
     raised = F.regexp_replace(t, rf"((?:\^_?|\G(?!\A))[{word}]*?){C.CAPITAL}(?=[{upper}])", "$1")
     t = F.when(x.contains("^"), raised).otherwise(t)

@@ -67,8 +67,9 @@ def tr_upper(col: Column) -> Column:
 
 
 def _lookup(key: Column) -> Column:
+    # a map look-up scans the map; the set test in front of it is a hash probe
     flat = [F.lit(x) for kv in DICTIONARY.items() for x in kv]
-    return F.try_element_at(F.create_map(*flat), key)
+    return F.when(key.isin(list(DICTIONARY)), F.try_element_at(F.create_map(*flat), key))
 
 
 def preserve_case(original: Column, repaired: Column) -> Column:

@@ -111,11 +111,8 @@ def layout_blocks(
     keys = [*(keys or KEYS), "region"]
     t = F.col("text")
     facts = lines.select(
-        *keys, "ord", "line_no", "text", "x0", "y0", "x1", "y1", "y_mid", "height",
-        P.is_equation_step(t).alias("step"), P.is_prose(t).alias("prose"), P.is_short_explanation(t).alias("short"),
-        P.is_caption(t).alias("caption"), P.keyword_block_type(t).alias("kw"), P.is_layout_heading(t).alias("heading"),
-        P.is_layout_math(t).alias("math"), P.is_theorem_boundary(t).alias("theorem_end"), P.is_example_boundary(t).alias("example_end"),
-    )
+        *keys, "ord", "line_no", "text", "x0", "y0", "x1", "y1", "y_mid", "height", P.layout_facts(t).alias("_f")
+    ).select(*keys, "ord", "line_no", "text", "x0", "y0", "x1", "y1", "y_mid", "height", "_f.*")
     names = [c for c in facts.columns if c not in keys]
     g = facts.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*names))).alias("_ls"),

@@ -294,12 +294,7 @@ def reader_recommended(text: Column, source_type: Column, marker: str = PAGE_MAR
 
 
 def _line_facts(l: Column) -> Column:
-    return F.struct(
-        l.alias("text"), P.is_equation_step(l).alias("step"), P.is_prose(l).alias("prose"),
-        P.is_short_explanation(l).alias("short"), P.is_caption(l).alias("caption"),
-        P.keyword_block_type(l).alias("kw"), P.is_layout_math(l).alias("math"),
-        P.is_theorem_boundary(l).alias("theorem_end"), P.is_example_boundary(l).alias("example_end"),
-    )
+    return R.let(l, lambda t: F.struct(t.alias("text"), P.layout_facts(t).alias("f")))
 
 
 def segment_plain(df: DataFrame, text: str = "text") -> DataFrame:
@@ -318,11 +313,12 @@ def segment_plain(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def step(s: Column, l: Column) -> Column:
-        keeps = F.coalesce((s["kw"] == "theorem") & ~l["theorem_end"], F.lit(False)) | F.coalesce(
-            (s["kw"] == "example") & ~l["example_end"] & l["kw"].isNull() & ~l["caption"]
-            & (l["prose"] | l["short"] | l["math"] | l["step"]), F.lit(False),
+        f = l["f"]
+        keeps = F.coalesce((s["kw"] == "theorem") & ~f["theorem_end"], F.lit(False)) | F.coalesce(
+            (s["kw"] == "example") & ~f["example_end"] & f["kw"].isNull() & ~f["caption"]
+            & (f["prose"] | f["short"] | f["math"] | f["step"]), F.lit(False),
         )
-        fresh = ~s["open"] | (~keeps & s["eq"] & l["prose"])
+        fresh = ~s["open"] | (~keeps & s["eq"] & f["prose"])
         no = s["no"] + F.when(fresh, 1).otherwise(0)
         return F.when(
             l["text"] == "",
@@ -331,8 +327,8 @@ def segment_plain(df: DataFrame, text: str = "text") -> DataFrame:
             F.struct(
                 F.array_append(s["out"], F.struct(l["text"].alias("text"), no.cast("int").alias("block_no"))).alias("out"),
                 no.alias("no"), F.lit(True).alias("open"),
-                F.when(fresh, l["kw"]).otherwise(s["kw"]).alias("kw"),
-                (F.when(fresh, True).otherwise(s["eq"]) & l["step"]).alias("eq"),
+                F.when(fresh, f["kw"]).otherwise(s["kw"]).alias("kw"),
+                (F.when(fresh, True).otherwise(s["eq"]) & f["step"]).alias("eq"),
             )
         )
 
@@ -345,25 +341,24 @@ def segment_plain(df: DataFrame, text: str = "text") -> DataFrame:
 def classify_typed_blocks(lines: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """Lines with keys + block_no -> one typed row per block."""
     t = R.strip(F.col("text"))
-    f = lines.filter(t != "").select(
-        *keys, "block_no", order, "text", P.is_layout_math(t).alias("_m"),
-        (R.matches(t, P.LAYOUT_MATH_SYMBOL) | R.matches(t, P.LAYOUT_MATH_NAME) | R.matches(t, P.LAYOUT_MATH_CALL)).alias("_any"),
-        P.is_prose(t).alias("_p"), (P.is_prose(t) | P.is_short_explanation(t) | P.starts_explanatory(t)).alias("_pr"),
+    f = lines.filter(t != "").select(*keys, "block_no", order, "text", P.layout_facts(t).alias("_f")).select(
+        *keys, "block_no", order, "text", F.col("_f.math").alias("_m"), F.col("_f.any_math").alias("_any"), F.col("_f.prose").alias("_p"),
+        (F.col("_f.prose") | F.col("_f.short") | F.col("_f.lead")).alias("_pr"), F.col("_f").alias("_facts"),
     )
     g = f.groupBy(*keys, "block_no").agg(
-        F.min_by("text", order).alias("_t"), F.min_by("_p", order).alias("_fp"), F.count("*").alias("n_lines"),
+        F.min_by(F.struct("text", "_facts"), order).alias("_first"), F.count("*").alias("n_lines"),
         F.bool_and("_m").alias("_all"), F.bool_or("_any").alias("_some"), F.count_if("_pr").alias("_prose"),
         F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]).alias("lines"),
     )
-    first, n = R.strip(F.col("_t")), F.col("n_lines")
-    strong = (F.col("_prose") > 0) & (P.starts_explanatory(first) | F.col("_fp") | (F.col("_prose") >= F.ceil(n / 2)))
+    first, n, ff = R.strip(F.col("_first.text")), F.col("n_lines"), F.col("_first._facts")
+    strong = (F.col("_prose") > 0) & (ff["lead"] | ff["prose"] | (F.col("_prose") >= F.ceil(n / 2)))
     kind = (
-        F.when(P.is_caption(first), F.when(F.lower(first).startswith("table"), "table_placeholder").otherwise("graph_placeholder"))
-        .when(P.is_layout_heading(first) & (n <= 2), F.when(F.length(first) <= 38, "chapter_header").otherwise("section_header"))
-        .when(P.keyword_block_type(first).isNotNull(), P.keyword_block_type(first))
+        F.when(ff["caption"], F.when(F.lower(first).startswith("table"), "table_placeholder").otherwise("graph_placeholder"))
+        .when(ff["heading"] & (n <= 2), F.when(F.length(first) <= 38, "chapter_header").otherwise("section_header"))
+        .when(ff["kw"].isNotNull(), ff["kw"])
         .when(F.col("_all"), "equation_group")
         .when(strong, "paragraph")
-        .when(F.col("_some") & ~P.is_rule_item(first) & (n >= 2), "equation_group")
+        .when(F.col("_some") & ~ff["rule"] & (n >= 2), "equation_group")
         .otherwise("paragraph")
     )
     return g.select(*keys, "block_no", kind.alias("type"), "n_lines", "lines", R.strip(F.array_join("lines", "\n")).alias("content"))
