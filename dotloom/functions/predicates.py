@@ -69,18 +69,18 @@ def _capitalised(trimmed: Column) -> Column:
 
 def is_math_line(col: Column) -> Column:
     """Should this line go to the mathematics code rather than the text code?"""
-    t = R.strip(R.text(col))
-    n = _word_count(t)
-    prose = (n >= 4) & (R.count(t, MATH_LETTERS) / F.length(t) > 0.4)
-    short = n <= 3
-    math = (
-        R.matches(t, MATH_FUNCTIONS)
-        | (R.matches(t, MATH_SHORT_OPERATORS) & short)
-        | R.matches(t, MATH_DIGIT_OPERATION)
-        | (R.matches(t, MATH_LETTER_OPERATION) & short)
-        | R.matches(t, MATH_RATIO)
-    )
-    return (t != "") & ~F.coalesce(prose, F.lit(False)) & math
+
+    def decide(t: Column, n: Column) -> Column:
+        prose = (n >= 4) & (R.count(t, MATH_LETTERS) / F.greatest(F.length(t), F.lit(1)) > 0.4)
+        math = (
+            R.matches(t, MATH_FUNCTIONS)
+            | ((n <= 3) & (R.matches(t, MATH_SHORT_OPERATORS) | R.matches(t, MATH_LETTER_OPERATION)))
+            | R.matches(t, MATH_DIGIT_OPERATION)
+            | R.matches(t, MATH_RATIO)
+        )
+        return (t != "") & ~prose & math
+
+    return R.let(R.strip(R.text(col)), lambda t: R.let(_word_count(t), lambda n: decide(t, n)))
 
 
 def is_formula_like(col: Column) -> Column:
@@ -92,27 +92,34 @@ def is_list_like(col: Column) -> Column:
     return R.matches(R.strip(R.text(col)), LIST_ITEM)
 
 
-def is_heading(col: Column) -> Column:
-    t = R.strip(R.text(col))
+def _heading(t: Column) -> Column:
     n = _word_count(t)
     return (
-        (t != "") & (F.length(t) <= 80) & ~R.matches(t, HEADING_END)
-        & ~is_list_like(t) & ~is_formula_like(t) & (n <= 8)
+        (F.length(t).between(1, 80)) & ~R.matches(t, HEADING_END)
+        & ~R.matches(t, LIST_ITEM) & ~is_formula_like(t) & (n <= 8)
         & ((_capitalised(t) >= F.greatest(F.lit(1), n - 1)) | ~t.rlike(r"\p{Ll}"))
     )
 
 
+def is_heading(col: Column) -> Column:
+    return R.let(R.strip(R.text(col)), _heading)
+
+
 def is_sentence_terminal(col: Column) -> Column:
     return R.matches(R.strip(R.text(col)), SENTENCE_END)
 
 
+def is_plain_line(col: Column) -> Column:
+    """A line that may be part of a paragraph: no formula, list item or heading."""
+    return R.let(
+        R.strip(R.text(col)),
+        lambda t: (t != "") & ~is_formula_like(t) & ~R.matches(t, LIST_ITEM) & ~_heading(t),
+    )
+
+
 def can_merge(current: Column, following: Column) -> Column:
     """Two neighbouring lines that may belong to one paragraph."""
-    a, b = R.strip(R.text(current)), R.strip(R.text(following))
-    return (
-        (a != "") & (b != "") & ~is_formula_like(a) & ~is_formula_like(b)
-        & ~is_list_like(a) & ~is_list_like(b) & ~is_heading(a) & ~is_heading(b)
-    )
+    return is_plain_line(following) & is_plain_line(current)
 
 
 def is_rule_item(col: Column) -> Column:

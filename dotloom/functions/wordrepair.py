@@ -219,31 +219,28 @@ def repair_token(tok: Column) -> Column:
     )
 
 
-def needs_repair(col: Column) -> Column:
+def needs_repair(tok: Column) -> Column:
     """Cheap test in front of the token work: a marker or a dictionary word."""
-    return col.rlike('[":˘¸¨]') | tr_lower(col).rlike("|".join(sorted(WHOLE_WORDS + ["ozellik"])))
+    return tok.rlike('[":˘¸¨]') | tr_lower(tok).isin(list(DICTIONARY))
 
 
 def repair_segments(col: Column) -> Column:
     """Text -> array of struct(text, confidence, changed) over all segments."""
     return F.transform(
         F.regexp_extract_all(col, F.lit(SEGMENTS), 0),
-        lambda t: F.when(t.rlike(rf"[{WORD_LETTERS}]"), repair_token(t)).otherwise(
-            F.struct(t.alias("text"), F.lit(0.0).alias("confidence"), F.lit(False).alias("changed"))
-        ),
+        lambda t: F.when(needs_repair(t) & t.rlike(rf"[{WORD_LETTERS}]"), repair_token(t)).otherwise(_unrepaired(t, 0.0)),
     )
 
 
 def repair_text(col: Column) -> Column:
     """Every line repaired; line breaks and spacing are kept."""
     x = R.replace_all(R.text(col), [("\r\n", "\n"), ("ƒ", "f")])
-    mapped = F.when(x.contains(":"), repair_formula_tokens(x)).otherwise(x)
-    originals = F.regexp_extract_all(mapped, F.lit(SEGMENTS), 0)
-    repaired = F.array_join(
-        F.zip_with(
-            originals, repair_segments(mapped),
-            lambda o, r: F.when(r["confidence"] >= ACCEPT, r["text"]).otherwise(o),
+    mapped = F.when(R.text(col).contains(":"), repair_formula_tokens(x)).otherwise(x)
+    accepted = lambda t: R.let(repair_token(t), lambda r: F.when(r["confidence"] >= ACCEPT, r["text"]).otherwise(t))
+    return F.array_join(
+        F.transform(
+            F.regexp_extract_all(mapped, F.lit(SEGMENTS), 0),
+            lambda t: F.when(needs_repair(t) & t.rlike(rf"[{WORD_LETTERS}]"), accepted(t)).otherwise(t),
         ),
         "",
     )
-    return F.when(needs_repair(mapped), repaired).otherwise(mapped)

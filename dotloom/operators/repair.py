@@ -44,7 +44,7 @@ def repair_report(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per document: segments changed and accepted, best confidence.  No shuffle."""
     x = R.replace_all(R.text(text), [("\r\n", "\n"), ("ƒ", "f")])
     mapped = B.repair_formula_tokens(x)
-    seg = F.when(WR.needs_repair(F.col("_m")), WR.repair_segments(F.col("_m")))
+    seg = WR.repair_segments(F.col("_m"))
     staged = df.withColumn("_x", x).withColumn("_m", mapped).withColumn("_s", seg)
     changed = F.filter("_s", lambda s: s["changed"])
     formula = F.col("_m") != F.col("_x")

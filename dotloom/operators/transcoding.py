@@ -108,6 +108,14 @@ def brf_pages(cells: Column, width: int = BRF_CELLS, height: int = BRF_LINES) ->
     )
 
 
+def brf_size(cells: Column, width: int = BRF_CELLS, height: int = BRF_LINES) -> Column:
+    """struct(lines, pages) of the embosser text, without building it."""
+    breaks = F.regexp_count(cells, F.lit(rf"\n|[^\n]{{{width}}}(?=[^\n])"))
+    return F.struct(
+        (breaks + 1).cast("long").alias("lines"), F.ceil((breaks + 1) / height).cast("long").alias("pages")
+    )
+
+
 def wrap_and_paginate(
     df: DataFrame, cells: str = "braille", width: int = BRF_CELLS, height: int = BRF_LINES
 ) -> DataFrame:

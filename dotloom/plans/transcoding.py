@@ -78,14 +78,8 @@ def _strict_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def brf_volume_by_language(df: DataFrame) -> DataFrame:
     """How many embosser lines and pages does each language need?"""
-    pages = df.select("lang", T.brf_pages(F.col("braille")).alias("_p"))
-    lines = F.aggregate(
-        "_p", F.lit(0), lambda a, p: a + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1
-    )
-    return pages.groupBy("lang").agg(
-        F.count("*").alias("documents"),
-        F.sum(F.size("_p")).cast("long").alias("brf_pages"),
-        F.sum(lines).cast("long").alias("brf_lines"),
+    return df.select("lang", T.brf_size(F.col("braille")).alias("_s")).groupBy("lang").agg(
+        F.count("*").alias("documents"), F.sum("_s.pages").alias("brf_pages"), F.sum("_s.lines").alias("brf_lines")
     )
 
 
