@@ -1,7 +1,7 @@
 """Alignment of original text with its cells.
 
-Joins are always on document (and row), with positions as residual
-conditions, so they stay hash joins however long the documents are.
+Texts of one row are aligned in place.  Joins are on equal keys (document and
+position), never on ranges, so no pairs are formed inside a document.
 """
 
 from __future__ import annotations
@@ -32,30 +32,28 @@ def align_paragraphs(df: DataFrame, key: str = "doc_id", original: str = "text",
     """One row per original paragraph with its share of the Braille paragraphs.
 
     Fewer or as many Braille paragraphs are paired one to one; surplus ones go
-    to proportional buckets.  The bucket of every chunk is found by a join on
-    document with a range on the chunk index.
+    to proportional buckets.  Both texts are in the same row, so the buckets
+    are array slices and nothing is joined or shuffled.
     """
-    c = df.select(key, F.size(paragraphs(F.col(original))).alias("n_o"), F.size(paragraphs(F.col(braille))).alias("n_b"))
-    rows = _chunks(df, key, original, "original").join(c, key)
-    ratio = F.col("n_b") / F.col("n_o")
-    cut = lambda i: F.floor(i * ratio + 0.5)
-    surplus = F.col("n_b") > F.col("n_o")
-    rows = rows.select(
-        key, F.col("i").alias("row_no"), "original",
-        F.when(surplus, cut(F.col("i"))).otherwise(F.col("i")).alias("lo"),
-        F.when(~surplus, F.col("i") + 1).when(F.col("i") == F.col("n_o") - 1, F.col("n_b")).otherwise(cut(F.col("i") + 1)).alias("hi"),
-    )
-    b = _chunks(df, key, braille, "braille").select(F.col(key).alias("_k"), F.col("i").alias("j"), "braille")
-    in_bucket = (F.col(key) == F.col("_k")) & (F.col("j") >= F.col("lo")) & (F.col("j") < F.col("hi"))
-    hit = rows.join(b, in_bucket, "left")
-    aligned = hit.groupBy(key, "row_no").agg(
-        F.first("original").alias("original"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "braille")))), lambda s: s["braille"]), " ").alias("braille"),
-    )
-    # Braille of a document without any original text stays visible
-    bare = b.withColumnRenamed("_k", key).join(c.filter("n_o = 0"), key, "left_semi")
-    orphans = bare.select(key, F.col("j").alias("row_no"), F.lit("").alias("original"), "braille")
-    return aligned.unionByName(orphans)
+
+    def pair(v: Column) -> Column:
+        o, b = v["o"], v["b"]
+        n_o, n_b = F.size(o), F.size(b)
+        ratio = n_b / F.greatest(n_o, F.lit(1))
+        cut = lambda i: F.floor(i * ratio + 0.5).cast("int")
+        end = lambda i: F.when(i == n_o - 1, n_b).otherwise(cut(i + 1))
+        bucket = lambda i: F.array_join(F.slice(b, cut(i) + 1, end(i) - cut(i)), " ")
+        row = lambda a, c: F.struct(a.alias("original"), c.alias("braille"))
+        return (
+            # Braille of a document without any original text stays visible
+            F.when(n_o == 0, F.transform(b, lambda c: row(F.lit(""), c)))
+            .when(n_b <= n_o, F.transform(o, lambda p, i: row(p, F.coalesce(F.get(b, i), F.lit("")))))
+            .otherwise(F.transform(o, lambda p, i: row(p, bucket(i))))
+        )
+
+    both = F.struct(paragraphs(F.col(original)).alias("o"), paragraphs(F.col(braille)).alias("b"))
+    rows = df.select(key, F.posexplode(R.let(both, pair)).alias("row_no", "_r"))
+    return rows.select(key, "row_no", "_r.original", "_r.braille")
 
 
 def align_words(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -84,9 +82,11 @@ def attach_braille(blocks: DataFrame, stored: DataFrame, key: str = "doc_id", br
     w = Window.partitionBy(key).orderBy("seq")
     leaves = blocks.join(parents, [key, "id"], "left_anti")
     leaves = leaves.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    c = _chunks(stored, key, braille, "chunk").select(F.col(key).alias("_k"), F.col("i").alias("j"), "chunk")
-    near = (F.col("j") == F.col("_i")) | ((F.col("_i") == F.col("_n") - 1) & (F.col("j") > F.col("_i")))
-    hit = leaves.join(c, (F.col(key) == F.col("_k")) & near, "left")
+    n = leaves.groupBy(key).agg(F.first("_n").alias("_n"))
+    c = _chunks(stored, key, braille, "chunk").withColumnRenamed("i", "j").join(n, key)
+    # every chunk knows its leaf, so the join is on equal keys
+    c = c.select(key, F.least(F.col("j"), F.col("_n") - 1).cast("int").alias("_i"), "j", "chunk")
+    hit = leaves.withColumn("_i", F.col("_i").cast("int")).join(c, [key, "_i"], "left")
     cells = hit.groupBy(key, "id").agg(
         F.first("parent_id").alias("parent_id"), F.first("seq").alias("seq"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "chunk")))), lambda s: s["chunk"]), "\n\n").alias("cells"),

@@ -204,14 +204,20 @@ def block_reading_order(blocks: DataFrame, keys: list[str] | None = None) -> Dat
     return s.withColumn("ord", F.row_number().over(order) - 1).drop("_h", "_new")
 
 
-def items_to_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Positioned items -> lines: items of one baseline joined, spaced by their gaps."""
+def assign_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Positioned items with the line_no of their baseline (from 0, top first)."""
     keys = keys or KEYS
     clean = items.withColumn("str", R.text("str")).filter(R.strip(F.col("str")) != "")
     top = Window.partitionBy(*keys).orderBy(F.desc("y"), "x")
     drop = F.lag("y").over(top) - F.col("y")
     s = clean.withColumn("_new", F.when(drop > F.greatest(F.col("height") * 0.45, F.lit(3.0)), 1).otherwise(0))
-    s = s.withColumn("line_no", F.sum("_new").over(top.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return s.withColumn("line_no", F.sum("_new").over(top.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+
+
+def items_to_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Items with their line_no -> lines: texts joined, spaced by their gaps."""
+    keys = keys or KEYS
+    s = items if "line_no" in items.columns else assign_lines(items, keys)
     along = Window.partitionBy(*keys, "line_no").orderBy("x")
     word = R.strip(F.regexp_replace("str", r"\s+", " "))
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(along)

@@ -415,10 +415,8 @@ def _(spark, sf):
 
 @catalog.add("merged_math_lines", "E11")
 def _(spark, sf):
-    it = _items(spark, sf)
-    lines = E.items_to_lines(it)
-    keyed = it.join(lines.select("doc_id", "page_no", "line_no", F.col("y").alias("_y")), ["doc_id", "page_no"]).filter(F.abs(F.col("y") - F.col("_y")) <= 3)
-    return E.merge_math_lines(lines, keyed.drop("_y", "src_line"))
+    it = E.assign_lines(_items(spark, sf))
+    return E.merge_math_lines(E.items_to_lines(it), it)
 
 
 @_layout_query("segmentation_report", "E12", f"""{_ORDER}{_LBLOCKS}
