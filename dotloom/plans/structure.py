@@ -10,6 +10,7 @@ from ..functions import transcode as X
 from ..operators import align as A, layout as E, structure as S, transcoding as T
 from . import duck as D, sqlrules as Q
 from .catalog import catalog
+from .sqlrepair import segments_sql
 from .views import library_docs, marked_docs, marked_lines, paragraph_docs, paragraph_text, table, with_views
 
 # ------------------------------------------------------------------ structure
@@ -520,7 +521,13 @@ def _(spark, sf):
     return A.interaction_keys(t, "p_partkey", "segment").select("p_partkey", "side", "pos", "token_key", "interaction_key", "counterpart_key")
 
 
-@catalog.add("display_words", "J7")
+@catalog.add("display_words", "J7", with_views(f"""
+WITH dl AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '\\s+$', ''), chr(10)) AS l FROM marked_docs)),
+ {segments_sql('dl', 'doc_id, line_no')},
+ dr AS (SELECT doc_id, line_no, string_agg(CASE WHEN confidence >= 0.85 THEN fixed ELSE seg END, '' ORDER BY pos) AS fx FROM sg GROUP BY doc_id, line_no),
+ dw AS (SELECT doc_id, line_no, regexp_extract_all(text, '\\S+') AS a, regexp_extract_all(coalesce(fx, ''), '\\S+') AS b FROM dl LEFT JOIN dr USING (doc_id, line_no)),
+ de AS (SELECT doc_id, line_no, a, b, unnest(range(greatest(len(a), len(b)))) AS p FROM dw)
+SELECT doc_id, line_no, CAST(p AS INT) AS pos, coalesce(a[p + 1], '') AS raw, coalesce(b[p + 1], a[p + 1], '') AS repaired, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, p) - 1 AS word_index FROM de""", "marked_docs"))
 def _(spark, sf):
     return A.display_rows(marked_docs(spark, sf))
 

@@ -11,6 +11,7 @@ from ..functions import wordrepair as WR
 from ..operators import repair as RP
 from . import duck as D, sqlrules as S
 from .catalog import catalog
+from .sqlrepair import segments_sql
 from .views import library_docs, marked_docs, marked_lines, table, with_views
 
 
@@ -90,12 +91,17 @@ def _(spark, sf):
     return toks.withColumn("fixed", WR.repair_markers(F.col("word")))
 
 
-@catalog.add("repair_report", "B9")
+@catalog.add("repair_report", "B9", with_views(f"""
+WITH {segments_sql('marked_docs', 'doc_id')}
+SELECT doc_id, count(*) FILTER (WHERE changed) AS tokens_changed, count(*) FILTER (WHERE changed AND confidence >= 0.85) AS tokens_accepted, bool_or(formula) AS formula_changed,
+ greatest(coalesce(max(confidence) FILTER (WHERE changed), 0.0), CASE WHEN bool_or(formula) THEN 0.99 ELSE 0.0 END) AS confidence FROM sg GROUP BY doc_id""", "marked_docs"))
 def _(spark, sf):
     return RP.repair_report(marked_docs(spark, sf), "doc_id")
 
 
-@catalog.add("repair_documents", "B6 B7 B8")
+@catalog.add("repair_documents", "B6 B7 B8", with_views(f"""
+WITH {segments_sql('marked_docs', 'doc_id')}
+SELECT doc_id, string_agg(CASE WHEN confidence >= 0.85 THEN fixed ELSE seg END, '' ORDER BY pos) AS result FROM sg GROUP BY doc_id""", "marked_docs"))
 def _(spark, sf):
     return marked_docs(spark, sf).select("doc_id", WR.repair_text(F.col("text")).alias("result"))
 
