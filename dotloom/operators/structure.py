@@ -465,30 +465,42 @@ def block_cells(content: Column, kind: Column, mode: Column) -> Column:
 def transcode_blocks(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Flat block tree -> the same rows with their cells.
 
-    Leaves are converted; a parent is its children joined by a blank line.
-    Trees are at most three deep, so two joins of children into parents do.
+    Leaves are converted; a parent is its children, in order, joined by a blank
+    line.  The blocks of one document (or page, by ``keys``) are brought together
+    once; trees are at most three deep, so two rounds from the leaves up do.
     """
     keys = keys or ["doc_id"]
-    parents = blocks.filter(F.col("parent_id").isNotNull()).select(*keys, F.col("parent_id").alias("id")).distinct()
-    leaves = blocks.join(parents, [*keys, "id"], "left_anti").withColumn(
-        "braille", block_cells(F.col("content"), F.col("type"), F.col("mode"))
-    )
+    rest = [c for c in blocks.columns if c not in keys]
+
+    def with_cells(b: Column, cells: Column) -> Column:
+        return F.struct(*[b[c].alias(c) for c in rest], b["leaf"].alias("leaf"), cells.alias("braille"))
 
-    def gather(level: DataFrame, name: str) -> DataFrame:
-        got = level.filter(F.col("parent_id").isNotNull() & (F.col("braille") != "")).groupBy(*keys, "parent_id").agg(
-            F.array_sort(F.collect_list(F.struct("ord", "braille"))).alias("_c")
+    def mark(bs: Column) -> Column:
+        parents = F.array_distinct(F.array_compact(F.transform(bs, lambda b: b["parent_id"])))
+        return R.let(
+            parents,
+            lambda ps: F.transform(
+                bs, lambda b: F.struct(*[b[c].alias(c) for c in rest], (~F.array_contains(ps, b["id"])).alias("leaf"))
+            ),
         )
-        return got.select(*keys, F.col("parent_id").alias("id"), F.array_join(F.transform("_c", lambda s: s["braille"]), "\n\n").alias(name))
 
-    inner = blocks.join(parents, [*keys, "id"], "left_semi")
-    upper = inner.join(gather(leaves, "braille"), [*keys, "id"], "left")
-    mid = upper.filter(F.col("parent_id").isNotNull())
-    upper = upper.join(gather(mid, "_g"), [*keys, "id"], "left")
-    cells = F.when(F.col("braille").isNull() | F.col("_g").isNull(), F.coalesce("braille", "_g", F.lit(""))).otherwise(
-        F.concat_ws("\n\n", "_g", "braille")
+    def gather(bs: Column) -> Column:
+        def joined(b: Column) -> Column:
+            kids = F.filter(bs, lambda c: F.coalesce(c["parent_id"] == b["id"], F.lit(False)) & (c["braille"] != ""))
+            pairs = F.array_sort(F.transform(kids, lambda c: F.struct(c["ord"].alias("ord"), c["braille"].alias("braille"))))
+            return F.array_join(F.transform(pairs, lambda c: c["braille"]), "\n\n")
+
+        return F.transform(bs, lambda b: with_cells(b, F.when(b["leaf"], b["braille"]).otherwise(joined(b))))
+
+    g = blocks.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_b"))
+    leaves = R.let(
+        mark(F.col("_b")),
+        lambda bs: F.transform(
+            bs, lambda b: with_cells(b, F.when(b["leaf"], block_cells(b["content"], b["type"], b["mode"])).otherwise(""))
+        ),
     )
-    upper = upper.withColumn("braille", cells).drop("_g")
-    return leaves.unionByName(upper.select(leaves.columns))
+    done = R.let(R.let(leaves, gather), gather)
+    return g.select(*keys, F.explode(done).alias("_z")).select(*keys, *[F.col(f"_z.{c}").alias(c) for c in [*rest, "braille"]])
 
 
 def first_text(*cols: Column) -> Column:

@@ -132,3 +132,11 @@ def test_graph_payload(spark):
     assert "crosses x-axis at (-2, 0)" in r.relations
     again = spark.createDataFrame([(r.natural_description, r.compact_description)], "n string, c string")
     assert again.select(G.is_well_formed(F.col("n")), G.is_well_formed(F.col("c"), True)).first() == (True, True)
+
+
+def test_block_tree_of_three_levels(spark):
+    rows = [(1, "a", None, 0, "T"), (1, "b", "a", 0, "M"), (1, "c", "b", 1, "two"), (1, "d", "b", 0, "one"), (1, "e", "a", 1, "last")]
+    tree = spark.createDataFrame(rows, "doc_id int, id string, parent_id string, ord int, content string")
+    tree = tree.withColumn("type", F.lit("paragraph")).withColumn("mode", F.lit("text"))
+    got = {r.id: r.braille for r in S.transcode_blocks(tree).collect()}
+    assert got["b"] == "⠕⠝⠑\n\n⠞⠺⠕" and got["a"] == got["b"] + "\n\n⠇⠁⠎⠞"
