@@ -26,7 +26,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        files = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}{'/*.parquet' if Path(files).is_dir() else ''}'")
     return con
 
 
@@ -46,13 +47,17 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, name, sf_dir) -> str:
+    return compare_sql(spark, con, name, catalog.queries[name], catalog.oracles.get(name), sf_dir)
+
+
+def compare_sql(spark, con, name, query, sql, sf_dir) -> str:
     t0 = time.time()
-    df = catalog.queries[name](spark, sf_dir)
+    df = query(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
-    if name not in catalog.oracles:
+    if sql is None:
         return f"ROWS  {name} rows={len(got)} {t1 - t0:.1f}s"
-    cur = con.execute(catalog.oracles[name])
+    cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     want = rows_of(cols, cur.fetchall())
     t2 = time.time()
