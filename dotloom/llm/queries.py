@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm import bpe, ngramjoin, tokencount
+from dotloom.llm import bpe, langid, ngramjoin, tokencount
 from dotloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    labelled = docs.where("not held_out").select("lang", "text")
+    return langid.identify(docs.select("doc_id", "held_out", "text"), labelled).drop("text")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngramjoin.join_documents(docs, width=3, num=90, den=100)
@@ -52,6 +58,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op7_ngram_join": op7_ngram_join,
 }
 ORACLES: dict[str, str] = {"op7_ngram_join": OP7_SQL}
