@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from dotloom.llm import pretokens as pre
 
-END = -1  # key of a trie node at which a word ends
+END = -1  # key of a trie node at which a word or token ends
 LONG_BYTES = 256  # longer pre-tokens are a path of their own, not part of the trie
 BLOCK_CHARS = 2_000_000  # characters of text whose unknown pre-tokens share one trie
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,7 +45,12 @@ class Encoder:
         self.bytes: dict[int, bytes] = {i: b for b, i in self.ids.items()}
         self.special = pre.specials(path)
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        self.tokens: dict = {}  # the vocabulary as a trie
+        for token, i in self.ids.items():
+            node = self.tokens
+            for b in token:
+                node = node.setdefault(b, {})
+            node[END] = i
         # a token's merge: its rank and its halves; single bytes have rank -1
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -58,8 +63,9 @@ class Encoder:
                 self.rank[t], self.halves[t] = r, pair
         self._follows: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self.chunk_ids: dict[tuple[bool, str], bytes] = {}
-        self.piece_ids: dict[bytes, array] = {}
+        # ids of chunks at the beginning of a text and after a space, of pre-tokens, and of their last generation
+        self.first, self.later, self.pieces = {}, {}, {}
+        self.old_later: dict[str, bytes] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Can ``b`` stand after ``a`` in an encoding?
@@ -101,20 +107,27 @@ class Encoder:
             known = self._whole[t] = parts == [t]
         return known
 
-    def last_token(self, word: bytes, end: int, last: list[int]) -> int:
-        """Last token of the encoding of ``word[:end]``, given those of all shorter prefixes."""
-        ids, follows = self.ids, self._follows
-        for start in range(max(0, end - self.longest), end):
-            t = ids.get(word[start:end])
-            if t is not None:
-                if start == 0:
-                    if self.whole(t):
-                        return t
-                else:
-                    ok = follows.get((last[start], t))
-                    if ok or ok is None and self.follows(last[start], t):
-                        return t
-        raise ValueError("the vocabulary lacks a byte")
+    def step(self, live: list[tuple[int, dict]], b: int, last: list[int]) -> tuple[list[tuple[int, dict]], int]:
+        """Prolongs a prefix by one byte.
+
+        ``live`` has, longest first, the places from which the prefix's rest begins a token, with their nodes of
+        the vocabulary's trie.  Returns the same for the longer prefix, and its last token.
+        """
+        grown, found, follows = [], -1, self._follows
+        for start, node in live:
+            node = node.get(b)
+            if node is not None:
+                grown.append((start, node))
+                if found < 0 and (t := node.get(END)) is not None:
+                    if start == 0:
+                        ok = self.whole(t)
+                    elif (ok := follows.get((last[start], t))) is None:
+                        ok = self.follows(last[start], t)
+                    if ok:
+                        found = t
+        if found < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        return grown, found
 
     def traced(self, end: int, last: list[int]) -> array:
         out = array("i")
@@ -130,9 +143,10 @@ class Encoder:
         root: dict = {}
         for w in words:
             if len(w) > LONG_BYTES:
-                last = [0]
-                for end in range(1, len(w) + 1):
-                    last.append(self.last_token(w, end, last))
+                last, live = [0], []
+                for start, b in enumerate(w):
+                    live, t = self.step([*live, (start, self.tokens)], b, last)
+                    last.append(t)
                 out[w] = self.traced(len(w), last)
                 continue
             node = root
@@ -143,17 +157,18 @@ class Encoder:
                 node = child
             node[END] = w
         # the walk keeps, for the node at hand, the last tokens of its ancestors' prefixes
-        path, last = bytearray(LONG_BYTES), [0] * (LONG_BYTES + 1)
-        todo: list[tuple[int, int, dict]] = [(b, 1, n) for b, n in root.items()]
+        last = [0] * (LONG_BYTES + 1)
+        todo: list[tuple[int, int, dict, list]] = [(b, 0, n, [(0, self.tokens)]) for b, n in root.items()]
         while todo:
-            b, depth, node = todo.pop()
-            path[depth - 1] = b
-            last[depth] = self.last_token(bytes(path[:depth]), depth, last)
+            b, depth, node, live = todo.pop()
+            live, last[depth + 1] = self.step(live, b, last)
+            depth += 1
+            live.append((depth, self.tokens))
             for b, child in node.items():
                 if b == END:
                     out[child] = self.traced(depth, last)
                 else:
-                    todo.append((b, depth + 1, child))
+                    todo.append((b, depth, child, live))
         return out
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -170,30 +185,38 @@ class Encoder:
             yield text[:at], self.special[s]
             text = text[at + len(s) :]
 
+    def learn(self, chunks: set[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
+        """Remembers the ids of new chunks that follow ``lead``; returns those of chunks too long to remember."""
+        pieces = {c: [p.encode() for p in pre.pretokens(lead + c, self.path)] for c in chunks if lead or c}
+        ids = self.pieces
+        ids |= self.encode_words({p for ps in pieces.values() for p in ps if p not in ids})
+        rare = {"": b""} if "" in chunks and not lead else {}
+        for c, ps in pieces.items():
+            (known if len(c) <= pre.CACHED_CHARS else rare)[c] = b"".join([ids[p] for p in ps])
+        if len(ids) > CACHE_CHUNKS or rare:
+            ids.clear()
+        return rare
+
     def encode(self, texts: list[str]) -> list[array]:
         """Ids of every text, in order."""
-        if len(self.chunk_ids) > CACHE_CHUNKS:
-            self.chunk_ids.clear()
-            self.piece_ids.clear()
-        known = self.chunk_ids
-        cut = [[(c, s) for t, s in self.segments(text) for c in [pre.chunks(t) if t else []]] for text in texts]
-        new = {(i == 0, c) for doc in cut for cs, _ in doc for i, c in enumerate(cs) if (i == 0, c) not in known}
-        pieces = {k: [p.encode() for p in pre.pretokens(k[1] if k[0] else f" {k[1]}", self.path)] for k in new}
-        ids = self.piece_ids
-        ids |= self.encode_words({p for ps in pieces.values() for p in ps if p not in ids})
-        own = {k: b"".join([ids[p] for p in ps]) for k, ps in pieces.items()}
-        for k, b in own.items():
-            if len(k[1]) <= pre.CACHED_CHARS:
-                known[k] = b
-            else:
-                for p in pieces[k]:
-                    if len(p) > pre.CACHED_CHARS:
-                        ids.pop(p, None)
+        if len(self.later) > CACHE_CHUNKS:
+            self.old_later, self.later = self.later, {}
+            self.first.clear()
+        cut = [[(pre.chunks(t), s) for t, s in self.segments(text)] for text in texts]
+        new = {c for doc in cut for cs, _ in doc for c in cs[1:]}.difference(self.later)
+        kept = {c: b for c in new if (b := self.old_later.get(c)) is not None}
+        self.later |= kept
+        rare = self.learn(new.difference(kept), " ", self.later)
+        rare_first = self.learn({cs[0] for doc in cut for cs, _ in doc}.difference(self.first), "", self.first)
         out = []
         for doc in cut:
             parts = []
             for cs, s in doc:
-                parts += [b if (b := known.get(k)) is not None else own[k] for k in ((i == 0, c) for i, c in enumerate(cs))]
+                parts.append(self.first[cs[0]] if cs[0] in self.first else rare_first[cs[0]])
+                if rare:
+                    parts += [self.later[c] if c in self.later else rare[c] for c in cs[1:]]
+                else:
+                    parts += map(self.later.__getitem__, cs[1:])
                 if s is not None:
                     parts.append(array("i", [s]).tobytes())
             out.append(array("i", b"".join(parts)))
