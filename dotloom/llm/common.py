@@ -42,6 +42,24 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the fixed-size filter of ``probably_in``.
+FILTER_BITS = 1 << 23
+
+
+def probably_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be among those of ``wanted`` (one column of that name).
+
+    A bitmap of fixed size is broadcast: at most FILTER_BITS / 64 rows, however many keys are wanted.  It lets every
+    wanted key pass, so an exact join after it loses nothing; it only spares rows an exchange.
+    """
+    place = F.xxhash64(F.col(key))
+    word = F.floor(F.pmod(place, F.lit(FILTER_BITS)) / 64).cast("int")
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    set_bits = wanted.select(word.alias("_word"), bit.alias("_bit"))
+    bits = set_bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return df.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+
+
 def text_of(name: str = "text") -> Column:
     """Null text is the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -25,13 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import text_of, written
+from dotloom.llm.common import probably_in, text_of, written
 from dotloom.llm.components import components
 
 U = np.uint64
 CACHE_WORDS = 500_000
-#: Bits of the fixed-size filter in front of the join that fetches candidates' texts.
-FILTER_BITS = 1 << 23
 REPRESENTATIVES = 8
 
 
@@ -209,12 +207,8 @@ def fetched_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, width: i
     """(node, shingles) of the nodes that are members of groups, each from one of its texts."""
     wanted = members.select("node").distinct().join(nodes.groupBy("node").agg(F.min("text_key").alias("text_key")), "node")
     wanted = written(wanted.select("text_key"))
-    word = F.floor(F.pmod("text_key", F.lit(FILTER_BITS)) / 64).cast("int")
-    bit = F.pmod("text_key", F.lit(64)).cast("int")
-    # at most FILTER_BITS / 64 rows, however many texts are wanted
-    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))")).alias("bits"))
     texts = docs.select("text").withColumn("text_key", F.xxhash64("text"))
-    near = texts.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)
+    near = probably_in(texts, "text_key", wanted)
     exact = near.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
     return written(exact.select(sets(F.col("text"), width).alias("s")).select("s.*").dropDuplicates(["node"]))
 

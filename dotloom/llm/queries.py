@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm import bpe, langid, ngramjoin, tokencount
+from dotloom.llm import bpe, langid, ngramjoin, tokencount, toxicity
 from dotloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,16 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_documents(docs, width=3, num=90, den=100)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = toxicity.labelled_texts(docs.where("not held_out"), labels)
+    found = toxicity.detect(docs, labelled)
+    return found.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
+    )
+
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -60,5 +70,6 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op7_ngram_join": op7_ngram_join,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op7_ngram_join": OP7_SQL}
