@@ -254,16 +254,8 @@ def links(members: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame
             groups = open_.where(F.col("rank") > REPRESENTATIVES).select("gid", "node")
 
 
-def join_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, keep_signatures: bool = True) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (least doc_id reachable by links) of every row of ``docs``.
-
-    Two documents link when ``den * |intersection| >= num * |union|`` of their sets of word shingles.
-    Null text, or text without words, has an empty set, links with nothing and keeps its own id.  Equal texts
-    always link.  Repeated rows are returned as often as they come.  Null ids are passed over when the least id is
-    taken; a component of null ids only has a null id.  Extra columns are not looked at.
-
-    ``keep_signatures`` stores the signatures between their two uses; without it texts are read once more instead.
-    """
+def labelled(docs: DataFrame, width: int, num: int, den: int, keep_signatures: bool) -> DataFrame:
+    """doc_id, text_key, n_shingles, component (a node; null for an empty set) and component_id of every row of ``docs``."""
     texts = docs.select("doc_id", text_of().alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("text_key"), signed(F.col("text"), width, num, den).alias("s"))
     if keep_signatures:
@@ -278,7 +270,38 @@ def join_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(lowest, "root").select("node", "component_id"))
-    return nodes.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = written(rooted.join(lowest, "root").select("node", F.col("root").alias("component"), "component_id"))
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return nodes.join(named, "node", "left").select("doc_id", "text_key", "n_shingles", "component", own.alias("component_id"))
+
+
+
+def join_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, keep_signatures: bool = True) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (least doc_id reachable by links) of every row of ``docs``.
+
+    Two documents link when ``den * |intersection| >= num * |union|`` of their sets of word shingles.
+    Null text, or text without words, has an empty set, links with nothing and keeps its own id.  Equal texts
+    always link.  Repeated rows are returned as often as they come.  Null ids are passed over when the least id is
+    taken; a component of null ids only has a null id.  Extra columns are not looked at.
+
+    ``keep_signatures`` stores the signatures between their two uses; without it texts are read once more instead.
+    """
+    found = labelled(docs, width, num, den, keep_signatures)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: that of the least doc_id.
+
+    Of rows with that id, and of repeated rows, the one of the least text hash stays.  Documents without words are
+    not linked with anything and stay.  Columns stay as they are.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(text_of()))
+    joined = labelled(docs, width, num, den, keep_signatures=False)
+    best = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "text_key")
+    wordy = joined.where("component is not null").select("doc_id", "text_key", "component").distinct()
+    stay = wordy.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "text_key")
+    stay = written(stay.unionByName(joined.where("component is null").select("doc_id", "text_key").distinct()))
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key"))
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")

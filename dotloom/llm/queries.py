@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm import bpe, langid, ngramjoin, packing, tokencount, topk, toxicity
+from dotloom.llm import bpe, fingerprints, langid, linededup, mixing, ngramjoin, packing, tokencount, topk, toxicity
 from dotloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,43 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, line_no, line, length(line) AS n FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents)
+), d AS (
+  SELECT line, n, min((doc_id, line_no)) AS pos FROM l WHERE n >= 20 GROUP BY line, n
+), k AS (
+  SELECT line, n, pos, m, 0 AS side, left(line, m // 2) AS half FROM (SELECT *, unnest([n - 1, n]) AS m FROM d)
+  UNION ALL SELECT line, n, pos, m, 1, right(line, m // 2) FROM (SELECT *, unnest([n - 1, n]) AS m FROM d)
+), near AS (
+  SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.pos < a.pos
+  WHERE levenshtein(a.line, b.line) <= 1
+), judged AS (
+  SELECT l.*, l.n >= 20 AND (l.line IN (SELECT line FROM near) OR (l.doc_id, l.line_no) <> d.pos) AS gone
+  FROM l LEFT JOIN d ON l.line = d.line
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE gone IS NOT TRUE), '') AS text,
+       count(*)::INT AS n_lines, count(*) FILTER (WHERE gone)::INT AS n_removed
+FROM judged GROUP BY doc_id
+"""
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.described(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.mixed_sample(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "ratio", "probability")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngramjoin.join_documents(docs, width=3, num=90, den=100)
@@ -91,8 +128,11 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_ngram_join": op7_ngram_join,
+    "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op7_ngram_join": OP7_SQL, "op9_top_k": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_top_k": OP9_SQL}
