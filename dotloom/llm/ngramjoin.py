@@ -6,18 +6,18 @@ link differ in at most k shingles.  The shingle domain is cut into n1 partitions
 the sets differ in at most k2 = k // n1 shingles, so that of its n2 cells some n2 - k2 agree.  A signature is the hash of
 what the set has in one such subset of cells; all subsets are enumerated, and sets that link share a signature.
 
-Nodes that share a signature are candidates.  Not all pairs of them are compared: each round takes a few
-representatives of every group, verifies them exactly against the members outside their component, and drops them
-from the group.  A group ends when its members lie in one component or all of them have been representatives.
-No link between different components is lost, and no round makes more rows than representatives x members.
+Nodes that share signatures, directly or through others, are a cluster; only its members can link.  Clusters are
+verified exactly, in blocks of bounded size: a member is copied to the blocks it meets, pairs of members are never
+rows.  A block returns links that connect what is connected in it, at most one less than its members.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, exp
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,9 @@ from dotloom.llm.components import components
 
 U = np.uint64
 CACHE_WORDS = 500_000
-REPRESENTATIVES = 8
+BLOCK = 512  # nodes in a block of a unit, about
+WIDE = 64 * BLOCK  # nodes of a cluster that is verified as a whole
+COLUMNS = 4096  # shingles whose incidence a block holds at a time
 
 
 class WordHashes(dict):
@@ -75,47 +77,31 @@ def shingles(text: str, width: int) -> np.ndarray:
 class Scheme:
     """Bands and partitions for links with den * intersection >= num * union."""
 
-    def __init__(self, num: int, den: int, cells: int = 2):
-        self.num, self.den, self.cells = num, den, cells
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
         self.ends = [0, 1]  # largest size of each band; sizes begin with 1
+        self.layouts: dict[int, tuple[int, int, int, int] | None] = {}
 
     def band(self, n: int) -> int:
         while self.ends[-1] < n:
             self.ends.append((self.ends[-1] + 1) * self.den // self.num)
-        lo, hi = 1, len(self.ends) - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.ends[mid] >= n else (mid + 1, hi)
-        return lo
+        return bisect_left(self.ends, n, 1)
 
-    @lru_cache(maxsize=None)  # noqa: B019  one scheme a worker
     def layout(self, band: int) -> tuple[int, int, int, int] | None:
-        """(n1, n2, k2, spare) for sets of this band and the one below; None if only equal sets link.
-
-        ``spare`` more partitions than needed agree; see ``signatures``.
-        """
-        self.band(self.ends[-1] + 1) if band >= len(self.ends) else None
-        k = 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
-        if k == 0:
-            return None
-        if k <= 3:
-            return 1, k + 2, k, 0
-        k2 = 1
-        least = self.ends[band - 2] + 1 if band >= 2 else 1
-        need = k // (k2 + 1) + 1
-        spare = 0
-        for _ in range(4):
-            n1 = need + spare
-            empty = n1 * self.cells * exp(-least * (self.cells - k2) / (n1 * self.cells))
-            spare = min(need, ceil(1.5 * empty + 2))
-        return need + spare, self.cells, k2, spare
+        """(k, n1, n2, k2) for sets of this band and the one below; None if only equal sets link."""
+        if band not in self.layouts:
+            self.band(self.ends[-1] + 1) if band >= len(self.ends) else None
+            k = 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
+            least = self.ends[band - 2] + 1 if band >= 2 else 1
+            self.layouts[band] = None if k == 0 else (k, 1, k + 4, k) if k <= 3 else (k, partitions(k, least), 1, 0)
+        return self.layouts[band]
 
     def signatures(self, h: np.ndarray) -> np.ndarray:
         """Signatures of a set, for its band and the next.
 
-        Small sets leave cells empty, and all sets agree there.  ``spare`` + 1 partitions differ in at most k2
-        shingles, so a set with at most ``spare`` partitions with an empty subset still shares a signature of
-        shingles with every set that it links with: such a set leaves out the empty ones.  Others keep them.
+        Cells without shingles agree among all sets, which says nothing.  At most k cells differ between sets that
+        link, so a set that fills more than k cells agrees in a filled one with each of them: it leaves out the
+        subsets where it has nothing.  The few sets that fill fewer keep them.
         """
         out = []
         b = self.band(len(h))
@@ -123,23 +109,37 @@ class Scheme:
             shape = self.layout(band)
             if shape is None:
                 continue
-            n1, n2, k2, spare = shape
+            k, n1, n2, k2 = shape
             cell = ((h >> U(20)) % U(n1 * n2)).astype(np.int64)
             sums = np.zeros(n1 * n2, U)
             np.add.at(sums, cell, mixed(h + U(0x9E37)))
-            sums = sums.reshape(n1, n2)
-            filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
-            subsets = list(combinations(range(n2), n2 - k2))
-            kept = np.stack([filled[:, s].any(axis=1) for s in subsets], axis=1)
-            tag = np.arange(n1, dtype=U)[:, None] * U(len(subsets)) + np.arange(len(subsets), dtype=U) + (U(band) << U(40))
-            value = np.stack([mixed(sums[:, s] + np.array(s, U)).sum(axis=1, dtype=U) for s in subsets], axis=1)
+            filled = np.bincount(cell, minlength=n1 * n2) > 0
+            subsets = _subsets(n2, n2 - k2)
+            kept = filled.reshape(n1, n2)[:, subsets].any(axis=2)
+            value = mixed(sums.reshape(n1, n2)[:, subsets] + subsets.astype(U)).sum(axis=2, dtype=U)
+            tag = np.arange(kept.size, dtype=U).reshape(kept.shape) + (U(band) << U(40))
             signs = mixed(value + mixed(tag))
-            if (~kept.all(axis=1)).sum() > spare:
-                kept[:] = True
-            out.append(signs[kept])
+            out.append(signs[kept] if filled.sum() > k else signs.ravel())
         return np.concatenate(out) if out else np.empty(0, U)
 
 
+def partitions(k: int, least: int) -> int:
+    """Partitions of which sets of ``least`` shingles or more fill over ``k``, but for about one set in 30,000."""
+    n1 = k + 1
+    while n1 < 4 * k:
+        empty = exp(-least / n1)
+        spread = sqrt(n1 * empty * max(0.0, 1 - empty * (1 + least / n1)))
+        if n1 * (1 - empty) - 4 * spread > k:
+            break
+        n1 += 1
+    return n1
+
+
+@lru_cache(maxsize=64)
+def _subsets(n: int, size: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), size)))
+
+
 @lru_cache(maxsize=4)
 def scheme(num: int, den: int) -> Scheme:
     return Scheme(num, den)
@@ -194,13 +194,13 @@ def sets(text: Column, width: int) -> Column:
 
 
 def candidate_groups(signs: DataFrame) -> DataFrame:
-    """(gid, node) of nodes that share a signature; signatures of the same nodes make one group."""
+    """(gid, node, least) of nodes that share a signature; signatures of the same nodes make one group."""
     w = Window.partitionBy("sig")
     shared = signs.select(
         "sig", "node",
-        F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), F.sum(F.col("node") % 1_000_003).over(w).alias("s"),
+        F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"), F.sum(F.col("node") % 1_000_003).over(w).alias("s"),
     )
-    return shared.where("lo < hi").select(F.xxhash64("lo", "hi", "s").alias("gid"), "node").distinct()
+    return shared.where("least < most").select(F.xxhash64("least", "most", "s").alias("gid"), "node", "least").distinct()
 
 
 def fetched_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -213,45 +213,90 @@ def fetched_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, width: i
     return written(exact.select(sets(F.col("text"), width).alias("s")).select("s.*").dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of nodes that link."""
-    a, b = (sets_.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    united = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(a, "a").join(b, "b").where(both * den >= united * num).select("a", "b")
+def units(groups: DataFrame) -> DataFrame:
+    """(unit, i, j, own, node): which blocks of which unit a node is verified in, and its own block there.
 
-
-def links(members: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
+    A unit is a cluster of groups or, if that has more than ``WIDE`` nodes, each of its groups.  Its nodes are dealt
+    to blocks of about ``BLOCK``, and every block meets every other one and itself.
+    """
+    root = components(groups.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = members.select("root", "node").distinct()
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    close = nodes.join(sizes.where(F.col("size") <= WIDE), "root").select(F.col("root").alias("unit"), "node", "size")
+    wide = members.join(sizes.where(F.col("size") > WIDE).select("root"), "root", "left_semi")
+    wide = wide.select(F.col("gid").alias("unit"), "node", F.count(F.lit(1)).over(Window.partitionBy("gid")).alias("size"))
+    n = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), n)
+    dealt = close.unionByName(wide).select("unit", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    return dealt.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+
+
+def forest(nodes: np.ndarray, own: np.ndarray, sets_: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what links connect among these sets, those within one of two blocks left to its own turn."""
+    flat = np.concatenate(sets_)
+    row = np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+    _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    common = seen > 1
+    place = np.cumsum(common) - 1
+    some = common[column]
+    row, column = row[some], place[column[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets_), len(sets_)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, int(common.sum()) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = np.zeros((len(sets_), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - k * COLUMNS] = 1
+        both += part @ part.T
+    size = np.array([len(x) for x in sets_])
+    linked = den * both.astype(np.int64) >= num * (size[:, None] + size[None, :] - both.astype(np.int64))
+    if own.min() != own.max():
+        linked &= own[:, None] != own[None, :]
+    parent = list(range(len(sets_)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(np.triu(linked, 1))):
+        x, y = find(int(a)), find(int(b))
+        if x != y:
+            parent[x] = y
+            out.append((int(nodes[a]), int(nodes[b])))
+    return out
+
+
+def links(groups: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect all nodes of one component of the join."""
-    found = None
-    groups = members
-    while True:
-        if found is None:
-            reps = groups.groupBy("gid").agg(F.min("node").alias("rep"))
-            pairs = groups.join(reps, "gid").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-            found = written(verified(pairs.distinct(), sets_, num, den))
-            groups = groups.join(reps, "gid").where("node <> rep").select("gid", "node")
-        else:
-            label = components(found)
-            degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            by_group = Window.partitionBy("gid")
-            open_ = (
-                groups.join(label, "node", "left").join(degree, "node", "left")
-                .withColumn("root", F.coalesce("root", "node"))
-                .withColumn("lo", F.min("root").over(by_group)).withColumn("hi", F.max("root").over(by_group))
-                .where("lo < hi")
-                .withColumn("rank", F.row_number().over(by_group.orderBy(F.desc_nulls_last("degree"), "node")))
-                .select("gid", "node", "root", "rank")
-            )
-            open_ = written(open_)
-            if open_.isEmpty():
-                return found
-            reps = open_.where(F.col("rank") <= REPRESENTATIVES).select(
-                "gid", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("rank").alias("b_rank")
-            )
-            pairs = open_.join(reps, "gid").where("rank > b_rank and root <> b_root").select(F.col("node").alias("a"), "b")
-            found = written(found.union(verified(pairs.distinct(), sets_, num, den)))
-            groups = open_.where(F.col("rank") > REPRESENTATIVES).select("gid", "node")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, own, held = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = forest(np.array(nodes), np.array(own), held, num, den) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("unit", "i", "j", "node", "own")))
+            shingle_lists = batch.column("shingles")
+            values, ends = shingle_lists.values.to_numpy(), shingle_lists.offsets.to_numpy()
+            for r, (unit, i, j, node, block) in enumerate(keys):
+                if (unit, i, j) != at:
+                    if len(nodes) > 1:
+                        yield found()
+                    at, nodes, own, held = (unit, i, j), [], [], []
+                nodes.append(node)
+                own.append(block)
+                held.append(values[ends[r] : ends[r + 1]].copy())
+        if len(nodes) > 1:
+            yield found()
+
+    dealt = units(groups).join(sets_, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return written(dealt.select("unit", "i", "j", "own", "node", "shingles").mapInArrow(verify, "a long, b long"))
 
 
 def labelled(docs: DataFrame, width: int, num: int, den: int, keep_signatures: bool) -> DataFrame:
