@@ -115,9 +115,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = texts.withColumns({"text_key": F.xxhash64("text"), "sketch": sketch(F.col("text"))})
     lengths = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("n_chars"))
     follow = written(next_documents(lengths.select("doc_id", "text_key")))
-    third = lengths.distinct().join(follow, ["doc_id", "text_key"]).select("next_id", "next_key", "doc_id", "text_key", F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
     # null ids take no part in an equi-join by name
     null_safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    own = lengths.distinct().select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
+    third = own.join(follow, null_safe("own_id", "doc_id") & null_safe("own_key", "text_key")).drop("own_id", "own_key")
     source = keyed.select(F.col("doc_id").alias("from_id"), F.col("text_key").alias("from_key"), "text", "sketch").dropDuplicates(["from_id", "from_key"])
     heads = source.join(third, null_safe("from_id", "next_id") & null_safe("from_key", "next_key")).select(
         F.col("doc_id").alias("to_id"), F.col("text_key").alias("to_key"), F.expr("substring(text, 1, third)").alias("head"), F.col("sketch").alias("next_sketch")

@@ -44,7 +44,7 @@ def tempered_targets(cells: DataFrame, dimensions: tuple[str, ...], temper: floa
     """For each dimension (value, share): the observed shares to a power, scaled to sum to 1."""
     out = {}
     for d in dimensions:
-        sums = cells.groupBy(d).agg(F.pow(F.sum("observed"), F.lit(temper)).alias("share"))
+        sums = cells.where("observed > 0").groupBy(d).agg(F.pow(F.sum("observed"), F.lit(temper)).alias("share"))
         whole = sums.agg(F.sum("share")).first()[0] or 1.0
         out[d] = sums.withColumn("share", F.col("share") / whole)
     return out
