@@ -132,6 +132,9 @@ def to_braille_strict(col: Column) -> Column:
     )
 
 
+SCRIPT_END = "\ufffe\uffff"
+
+
 def to_braille_lenient(col: Column) -> Column:
     """Grade-1 cells; unmapped characters pass through and white space stays."""
     x = R.text(col)
@@ -143,7 +146,10 @@ def to_braille_lenient(col: Column) -> Column:
         rf"(?=[^{LENIENT_SPACE}\p{{L}}]*\p{{L}}[^{LENIENT_SPACE}\p{{L}}]*\p{{L}})(?={ns}*?\p{{Lu}})"
     )
     t = F.regexp_replace(x, r"[0-9](?<![0-9^_].)[0-9]*+", C.NUMBER + "$0")
-    single = r"\p{Lu}(?<![\^_][0-9]{0,64}.)"
+    # a capital right after a script's digits, however many, carries no sign: two noncharacters mark it meanwhile
+    scripts = x.rlike(r"[\^_]")
+    t = F.when(scripts, F.regexp_replace(t, r"[\^_][0-9]*+(?=\p{Lu})", "$0" + SCRIPT_END)).otherwise(t)
+    single = rf"\p{{Lu}}(?<!{SCRIPT_END}.)"
     words = F.regexp_replace(
         F.regexp_replace(t, rf"{caps_word}{upper}++|{single}", C.CAPITAL + "$0"), caps_word, C.CAPITAL
     )
@@ -153,6 +159,7 @@ def to_braille_lenient(col: Column) -> Column:
         x.rlike(r"[\p{L}&&[^\p{Ll}\p{Lt}]][^\p{Ll}\p{Lt}\s]*[\p{L}&&[^\p{Ll}\p{Lt}]]")
     )
     t = F.when(may_have_words, words).otherwise(F.regexp_replace(t, single, C.CAPITAL + "$0"))
+    t = F.when(scripts, F.replace(t, F.lit(SCRIPT_END), F.lit(""))).otherwise(t)
     return _map_characters(
         t, {**C.letter_cells("lenient"), **C.DIGITS, **C.LENIENT_SYMBOLS}, probe=x
     )

@@ -75,7 +75,7 @@ def _lookup(key: Column) -> Column:
 def preserve_case(original: Column, repaired: Column) -> Column:
     """Give a lower-case repair the capitals of the word it replaces."""
     first = F.regexp_extract(original, r"\p{L}", 0)
-    capital = F.concat(tr_upper(F.substring(repaired, 1, 1)), F.substring(repaired, 2, 1_000_000))
+    capital = F.concat(tr_upper(F.substring(repaired, 1, 1)), F.substring(repaired, F.lit(2), F.length(repaired)))
     return (
         F.when(original.startswith(":") | (first == ""), repaired)
         .when(~original.rlike(r"\p{Ll}"), tr_upper(repaired))
@@ -164,7 +164,7 @@ def repair_colon_word(word: Column) -> Column:
     A reading in the dictionary wins at once (0.99); otherwise the first
     reading with the shape of a Turkish word does (0.93, or 0.88 with a colon).
     """
-    tail = lambda c: F.substring(c, F.length(_bare(c)) + 1, F.lit(1_000_000))
+    tail = lambda c: F.substring(c, F.length(_bare(c)) + 1, F.length(c))
 
     def rate(c: Column) -> Column:
         exact = F.concat(dictionary_repair(_bare(c)), tail(c))

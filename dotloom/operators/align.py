@@ -109,18 +109,14 @@ def highlight_tokens(df: DataFrame, text: str, is_math: Column) -> DataFrame:
     space = lambda t: t.rlike(r"^\s")
     kind = lambda t, m: F.when(space(t), "space").when(~m, "word").when(R.matches(t, MATH_OPERATOR), "operator").otherwise("math")
     x = df.withColumn("_m", is_math).withColumn("_t", toks)
-    # index of a token among the tokens that are not spaces, counted in place
-    shown = F.filter("_t", lambda t: ~space(t))
-    x = x.withColumn("_n", F.size(shown))
-    marks = F.transform("_t", lambda t: F.when(space(t), 0).otherwise(1))
-    run = F.aggregate(marks, F.array().cast("array<int>"), lambda a, m: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + m))
-    x = x.withColumn("_z", F.arrays_zip(F.col("_t").alias("t"), run.alias("k")))
-    e = x.select(*keep, "_m", "_n", F.posexplode("_z").alias("pos", "_z"))
-    t = F.col("_z.t")
-    return e.select(
-        *keep, "pos", t.alias("token"), kind(t, F.col("_m")).alias("kind"),
-        F.when(~space(t), F.col("_z.k") - 1).alias("token_index"), F.col("_n").alias("n_tokens"),
-    )
+    # a token's index is its place in the array of those that are not spaces
+    x = x.withColumn("_z", F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))))
+    x = x.withColumn("_shown", F.filter("_z", lambda z: ~space(z["token"])))
+    one = lambda z, k: F.struct(z["pos"].alias("pos"), z["token"].alias("token"), k.cast("int").alias("token_index"))
+    shown = F.transform("_shown", lambda z, k: one(z, k))
+    spaces = F.transform(F.filter("_z", lambda z: space(z["token"])), lambda z: one(z, F.lit(None)))
+    e = x.select(*keep, "_m", F.size("_shown").alias("n_tokens"), F.explode(F.concat(shown, spaces)).alias("_z"))
+    return e.select(*keep, "_z.pos", "_z.token", kind(F.col("_z.token"), F.col("_m")).alias("kind"), "_z.token_index", "n_tokens")
 
 
 def counterpart(index: Column, n: Column, m: Column) -> Column:

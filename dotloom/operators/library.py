@@ -173,11 +173,12 @@ def toggle_favorite(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataF
 
 def _bulk_target(df: DataFrame, ids: DataFrame, flag: str, key: str, by: str) -> DataFrame:
     """Per user: set the flag when any selected row lacks it, else clear it."""
-    target = (
-        df.select(key, by, flag).join(ids.select(key).distinct(), key, "left_semi")
-        .groupBy(by).agg(F.bool_or(~F.col(flag)).alias("_target"))
-    )
-    return _selected(df, ids, key).join(target, by, "left")
+    selected = df.select(key, by, flag).join(ids.select(key).distinct(), key, "left_semi")
+    target = selected.groupBy(by).agg(F.bool_or(~F.col(flag)).alias("_target"))
+    # the library itself is joined by key alone, so a user with many documents is no join key
+    marks = selected.join(target, by, "left").groupBy(key).agg(F.first("_target").alias("_target"))
+    marked = df.join(marks.withColumn("_sel", F.lit(True)), key, "left")
+    return marked.withColumn("_sel", F.coalesce("_sel", F.lit(False)))
 
 
 def bulk_favorite(df: DataFrame, ids: DataFrame, key: str = "doc_id", by: str = "user_id") -> DataFrame:
@@ -233,7 +234,7 @@ def default_display_name(email: Column) -> Column:
     local = F.when(local == "", "Library User").otherwise(local)
     pieces = F.regexp_extract_all(F.regexp_replace(local, "[._-]+", " "), F.lit(r"\w+|\W+"), 0)
     return F.array_join(
-        F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), ""
+        F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), ""
     )
 
 

@@ -128,7 +128,7 @@ def merged_line(current: Column, following: Column, tight: Column) -> Column:
     for end in "zmn":
         token = F.regexp_replace(token, rf"(aca|ece)g([ıiuü]){end}\z", f"$1ğ$2{end}")
     prefix = F.substring(a, F.lit(1), F.length(F.regexp_replace(a, r"\p{L}+-?\z", "")))
-    close = F.concat(prefix, token, F.substring(b, F.length(first) + 1, F.lit(1_000_000)))
+    close = F.concat(prefix, token, F.substring(b, F.length(first) + 1, F.length(b)))
     return R.strip(F.regexp_replace(F.when(tight, close).otherwise(F.concat(a, F.lit(" "), b)), r"\s+", " "))
 
 

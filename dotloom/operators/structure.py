@@ -401,7 +401,7 @@ def example_parts(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     s = s.withColumn("_parts", F.filter("_parts", lambda p: R.strip(p) != ""))
     x = s.select(key, "parent_id", "title", F.posexplode_outer("_parts").alias("ord", "_p"))
     item = F.coalesce(F.col("_p").rlike(r"^\([a-zA-Z]\)"), F.lit(False))
-    body = R.strip(F.regexp_replace(F.when(item, F.substring("_p", 4, 1_000_000)).otherwise(R.text("_p")), r"\s+", " "))
+    body = R.strip(F.regexp_replace(F.when(item, F.substring(F.col("_p"), F.lit(4), F.length("_p"))).otherwise(R.text("_p")), r"\s+", " "))
     return x.select(
         key, "parent_id", "title", F.coalesce("ord", F.lit(0)).alias("ord"),
         F.when(item, "item").otherwise("prompt").alias("part"),

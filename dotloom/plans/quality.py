@@ -69,13 +69,13 @@ def _(spark, sf):
     return marked_docs(spark, sf).select("doc_id", Q.math_quality_score(F.col("text")).alias("score"))
 
 
-_SPACED = "(CASE WHEN doc_id % 2 = 1 THEN trim(regexp_replace(substr(text, 1, 400), '([a-zA-Z])', '\\1 ', 'g')) ELSE concat('lim x→c f(x) = L ', text) END)"
+_SPACED = "(CASE WHEN doc_id % 2 = 1 THEN trim(regexp_replace(text, '([a-zA-Z])', '\\1 ', 'g')) ELSE concat('lim x→c f(x) = L ', text) END)"
 
 
 def candidates(spark, sf):
     """Two readings of every page: the text, and one with spaced or prefixed letters."""
     d = table(spark, sf, "documents")
-    spaced = F.trim(F.regexp_replace(F.substring("text", 1, 400), "([a-zA-Z])", "$1 "))
+    spaced = F.trim(F.regexp_replace(F.col("text"), "([a-zA-Z])", "$1 "))
     b = F.when(F.col("doc_id") % 2 == 1, spaced).otherwise(F.concat(F.lit("lim x→c f(x) = L "), F.col("text")))
     return d.select("doc_id", F.col("text").alias("text_a"), b.alias("text_b"))
 

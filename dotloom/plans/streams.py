@@ -16,9 +16,13 @@ from .views import library_docs
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster; a local one only in tests."""
+    """A fresh folder below the shared checkpoint folder of the cluster; a local one only with a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 @catalog.add("streamed_conversions", "L1 A8")
@@ -31,7 +35,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return J.read_events(spark, sf, "events.parquet")
+    return J.read_events(spark, f"{sf}/events.parquet")
 
 
 def _windows(spark: SparkSession, sf: str, slide: str | None, size: str) -> DataFrame:

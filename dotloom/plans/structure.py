@@ -505,12 +505,16 @@ def _(spark, sf):
 
 @catalog.add("highlight_tokens", "J5", with_views(f"""WITH ht AS (SELECT doc_id, line_no, {D.matches('text', A.MATH_TEXT)} AS m, CASE WHEN {D.matches('text', A.MATH_TEXT)} THEN {D.extract_all('text', A.MATH_TOKENS)} ELSE regexp_extract_all(text, '\\s+|[^\\s]+') END AS ts FROM marked_lines),
  hu AS (SELECT doc_id, line_no, m, CAST(generate_subscripts(ts, 1) - 1 AS INT) AS pos, unnest(ts) AS token FROM ht), hv AS (SELECT *, {_kind_sql('token', 'm')} AS kind FROM hu)
-SELECT kind, token, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM hv WHERE kind <> 'word' GROUP BY kind, token""", "marked_docs", "marked_lines"))
+, hw AS (SELECT *, count(*) FILTER (kind <> 'space') OVER (PARTITION BY doc_id, line_no) AS n_tokens,
+  CASE WHEN kind <> 'space' THEN count(*) FILTER (kind <> 'space') OVER (PARTITION BY doc_id, line_no ORDER BY pos) - 1 END AS token_index FROM hv)
+SELECT kind, token, count(*) AS uses, count(DISTINCT doc_id) AS documents, CAST(sum(pos) AS BIGINT) AS positions, CAST(sum(token_index) AS BIGINT) AS indices, CAST(sum(n_tokens) AS BIGINT) AS among
+FROM hw GROUP BY kind, token""", "marked_docs", "marked_lines"))
 def _(spark, sf):
     l = marked_lines(spark, sf).select("doc_id", "line_no", "text")
-    t = A.highlight_tokens(l, "text", A.is_math_text(F.col("text"))).filter("kind <> 'word'")
-    per_doc = t.groupBy("kind", "token", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("kind", "token").agg(F.sum("n").alias("uses"), F.count("*").alias("documents"))
+    t = A.highlight_tokens(l, "text", A.is_math_text(F.col("text")))
+    sums = {"positions": "pos", "indices": "token_index", "among": "n_tokens"}
+    per_doc = t.groupBy("kind", "token", "doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(a) for a, c in sums.items()))
+    return per_doc.groupBy("kind", "token").agg(F.sum("n").alias("uses"), F.count("*").alias("documents"), *(F.sum(a).alias(a) for a in sums))
 
 
 @catalog.add("interaction_keys", "J6", with_views(f"""WITH {_TOK} SELECT p_partkey, side, pos, CASE WHEN token_index IS NULL THEN concat(p_partkey, '::', side, '::seg::space::', pos) ELSE concat(p_partkey, '::', side, '::seg::token::', token_index, '::', pos) END AS token_key,

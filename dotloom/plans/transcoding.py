@@ -169,10 +169,10 @@ def _(spark, sf):
 @catalog.add("math_token_usage", "C7", f"""
 SELECT type, value, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM (
  SELECT doc_id, {token_type_sql('t')} AS type, {token_value_sql('t')} AS value FROM (
-  SELECT doc_id, unnest({raw_tokens_sql('text')}) AS t FROM documents)) WHERE type <> 'VARIABLE' GROUP BY type, value""")
+  SELECT doc_id, unnest({raw_tokens_sql('text')}) AS t FROM documents)) GROUP BY type, value""")
 def _(spark, sf):
     toks = T.math_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    per_doc = toks.filter("type <> 'VARIABLE'").groupBy("type", "value", "doc_id").agg(F.count("*").alias("n"))
+    per_doc = toks.groupBy("type", "value", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("type", "value").agg(F.sum("n").alias("uses"), F.count("*").alias("documents"))
 
 

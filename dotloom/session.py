@@ -16,6 +16,8 @@ def local_session(app: str = "dotloom", cpus: str | int = 8, shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # as many splits as cores from small tables
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", os.environ.get("DOTLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()

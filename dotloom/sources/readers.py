@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.graphs import read_graph_payloads
 
 __all__ = [
-    "spread", "read_text_documents", "read_golden_tsv", "read_layout_items", "read_graph_payloads", "explode_layout_items",
+    "read_text_documents", "read_golden_tsv", "read_layout_items", "read_graph_payloads", "explode_layout_items",
 ]
 
 GOLDEN_SCHEMA = "case_id string, expression string, expected_tokens string, expected_ast string, expected_cells string"
@@ -17,16 +17,6 @@ LAYOUT_SCHEMA = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a scan yields fewer splits than cores.
-
-    A large input has more splits than cores and is returned as it is, so the
-    extra exchange only ever happens on small inputs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: file_name, original_text, source_type."""
     raw = spark.read.text(path, wholetext=True)

@@ -7,6 +7,7 @@ a cluster lie in shared storage.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,8 +54,10 @@ def running_quota(events: DataFrame, limit: int = L.DOCUMENT_LIMIT) -> DataFrame
     return n.select("*", *L.quota_columns(F.col("documents"), limit))
 
 
-def read_events(spark: SparkSession, src_dir: str, files: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", files).parquet(src_dir)
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Stream over a table of events, one file or a folder of part files."""
+    # a source takes a plain path for a folder, but a pattern for whatever matches it
+    return spark.readStream.schema(EVENT_SCHEMA).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(df: DataFrame, base: str, mode: str = "update") -> DataFrame:
@@ -62,7 +65,7 @@ def drain(df: DataFrame, base: str, mode: str = "update") -> DataFrame:
 
     Every micro-batch is written to its own folder below ``base``, so a batch
     that is run again after a failure replaces its earlier output.  The result
-    carries the ``batch`` that emitted a row.
+    carries the ``batch`` that emitted a row; a stream that emitted nothing gives an empty one.
     """
 
     def save(rows: DataFrame, batch: int) -> None:
@@ -73,7 +76,12 @@ def drain(df: DataFrame, base: str, mode: str = "update") -> DataFrame:
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return df.sparkSession.read.parquet(f"{base}/result")
+    try:
+        return df.sparkSession.read.parquet(f"{base}/result")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return df.sparkSession.createDataFrame([], df.schema.add("batch", "int"))
 
 
 def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:
