@@ -17,6 +17,7 @@ from ..functions import regex as R
 from ..functions import text as B
 from ..functions import transcode as X
 from ..functions import wordrepair as WR
+from . import language as LO
 from . import repair as RP
 from .transcoding import PAGE_MARKER, convert_text, stored_pages
 
@@ -262,6 +263,26 @@ def split_pages(df: DataFrame, text: str = "text", marker: str = PAGE_MARKER) ->
     return _explode_pages(df, text, stored_pages(F.col(text), marker))
 
 
+def stored_or_new_pages(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type", marker: str = PAGE_MARKER
+) -> DataFrame:
+    """Stored text -> page rows (key, page_no, page).
+
+    With markers, pages are cut there, and words hyphenated over the page ends of a PDF text are completed; without,
+    a PDF text stays one page and any other is paginated by the structure that is detected in it.
+    """
+    x = df.select(key, source_type, R.strip(R.text(text)).alias("_t"))
+    blocks = classify_blocks(split_blocks(split_lines(x.select(key, source_type, F.col("_t").alias("text"))), key), key, source_type)
+    mode = document_structure_mode(blocks, key).select(key, "mode")
+    kept = F.col("_t").contains(marker) | (F.col(source_type) == "pdf")
+    pages = F.when(kept, stored_pages(F.col("_t"), marker)).otherwise(paginate(F.col("_t"), F.col("mode")))
+    cut = x.join(mode, key, "left").filter("_t <> ''").select(key, source_type, pages.alias("_ps"))
+    rows = _explode_pages(cut, "_ps", F.col("_ps"))
+    pdf = F.coalesce(F.col(source_type) == "pdf", F.lit(False))
+    repaired = RP.repair_page_breaks(rows.filter(pdf), key, "page_no", "page").select(*rows.columns)
+    return rows.filter(~pdf).unionByName(repaired).drop(source_type)
+
+
 def join_pages(pages: DataFrame, key: str = "doc_id", page: str = "page", marker: str = PAGE_MARKER) -> DataFrame:
     """Page rows -> stored text."""
     g = pages.filter(R.strip(R.text(page)) != "").groupBy(key).agg(
@@ -547,9 +568,10 @@ def normalize_review_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def process_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type") -> DataFrame:
-    """Repair, structure, improve, detect language and paginate a corpus.
+    """Repair, structure, improve and paginate a corpus.
 
-    One row per page with the document's mode, language and score.
+    One row per page, with the page's own structure mode and language and the document's.  A document's language is
+    that of its blocks, and of its whole text only where the blocks don't tell.
     """
     fixed = WR.repair_text(F.col(text))
     d = df.select(key, source_type, fixed.alias("_f"))
@@ -559,10 +581,20 @@ def process_documents(df: DataFrame, key: str = "doc_id", text: str = "text", so
     d = d.withColumn("_r", Q.readability(F.col("text"), F.col(source_type))).select(
         key, source_type, F.col("_r.improved").alias("text"), F.col("_r.score").alias("readability")
     )
-    d = rebuild_text(d, key, "text", source_type)
-    d = d.withColumn("_l", L.detect_language(L.language_scores(F.col("clean_text"))))
+    blocks = classify_blocks(split_blocks(split_lines(d.select(key, source_type, "text")), key), key, source_type)
+    spoken = blocks.withColumn("_l", L.detect_language(L.language_scores(F.array_join("lines", "\n"))))
+    by_blocks = LO.detect_language_by_blocks(spoken.select(key, "block_no", "_l.language", "_l.confidence"), key)
+    d = rebuild_text(d, key, "text", source_type).join(by_blocks.select(key, F.col("language").alias("_blocks")), key, "left")
+    whole = L.detect_language(L.language_scores(F.col("clean_text")))["language"]
+    told = F.when(F.coalesce("_blocks", F.lit("unknown")) != "unknown", F.col("_blocks")).otherwise(whole)
     pages = d.select(
-        key, "mode", "readability", F.col("_l.language").alias("language"),
+        key, source_type, F.col("mode").alias("document_mode"), "readability", told.alias("document_language"),
         F.posexplode(paginate(F.col("clean_text"), F.col("mode"))).alias("_p", "page"),
-    )
-    return pages.select(key, (F.col("_p") + 1).alias("page_no"), "page", "mode", "language", "readability")
+    ).withColumn("_k", F.struct(key, F.col("_p")))
+    page_blocks = classify_blocks(split_blocks(split_lines(pages.select("_k", source_type, F.col("page").alias("text"))), "_k"), "_k", source_type)
+    modes = document_structure_mode(page_blocks, "_k").select("_k", "mode")
+    return pages.join(modes, "_k", "left").select(
+        key, (F.col("_p") + 1).alias("page_no"), "page", F.coalesce("mode", F.lit("plain_prose")).alias("mode"),
+        L.detect_language(L.language_scores(F.col("page")))["language"].alias("language"),
+        "document_mode", "document_language", "readability",
+    )

@@ -126,6 +126,13 @@ def _(spark, sf):
     return S.split_pages(_stored(spark, sf))
 
 
+@catalog.add("stored_or_new_pages", "D8")
+def _(spark, sf):
+    kind = F.element_at(F.array(F.lit("manual"), F.lit("pdf"), F.lit("manual")), (F.col("doc_id") % 3 + 1).cast("int"))
+    marked = _stored(spark, sf).withColumn("source_type", kind)
+    return S.stored_or_new_pages(marked.unionByName(marked_docs(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text", "source_type")))
+
+
 @catalog.add("stripped_markers", "D8", with_views(f"WITH {_STORED} SELECT doc_id, replace(stored, '{chr(10)}{T.PAGE_MARKER}{chr(10)}', chr(10) || chr(10)) AS text FROM st", "paragraph_docs"))
 def _(spark, sf):
     return _stored(spark, sf).select("doc_id", S.strip_markers(F.col("text")).alias("text"))
