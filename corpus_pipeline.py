@@ -6,6 +6,8 @@ and read again.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +18,30 @@ from dotloom.llm.common import table, written
 LEAST_SCORE = 0.5
 
 
+def _without_replacing(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` on ``docs``, whose own columns of ``names``, which it would replace, come back as they were."""
+    own = {f"_own_{k}": c for k, c in enumerate(docs.columns) if c.lower() in names}
+    aside = docs.withColumnsRenamed({c: k for k, c in own.items()})
+    return stage(aside).drop(*names).withColumnsRenamed(own).select(*docs.columns)
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; text without a letter is rejected."""
     labelled = docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text")
-    # under names of their own, since documents may have a column score
     told = docs.withColumn("_told", langid.predicted(F.col("text"), langid.train(labelled), spark))
     return told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= LEAST_SCORE)).drop("_told")
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which nothing is left go.  n_chars follows the text."""
-    kept = linededup.dedup(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+
+    def stage(docs: DataFrame) -> DataFrame:
+        kept = linededup.dedup(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+        if "n_chars" in docs.columns:
+            kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return kept
+
+    return _without_replacing(docs, ("n_lines", "n_removed"), stage)
 
 
 def near_duplicates_dropped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +51,8 @@ def near_duplicates_dropped(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of documents whose tokens meet the target shares of sources, languages and topics."""
-    return mixing.mixed_sample(mixing.described(docs)).select(*docs.columns)
+    names = ("topic", "n_tokens", "ratio", "probability")
+    return _without_replacing(docs, names, lambda d: mixing.mixed_sample(mixing.described(d)))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,8 +163,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     stays or not.  Lines of fewer than ``min_chars`` characters stay.  Rows that repeat both doc_id and text are one
     document and are treated alike.  Null and empty text becomes the empty text.  An empty table stays empty.
     """
-    docs = docs.withColumn("text", text_of()).withColumn("text_key", F.xxhash64("text"))
-    found = line_rows(docs, min_chars)
+    keyed = docs.select("doc_id", text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
+    found = line_rows(keyed, min_chars)
     stored = written(found.select("at", "h", "c", halves(F.col("line")).alias("halves")))
     wanted = written(shared(stored.select("h", "c", F.explode("halves").alias("key"))))
     distinct = stored.groupBy("h", "c").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
@@ -176,13 +176,14 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = (
         stored.select("at", "h", "c").join(decided.select("h", "c", F.col("at").alias("first"), "near"), ["h", "c"])
         .where("near or at <> first")
-        .groupBy(F.col("at.doc").alias("doc"), F.col("at.text_key").alias("text_key")).agg(F.collect_set("at.line_no").alias("gone"))
+        .groupBy(F.col("at.doc").alias("_ld_doc"), F.col("at.text_key").alias("_ld_key")).agg(F.collect_set("at.line_no").alias("_ld_gone"))
     )
     lines = F.split("text", "\n")
-    gone_lines = F.coalesce("gone", F.array().cast("array<int>"))
+    gone_lines = F.coalesce("_ld_gone", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(gone_lines, i))
+    own = {"text": text_of(), "_ld_doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "_ld_key": F.xxhash64(text_of())}
     return (
-        docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).join(gone, ["doc", "text_key"], "left")
+        docs.withColumns(own).join(gone, ["_ld_doc", "_ld_key"], "left")
         .withColumns({"n_lines": F.size(lines), "n_removed": F.size(gone_lines), "text": F.array_join(kept, "\n")})
-        .drop("doc", "text_key", "gone")
+        .drop("_ld_doc", "_ld_key", "_ld_gone")
     )

@@ -44,10 +44,12 @@ def test_stages_follow_each_other(spark):
 def test_odd_rows(spark):
     rows = [(1, None, "en", "a"), (2, "", None, None), (3, "12 34", "en", "a"), (4, "some words in english here", "en", "a"),
             (4, "some words in english here", "en", "a"), (None, "des mots en français ici même", "fr", "b"), (5, "x " * 9000, None, "a")]
-    docs = spark.createDataFrame([(*r, len(r[1] or ""), 0.1, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens long")
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 0.1, 7, "x", "y") for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens long, doc string, Ratio string")
     for name, f in corpus_pipeline.STAGES[:-1]:
         own = f(spark, docs, SF_DIR)
         assert own.columns == docs.columns and own.count() <= len(rows), name
+        assert {(r.score, r.n_tokens, r.doc, r.Ratio) for r in own.collect()} <= {(0.1, 7, "x", "y")}, name
         assert f(spark, docs.limit(0), SF_DIR).count() == 0, name
     assert sorted(r.doc_id or 0 for r in stage("language")(spark, docs, SF_DIR).collect()) == [0, 4, 4, 5]
     assert sorted(r.doc_id or 0 for r in stage("near_duplicates")(spark, docs, SF_DIR).collect()) == [0, 1, 2, 3, 4, 5]
