@@ -58,18 +58,14 @@ def align_paragraphs(df: DataFrame, key: str = "doc_id", original: str = "text",
 
 def align_words(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Word pairs by position inside every aligned row, padded, with a running index."""
-    cut = lambda c: R.words(R.text(c))
-    w = lambda c, name: rows.select(key, "row_no", F.posexplode(cut(c)).alias("pos", name))
-    pairs = w("original", "original").join(w("braille", "cells"), [key, "row_no", "pos"], "full_outer")
-    blank = rows.filter((R.strip(R.text("original")) == "") & (R.strip(R.text("braille")) == "")).select(
-        key, "row_no", F.lit(0).alias("pos"), F.lit("").alias("original"), F.lit("").alias("cells")
-    )
-    every = pairs.unionByName(blank)
+    cut = rows.select(key, "row_no", R.words(R.text("original")).alias("_a"), R.words(R.text("braille")).alias("_b"))
+    # a row without words on either side is one pair of nothing
+    n = F.greatest(F.size("_a"), F.size("_b"), F.lit(1))
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at("_a", i).alias("original"), at("_b", i).alias("cells")))
+    every = cut.select(key, "row_no", F.posexplode(pairs).alias("pos", "_w"))
     order = Window.partitionBy(key).orderBy("row_no", "pos")
-    return every.select(
-        key, "row_no", "pos", F.coalesce("original", F.lit("")).alias("original"), F.coalesce("cells", F.lit("")).alias("cells"),
-        (F.row_number().over(order) - 1).alias("word_index"),
-    )
+    return every.select(key, "row_no", "pos", "_w.original", "_w.cells", (F.row_number().over(order) - 1).alias("word_index"))
 
 
 def attach_braille(blocks: DataFrame, stored: DataFrame, key: str = "doc_id", braille: str = "braille") -> DataFrame:
@@ -102,11 +98,19 @@ def is_math_text(col: Column) -> Column:
     return R.matches(R.text(col), MATH_TEXT)
 
 
+def _tokens(text: Column, is_math: Column) -> Column:
+    return F.when(is_math, R.extract_all(R.text(text), MATH_TOKENS)).otherwise(R.extract_all(R.text(text), r"\s+|[^\s]+"))
+
+
+def _is_space(token: Column) -> Column:
+    return token.rlike(r"^\s")
+
+
 def highlight_tokens(df: DataFrame, text: str, is_math: Column) -> DataFrame:
     """Text -> rows (pos, token, kind, token_index); spaces carry no index."""
     keep = [c for c in df.columns if c != text]
-    toks = F.when(is_math, R.extract_all(R.text(text), MATH_TOKENS)).otherwise(R.extract_all(R.text(text), r"\s+|[^\s]+"))
-    space = lambda t: t.rlike(r"^\s")
+    toks = _tokens(F.col(text), is_math)
+    space = _is_space
     kind = lambda t, m: F.when(space(t), "space").when(~m, "word").when(R.matches(t, MATH_OPERATOR), "operator").otherwise("math")
     x = df.withColumn("_m", is_math).withColumn("_t", toks)
     # a token's index is its place in the array of those that are not spaces
@@ -126,16 +130,15 @@ def counterpart(index: Column, n: Column, m: Column) -> Column:
 
 def align_tokens(df: DataFrame, key: str, original: str, braille: str) -> DataFrame:
     """Token rows of both sides with the index of their counterpart."""
-    math_o = is_math_text(F.col(original))
-    o = highlight_tokens(df.select(key, original), original, math_o).withColumn("side", F.lit("original"))
-    sides = df.select(key, F.col(original).alias("_o"), F.col(braille).alias("_b"))
-    math_b = is_math_text(F.col("_o")) | is_math_text(F.col("_b"))
-    b = highlight_tokens(sides, "_b", math_b).drop("_o").withColumn("side", F.lit("braille"))
-    w = Window.partitionBy(key)
+    sides = df.select(key, F.col(original).alias("_o"), F.col(braille).alias("_b"), is_math_text(F.col(original)).alias("_mo"))
+    sides = sides.withColumn("_mb", F.col("_mo") | is_math_text(F.col("_b")))
+    # both counts are known in the row, before its tokens are rows
+    count = lambda text, is_math: F.size(F.filter(_tokens(F.col(text), F.col(is_math)), lambda t: ~_is_space(t)))
+    sides = sides.withColumns({"_no": count("_o", "_mo"), "_nb": count("_b", "_mb")})
+    o = highlight_tokens(sides.drop("_b", "_mb"), "_o", F.col("_mo")).withColumn("side", F.lit("original")).drop("_mo")
+    b = highlight_tokens(sides.drop("_o", "_mo"), "_b", F.col("_mb")).withColumn("side", F.lit("braille")).drop("_mb")
     x = o.unionByName(b)
-    x = x.withColumn("_no", F.max(F.when(F.col("side") == "original", F.col("n_tokens"))).over(w))
-    x = x.withColumn("_nb", F.max(F.when(F.col("side") == "braille", F.col("n_tokens"))).over(w))
-    n, m = F.coalesce("_no", F.lit(0)), F.coalesce("_nb", F.lit(0))
+    n, m = F.col("_no"), F.col("_nb")
     other = F.when(F.col("side") == "original", counterpart(F.col("token_index"), n, m)).otherwise(counterpart(F.col("token_index"), m, n))
     return x.select(key, "side", "pos", "token", "kind", "token_index", other.alias("counterpart_index"), (n != m).alias("degraded"))
 

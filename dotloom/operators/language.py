@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import language as L
+from ..functions import regex as R
 
 
 def with_language(df: DataFrame, text: str = "text") -> DataFrame:
@@ -45,31 +46,42 @@ def language_confusion(df: DataFrame, labelled: str = "lang", text: str = "text"
 def top_keywords(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """The k most frequent keywords of each document, first seen wins ties.
 
-    The texts are hash-partitioned by document once; counting and ranking then
-    reuse that partitioning, so the much larger token table never moves.
+    Counted inside the row, so neither texts nor tokens move: equal tokens are neighbours once sorted, a run's
+    length is its count, and its first member has the first position.
     """
-    tokens = df.select(key, text).repartition(F.col(key)).select(
-        key, F.posexplode(L.keyword_tokens(F.col(text))).alias("pos", "token")
-    )
-    stop = df.sparkSession.createDataFrame([(w,) for w in L.KEYWORD_STOP_WORDS], "token string")
-    kept = tokens.join(F.broadcast(stop), "token", "left_anti")
-    counts = kept.groupBy(key, "token").agg(F.count("*").alias("uses"), F.min("pos").alias("first_pos"))
-    w = Window.partitionBy(key).orderBy(F.desc("uses"), "first_pos")
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        key, "rank", "token", "uses"
+    return df.select(key, F.posexplode(keywords(F.col(text), k)).alias("_r", "_k")).select(
+        key, (F.col("_r") + 1).alias("rank"), "_k.token", "_k.uses"
     )
 
 
+def keywords(text: Column, k: int = 3) -> Column:
+    """Array of struct(token, uses): the k most frequent keywords of a text, in order."""
+    placed = F.transform(L.keyword_tokens(text), lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
+    ordered = F.sort_array(F.filter(placed, lambda x: ~x["token"].isin(list(L.KEYWORD_STOP_WORDS))))
+
+    def first(s: Column, i: Column) -> Column:
+        return (i == 0) | (F.get(s, i)["token"] != F.get(s, i - 1)["token"])
+
+    def counted(s: Column, starts: Column) -> Column:
+        runs = F.transform(
+            starts,
+            lambda b, j: F.struct(
+                (b - F.coalesce(F.get(starts, j + 1), F.size(s))).alias("fewer"), F.get(s, b)["pos"].alias("pos"), F.get(s, b)["token"].alias("token")
+            ),
+        )
+        return F.transform(F.slice(F.sort_array(runs), 1, k), lambda r: F.struct(r["token"].alias("token"), (-r["fewer"]).cast("long").alias("uses")))
+
+    none = F.array().cast("array<int>")
+    places = lambda s: F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: first(s, i))).otherwise(none)
+    return R.let(ordered, lambda s: R.let(places(s), lambda starts: counted(s, starts)))
+
+
 def suggest_tags(df: DataFrame, key: str = "doc_id", text: str = "text", user_tags: str | None = None) -> DataFrame:
     """Suggested tags per document; needs source_type and mode columns."""
-    words = top_keywords(df, key, text).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("_k")
-    )
-    base = df.join(words, key, "left")
-    return base.select(
+    return df.select(
         key,
         L.seed_tags(
-            F.col(text), F.col("source_type"), F.col("mode"), F.transform("_k", lambda s: s["token"]),
+            F.col(text), F.col("source_type"), F.col("mode"), F.transform(keywords(F.col(text)), lambda s: s["token"]),
             None if user_tags is None else F.col(user_tags),
         ).alias("tags"),
     )
