@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dotloom.llm.common import written
@@ -11,21 +11,22 @@ from dotloom.llm.common import written
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the least node around it."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-    return both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of these.  Edges run from larger to smaller."""
-    with_least = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    moved = with_least.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b) that isn't the least of its component, its root.
 
-    Loops and repeated links do no harm.  A hub's neighbours are never gathered: only minima are taken.
+    Loops and repeated links do no harm.  A hub's neighbours are never gathered: their minimum is aggregated before
+    the exchange, and the join that spreads it can be split.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
