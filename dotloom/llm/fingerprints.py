@@ -87,20 +87,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """(doc_id, text_key, next_id, next_key): each key's follower in descending order, the first after the last.
+    """``keys`` (doc_id, id_key, text_key, distinct) with next_id_key and next_text_key: each key's follower.
 
-    Keys are dealt out by range; only the first key of each range meets that of the next one.
+    The order is descending, null ids last, and the first follows the last.  Keys are dealt out by range; only the
+    first key of each range meets that of the next one.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc("text_key")]
-    dealt = written(keys.distinct().repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    dealt = written(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
     in_range = Window.partitionBy("range").orderBy(*order)
-    key = F.struct("doc_id", "text_key")
+    key = F.struct("id_key", "text_key")
     followed = dealt.withColumn("follower", F.lead(key).over(in_range)).withColumn("at", F.row_number().over(in_range))
     heads = followed.where("at = 1").select("range", key.alias("head"))
     ranges = Window.orderBy("range")  # one row for each range
     after = heads.withColumn("after", F.coalesce(F.lead("head").over(ranges), F.first("head").over(ranges))).select("range", "after")
-    found = followed.join(after, "range").withColumn("follower", F.coalesce("follower", "after"))
-    return found.select("doc_id", "text_key", F.col("follower.doc_id").alias("next_id"), F.col("follower.text_key").alias("next_key"))
+    found = followed.join(after, "range").withColumn("follower", F.coalesce("follower", "after")).drop("range", "at", "after")
+    return found.withColumns({"next_id_key": F.col("follower.id_key"), "next_text_key": F.col("follower.text_key")}).drop("follower")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,18 +113,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     documents with the same id follow each other by a hash of their text.  Extra columns are not looked at.
     """
     texts = docs.select("doc_id", text_of().alias("text"))
-    keyed = texts.withColumns({"text_key": F.xxhash64("text"), "sketch": sketch(F.col("text"))})
-    lengths = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("n_chars"))
-    follow = written(next_documents(lengths.select("doc_id", "text_key")))
-    # null ids take no part in an equi-join by name
-    null_safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    own = lengths.distinct().select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
-    third = own.join(follow, null_safe("own_id", "doc_id") & null_safe("own_key", "text_key")).drop("own_id", "own_key")
-    source = keyed.select(F.col("doc_id").alias("from_id"), F.col("text_key").alias("from_key"), "text", "sketch").dropDuplicates(["from_id", "from_key"])
-    heads = source.join(third, null_safe("from_id", "next_id") & null_safe("from_key", "next_key")).select(
-        F.col("doc_id").alias("to_id"), F.col("text_key").alias("to_key"), F.expr("substring(text, 1, third)").alias("head"), F.col("sketch").alias("next_sketch")
-    )
-    met = keyed.join(heads, null_safe("doc_id", "to_id") & null_safe("text_key", "to_key"))
+    # a key that is never null, for joins by name
+    keys = {"id_key": F.coalesce("doc_id", F.lit(0)), "text_key": F.xxhash64("text", F.isnull("doc_id"))}
+    lengths = texts.select("doc_id", keys["id_key"].alias("id_key"), keys["text_key"].alias("text_key"), F.length("text").alias("n_chars"))
+    follow = written(next_documents(lengths.distinct()))
+    # texts take part in both joins by the same key and columns, so they are exchanged once
+    keyed = texts.select(keys["id_key"].alias("id_key"), keys["text_key"].alias("text_key"), "text", sketch(F.col("text")).alias("sketch"))
+    by_next = follow.select(
+        "doc_id", F.col("id_key").alias("own_id_key"), F.col("text_key").alias("own_text_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("third"),
+        F.col("next_id_key").alias("id_key"), F.col("next_text_key").alias("text_key"),
+    )
+    heads = keyed.join(by_next, ["id_key", "text_key"]).select(
+        "doc_id", F.col("own_id_key").alias("id_key"), F.col("own_text_key").alias("text_key"),
+        F.expr("substring(text, 1, third)").alias("head"), F.col("sketch").alias("next_sketch"),
+    )
+    met = keyed.join(heads.dropDuplicates(["id_key", "text_key"]), ["id_key", "text_key"])
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
     done = met.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited")).withColumn("edited_sketch", sketch(F.col("edited")))
