@@ -29,7 +29,7 @@ from dotloom.llm.common import probably_in, text_of, written
 from dotloom.llm.components import components
 
 U = np.uint64
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 BLOCK = 512  # nodes in a block of a unit, about
 WIDE = 64 * BLOCK  # nodes of a cluster that is verified as a whole
 COLUMNS = 4096  # shingles whose incidence a block holds at a time
