@@ -5,7 +5,9 @@ that follows their frequency in the whole corpus.  Those whose share among toxic
 keep their log-odds as score; every other word costs ``DRIFT``.  A linear scan finds all maximal segments of a
 document, each of which no extension or shortening improves.  The best score of n random words follows an
 extreme-value law, P(best >= s) = 1 - exp(-K n exp(-L s)): L comes from the scores' frequencies in clean documents,
-K from the segments found there.  A logistic curve over the resulting expectation gives the document's score.
+K from the segments found there.  All segments that count for more than chance are combined by the laws of the r-th
+best and of the sum of the r best ones (Karlin and Altschul), at the r that is least likely.  A logistic curve over that and the number
+of significant passages gives the document's score.
 
 All counts are Spark aggregates over all documents.  The driver sees the lexicon (at most ``LEXICON`` entries) and
 a histogram.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log, log10
+from math import exp, lgamma, log, log2
 from uuid import uuid4
 
 import numpy as np
@@ -128,18 +130,33 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Model:
     def __init__(self, scores: dict[str, float], rate: float):
         self.scores, self.rate, self.key = scores, rate, uuid4().hex
-        self.k, self.slope, self.offset = 1.0, 1.0, -1.0
+        self.k, self.slopes, self.offset = 1.0, (1.0, 0.0), -1.0
 
     def expectation(self, n: int, s: float) -> float:
         """How many segments of at least this score are expected in n words of clean text."""
         return self.k * n * exp(-self.rate * s)
 
-    def evidence(self, n: int, s: float) -> float:
-        """What the logistic curve runs over: decimal exponent of the expectation, negated; 0 without a segment."""
-        return min(60.0, max(0.0, -log10(max(self.expectation(n, s), 1e-300)))) if s > 0 else 0.0
-
-    def probability(self, n: int, s: float) -> float:
-        return 1 / (1 + exp(-max(-700.0, min(700.0, self.slope * self.evidence(n, s) + self.offset))))
+    def evidence(self, n: int, found: list[float]) -> tuple[float, float]:
+        """What the logistic curve runs over, from the scores of all segments of n words.
+
+        First the decimal exponent, negated, of the chance that clean text has the r best segments: that so many reach
+        the r-th, at most e^r / r! for its expectation e, or that they sum to that much, exp(-t) t^(r-1) / (r! (r-1)!)
+        for a large normalised sum t.  r is the one of the least chance, which counts 2^(r-1) times since r was chosen.
+        Segments of an expectation of 1 or more add nothing.  Second the binary logarithm of 1 + the number of passages.
+        """
+        each = [self.rate * s - log(self.k * n) for s in found]
+        least, total = 0.0, 0.0
+        for r, t in enumerate(sorted((t for t in each if t > 0), reverse=True), 1):
+            total += t
+            chosen = lgamma(r + 1) - (r - 1) * log(2)
+            least = max(least, r * t + chosen)
+            if total > r * (r - 1):
+                least = max(least, total - (r - 1) * log(total) + lgamma(r) + chosen)
+        return min(60.0, least / log(10)), log2(1 + sum(t >= -log(PASSAGE_EXPECTATION) for t in each))
+
+    def probability(self, n: int, found: list[float]) -> float:
+        x = sum(a * b for a, b in zip(self.slopes, self.evidence(n, found))) + self.offset
+        return 1 / (1 + exp(-max(-700.0, min(700.0, x))))
 
 
 class Scanner:
@@ -188,45 +205,63 @@ def train(docs: DataFrame, labelled: DataFrame) -> Model:
     model = Model(*lexicon(written(frequencies)))
     shared = spark.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, best, seeds = [], [], []
+            n = found = 0
             for text in batch.column("text").to_pylist():
-                length, found = scanner(shared.value).scan(text or "")
-                n.append(length)
-                best.append(max((s for *_, s in found), default=0.0))
-                seeds.append(sum(s >= SEED_SCORE for *_, s in found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y").cast(pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(seeds, pa.int64())],
-                ["y", "n", "best", "seeds"],
-            )
+                length, segments = scanner(shared.value).scan(text or "")
+                n, found = n + length, found + sum(s >= SEED_SCORE for *_, s in segments)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([found], pa.int64())], ["n", "seeds"])
 
-    measured = written(once.select("y", "text").mapInArrow(measure, "y int, n long, best double, seeds long"))
-    clean = measured.where("y = 0").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds")).first()
+    clean = once.where("y = 0").select("text").mapInArrow(seeds, "n long, seeds long").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds")).first()
     if clean.n:
         model.k = (1 + clean.seeds) / (clean.n * exp(-model.rate * SEED_SCORE))
-    e = F.lit(model.k) * F.col("n") * F.exp(-model.rate * F.col("best"))
-    x = F.when(F.col("best") > 0, F.least(F.lit(60.0), F.greatest(F.lit(0.0), -F.log10(F.greatest(e, F.lit(1e-300)))))).otherwise(0.0)
-    bins = measured.groupBy(F.round(x, 1).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # at most 601
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = []
+            for text in batch.column("text").to_pylist():
+                n, found = scanner(shared.value).scan(text or "")
+                x.append(shared.value.evidence(n, [s for *_, s in found]))
+            columns = [pa.array([e[i] for e in x], pa.float64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), *columns], ["y", "sum", "passages"])
+
+    measured = once.select("y", "text").mapInArrow(measure, "y int, sum double, passages double")
+    # at most 601 steps of the sum for each of 125 of the number
+    steps = F.round("sum", 1).alias("sum"), (F.round(4 * F.col("passages")) / 4).alias("passages")
+    bins = measured.groupBy(*steps).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
     if bins:
-        model.slope, model.offset = logistic(*(np.array([float(b[i]) for b in bins]) for i in range(3)))
+        columns = np.array([[float(b[i]) for b in bins] for i in range(4)])
+        model.slopes, model.offset = logistic(columns[:2].T, columns[2], columns[3])
     return model
 
 
-def logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset of P(y) over x, with one doubtful case of each kind at either end."""
-    x, n, y = np.append(x, [0, x.max()]), np.append(n, [1, 1]), np.append(y, [0.5, 0.5])
-    a, b = 0.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = n * p * (1 - p) + 1e-9
-        gradient = np.array([x @ (y - n * p) - 1e-3 * a, (y - n * p).sum()])
-        hessian = np.array([[x * x @ w + 1e-3, x @ w], [x @ w, w.sum() + 1e-9]])
-        step = np.clip(np.linalg.solve(hessian, gradient), -2, 2)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-9:
-            break
-    return max(0.0, float(a)), float(b)
+def logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes (not negative) and offset of P(y) over the columns of x, with one doubtful case of each kind at either end.
+
+    Columns are weighed by their size, so none is preferred for its unit.
+    """
+    size = np.maximum(np.sqrt((x * x * n[:, None]).sum(0) / n.sum()), 1e-9)
+    x = np.vstack([x, np.zeros(x.shape[1]), x.max(0)]) / size
+    n, y = np.append(n, [1, 1]), np.append(y, [0.5, 0.5])
+    used = np.ones(x.shape[1], bool)
+    while True:
+        z = np.column_stack([x[:, used], np.ones(len(x))])
+        ridge = np.diag([1e-3] * used.sum() + [1e-9])
+        a = np.zeros(z.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
+            w = n * p * (1 - p) + 1e-9
+            step = np.clip(np.linalg.solve((z.T * w) @ z + ridge, z.T @ (y - n * p) - ridge @ a), -2, 2)
+            a = a + step
+            if abs(step).max() < 1e-9:
+                break
+        if (a[:-1] >= 0).all():
+            slopes = np.zeros(x.shape[1])
+            slopes[used] = a[:-1]
+            return tuple((slopes / size).tolist()), float(a[-1])
+        used[np.flatnonzero(used)[a[:-1].argmin()]] = False
 
 
 def scored(text: Column, model: Model, spark) -> Column:
@@ -241,7 +276,7 @@ def scored(text: Column, model: Model, spark) -> Column:
             scores, passages = [], []
             for t in batch.to_pylist():
                 n, found = scanner(model).scan(t or "")
-                scores.append(model.probability(n, max((s for *_, s in found), default=0.0)))
+                scores.append(model.probability(n, [s for *_, s in found]))
                 each = [(a, b, s, model.expectation(n, s)) for a, b, s in found]
                 passages.append([dict(zip(("start", "end", "score", "expectation"), p)) for p in each if p[3] <= PASSAGE_EXPECTATION])
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(passages, pa.list_(passage))], ["score", "passages"])

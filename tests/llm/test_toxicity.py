@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 from dotloom.llm import queries, toxicity
@@ -50,6 +51,24 @@ def test_finds_passages(spark):
     assert all(not r.passages and r.score < 0.7 for r in toxicity.detect(docs, labelled.limit(0)).collect())
 
 
+def test_all_passages_of_long_texts_count(spark):
+    rng = random.Random(6)
+    clean = [" ".join(rng.choice("the cat sat on a mat and saw some dogs".split()) for _ in range(80)) for _ in range(120)]
+    words = "the cat sat on a mat".split()
+    bad = [" ".join([*rng.choices(words, k=40), "rotten", "vermin", "rotten", *rng.choices(words, k=40)]) + f" {i}" for i in range(40)]
+    labelled = spark.createDataFrame([(t, 0) for t in clean] + [(t, 1) for t in bad], "text string, y int")
+    rows = [(1, clean[0]), (2, bad[0]), (5, "calm " * 3000 + "rotten vermin rotten " + "calm " * 9), (7, "Rotten, VERMIN!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, labelled)
+    got = {r.doc_id: r for r in docs.select("doc_id", toxicity.scored(F.col("text"), model, spark).alias("r")).select("doc_id", "r.*").collect()}
+    assert [(p.start, p.end) for p in got[5].passages] == [(3000, 3003)]
+    assert got[1].score < 0.7 <= got[5].score < got[2].score
+    # in 20,000 words one such passage may be chance, five are not, though none is significant by itself
+    s = got[5].passages[0].score
+    assert model.expectation(20_000, s) > toxicity.PASSAGE_EXPECTATION
+    assert model.probability(20_000, []) < model.probability(20_000, [s]) < 0.7 <= model.probability(20_000, [s] * 5)
+
+
 def test_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, "e")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (4, None)], "doc_id long, toxic int")
