@@ -9,8 +9,8 @@ K from the segments found there.  All segments that count for more than chance a
 best and of the sum of the r best ones (Karlin and Altschul), at the r that is least likely.  A logistic curve over that and the number
 of significant passages gives the document's score.
 
-All counts are Spark aggregates over all documents.  The driver sees the lexicon (at most ``LEXICON`` entries) and
-a histogram.
+All counts are Spark aggregates over all documents.  The driver sees the lexicon (every feature that qualifies) and a
+histogram.
 """
 
 from __future__ import annotations
@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 
 from dotloom.llm.common import probably_in, written
 
-#: Entries of the model at most: those of the highest significance.
-LEXICON = 50_000
 STEM_LETTERS = 4
 PRIOR = 500.0  # documents' words that the Dirichlet prior weighs
 SIGNIFICANCE = 20.0  # likelihood ratio statistic from which a word counts
+LEAST_LOG_ODDS = log(2)  # and by how much, which significance alone doesn't bound in a large corpus
 DRIFT = 0.7
 SEED_SCORE = 2.0  # segments of clean documents from this score determine K
 PASSAGE_EXPECTATION = 0.05
@@ -85,15 +84,12 @@ def lexicon(frequencies: DataFrame) -> tuple[dict[str, float], float]:
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
 
     g = 2 * (term(F.col("toxic"), seen * share) + term(F.col("clean"), seen * (1 - share)))
-    raised = frequencies.where(F.col("toxic") > seen * share).withColumn("g", g).where(F.col("g") >= SIGNIFICANCE)
     # n counts all documents with the feature, the labelled ones among them
-    rows = raised.orderBy(F.desc("g"), "feature").limit(LEXICON).collect()
-    scores, clean_rate = {}, {}
-    for r in rows:
-        prior = PRIOR * max(r.n, 1) / max(total.n, 1)
-        toxic, clean = (r.toxic + prior) / (total.toxic + PRIOR), (r.clean + prior) / (total.clean + PRIOR)
-        if toxic > clean:
-            scores[r.feature], clean_rate[r.feature] = log(toxic / clean), clean
+    prior = PRIOR * F.greatest(F.col("n"), F.lit(1)) / max(total.n, 1)
+    rate = {y: (F.col(y) + prior) / (total[y] + PRIOR) for y in ("toxic", "clean")}
+    raised = frequencies.where(F.col("toxic") > seen * share).where(g >= SIGNIFICANCE)
+    rows = raised.select("feature", F.log(rate["toxic"] / rate["clean"]).alias("score"), rate["clean"].alias("rate")).where(F.col("score") >= LEAST_LOG_ODDS).collect()
+    scores, clean_rate = {r.feature: r.score for r in rows}, {r.feature: r.rate for r in rows}
     rest = max(1e-9, 1 - sum(clean_rate.values()))
     rates, values = np.array([*clean_rate.values(), rest]), np.array([*scores.values(), -DRIFT])
     low, high = 1e-3, 50.0

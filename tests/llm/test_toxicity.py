@@ -69,6 +69,14 @@ def test_all_passages_of_long_texts_count(spark):
     assert model.probability(20_000, []) < model.probability(20_000, [s]) < 0.7 <= model.probability(20_000, [s] * 5)
 
 
+def test_lexicon_has_no_cap_but_a_least_effect(spark):
+    many = spark.range(60_000).selectExpr("concat('w', id) AS feature", "40L AS n", "40L AS toxic", "0L AS clean")
+    # significant by their number, but hardly more frequent in toxic documents
+    dull = spark.range(5).selectExpr("concat('d', id) AS feature", "4200000L AS n", "2200000L AS toxic", "2000000L AS clean")
+    scores, rate = toxicity.lexicon(many.union(dull))
+    assert len(scores) == 60_000 and min(scores.values()) >= toxicity.LEAST_LOG_ODDS and rate > 0
+
+
 def test_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, "e")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (4, None)], "doc_id long, toxic int")
