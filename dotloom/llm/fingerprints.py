@@ -3,7 +3,7 @@
 A text is a row of units: runs of at most ``UNIT`` characters without white space.  A window of ``K`` units is an
 anchor if the least hash of its inner windows of two units is that of the first or the last one.  The choice depends
 on the window alone, so texts that share a passage share its anchors, whatever surrounds it.  The fingerprint is
-the ``SIZE`` least hashes of the anchors, and the likeness of two fingerprints estimates the share of common anchors.
+the set of the hashes of all anchors, and the likeness of two fingerprints is the share of common anchors.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from dotloom.llm.common import text_of, written
 
 UNIT = 12
 K = 6
-SIZE = 64
 
 
 def let(value: Column, use) -> Column:
@@ -56,18 +55,18 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The least hashes of a text's anchors.
+    """The hashes of all of a text's anchors, each once and in order.
 
-    A text without anchors, as one of fewer than ``K`` units, has the least hashes of its units instead; a text
-    without units has none.
+    A text without anchors, as one of fewer than ``K`` units, has the hashes of its units instead; a text without
+    units has none.
     """
 
-    def least(values: Column) -> Column:
-        return F.slice(F.sort_array(F.array_distinct(values)), 1, SIZE)
+    def each_once(values: Column) -> Column:
+        return F.sort_array(F.array_distinct(values))
 
     def of(units: Column) -> Column:
-        found = let(_inner(units), lambda s: least(F.transform(_places(s), lambda i: _value(s, i))))
-        alone = least(F.transform(units, lambda u: F.shiftright(u, 32).cast("int")))
+        found = let(_inner(units), lambda s: each_once(F.transform(_places(s), lambda i: _value(s, i))))
+        alone = each_once(F.transform(units, lambda u: F.shiftright(u, 32).cast("int")))
         return let(found, lambda v: F.when(F.size(v) > 0, v).otherwise(alone))
 
     return let(_units(text), of)
@@ -79,11 +78,8 @@ def printed(sketch_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the least hashes of both that are in each (0 to 1); two empty sketches are alike."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(
-        let(least, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
-    )
+    """Share of the hashes of either that are in both (0 to 1); two empty sketches are alike."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
 def next_documents(keys: DataFrame) -> DataFrame:

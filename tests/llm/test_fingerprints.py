@@ -59,6 +59,17 @@ def test_repeated_rows_and_ids(spark):
     assert last.edited_sha256 == sha256(b"no id atnine").hexdigest()
 
 
+def test_long_texts_share_a_short_passage(spark):
+    passage = " ".join(f"shared{i}" for i in range(80))
+    one, two = (" ".join([*(f"{a}{i}" for i in range(10_000)), passage, *(f"{a}{i}" for i in range(10_000, 20_000))]) for a in "ab")
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    values = [{x.value for x in r.a} for r in df.select(fp.anchors(F.col("text")).alias("a")).collect()]
+    common, either = len(values[0] & values[1]), len(values[0] | values[1])
+    got = fp.fingerprints(df).collect()
+    assert common >= 20 and all(abs(r.near_next - common / either) < 1e-12 for r in got)
+    assert sorted(len(r.fingerprint) for r in got) == sorted(8 * len(v) for v in values)
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.op6_fingerprints(spark, SF_DIR).collect()}
