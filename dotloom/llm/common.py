@@ -4,19 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPOSITORY = str(Path(__file__).resolve().parents[2])
+PACKAGE = Path(__file__).resolve().parents[1]
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors as an archive, once an application, so that Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        archive = Path(tempfile.mkdtemp(prefix="dotloom-")) / "dotloom.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                z.write(file, file.relative_to(PACKAGE.parent))
+        context.addPyFile(str(archive))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; the Python workers are told where this package lies."""
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if REPOSITORY not in path.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{path}:{REPOSITORY}".strip(":")
+    """A given table; the executors get this package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
