@@ -117,6 +117,32 @@ def is_plain_line(col: Column) -> Column:
     )
 
 
+def structure_facts(trimmed: Column) -> Column:
+    """struct(len, list, formula, head, end, plain) of a trimmed line; the shared tests run once."""
+
+    def derived(v: Column) -> Column:
+        t, n, item, formula = (v[k] for k in ("t", "n", "item", "formula"))
+        head = (
+            F.length(t).between(1, 80) & ~item & ~formula & (n <= 8) & ~R.matches(t, HEADING_END)
+            & ((_capitalised(t) >= F.greatest(F.lit(1), n - 1)) | ~t.rlike(r"\p{Ll}"))
+        )
+        return R.let(
+            head,
+            lambda h: F.struct(
+                F.length(t).alias("len"), item.alias("list"), formula.alias("formula"), h.alias("head"),
+                R.matches(t, SENTENCE_END).alias("end"), (~item & ~formula & ~h).alias("plain"),
+            ),
+        )
+
+    return R.let(
+        trimmed,
+        lambda t: R.let(
+            F.struct(t.alias("t"), _word_count(t).alias("n"), R.matches(t, LIST_ITEM).alias("item"), is_formula_like(t).alias("formula")),
+            derived,
+        ),
+    )
+
+
 def can_merge(current: Column, following: Column) -> Column:
     """Two neighbouring lines that may belong to one paragraph."""
     return is_plain_line(following) & is_plain_line(current)

@@ -1,23 +1,19 @@
 """Layout operators over tables of positioned lines and items.
 
-Coordinates are in page space with y growing upwards.  All windows are
-partitioned by document and page; a page is bounded in size.  Positions that
-differ by no more than a tolerance count as equal: rows are put into bands at
-every larger gap, which makes the order transitive.
+Coordinates are in page space with y growing upwards.  Lines (or items) of a page are brought together once, by
+``pages``; everything after that works on the page's array in its row (``functions.geometry``), so a page costs one
+exchange whatever is asked of it.  A page is bounded in size.  Positions that differ by no more than a tolerance count
+as equal: rows are put into bands at every larger gap, which makes the order transitive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import predicates as P
-from ..functions import regex as R
-from ..functions import text as B
-from .structure import classify_typed_blocks
+from ..functions import geometry as G
 
-PAGE_WIDTH, PAGE_HEIGHT = 612, 792
+PAGE_WIDTH, PAGE_HEIGHT = G.PAGE_WIDTH, G.PAGE_HEIGHT
 KEYS = ["doc_id", "page_no"]
-BAND = 0.8
 
 
 def normalize_bbox(df: DataFrame) -> DataFrame:
@@ -41,284 +37,107 @@ def overlap_y(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), shared) / F.least(high(a), high(b))
 
 
-def reading_order(lines: DataFrame, keys: list[str] | None = None, tolerance: float = BAND) -> DataFrame:
-    """Adds ord (from 0): top to bottom by band, then left to right, then text."""
-    keys = keys or KEYS
-    top = Window.partitionBy(*keys).orderBy(F.desc("y_mid"), "x0", "text")
-    gap = F.lag("y_mid").over(top) - F.col("y_mid")
-    b = lines.filter(R.strip(R.text("text")) != "").withColumn("_new", F.when(gap > tolerance, 1).otherwise(0))
-    b = b.withColumn("band", F.sum("_new").over(top.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    order = Window.partitionBy(*keys).orderBy("band", "x0", "text", F.desc("y_mid"))
-    return b.withColumn("ord", (F.row_number().over(order) - 1)).drop("_new")
+LINE_FIELDS = ["line_no", "text", "x0", "y0", "x1", "y1"]
+ITEM_FIELDS = ["str", "x", "y", "width", "height"]
 
 
-def main_column_band(lines: DataFrame, keys: list[str] | None = None, page_width: float = PAGE_WIDTH) -> DataFrame:
-    """Per page: medians of the wide lines; no row for a page without any."""
+def pages(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Lines or items -> one row per page with the array ``lines`` or ``items``; the one exchange of the layout operators."""
     keys = keys or KEYS
-    typical = lines.groupBy(*keys).agg(F.median(F.when(F.col("width") > 0, F.col("width"))).alias("_t"), F.count("*").alias("_n"))
-    wide = F.greatest(F.coalesce("_t", F.lit(0.0)) * 0.82, F.lit(page_width * 0.36), F.lit(140.0))
-    w = lines.join(typical.filter("_n >= 3"), keys).filter(F.col("width") >= wide)
-    return w.groupBy(*keys).agg(
-        F.median("x0").alias("band_x0"), F.median("x1").alias("band_x1"),
-        F.median("width").alias("band_width"), F.median("x_mid").alias("band_center"),
-    )
+    name, fields = ("items", ITEM_FIELDS) if "str" in rows.columns else ("lines", LINE_FIELDS)
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
-def assign_regions(lines: DataFrame, keys: list[str] | None = None, page_width: float = PAGE_WIDTH) -> DataFrame:
-    """Adds region: main, sidebar_left or sidebar_right."""
-    keys = keys or KEYS
-    w = Window.partitionBy(*keys)
-    s = lines.join(main_column_band(lines, keys, page_width), keys, "left").withColumn("_n", F.count("*").over(w))
-    gutter = max(page_width * 0.04, 26)
-    x0, x1, c = F.col("x0"), F.col("x1"), F.col("x_mid")
-    no_band = F.col("band_x0").isNull()
-    narrow = (F.col("width") > 0) & (F.col("width") <= page_width * 0.42)
-    right, left = x0 >= page_width * 0.62, x1 <= page_width * 0.38
-    inside = ~no_band & (c >= F.col("band_x0") - gutter) & (c <= F.col("band_x1") + gutter)
-    out_right = F.when(no_band, right).otherwise(x0 >= F.col("band_x1") + gutter * 0.5)
-    out_left = F.when(no_band, left).otherwise(x1 <= F.col("band_x0") - gutter * 0.5)
-    side = (
-        F.when((F.col("_n") < 3) | F.coalesce(inside, F.lit(False)), "main")
-        .when(narrow & out_right & (right | (x0 >= F.coalesce("band_center", F.lit(0.0)))), "sidebar_right")
-        .when(narrow & out_left & (left | (x1 <= F.coalesce("band_center", F.lit(float(page_width))))), "sidebar_left")
-        .otherwise("main")
-    )
-    s = s.withColumn("_side", side)
-    s = s.withColumn("_k", F.count("*").over(Window.partitionBy(*keys, "_side")))
-    t = F.col("text")
-    words = F.regexp_count(t, F.lit(r"\S+"))
-    note = (
-        ~P.is_layout_math(t) & words.between(2, 8) & (F.length(t) <= 60) & (F.col("_side") == "sidebar_right")
-        & (x0 >= F.greatest(F.lit(page_width * 0.62), F.coalesce("band_x1", F.lit(0.0)) + gutter * 0.75))
-        & (F.col("width") <= max(page_width * 0.24, 110))
-    )
-    strong = P.keyword_block_type(t).isNotNull() | P.is_caption(t) | P.is_layout_heading(t) | note
-    keep = (F.col("_side") == "main") | (F.col("_k") >= 2) | strong
-    return s.select(*lines.columns, F.when(keep, F.col("_side")).otherwise("main").alias("region"))
-
-
-def layout_blocks(
-    lines: DataFrame, keys: list[str] | None = None, page_width: float = PAGE_WIDTH, continuation: bool = True
-) -> DataFrame:
-    """Ordered lines with a region -> the same lines with block_no per region.
-
-    A block ends at a large vertical gap, at captions, keywords and headings,
-    and where a run of equation steps meets prose.  With ``continuation`` a
-    running example or theorem goes on over larger gaps, and an example ends
-    when text returns to its margin.  These rules look at the whole block so
-    far, so each region of a page is folded once over facts computed per line.
-    """
-    keys = [*(keys or KEYS), "region"]
-    t = F.col("text")
-    facts = lines.select(
-        *keys, "ord", "line_no", "text", "x0", "y0", "x1", "y1", "y_mid", "height", P.layout_facts(t).alias("_f")
-    ).select(*keys, "ord", "line_no", "text", "x0", "y0", "x1", "y1", "y_mid", "height", "_f.*")
-    names = [c for c in facts.columns if c not in keys]
-    g = facts.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*names))).alias("_ls"),
-        F.coalesce(F.median(F.when(F.col("height") > 0, F.col("height"))), F.lit(12.0)).alias("_h"),
-    )
-    h = F.col("_h")
-    start = F.struct(
-        F.array().cast("array<int>").alias("nos"), F.lit(-1).alias("no"), F.lit(None).cast("string").alias("kw"),
-        F.lit(0.0).alias("fx"), F.lit(True).alias("eq"), F.lit(False).alias("prose"), F.lit(False).alias("body"),
-        F.lit(0.0).alias("py"), F.lit(0.0).alias("px"), F.lit(False).alias("pstep"), F.lit(False).alias("pmath"),
-    )
-    indent = max(page_width * 0.035, 18)
-
-    def step(s: Column, l: Column) -> Column:
-        gap = s["py"] - l["y_mid"]
-        kw_or_caption = l["kw"].isNotNull() | l["caption"]
-        wordy = l["prose"] | l["short"]
-        no = F.lit(False)
-        in_example, in_theorem = F.coalesce(s["kw"] == "example", no), F.coalesce(s["kw"] == "theorem", no)
-        example_ends = (
-            in_example & wordy & ~l["math"] & ~kw_or_caption
-            & (F.abs(l["x0"] - s["fx"]) <= max(page_width * 0.03, 16)) & s["body"]
-            & ((s["px"] - s["fx"] >= indent) | s["pmath"])
-        )
-        runs_on = (in_theorem & ~l["theorem_end"] & (gap <= F.greatest(h * 3.2, F.lit(48.0)))) | (
-            in_example & ~l["example_end"] & ~kw_or_caption & (gap <= F.greatest(h * 2.35, F.lit(32.0)))
-            & (wordy | l["math"] | l["step"])
-        )
-        standalone = (
-            kw_or_caption | (l["heading"] & s["prose"])
-            | ((F.abs(s["px"] - l["x0"]) > max(page_width * 0.06, 26)) & l["heading"])
-        )
-        grouped = (gap <= F.greatest(h * 1.5, F.lit(16.0))) & s["pstep"] & l["step"] & ~kw_or_caption & ~l["short"]
-        plain = (
-            F.when(standalone, True).when(grouped, False).when(s["eq"] & wordy, True)
-            .otherwise(gap > F.greatest(h * 1.9, F.lit(18.0)))
-        )
-        splits = F.when(example_ends, True).when(runs_on, False).otherwise(plain) if continuation else plain
-        return R.let(
-            (s["no"] < 0) | splits,
-            lambda fresh: R.let(
-                s["no"] + F.when(fresh, 1).otherwise(0),
-                lambda n: F.struct(
-                    F.array_append(s["nos"], n).alias("nos"), n.alias("no"),
-                    F.when(fresh, l["kw"]).otherwise(s["kw"]).alias("kw"),
-                    F.when(fresh, l["x0"]).otherwise(s["fx"]).alias("fx"),
-                    (F.when(fresh, True).otherwise(s["eq"]) & l["step"]).alias("eq"),
-                    (F.when(fresh, False).otherwise(s["prose"]) | l["prose"]).alias("prose"),
-                    F.when(fresh, False).otherwise(s["body"] | (l["x0"] - s["fx"] >= indent) | l["math"]).alias("body"),
-                    l["y_mid"].alias("py"), l["x0"].alias("px"), l["step"].alias("pstep"), l["math"].alias("pmath"),
-                ),
-            ),
-        )
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("lines", "items")]
 
-    nos = F.aggregate("_ls", start, step, lambda s: s["nos"])
-    return g.select(*keys, F.explode(F.arrays_zip(F.col("_ls").alias("l"), nos.alias("block_no"))).alias("_z")).select(
-        *keys, F.col("_z.block_no").alias("block_no"), *[F.col(f"_z.l.{c}").alias(c) for c in ("ord", "line_no", "text", "x0", "y0", "x1", "y1")]
-    )
 
+def _exploded(df: DataFrame, array: Column, fields: list[str], at: str | None = None) -> DataFrame:
+    keys = _keys(df)
+    place = [F.col("_p").alias(at)] if at else []
+    rows = df.select(*keys, F.posexplode(array).alias("_p", "_r"))
+    return rows.select(*keys, *place, *[F.col(f"_r.{c}").alias(c) for c in fields])
 
-def block_bbox(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of the boxes of every block."""
-    return lines.groupBy(*keys).agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_lines")
-    )
 
+def reading_order(pages: DataFrame, tolerance: float = G.BAND) -> DataFrame:
+    """Lines with text, with their band and ord (from 0): top to bottom by band, then left to right, then text."""
+    return _exploded(pages, G.ordered(F.col("lines"), tolerance), [*LINE_FIELDS, "band"], "ord")
 
-def typed_layout_blocks(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Block lines -> typed blocks with boxes; sidebar paragraphs become notes."""
-    keys = [*(keys or KEYS), "region"]
-    kinds = classify_typed_blocks(lines, keys, "ord")
-    kind = F.when((F.col("region") != "main") & (F.col("type") == "paragraph"), "sidebar_note").otherwise(F.col("type"))
-    boxes = block_bbox(lines, [*keys, "block_no"]).drop("n_lines")
-    return kinds.withColumn("type", kind).join(boxes, [*keys, "block_no"])
 
+def main_column_band(pages: DataFrame, page_width: float = PAGE_WIDTH) -> DataFrame:
+    """Per page: medians of the wide lines; no row for a page without any."""
+    b = pages.select(*_keys(pages), G.column_band(G.ordered(F.col("lines")), page_width).alias("_b"))
+    return b.where("_b is not null").select(*_keys(pages), "_b.*")
 
-def block_reading_order(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds ord: by bands of the block tops, main column before sidebars, then x."""
-    keys = keys or KEYS
-    page = Window.partitionBy(*keys)
-    high = F.col("y1") - F.col("y0")
-    s = blocks.withColumn("_h", F.median(F.when(high > 0, high)).over(page))
-    tol = F.greatest(F.coalesce("_h", F.lit(14.0)) * 1.6, F.lit(26.0))
-    top = page.orderBy(F.desc("y1"), "x0", "region", "block_no")
-    gap = F.lag("y1").over(top) - F.col("y1")
-    s = s.withColumn("_new", F.when(gap > tol, 1).otherwise(0))
-    s = s.withColumn("band", F.sum("_new").over(top.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    order = page.orderBy("band", F.when(F.col("region") == "main", 0).otherwise(1), "x0", "block_no", "region")
-    return s.withColumn("ord", F.row_number().over(order) - 1).drop("_h", "_new")
-
-
-def assign_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Positioned items with the line_no of their baseline (from 0, top first)."""
-    keys = keys or KEYS
-    clean = items.withColumn("str", R.text("str")).filter(R.strip(F.col("str")) != "")
-    top = Window.partitionBy(*keys).orderBy(F.desc("y"), "x")
-    drop = F.lag("y").over(top) - F.col("y")
-    s = clean.withColumn("_new", F.when(drop > F.greatest(F.col("height") * 0.45, F.lit(3.0)), 1).otherwise(0))
-    return s.withColumn("line_no", F.sum("_new").over(top.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
+def _regions(page_width: float) -> Column:
+    return G.regions(G.ordered(F.col("lines")), page_width)
 
-def items_to_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Items with their line_no -> lines: texts joined, spaced by their gaps."""
-    keys = keys or KEYS
-    s = items if "line_no" in items.columns else assign_lines(items, keys)
-    along = Window.partitionBy(*keys, "line_no").orderBy("x")
-    word = R.strip(F.regexp_replace("str", r"\s+", " "))
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(along)
-    before = R.strip(F.lag("str").over(along))
-    spaced = (
-        (gap > F.greatest(F.col("height") * 0.2, F.lit(2.4))) & ~word.rlike(r"^[,.;:!?)}\]»]") & ~before.rlike(r"[({\[«]\z")
-    )
-    # an item that begins or ends in a space also separates words
-    loose = F.col("str").rlike(r"^\s") | F.coalesce(F.lag("str").over(along).rlike(r"\s\z"), F.lit(False))
-    s = s.withColumn("_t", F.concat(F.when(before.isNotNull() & (spaced | loose), " ").otherwise(""), word))
-    g = s.groupBy(*keys, "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "_t"))), lambda i: i["_t"]), "").alias("text"),
-        F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.avg("y").alias("y"), F.max("height").alias("height"),
-        F.min(F.col("y") - F.col("height")).alias("y0"), F.max(F.col("y") + F.col("height")).alias("y1"),
-    )
-    return g.withColumn("text", B.normalize_pdf_math(F.col("text")))
 
+def assign_regions(pages: DataFrame, page_width: float = PAGE_WIDTH) -> DataFrame:
+    """Lines in reading order with their region: main, sidebar_left or sidebar_right."""
+    return _exploded(pages, _regions(page_width), [*LINE_FIELDS, "band", "region"], "ord")
 
-def blank_line_gaps(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Insert an empty row wherever the vertical gap is more than a blank line."""
-    keys = keys or KEYS
-    w = Window.partitionBy(*keys).orderBy(F.desc("y"), "x0")
-    gap, tall = F.lag("y").over(w) - F.col("y"), F.lag("height").over(w)
-    s = lines.withColumn("_wide", F.coalesce(gap > F.greatest(tall * 2.1, F.lit(28.0)), F.lit(False)))
-    s = s.withColumn("_i", F.row_number().over(w))
-    rows = F.when(F.col("_wide"), F.array(F.struct(F.lit("").alias("text"), F.lit("empty").alias("kind")), F.struct(F.col("text"), F.lit("text").alias("kind")))).otherwise(
-        F.array(F.struct(F.col("text"), F.lit("text").alias("kind")))
-    )
-    x = s.select(*keys, "_i", F.posexplode(rows).alias("_j", "_r"))
-    order = Window.partitionBy(*keys).orderBy("_i", "_j")
-    return x.select(*keys, (F.row_number().over(order) - 1).alias("ord"), "_r.text", "_r.kind")
 
+def _blocks(page_width: float, continuation: bool) -> Column:
+    return G.blocks(_regions(page_width), page_width, continuation)
 
-MATH_FRAGMENT = [r"[=≠≤≥∞∫√→←↔⇔∈∉^/_]", r"(?i)\b(?:lim|sin|cos|tan|log|ln|sqrt)\b", r"[A-Za-z]\([A-Za-z0-9]\)"]
 
+def layout_blocks(pages: DataFrame, page_width: float = PAGE_WIDTH, continuation: bool = True) -> DataFrame:
+    """Lines with their region and block_no per region; see ``geometry.blocks``."""
+    one = lambda b: F.transform(b["lines"], lambda l: l.withField("block_no", b["block_no"]))
+    rows = F.flatten(F.transform(_blocks(page_width, continuation), one))
+    return _exploded(pages, rows, [*LINE_FIELDS, "region", "block_no"])
 
-def is_math_fragment(t: Column) -> Column:
-    x = R.strip(t)
-    return R.matches(x, MATH_FRAGMENT[0]) | R.matches(x, MATH_FRAGMENT[1]) | R.matches(x, MATH_FRAGMENT[2])
 
+def block_bbox(pages: DataFrame, page_width: float = PAGE_WIDTH, continuation: bool = True) -> DataFrame:
+    """Union of the boxes of every block, and its number of lines."""
+    t = G.typed_blocks(_blocks(page_width, continuation))
+    rows = _exploded(pages, t, ["region", "block_no", "x0", "y0", "x1", "y1", "lines"])
+    return rows.withColumn("n_lines", F.size("lines").cast("long")).drop("lines")
 
-def merge_math_lines(lines: DataFrame, items: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Stacked fragments of one formula -> one line.
 
-    Neighbouring lines join when they are close, overlap horizontally, one of
-    them is short and one is mathematical.  Inside a group, items above and
-    below the base line of a column become a fraction or a limit.
-    ``items`` carry the line_no of the line they belong to.
-    """
-    keys = keys or KEYS
-    w = Window.partitionBy(*keys).orderBy(F.desc("y"), "x0")
-    p = lambda c: F.lag(c).over(w)
-    gap = p("y") - F.col("y")
-    shared = F.least(F.col("x1"), p("x1")) - F.greatest(F.col("x0"), p("x0"))
-    narrow = F.least(F.col("x1") - F.col("x0"), p("x1") - p("x0"))
-    minor = lambda x0, x1, t: ((x1 - x0) <= 150) | (F.length(t) <= 18) | ~t.rlike(r"\s")
-    merges = (
-        (gap > 0) & (gap <= F.greatest(F.col("height"), p("height")) * 2.2) & (shared > 0) & (shared >= narrow * 0.18)
-        & (minor(F.col("x0"), F.col("x1"), F.col("text")) | minor(p("x0"), p("x1"), p("text")))
-        & (is_math_fragment(F.col("text")) | is_math_fragment(p("text")))
-    )
-    g = lines.withColumn("_new", F.when(F.coalesce(merges, F.lit(False)), 0).otherwise(1))
-    g = g.withColumn("group_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    of_group = Window.partitionBy(*keys, "group_no")
-    # base line: the first with a relation sign, else the widest
-    rank = F.struct(R.matches(F.col("text"), "[=≠≤≥]"), F.when(R.matches(F.col("text"), "[=≠≤≥]"), F.col("y")).otherwise(F.col("x1") - F.col("x0")))
-    g = g.withColumn("base_y", F.max_by("y", rank).over(of_group)).withColumn("_n", F.count("*").over(of_group))
-    it = items.join(g.select(*keys, "line_no", "group_no", "base_y", "_n"), [*keys, "line_no"]).filter(F.col("_n") > 1)
-    lift = F.greatest(F.col("height") * 0.35, F.lit(2.0))
-    it = it.withColumn("role", F.when(F.col("y") > F.col("base_y") + lift, "upper").when(F.col("y") < F.col("base_y") - lift, "lower").otherwise("base"))
-    along = of_group.orderBy("x", "y")
-    reach = F.max(F.col("x") + F.col("width")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    it = it.withColumn("_new", F.when(F.col("x") > reach + F.greatest(F.col("height") * 0.6, F.lit(10.0)), 1).otherwise(0))
-    it = it.withColumn("_col", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = lambda role: R.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("x", "str")))), lambda s: R.strip(s["str"])), " "))
-    c = it.groupBy(*keys, "group_no", "_col").agg(joined("base").alias("b"), joined("upper").alias("u"), joined("lower").alias("l"))
-    b, u, l = F.col("b"), F.col("u"), F.col("l")
-    part = (
-        F.when((F.lower(b) == "lim") & (l != ""), F.concat(F.lit("lim "), l))
-        .when((u != "") & (l != ""), F.concat(F.when(b != "", F.concat(b, F.lit(" "))).otherwise(""), u, F.lit("/"), l))
-        .otherwise(F.concat_ws(" ", *[F.when(x != "", x) for x in (b, u, l)]))
-    )
-    merged = c.withColumn("_p", part).groupBy(*keys, "group_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_col", "_p"))), lambda s: s["_p"]), " ").alias("_m")
-    )
-    boxes = g.groupBy(*keys, "group_no").agg(
-        F.min_by("text", "line_no").alias("_t"), F.count("*").alias("n_lines"), F.min("x0").alias("x0"), F.min("y0").alias("y0"),
-        F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("y").alias("y"),
-    )
-    out = boxes.join(merged, [*keys, "group_no"], "left")
-    text = F.coalesce(B.normalize_pdf_math(F.regexp_replace("_m", r"\s+,", ",")), F.col("_t"))
-    return out.select(*keys, "group_no", text.alias("text"), F.when(is_math_fragment(text), "math").otherwise("text").alias("kind"), "n_lines", "x0", "y0", "x1", "y1", "y")
+def block_reading_order(pages: DataFrame, page_width: float = PAGE_WIDTH, continuation: bool = True) -> DataFrame:
+    """Typed blocks with box, band and ord: by bands of the block tops, main column before sidebars, then x."""
+    t = G.blocks_in_order(G.typed_blocks(_blocks(page_width, continuation)))
+    return _exploded(pages, t, ["region", "block_no", "type", "band", "x0", "y0", "x1", "y1", "lines"], "ord")
+
+
+def items_to_lines(pages: DataFrame) -> DataFrame:
+    """Pages of items -> lines from the top: texts joined, spaced by their gaps."""
+    return _exploded(pages, G.item_lines(F.col("items")), ["line_no", "text", "x0", "x1", "y", "height", "y0", "y1"])
 
 
-def segmentation_report(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def merge_math_lines(pages: DataFrame) -> DataFrame:
+    """Pages of items -> lines, with stacked fragments of one formula as one line; see ``geometry.merged_lines``."""
+    return _exploded(pages, G.merged_lines(G.item_lines(F.col("items"))), ["text", "kind", "n_lines", "x0", "y0", "x1", "y1", "y"], "group_no")
+
+
+def blank_line_gaps(pages: DataFrame) -> DataFrame:
+    """Lines from the top with an empty row wherever the vertical gap is more than a blank line."""
+    boxed = F.transform("lines", lambda l: F.struct(l["text"].alias("text"), *G.box(l)))
+    down = G.sorted_by(boxed, lambda l: -l["y1"], lambda l: l["x0"])
+    wide = lambda p, l: p["y1"] - l["y1"] > F.greatest(p["height"] * 2.1, F.lit(28.0))
+    row = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).alias("kind"))
+    groups = F.transform(G.islands(down, wide), lambda g: F.transform(g, lambda l: row(l["text"], "text")))
+    rows = F.flatten(F.transform(groups, lambda g, k: F.when(k > 0, F.concat(F.array(row(F.lit(""), "empty")), g)).otherwise(g)))
+    return _exploded(pages, rows, ["text", "kind"], "ord")
+
+
+def segmentation_report(pages: DataFrame, page_width: float = PAGE_WIDTH, continuation: bool = True) -> DataFrame:
     """Per page and region: line ids in reading order, box and number of blocks."""
-    keys = keys or KEYS
-    line_id = F.format_string("p%d-l%03d", F.col("page_no"), F.col("line_no") + 1)
-    x = lines.withColumn("_id", line_id)
-    return x.groupBy(*keys, "region").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_id"))), lambda s: s["_id"]), ",").alias("line_ids"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.count("*").alias("n_lines"), F.count_distinct("block_no").alias("n_blocks"),
-    )
+
+    def region(bs: Column, name: Column) -> Column:
+        own = F.flatten(F.transform(bs, lambda b: b["lines"]))
+        id = lambda l: F.format_string("p%d-l%03d", F.col("page_no"), l["line_no"] + 1)
+        low, high = lambda c: F.array_min(F.transform(own, lambda l: l[c])), lambda c: F.array_max(F.transform(own, lambda l: l[c]))
+        return F.struct(
+            name.alias("region"), F.array_join(F.transform(own, id), ",").alias("line_ids"), low("x0").alias("x0"), low("y0").alias("y0"),
+            high("x1").alias("x1"), high("y1").alias("y1"), F.size(own).cast("long").alias("n_lines"), F.size(bs).cast("long").alias("n_blocks"),
+        )
+
+    names = F.array(*map(F.lit, G.REGIONS))
+    found = F.transform(names, lambda r: region(F.filter("_b", lambda b: b["region"] == r), r))
+    p = pages.withColumn("_b", _blocks(page_width, continuation))
+    rows = p.select(*_keys(pages), F.explode(F.filter(found, lambda x: x["n_lines"] > 0)).alias("_r"))
+    return rows.select(*_keys(pages), "_r.*")

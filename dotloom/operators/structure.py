@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import blocks as K
+from ..functions import geometry as G
 from ..functions import language as L
 from ..functions import predicates as P
 from ..functions import quality as Q
@@ -17,12 +19,11 @@ from ..functions import regex as R
 from ..functions import text as B
 from ..functions import transcode as X
 from ..functions import wordrepair as WR
-from . import language as LO
 from . import repair as RP
 from .transcoding import PAGE_MARKER, convert_text, stored_pages
 
 PAGE_TARGET = 1600
-REAL, LINES, MIXED = "REAL_PARAGRAPH", "LINE_BASED", "MIXED"
+REAL, LINES, MIXED = K.REAL, K.LINES, K.MIXED
 
 
 def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -83,14 +84,6 @@ def classify_blocks(blocks: DataFrame, key: str = "doc_id", source_type: str = "
     return g.select(key, "block_no", kind.alias("type"), "n_lines", "break_after", "lines", source_type)
 
 
-def mode_of(kind: Column, had_blank: Column) -> Column:
-    return (
-        F.when(kind == LINES, "line_preserved")
-        .when(kind == REAL, F.when(had_blank, "paragraph_preserved").otherwise("plain_prose"))
-        .otherwise("mixed_structured")
-    )
-
-
 def document_structure_mode(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Document type and mode.  A document had blank lines exactly when some
     block was followed by one (leading blanks aside)."""
@@ -99,55 +92,14 @@ def document_structure_mode(blocks: DataFrame, key: str = "doc_id") -> DataFrame
         F.count("*").alias("n_blocks"),
     )
     kind = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(MIXED)
-    return g.select(key, kind.alias("classification"), mode_of(kind, F.col("_blank")).alias("mode"), "n_blocks")
+    return g.select(key, kind.alias("classification"), K.mode_of(kind, F.col("_blank")).alias("mode"), "n_blocks")
 
 
 def rebuild_text(df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type") -> DataFrame:
-    """Text re-emitted by structure: adds classification, mode, clean_text, fixes."""
-    lines = split_lines(df.select(key, source_type, F.col(text).alias("text")))
-    blocks = classify_blocks(split_blocks(lines, key), key, source_type)
-    g = blocks.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("block_no", "type", "break_after", "lines"))).alias("_bs"),
-        F.min("type").alias("_lo"), F.max("type").alias("_hi"), F.bool_or("break_after").alias("_blank"),
-    )
-    g = g.withColumn("classification", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(MIXED))
-    n = F.size("_bs")
-    empty = F.array().cast("array<string>")
-    pack = lambda ls, fx: F.struct(ls.alias("lines"), fx.alias("fixes"))
-    whole = R.let(
-        RP.merge_wrapped_lines(F.flatten(F.transform("_bs", lambda b: b["lines"]))),
-        lambda m: F.struct(F.array_join(m["lines"], "\n\n").alias("text"), m["fixes"].alias("fixes")),
-    )
-    per_block = F.transform(
-        "_bs",
-        lambda b, i: R.let(
-            F.when(b["type"] == REAL, RP.merge_wrapped_lines(b["lines"])).otherwise(pack(b["lines"], empty)),
-            lambda m: pack(
-                F.when(b["break_after"] & (i < n - 1), F.array_append(m["lines"], F.lit(""))).otherwise(m["lines"]),
-                m["fixes"],
-            ),
-        ),
-    )
-    mixed = R.let(
-        per_block,
-        lambda ms: F.struct(
-            F.array_join(F.flatten(F.transform(ms, lambda m: m["lines"])), "\n").alias("text"),
-            F.array_distinct(F.flatten(F.transform(ms, lambda m: m["fixes"]))).alias("fixes"),
-        ),
-    )
-    unix = F.replace(F.replace(R.text(text), F.lit("\r\n"), F.lit("\n")), F.lit("\xa0"), F.lit(" "))
-    j = df.join(g, key, "left")
-    c = F.coalesce("classification", F.lit(REAL))
-    built = (
-        F.when(F.col("_bs").isNull(), F.struct(F.lit("").alias("text"), empty.alias("fixes")))
-        .when(c == REAL, whole).when(c == LINES, F.struct(unix.alias("text"), empty.alias("fixes"))).otherwise(mixed)
-    )
-    j = j.withColumn("_r", built)
-    clean = R.strip(F.regexp_replace("_r.text", r"\n{3,}", "\n\n"))
-    return j.select(
-        *df.columns, c.alias("classification"), mode_of(c, F.coalesce("_blank", F.lit(False))).alias("mode"),
-        clean.alias("clean_text"), F.col("_r.fixes").alias("fixes"),
-    )
+    """Text re-emitted by structure, in its row: adds classification, mode, clean_text, fixes."""
+    j = df.withColumn("_s", K.structure(F.col(text), F.col(source_type)))
+    j = j.withColumn("_r", K.rebuilt(F.col(text), F.col("_s"), RP.merge_wrapped_lines))
+    return j.select(*df.columns, "_s.classification", "_s.mode", F.col("_r.text").alias("clean_text"), "_r.fixes")
 
 
 def pages_by_lines(text: Column, target: int = PAGE_TARGET) -> Column:
@@ -263,24 +215,32 @@ def split_pages(df: DataFrame, text: str = "text", marker: str = PAGE_MARKER) ->
     return _explode_pages(df, text, stored_pages(F.col(text), marker))
 
 
-def stored_or_new_pages(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type", marker: str = PAGE_MARKER
-) -> DataFrame:
-    """Stored text -> page rows (key, page_no, page).
+def review_page_texts(text: Column, source_type: Column, marker: str = PAGE_MARKER) -> Column:
+    """Page texts of a stored document.
 
     With markers, pages are cut there, and words hyphenated over the page ends of a PDF text are completed; without,
     a PDF text stays one page and any other is paginated by the structure that is detected in it.
     """
-    x = df.select(key, source_type, R.strip(R.text(text)).alias("_t"))
-    blocks = classify_blocks(split_blocks(split_lines(x.select(key, source_type, F.col("_t").alias("text"))), key), key, source_type)
-    mode = document_structure_mode(blocks, key).select(key, "mode")
-    kept = F.col("_t").contains(marker) | (F.col(source_type) == "pdf")
-    pages = F.when(kept, stored_pages(F.col("_t"), marker)).otherwise(paginate(F.col("_t"), F.col("mode")))
-    cut = x.join(mode, key, "left").filter("_t <> ''").select(key, source_type, pages.alias("_ps"))
-    rows = _explode_pages(cut, "_ps", F.col("_ps"))
-    pdf = F.coalesce(F.col(source_type) == "pdf", F.lit(False))
-    repaired = RP.repair_page_breaks(rows.filter(pdf), key, "page_no", "page").select(*rows.columns)
-    return rows.filter(~pdf).unionByName(repaired).drop(source_type)
+    pdf = F.coalesce(source_type == "pdf", F.lit(False))
+
+    def pages(t: Column) -> Column:
+        stored = stored_pages(t, marker)
+        fresh = R.let(K.structure(t, source_type)["mode"], lambda mode: paginate(t, mode))
+        marked = t.contains(marker)
+        return (
+            F.when(t == "", F.array().cast("array<string>")).when(marked & pdf, K.completed_pages(stored))
+            .when(marked | pdf, stored).otherwise(fresh)
+        )
+
+    return R.let(R.strip(F.replace(R.text(text), F.lit("\r\n"), F.lit("\n"))), pages)
+
+
+def stored_or_new_pages(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type", marker: str = PAGE_MARKER
+) -> DataFrame:
+    """Stored text -> page rows (key, page_no, page), cut in the row of the document; see ``review_page_texts``."""
+    pages = review_page_texts(F.col(text), F.col(source_type), marker)
+    return df.select(key, F.posexplode(pages).alias("_p", "page")).select(key, (F.col("_p") + 1).alias("page_no"), "page")
 
 
 def join_pages(pages: DataFrame, key: str = "doc_id", page: str = "page", marker: str = PAGE_MARKER) -> DataFrame:
@@ -314,49 +274,22 @@ def reader_recommended(text: Column, source_type: Column, marker: str = PAGE_MAR
 # ---------------------------------------------------------------- typed blocks
 
 
-def _line_facts(l: Column) -> Column:
-    return R.let(l, lambda t: F.struct(t.alias("text"), P.layout_facts(t).alias("f")))
-
-
 def segment_plain(df: DataFrame, text: str = "text") -> DataFrame:
-    """Page text -> non-blank lines with their block number (from 0).
+    """Page text -> non-blank lines with their block number (from 0), cut in the row of the page.
 
-    A blank line ends a block; a run of equation steps ends before prose; a
-    running theorem or example goes on.  The rules look at the first line of
-    the block and at all of its lines, so the page is folded once over facts
-    that were computed per line.
+    A blank line ends a block; a run of equation steps ends before prose; a running theorem or example goes on.
     """
     keep = [c for c in df.columns if c != text]
-    facts = F.transform(F.split(F.replace(R.text(text), F.lit("\r\n"), F.lit("\n")), "\n"), lambda l: _line_facts(B.normalize_line(l)))
-    start = F.struct(
-        F.array().cast("array<struct<text:string,block_no:int>>").alias("out"), F.lit(-1).alias("no"),
-        F.lit(False).alias("open"), F.lit(None).cast("string").alias("kw"), F.lit(True).alias("eq"),
+    lines = F.flatten(
+        F.transform(K.segments(F.col(text)), lambda ls, b: F.transform(ls, lambda l: F.struct(b.alias("block_no"), l["text"].alias("text"))))
     )
+    return df.select(*keep, F.posexplode(lines).alias("line_no", "_l")).select(*keep, "line_no", "_l.block_no", "_l.text")
 
-    def step(s: Column, l: Column) -> Column:
-        f = l["f"]
-        keeps = F.coalesce((s["kw"] == "theorem") & ~f["theorem_end"], F.lit(False)) | F.coalesce(
-            (s["kw"] == "example") & ~f["example_end"] & f["kw"].isNull() & ~f["caption"]
-            & (f["prose"] | f["short"] | f["math"] | f["step"]), F.lit(False),
-        )
-        fresh = ~s["open"] | (~keeps & s["eq"] & f["prose"])
-        no = s["no"] + F.when(fresh, 1).otherwise(0)
-        return F.when(
-            l["text"] == "",
-            F.struct(s["out"].alias("out"), s["no"].alias("no"), F.lit(False).alias("open"), s["kw"].alias("kw"), s["eq"].alias("eq")),
-        ).otherwise(
-            F.struct(
-                F.array_append(s["out"], F.struct(l["text"].alias("text"), no.cast("int").alias("block_no"))).alias("out"),
-                no.alias("no"), F.lit(True).alias("open"),
-                F.when(fresh, f["kw"]).otherwise(s["kw"]).alias("kw"),
-                (F.when(fresh, True).otherwise(s["eq"]) & f["step"]).alias("eq"),
-            )
-        )
 
-    lines = F.aggregate(facts, start, step, lambda s: s["out"])
-    return df.select(*keep, F.posexplode(lines).alias("line_no", "_l")).select(
-        *keep, "line_no", F.col("_l.block_no").alias("block_no"), F.col("_l.text").alias("text")
-    )
+def typed_blocks(pages: DataFrame, pages_column: str = "pages") -> DataFrame:
+    """Page texts of a document (an array) -> one typed row per block, with its lines and the children it has."""
+    keep = [c for c in pages.columns if c != pages_column]
+    return pages.select(*keep, F.explode(K.tree(F.col(pages_column))).alias("_b")).select(*keep, F.col("_b.ord").alias("block_no"), "_b.*")
 
 
 def classify_typed_blocks(lines: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
@@ -385,14 +318,10 @@ def classify_typed_blocks(lines: DataFrame, keys: list[str], order: str = "line_
     return g.select(*keys, "block_no", kind.alias("type"), "n_lines", "lines", R.strip(F.array_join("lines", "\n")).alias("content"))
 
 
-def block_id(page_no: Column, order: Column, prefix: str = "block") -> Column:
-    return F.concat(F.lit(prefix + "-"), page_no.cast("string"), F.lit("-"), F.lpad(order.cast("string"), F.greatest(F.lit(4), F.length(order.cast("string"))), F.lit("0")))
-
-
 def block_ids(blocks: DataFrame, key: str = "doc_id", page: str = "page_no", order: str = "block_no") -> DataFrame:
     w = Window.partitionBy(key, page).orderBy(order)
     b = blocks.withColumn("ord", F.row_number().over(w) - 1)
-    return b.withColumn("id", block_id(F.col(page), F.col("ord")))
+    return b.withColumn("id", K.block_id(F.col(page), F.col("ord")))
 
 
 def _children(blocks: DataFrame, kind: str) -> DataFrame:
@@ -567,34 +496,85 @@ def normalize_review_blocks(blocks: DataFrame) -> DataFrame:
     return out.filter((F.col("original_text") != "") | (F.col("braille_text") != ""))
 
 
-def process_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type") -> DataFrame:
-    """Repair, structure, improve and paginate a corpus.
+def _normalized(text: Column, source_type: Column, improve: bool) -> Column:
+    """Repaired, structured and (if asked) improved text: struct(text, mode, blocks, readability)."""
+    plain = R.let(
+        WR.repair_text(text),
+        lambda x: F.when(B.structure_mode(x, source_type) == "line-preserved", x).otherwise(B.collapse_paragraphs(x)),
+    )
+    first = R.let(plain, lambda x: K.rebuilt(x, K.structure(x, source_type), RP.merge_wrapped_lines)["text"])
+    better = R.let(first, lambda x: R.let(
+        Q.readability(x, source_type), lambda r: F.struct((r["improved"] if improve else x).alias("text"), r["score"].alias("score"))
+    ))
+
+    def final(v: Column) -> Column:
+        return R.let(
+            K.structure(v["text"], source_type),
+            lambda s: F.struct(
+                K.rebuilt(v["text"], s, RP.merge_wrapped_lines)["text"].alias("text"), s["mode"].alias("mode"),
+                K.spoken_language(s["blocks"]).alias("spoken"), v["score"].alias("readability"),
+            ),
+        )
+
+    return R.let(better, final)
+
 
-    One row per page, with the page's own structure mode and language and the document's.  A document's language is
-    that of its blocks, and of its whole text only where the blocks don't tell.
+def _language(text: Column) -> Column:
+    return L.detect_language(L.language_scores(text))["language"]
+
+
+def _told(v: Column) -> Column:
+    """Language of the blocks, and that of the whole text only where these don't tell."""
+    return F.when(v["spoken"] != "unknown", v["spoken"]).otherwise(_language(v["text"]))
+
+
+def process_documents(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type", improve: bool = True
+) -> DataFrame:
+    """Repair, structure, improve and paginate a corpus; every document in its own row, without an exchange.
+
+    One row per page, with the page's own structure mode, language and typed blocks (``blocks``, with their children)
+    and the document's mode, language and readability.  A document's language is that of its blocks, and of its whole
+    text only where the blocks don't tell.
     """
-    fixed = WR.repair_text(F.col(text))
-    d = df.select(key, source_type, fixed.alias("_f"))
-    shape = B.structure_mode(F.col("_f"), F.col(source_type))
-    d = d.select(key, source_type, F.when(shape == "line-preserved", F.col("_f")).otherwise(B.collapse_paragraphs(F.col("_f"))).alias("text"))
-    d = rebuild_text(d, key, "text", source_type).select(key, source_type, F.col("clean_text").alias("text"))
-    d = d.withColumn("_r", Q.readability(F.col("text"), F.col(source_type))).select(
-        key, source_type, F.col("_r.improved").alias("text"), F.col("_r.score").alias("readability")
-    )
-    blocks = classify_blocks(split_blocks(split_lines(d.select(key, source_type, "text")), key), key, source_type)
-    spoken = blocks.withColumn("_l", L.detect_language(L.language_scores(F.array_join("lines", "\n"))))
-    by_blocks = LO.detect_language_by_blocks(spoken.select(key, "block_no", "_l.language", "_l.confidence"), key)
-    d = rebuild_text(d, key, "text", source_type).join(by_blocks.select(key, F.col("language").alias("_blocks")), key, "left")
-    whole = L.detect_language(L.language_scores(F.col("clean_text")))["language"]
-    told = F.when(F.coalesce("_blocks", F.lit("unknown")) != "unknown", F.col("_blocks")).otherwise(whole)
+    d = df.select(key, source_type, _normalized(F.col(text), F.col(source_type), improve).alias("_d"))
     pages = d.select(
-        key, source_type, F.col("mode").alias("document_mode"), "readability", told.alias("document_language"),
-        F.posexplode(paginate(F.col("clean_text"), F.col("mode"))).alias("_p", "page"),
-    ).withColumn("_k", F.struct(key, F.col("_p")))
-    page_blocks = classify_blocks(split_blocks(split_lines(pages.select("_k", source_type, F.col("page").alias("text"))), "_k"), "_k", source_type)
-    modes = document_structure_mode(page_blocks, "_k").select("_k", "mode")
-    return pages.join(modes, "_k", "left").select(
-        key, (F.col("_p") + 1).alias("page_no"), "page", F.coalesce("mode", F.lit("plain_prose")).alias("mode"),
-        L.detect_language(L.language_scores(F.col("page")))["language"].alias("language"),
-        "document_mode", "document_language", "readability",
+        key, source_type, F.col("_d.mode").alias("document_mode"), "_d.readability", _told(F.col("_d")).alias("document_language"),
+        F.posexplode(paginate(F.col("_d.text"), F.col("_d.mode"))).alias("_p", "page"),
+    )
+    return pages.select(
+        key, (F.col("_p") + 1).alias("page_no"), "page", K.structure(F.col("page"), F.col(source_type))["mode"].alias("mode"),
+        _language(F.col("page")).alias("language"), "document_mode", "document_language", "readability",
+        K.page_tree(F.col("page"), F.col("_p") + 1).alias("blocks"),
+    )
+
+
+def process_pages(
+    df: DataFrame, key: str = "doc_id", pages: str = "pages", layouts: str | None = None, source_type: str = "source_type", improve: bool = True
+) -> DataFrame:
+    """Documents that come as pages: an array of page texts and, if known, of page layouts.
+
+    Each page is processed on its own and pages without text go; the others are numbered anew.  A layout is
+    struct(width, lines), a line struct(text, x0, y0, x1, y1); the blocks of a page with lines come from these, by the
+    order of the pages that are left, and else from its text.  Adds the document's mode, language (of the whole text,
+    else from its pages) and readability to every page.
+    """
+    src = F.col(source_type)
+    done = F.filter(F.transform(F.col(pages), lambda p: _normalized(p, src, improve)), lambda v: v["text"] != "")
+    d = df.select(key, source_type, (F.lit(None) if layouts is None else F.col(layouts)).alias("_l"), done.alias("_ps"))
+    whole = R.strip(F.array_join(F.transform("_ps", lambda v: v["text"]), "\n\n"))
+    d = d.withColumn("_spoken", F.transform("_ps", _told)).withColumn("_whole", whole)
+    d = d.select(
+        key, "_l", "_ps", "_spoken", Q.readability(F.col("_whole"), src)["score"].alias("readability"), _language(F.col("_whole")).alias("_lang"),
+        K.mode_of_pages(F.transform("_ps", lambda v: v["mode"])).alias("document_mode"),
+    ).withColumn("document_language", F.when(F.col("_lang") != "unknown", F.col("_lang")).otherwise(K.language_of_pages(F.col("_spoken"))))
+    rows = d.select(key, "document_mode", "document_language", "readability", "_l", "_spoken", F.posexplode("_ps").alias("_p", "_v"))
+    plain = K.page_tree(F.col("_v.text"), F.col("_p") + 1)
+    blocks = plain
+    if layouts is not None:
+        own = F.get(F.col("_l"), F.col("_p"))
+        blocks = F.when(F.coalesce(F.size(own["lines"]), F.lit(0)) > 0, G.page_tree(own["lines"], own["width"], F.col("_p") + 1)).otherwise(plain)
+    return rows.select(
+        key, (F.col("_p") + 1).alias("page_no"), F.col("_v.text").alias("page"), F.col("_v.mode").alias("mode"),
+        F.get("_spoken", F.col("_p")).alias("language"), "document_mode", "document_language", "readability", blocks.alias("blocks"),
     )

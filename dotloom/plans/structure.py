@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import regex as R
 from ..functions import transcode as X
@@ -11,7 +12,8 @@ from ..operators import align as A, layout as E, structure as S, transcoding as
 from . import duck as D, sqlrules as Q
 from .catalog import catalog
 from .sqlrepair import segments_sql
-from .views import library_docs, marked_docs, marked_lines, paragraph_docs, paragraph_text, table, with_views
+from .sqlstructure import plain_blocks_sql, recursive
+from .views import library_docs, marked_docs, marked_lines, marked_pages, paragraph_docs, paragraph_text, table, with_views
 
 # ------------------------------------------------------------------ structure
 
@@ -148,16 +150,11 @@ def _(spark, sf):
 
 
 def _typed(spark, sf) -> DataFrame:
-    """Typed blocks of marked documents, one page each, blocks cut at blank lines."""
-    lines = S.split_blocks(marked_lines(spark, sf).select("doc_id", "line_no", "text"))
-    t = S.classify_typed_blocks(lines.withColumn("page_no", F.lit(1)), ["doc_id", "page_no"])
-    return S.block_ids(t)
+    """Typed blocks of marked documents with pages of nine lines."""
+    return S.typed_blocks(marked_pages(spark, sf)).drop("source_type")
 
 
-_TLINES = f"""t1 AS (SELECT doc_id, line_no, text, {Q.trim('text')} = '' AS b FROM marked_lines),
- t2 AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY line_no), true) AS pb FROM t1),
- t3 AS (SELECT *, CAST(sum(CASE WHEN NOT b AND pb THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS block_no FROM t2),
- t4 AS (SELECT doc_id, block_no, line_no, regexp_replace(text, '\\s+$', '') AS text FROM t3 WHERE NOT b)"""
+_TLINES = plain_blocks_sql("(SELECT doc_id, line_no // 9 + 1 AS page_no, line_no, text FROM marked_lines)")
 _RAW_MATH = Q.any_of(Q.trim("text"), P.LAYOUT_MATH_SYMBOL, P.LAYOUT_MATH_NAME, P.LAYOUT_MATH_CALL)
 
 
@@ -172,29 +169,28 @@ def typed_sql(src: str, keys: str, order: str) -> str:
   WHEN oa AND NOT {Q.is_rule_item('first')} AND n_lines >= 2 THEN 'equation_group' ELSE 'paragraph' END AS type FROM y2)"""
 
 
-_TYPED = f"""{_TLINES}, {typed_sql('t4', 'doc_id', 'line_no')},
- tb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) - 1 AS ord FROM ty),
- ti AS (SELECT *, concat('block-1-', lpad(CAST(ord AS VARCHAR), 4, '0')) AS id FROM tb)"""
+_TYPED = f"""{_TLINES}, {typed_sql('pb', 'doc_id, page_no', 'line_no')},
+ ti AS (SELECT *, block_no AS ord, concat('block-', page_no, '-', lpad(CAST(block_no AS VARCHAR), 4, '0')) AS id FROM ty)"""
 
 
 def _typed_query(name: str, ids: str, sql: str):
-    return catalog.add(name, ids, with_views(f"WITH {_TYPED}{sql}", "marked_docs", "marked_lines"))
+    return catalog.add(name, ids, recursive(with_views(f"WITH {_TYPED}{sql}", "marked_docs", "marked_lines")))
 
 
-@_typed_query("typed_blocks", "D10", " SELECT doc_id, block_no, type, n_lines, content FROM ti")
+@_typed_query("typed_blocks", "D10", " SELECT doc_id, page_no, block_no, type, n_lines, content FROM ti")
 def _(spark, sf):
-    return _typed(spark, sf).select("doc_id", "block_no", "type", "n_lines", "content")
+    return _typed(spark, sf).select("doc_id", "page_no", "block_no", "type", F.size("lines").alias("n_lines"), "content")
 
 
-@_typed_query("block_ids", "D15", " SELECT doc_id, id, ord FROM ti")
+@_typed_query("block_ids", "D15", " SELECT doc_id, page_no, id, ord FROM ti")
 def _(spark, sf):
-    return _typed(spark, sf).select("doc_id", "id", "ord")
+    return _typed(spark, sf).select("doc_id", "page_no", "id", "ord")
 
 
-@_typed_query("equation_steps", "D11", """, st AS (SELECT doc_id, id AS parent_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS ord, unnest(x) AS content FROM (SELECT doc_id, id, string_split(content, chr(10)) AS x FROM ti WHERE type = 'equation_group'))
-SELECT doc_id, parent_id, concat(parent_id, '-step-', lpad(CAST(ord + 1 AS VARCHAR), 2, '0')) AS id, ord, 'equation_step' AS type, trim(content) AS content FROM st""")
+@_typed_query("equation_steps", "D11", """, st AS (SELECT doc_id, id AS parent_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS ord, unnest(x) AS content FROM (SELECT doc_id, id, string_split(raw, chr(10)) AS x FROM ti WHERE type = 'equation_group'))
+SELECT doc_id, parent_id, concat(parent_id, '-step-', lpad(CAST(ord + 1 AS VARCHAR), 2, '0')) AS id, ord, 'equation_step' AS type, content FROM st""")
 def _(spark, sf):
-    return S.equation_steps(_typed(spark, sf)).withColumn("content", F.trim("content"))
+    return S.equation_steps(_typed(spark, sf))
 
 
 @_typed_query("example_parts", "D12", f""", e1 AS (SELECT doc_id, id AS parent_id, {Q.trim('string_split(content, chr(10))[1]')} AS f, {Q.trim("array_to_string(string_split(content, chr(10))[2:], ' ')")} AS rest FROM ti WHERE type = 'example'),
@@ -282,27 +278,33 @@ def _(spark, sf):
 # ---------------------------------------------------------------------- layout
 
 
+PAGE_LINES = 14
+
+
 def layout(spark, sf) -> DataFrame:
-    """marked_lines on a page: sidebars every ninth line, gaps every seventh."""
-    n = F.col("line_no")
+    """marked_lines on pages of fourteen: sidebars every ninth line, gaps every seventh."""
+    n = F.col("line_no") % PAGE_LINES
     side, drop = n % 9 == 8, 14 * n + 20 * F.floor(n / 7).cast("int")
     return marked_lines(spark, sf).select(
-        "doc_id", F.lit(1).alias("page_no"), "line_no", "text",
+        "doc_id", (F.floor(F.col("line_no") / PAGE_LINES) + 1).cast("int").alias("page_no"), "line_no", "text",
         F.when(side, 470).when(n % 5 == 3, 100).otherwise(72).alias("x0"),
         F.when(side, 570).otherwise(72 + F.least(F.lit(468), 6 * F.length("text"))).alias("x1"),
         (768 - drop).alias("y1"), (780 - drop).alias("y0"),
     )
 
 
-_LAY = """lay AS (SELECT doc_id, 1 AS page_no, line_no, text, CASE WHEN line_no % 9 = 8 THEN 470 WHEN line_no % 5 = 3 THEN 100 ELSE 72 END AS xa, CASE WHEN line_no % 9 = 8 THEN 570 ELSE 72 + least(468, 6 * length(text)) END AS xb,
- 768 - 14 * line_no - 20 * CAST(floor(line_no / 7) AS INT) AS yb, 780 - 14 * line_no - 20 * CAST(floor(line_no / 7) AS INT) AS ya FROM marked_lines),
+_LAY = f"""lay AS (SELECT doc_id, page_no, line_no, text, CASE WHEN n % 9 = 8 THEN 470 WHEN n % 5 = 3 THEN 100 ELSE 72 END AS xa, CASE WHEN n % 9 = 8 THEN 570 ELSE 72 + least(468, 6 * length(text)) END AS xb,
+ 768 - 14 * n - 20 * CAST(floor(n / 7) AS INT) AS yb, 780 - 14 * n - 20 * CAST(floor(n / 7) AS INT) AS ya FROM (SELECT *, line_no % {PAGE_LINES} AS n, CAST(line_no // {PAGE_LINES} + 1 AS INT) AS page_no FROM marked_lines)),
  nb AS (SELECT doc_id, page_no, line_no, text, CAST(least(xa, xb) AS DOUBLE) AS x0, CAST(least(ya, yb) AS DOUBLE) AS y0, CAST(greatest(xa, xb) AS DOUBLE) AS x1, CAST(greatest(ya, yb) AS DOUBLE) AS y1 FROM lay),
  nx AS (SELECT *, x1 - x0 AS width, y1 - y0 AS height, (x0 + x1) / 2 AS x_mid, (y0 + y1) / 2 AS y_mid FROM nb)"""
 
 
-def _layout_query(name: str, ids: str, sql: str, recursive: bool = False):
-    body = with_views(f"WITH {_LAY}{sql}", "marked_docs", "marked_lines")
-    return catalog.add(name, ids, body.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else body)
+def _layout_query(name: str, ids: str, sql: str):
+    return catalog.add(name, ids, recursive(with_views(f"WITH {_LAY}{sql}", "marked_docs", "marked_lines")))
+
+
+def _pages(spark, sf) -> DataFrame:
+    return E.pages(layout(spark, sf))
 
 
 @_layout_query("normalized_boxes", "E1", """, pr AS (SELECT *, lag(y0) OVER w AS p0, lag(y1) OVER w AS p1 FROM nx WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
@@ -320,13 +322,9 @@ _ORDER = f""", ro1 AS (SELECT *, lag(y_mid) OVER (PARTITION BY doc_id, page_no O
  ro AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band, x0, text, y_mid DESC) - 1 AS ord FROM ro2)"""
 
 
-def _ordered(spark, sf) -> DataFrame:
-    return E.reading_order(E.normalize_bbox(layout(spark, sf)))
-
-
 @_layout_query("line_reading_order", "E2", f"{_ORDER} SELECT doc_id, page_no, line_no, band, ord FROM ro")
 def _(spark, sf):
-    return _ordered(spark, sf).select("doc_id", "page_no", "line_no", "band", "ord")
+    return E.reading_order(_pages(spark, sf)).select("doc_id", "page_no", "line_no", "band", "ord")
 
 
 _BAND = """, mt AS (SELECT doc_id, page_no, median(width) FILTER (WHERE width > 0) AS t, count(*) AS n FROM ro GROUP BY doc_id, page_no),
@@ -336,7 +334,7 @@ _BAND = """, mt AS (SELECT doc_id, page_no, median(width) FILTER (WHERE width >
 
 @_layout_query("main_column_bands", "E3", f"{_ORDER}{_BAND} SELECT * FROM mb")
 def _(spark, sf):
-    return E.main_column_band(_ordered(spark, sf))
+    return E.main_column_band(_pages(spark, sf))
 
 
 _REGION = f"""{_BAND}, g1 AS (SELECT r.*, band_x0, band_x1, band_center, count(*) OVER (PARTITION BY r.doc_id, r.page_no) AS n FROM ro r LEFT JOIN mb USING (doc_id, page_no)),
@@ -350,37 +348,42 @@ _REGION = f"""{_BAND}, g1 AS (SELECT r.*, band_x0, band_x1, band_center, count(*
 
 @_layout_query("line_regions", "E4", f"{_ORDER}{_REGION} SELECT doc_id, page_no, line_no, region FROM rg")
 def _(spark, sf):
-    return E.assign_regions(_ordered(spark, sf)).select("doc_id", "page_no", "line_no", "region")
+    return E.assign_regions(_pages(spark, sf)).select("doc_id", "page_no", "line_no", "region")
 
 
 # the same rules as a recursive walk over the ordered lines of each region
-_LBLOCKS = f"""{_REGION}, b1 AS (SELECT doc_id, page_no, region, line_no, text, x0, y0, x1, y1, y_mid, height, ord, row_number() OVER (PARTITION BY doc_id, page_no, region ORDER BY ord) AS i, median(height) FILTER (WHERE height > 0) OVER (PARTITION BY doc_id, page_no, region) AS h,
-   {Q.is_equation_step('text')} AS step, {Q.is_prose('text')} AS prose, {Q.is_short_explanation('text')} AS short, ({Q.is_caption('text')} OR {Q.keyword_type('text')} IS NOT NULL) AS kc, {Q.is_layout_heading('text')} AS heading FROM rg),
- b2 AS (SELECT *, 0 AS block_no, step AS eq, prose AS seen FROM b1 WHERE i = 1
-  UNION ALL SELECT doc_id, page_no, region, line_no, text, x0, y0, x1, y1, y_mid, height, ord, i, h, step, prose, short, kc, heading,
-   CASE WHEN cut THEN pno + 1 ELSE pno END, CASE WHEN cut THEN step ELSE peq AND step END, CASE WHEN cut THEN prose ELSE pseen OR prose END FROM (
-   SELECT n.*, p.block_no AS pno, p.eq AS peq, p.seen AS pseen, CASE WHEN n.kc OR (n.heading AND p.seen) OR (abs(p.x0 - n.x0) > 612 * 0.06 AND n.heading) THEN true
-    WHEN p.y_mid - n.y_mid <= greatest(coalesce(n.h, 12) * 1.5, 16) AND p.step AND n.step AND NOT n.short THEN false WHEN p.eq AND (n.prose OR n.short) THEN true ELSE p.y_mid - n.y_mid > greatest(coalesce(n.h, 12) * 1.9, 18) END AS cut
+def _lblocks(continuation: bool) -> str:
+    gap, no = "p.y_mid - n.y_mid", "false"
+    ends = """p.kw = 'example' AND (n.prose OR n.short) AND NOT n.math AND NOT n.kc AND abs(n.x0 - p.fx) <= 612 * 0.03 AND p.body AND (p.x0 - p.fx >= 612 * 0.035 OR p.math)"""
+    runs = f"""(p.kw = 'theorem' AND NOT n.te AND {gap} <= greatest(coalesce(n.h, 12) * 3.2, 48)) OR (p.kw = 'example' AND NOT n.ee AND NOT n.kc AND {gap} <= greatest(coalesce(n.h, 12) * 2.35, 32) AND (n.prose OR n.short OR n.math OR n.step))"""
+    first = f"WHEN coalesce({ends}, false) THEN true WHEN coalesce({runs}, false) THEN false" if continuation else ""
+    names = "doc_id, page_no, region, line_no, text, x0, y0, x1, y1, y_mid, height, ord, i, h, step, prose, short, kc, heading, math, te, ee, nkw"
+    return f"""{_REGION}, b1 AS (SELECT doc_id, page_no, region, line_no, text, x0, y0, x1, y1, y_mid, height, ord, row_number() OVER (PARTITION BY doc_id, page_no, region ORDER BY ord) AS i, median(height) FILTER (WHERE height > 0) OVER (PARTITION BY doc_id, page_no, region) AS h,
+   {Q.is_equation_step('text')} AS step, {Q.is_prose('text')} AS prose, {Q.is_short_explanation('text')} AS short, ({Q.is_caption('text')} OR {Q.keyword_type('text')} IS NOT NULL) AS kc, {Q.is_layout_heading('text')} AS heading,
+   {Q.is_layout_math('text')} AS math, {Q.is_theorem_boundary('text')} AS te, {Q.is_example_boundary('text')} AS ee, {Q.keyword_type('text')} AS nkw FROM rg),
+ b2 AS (SELECT {names}, 0 AS block_no, step AS eq, prose AS seen, nkw AS kw, x0 AS fx, false AS body FROM b1 WHERE i = 1
+  UNION ALL SELECT {names}, CASE WHEN cut THEN pno + 1 ELSE pno END, (cut OR peq) AND step, (NOT cut AND pseen) OR prose, CASE WHEN cut THEN nkw ELSE pkw END, CASE WHEN cut THEN x0 ELSE pfx END, NOT cut AND (pbody OR x0 - pfx >= 612 * 0.035 OR math) FROM (
+   SELECT n.*, p.block_no AS pno, p.eq AS peq, p.seen AS pseen, p.kw AS pkw, p.fx AS pfx, p.body AS pbody, CASE {first} WHEN n.kc OR (n.heading AND p.seen) OR (abs(p.x0 - n.x0) > 612 * 0.06 AND n.heading) THEN true
+    WHEN {gap} <= greatest(coalesce(n.h, 12) * 1.5, 16) AND p.step AND n.step AND NOT n.short THEN false WHEN p.eq AND (n.prose OR n.short) THEN true ELSE {gap} > greatest(coalesce(n.h, 12) * 1.9, 18) END AS cut
    FROM b2 p JOIN b1 n ON n.doc_id = p.doc_id AND n.page_no = p.page_no AND n.region = p.region AND n.i = p.i + 1))"""
 
 
-def _blocks(spark, sf, continuation: bool) -> DataFrame:
-    return E.layout_blocks(E.assign_regions(_ordered(spark, sf)), continuation=continuation)
+_LBLOCKS = _lblocks(False)
 
 
-@_layout_query("layout_blocks", "E5", f"{_ORDER}{_LBLOCKS} SELECT doc_id, page_no, region, line_no, block_no FROM b2", True)
+@_layout_query("layout_blocks", "E5", f"{_ORDER}{_LBLOCKS} SELECT doc_id, page_no, region, line_no, block_no FROM b2")
 def _(spark, sf):
-    return _blocks(spark, sf, False).select("doc_id", "page_no", "region", "line_no", "block_no")
+    return E.layout_blocks(_pages(spark, sf), continuation=False).select("doc_id", "page_no", "region", "line_no", "block_no")
 
 
-@catalog.add("layout_blocks_with_continuation", "E6")
+@_layout_query("layout_blocks_with_continuation", "E6", f"{_ORDER}{_lblocks(True)} SELECT doc_id, page_no, region, line_no, block_no FROM b2")
 def _(spark, sf):
-    return _blocks(spark, sf, True).select("doc_id", "page_no", "region", "line_no", "block_no")
+    return E.layout_blocks(_pages(spark, sf)).select("doc_id", "page_no", "region", "line_no", "block_no")
 
 
-@_layout_query("block_boxes", "E7", f"{_ORDER}{_LBLOCKS} SELECT doc_id, page_no, region, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines FROM b2 GROUP BY doc_id, page_no, region, block_no", True)
+@_layout_query("block_boxes", "E7", f"{_ORDER}{_LBLOCKS} SELECT doc_id, page_no, region, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines FROM b2 GROUP BY doc_id, page_no, region, block_no")
 def _(spark, sf):
-    return E.block_bbox(_blocks(spark, sf, False), ["doc_id", "page_no", "region", "block_no"])
+    return E.block_bbox(_pages(spark, sf), continuation=False)
 
 
 @_layout_query("block_reading_order", "E8", f"""{_ORDER}{_LBLOCKS}, {typed_sql('b2', 'doc_id, page_no, region', 'ord')},
@@ -389,10 +392,9 @@ def _(spark, sf):
    greatest(coalesce(median(y1 - y0) FILTER (WHERE y1 - y0 > 0) OVER (PARTITION BY doc_id, page_no), 14) * 1.6, 26) AS tol FROM ty JOIN bx USING (doc_id, page_no, region, block_no)),
  z2 AS (SELECT *, lag(y1) OVER (PARTITION BY doc_id, page_no ORDER BY y1 DESC, x0, region, block_no) - y1 AS gap FROM z1),
  z3 AS (SELECT *, CAST(sum(CASE WHEN gap > tol THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY y1 DESC, x0, region, block_no ROWS UNBOUNDED PRECEDING) AS INT) AS band FROM z2)
-SELECT doc_id, page_no, region, block_no, type, band, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band, CASE WHEN region = 'main' THEN 0 ELSE 1 END, x0, block_no, region) - 1 AS ord FROM z3""", True)
+SELECT doc_id, page_no, region, block_no, type, band, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band, CASE WHEN region = 'main' THEN 0 ELSE 1 END, x0, block_no, region) - 1 AS ord FROM z3""")
 def _(spark, sf):
-    typed = E.typed_layout_blocks(_blocks(spark, sf, False))
-    return E.block_reading_order(typed).select("doc_id", "page_no", "region", "block_no", "type", "band", "ord")
+    return E.block_reading_order(_pages(spark, sf), continuation=False).select("doc_id", "page_no", "region", "block_no", "type", "band", "ord")
 
 
 def _items(spark, sf) -> DataFrame:
@@ -407,9 +409,19 @@ def _items(spark, sf) -> DataFrame:
     )
 
 
-@catalog.add("lines_from_items", "E9")
+_ITEMS = f""", iw AS (SELECT doc_id, page_no, xa, yb, string_split(text, ' ') AS ws FROM lay), iu AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM iw),
+ ii AS (SELECT doc_id, page_no, ws[i] AS str, CAST(xa + 6 * coalesce(list_sum(list_transform(ws[1 : i - 1], lambda w: length(w) + 1)), 0) AS DOUBLE) AS x, CAST(yb AS DOUBLE) AS y, CAST(6 * length(ws[i]) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height FROM iu WHERE {Q.trim('ws[i]')} <> ''),
+ ia AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x) - y AS fall FROM ii),
+ il AS (SELECT *, CAST(sum(CASE WHEN fall > greatest(height * 0.45, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x ROWS UNBOUNDED PRECEDING) AS INT) AS line_no FROM ia),
+ ig AS (SELECT *, {Q.trim("regexp_replace(str, '" + chr(92) + "s+', ' ', 'g')")} AS word, x - lag(x + width) OVER w AS gap, lag(str) OVER w AS prev FROM il WINDOW w AS (PARTITION BY doc_id, page_no, line_no ORDER BY x)),
+ ij AS (SELECT *, concat(CASE WHEN prev IS NOT NULL AND ((gap > greatest(height * 0.2, 2.4) AND NOT regexp_matches(word, '^[,.;:!?)}}\\]»]') AND NOT regexp_matches({Q.trim('prev')}, '[({{\\[«]$')) OR regexp_matches(str, '^\\s') OR regexp_matches(prev, '\\s$')) THEN ' ' ELSE '' END, word) AS t FROM ig),
+ lj AS (SELECT doc_id, page_no, line_no, string_agg(t, '' ORDER BY x) AS raw, min(x) AS x0, max(x + width) AS x1, avg(y) AS y, max(height) AS height, min(y - height) AS y0, max(y + height) AS y1 FROM ij GROUP BY doc_id, page_no, line_no),
+ ln AS (SELECT doc_id, page_no, line_no, {Q.normalize_pdf_math('raw')} AS text, x0, x1, y, height, y0, y1 FROM lj)"""
+
+
+@_layout_query("lines_from_items", "E9", f"{_ITEMS} SELECT * FROM ln")
 def _(spark, sf):
-    return E.items_to_lines(_items(spark, sf))
+    return E.items_to_lines(E.pages(_items(spark, sf)))
 
 
 @_layout_query("blank_line_gaps", "E10", """, v AS (SELECT doc_id, page_no, line_no, text, y1 AS y, height, x0 FROM nx),
@@ -417,20 +429,35 @@ def _(spark, sf):
  v2 AS (SELECT doc_id, page_no, i, 1 AS j, text, 'text' AS kind FROM v1 UNION ALL SELECT doc_id, page_no, i, 0, '', 'empty' FROM v1 WHERE wide)
 SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i, j) - 1 AS ord, text, kind FROM v2""")
 def _(spark, sf):
-    l = E.normalize_bbox(layout(spark, sf)).withColumn("y", F.col("y1"))
-    return E.blank_line_gaps(l)
+    return E.blank_line_gaps(_pages(spark, sf))
+
+
+def _fragment(x: str) -> str:
+    return Q.any_of(Q.trim(x), *G.MATH_FRAGMENT)
+
+
+_STACKED = f"""{_ITEMS}, s1 AS (SELECT *, {_fragment('text')} AS m, (x1 - x0 <= 150 OR length(text) <= 18 OR NOT regexp_matches(text, '\\s')) AS mi, {D.matches('text', '[=≠≤≥]')} AS re FROM ln),
+ s2 AS (SELECT *, lag(y) OVER w AS py, lag(height) OVER w AS ph, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1, lag(m) OVER w AS pm, lag(mi) OVER w AS pmi FROM s1 WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y DESC, x0)),
+ s3 AS (SELECT *, CASE WHEN coalesce(py - y > 0 AND py - y <= greatest(height, ph) * 2.2 AND least(x1, p1) - greatest(x0, p0) > 0 AND least(x1, p1) - greatest(x0, p0) >= least(x1 - x0, p1 - p0) * 0.18 AND (mi OR pmi) AND (m OR pm), false) THEN 0 ELSE 1 END AS fresh FROM s2),
+ s4 AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x0 ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS group_no FROM s3),
+ s5 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, group_no) AS n, first_value(y) OVER (PARTITION BY doc_id, page_no, group_no ORDER BY re DESC, CASE WHEN re THEN y ELSE x1 - x0 END DESC, y DESC) AS base FROM s4),
+ s6 AS (SELECT ij.*, group_no, base, max(x + width) OVER (PARTITION BY doc_id, page_no, group_no ORDER BY x, ij.y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ij JOIN (SELECT doc_id, page_no, line_no, group_no, base FROM s5 WHERE n > 1) USING (doc_id, page_no, line_no)),
+ s7 AS (SELECT *, sum(CASE WHEN x > reach + greatest(height * 0.6, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, group_no ORDER BY x, y ROWS UNBOUNDED PRECEDING) AS col, CASE WHEN y > base + greatest(height * 0.35, 2) THEN 'u' WHEN y < base - greatest(height * 0.35, 2) THEN 'l' ELSE 'b' END AS role FROM s6),
+ s8 AS (SELECT doc_id, page_no, group_no, col, {', '.join(f"coalesce(string_agg({Q.trim('str')}, ' ' ORDER BY x, y) FILTER (WHERE role = '{r}'), '') AS {r}" for r in 'bul')} FROM s7 GROUP BY doc_id, page_no, group_no, col),
+ s9 AS (SELECT doc_id, page_no, group_no, string_agg(CASE WHEN lower(b) = 'lim' AND l <> '' THEN concat('lim ', l) WHEN u <> '' AND l <> '' THEN concat(CASE WHEN b <> '' THEN concat(b, ' ') ELSE '' END, u, '/', l) ELSE concat_ws(' ', nullif(b, ''), nullif(u, ''), nullif(l, '')) END, ' ' ORDER BY col) AS m FROM s8 GROUP BY doc_id, page_no, group_no),
+ sa AS (SELECT doc_id, page_no, group_no, arg_min(text, line_no) AS t, count(*) AS n_lines, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(y) AS y FROM s5 GROUP BY doc_id, page_no, group_no),
+ sb AS (SELECT doc_id, page_no, group_no, CASE WHEN m IS NULL THEN t ELSE {Q.normalize_pdf_math("regexp_replace(m, '" + chr(92) + "s+,', ',', 'g')")} END AS text, n_lines, x0, y0, x1, y1, y FROM sa LEFT JOIN s9 USING (doc_id, page_no, group_no))"""
 
 
-@catalog.add("merged_math_lines", "E11")
+@_layout_query("merged_math_lines", "E11", f"{_STACKED} SELECT *, CASE WHEN {_fragment('text')} THEN 'math' ELSE 'text' END AS kind FROM sb")
 def _(spark, sf):
-    it = E.assign_lines(_items(spark, sf))
-    return E.merge_math_lines(E.items_to_lines(it), it)
+    return E.merge_math_lines(E.pages(_items(spark, sf)))
 
 
 @_layout_query("segmentation_report", "E12", f"""{_ORDER}{_LBLOCKS}
-SELECT doc_id, page_no, region, string_agg(printf('p%d-l%03d', page_no, line_no + 1), ',' ORDER BY ord) AS line_ids, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines, count(DISTINCT block_no) AS n_blocks FROM b2 GROUP BY doc_id, page_no, region""", True)
+SELECT doc_id, page_no, region, string_agg(printf('p%d-l%03d', page_no, line_no + 1), ',' ORDER BY ord) AS line_ids, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines, count(DISTINCT block_no) AS n_blocks FROM b2 GROUP BY doc_id, page_no, region""")
 def _(spark, sf):
-    return E.segmentation_report(_blocks(spark, sf, False))
+    return E.segmentation_report(_pages(spark, sf), continuation=False)
 
 
 # ------------------------------------------------------------------- alignment

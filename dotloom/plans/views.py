@@ -174,15 +174,27 @@ SELECT doc_id, lang, (['manual','pdf','image','camera'])[doc_id % 4 + 1] AS sour
  concat_ws(chr(10), text, {', '.join(f"({_LIST})[(doc_id * {m} + {k}) % {len(SNIPPETS)} + 1]" for m, k in PICKS)}) AS text FROM documents"""
 
 
+def _spaced(text: Column) -> Column:
+    return F.flatten(
+        F.transform(F.split(text, "\n"), lambda l, i: F.when(i % 6 == 5, F.array(l, F.lit(""))).otherwise(F.array(l)))
+    )
+
+
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of marked_docs; every sixth line is followed by a blank one."""
-    lines = F.split("text", "\n")
-    spaced = F.flatten(
-        F.transform(lines, lambda l, i: F.when(i % 6 == 5, F.array(l, F.lit(""))).otherwise(F.array(l)))
-    )
     return marked_docs(spark, sf_dir).select(
-        "doc_id", "source_type", F.posexplode(spaced).alias("line_no", "text")
+        "doc_id", "source_type", F.posexplode(_spaced(F.col("text"))).alias("line_no", "text")
+    )
+
+
+def marked_pages(spark: SparkSession, sf_dir: str, size: int = 9) -> DataFrame:
+    """The lines of marked_lines as an array of page texts, ``size`` lines each."""
+    d = marked_docs(spark, sf_dir).select("doc_id", "source_type", _spaced(F.col("text")).alias("_l"))
+    pages = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / size).cast("int")),
+        lambda p: F.array_join(F.slice("_l", p * size + 1, F.lit(size)), "\n"),
     )
+    return d.select("doc_id", "source_type", pages.alias("pages"))
 
 
 MARKED_LINES = """
