@@ -332,53 +332,51 @@ def tree(pages: Column) -> Column:
 
 
 def leaves(blocks: Column) -> Column:
-    """Leaves of a block tree in order: array of struct(top, child, id, parent_id, type, content).
+    """Leaves of a block tree in order: array of struct(child, of, id, type, content, parent_id, parent_type).
 
     ``child`` is the place among its siblings, from 0, and ``of`` how many there are (0 for a block without children).
     """
-    leaf = lambda b, i, c, id, parent, kind, content: F.struct(
-        i.alias("top"), c.cast("int").alias("child"), F.size(b["children"]).alias("of"), id.alias("id"),
-        parent.cast("string").alias("parent_id"), kind.alias("type"), content.alias("content"),
-    )
+
+    def leaf(b: Column, j: Column, c: Column, parent: bool) -> Column:
+        null = F.lit(None).cast("string")
+        return F.struct(
+            j.cast("int").alias("child"), F.size(b["children"]).alias("of"), *[c[n].alias(n) for n in ("id", "type", "content")],
+            (b["id"] if parent else null).alias("parent_id"), (b["type"] if parent else null).alias("parent_type"),
+        )
+
     return F.flatten(
         F.transform(
             blocks,
-            lambda b, i: F.when(
-                F.size(b["children"]) > 0,
-                F.transform(b["children"], lambda c, j: leaf(b, i, j, c["id"], b["id"], c["type"], c["content"])),
-            ).otherwise(F.array(leaf(b, i, F.lit(0), b["id"], F.lit(None), b["type"], b["content"]))),
+            lambda b: F.when(F.size(b["children"]) > 0, F.transform(b["children"], lambda c, j: leaf(b, j, c, True)))
+            .otherwise(F.array(leaf(b, F.lit(0), b, False))),
         )
     )
 
 
 def with_parents(cells: Column) -> Column:
-    """Leaves with their ``cells`` -> struct(id, parent_id, cells) of leaves and of parents, which join their children.
+    """Leaves with their ``cells`` -> struct(id, parent_id, type, cells) of leaves and of parents, which join their children.
 
     The leaves of a parent are neighbours, so a parent is the slice that begins at its first child.
     """
-    out = lambda id, parent, c: F.struct(id.alias("id"), parent.cast("string").alias("parent_id"), c.alias("cells"))
+
+    def node(id: Column, parent: Column, kind: Column, c: Column) -> Column:
+        return F.struct(id.alias("id"), parent.cast("string").alias("parent_id"), kind.alias("type"), c.alias("cells"))
+
+    def parent(x: Column) -> Column:
+        own = F.filter(F.transform(F.slice(cells, x["k"] + 1, x["l"]["of"]), lambda c: c["cells"]), lambda c: c != "")
+        return node(x["l"]["parent_id"], F.lit(None), x["l"]["parent_type"], F.array_join(own, "\n\n"))
+
     numbered = F.transform(cells, lambda l, k: F.struct(k.alias("k"), l.alias("l")))
     heads = F.filter(numbered, lambda x: (x["l"]["of"] > 0) & (x["l"]["child"] == 0))
-    own = lambda x: F.transform(F.slice(cells, x["k"] + 1, x["l"]["of"]), lambda c: c["cells"])
-    return F.concat(
-        F.transform(cells, lambda l: out(l["id"], l["parent_id"], l["cells"])),
-        F.transform(heads, lambda x: out(x["l"]["parent_id"], F.lit(None), F.array_join(F.filter(own(x), lambda c: c != ""), "\n\n"))),
-    )
+    return F.concat(F.transform(cells, lambda l: node(l["id"], l["parent_id"], l["type"], l["cells"])), F.transform(heads, parent))
 
 
 def attached(blocks: Column, chunks: Column) -> Column:
     """Leaf k takes chunk k, the last leaf takes all that are left; parents join their children."""
-    return R.let(
-        F.struct(leaves(blocks).alias("ls"), chunks.alias("cs")),
-        lambda v: R.let(
-            F.transform(
-                v["ls"],
-                lambda l, k: l.withField(
-                    "cells",
-                    F.when(k == F.size(v["ls"]) - 1, F.array_join(F.slice(v["cs"], k + 1, F.size(v["cs"])), "\n\n"))
-                    .otherwise(F.coalesce(F.get(v["cs"], k), F.lit(""))),
-                ),
-            ),
-            with_parents,
-        ),
-    )
+
+    def pair(v: Column) -> Column:
+        ls, cs = v["ls"], v["cs"]
+        own = lambda k: F.when(k == F.size(ls) - 1, F.array_join(F.slice(cs, k + 1, F.size(cs)), "\n\n"))
+        return F.transform(ls, lambda l, k: l.withField("cells", own(k).otherwise(F.coalesce(F.get(cs, k), F.lit("")))))
+
+    return R.let(R.let(F.struct(leaves(blocks).alias("ls"), chunks.alias("cs")), pair), with_parents)

@@ -6,8 +6,9 @@ position), never on ranges, so no pairs are formed inside a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import blocks as K
 from ..functions import regex as R
 from ..functions import wordrepair as WR
 
@@ -24,16 +25,10 @@ def paragraphs(col: Column) -> Column:
     return F.filter(F.transform(F.split(x, "\n{2,}"), R.strip), lambda p: p != "")
 
 
-def _chunks(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
-    return df.select(key, F.posexplode(paragraphs(F.col(col))).alias("i", name))
+def aligned_rows(original: Column, braille: Column) -> Column:
+    """Original paragraphs with their share of the Braille paragraphs: array of struct(original, braille).
 
-
-def align_paragraphs(df: DataFrame, key: str = "doc_id", original: str = "text", braille: str = "braille") -> DataFrame:
-    """One row per original paragraph with its share of the Braille paragraphs.
-
-    Fewer or as many Braille paragraphs are paired one to one; surplus ones go
-    to proportional buckets.  Both texts are in the same row, so the buckets
-    are array slices and nothing is joined or shuffled.
+    Fewer or as many Braille paragraphs are paired one to one; surplus ones go to proportional buckets.
     """
 
     def pair(v: Column) -> Column:
@@ -51,47 +46,47 @@ def align_paragraphs(df: DataFrame, key: str = "doc_id", original: str = "text",
             .otherwise(F.transform(o, lambda p, i: row(p, bucket(i))))
         )
 
-    both = F.struct(paragraphs(F.col(original)).alias("o"), paragraphs(F.col(braille)).alias("b"))
-    rows = df.select(key, F.posexplode(R.let(both, pair)).alias("row_no", "_r"))
+    return R.let(F.struct(paragraphs(original).alias("o"), paragraphs(braille).alias("b")), pair)
+
+
+def align_paragraphs(df: DataFrame, key: str = "doc_id", original: str = "text", braille: str = "braille") -> DataFrame:
+    """One row per original paragraph with its share of the Braille paragraphs; see ``aligned_rows``.
+
+    Both texts are in the same row, so the buckets are array slices and nothing is joined or shuffled.
+    """
+    rows = df.select(key, F.posexplode(aligned_rows(F.col(original), F.col(braille))).alias("row_no", "_r"))
     return rows.select(key, "row_no", "_r.original", "_r.braille")
 
 
 def align_words(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Word pairs by position inside every aligned row, padded, with a running index."""
-    cut = rows.select(key, "row_no", R.words(R.text("original")).alias("_a"), R.words(R.text("braille")).alias("_b"))
-    # a row without words on either side is one pair of nothing
-    n = F.greatest(F.size("_a"), F.size("_b"), F.lit(1))
-    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at("_a", i).alias("original"), at("_b", i).alias("cells")))
-    every = cut.select(key, "row_no", F.posexplode(pairs).alias("pos", "_w"))
-    order = Window.partitionBy(key).orderBy("row_no", "pos")
-    return every.select(key, "row_no", "pos", "_w.original", "_w.cells", (F.row_number().over(order) - 1).alias("word_index"))
-
-
-def attach_braille(blocks: DataFrame, stored: DataFrame, key: str = "doc_id", braille: str = "braille") -> DataFrame:
-    """Leaf i takes chunk i, the last leaf takes the rest, parents join children.
-
-    ``blocks`` is flat: id, parent_id, ord, and a document-wide leaf order
-    ``seq``; trees have two levels here.
+    """Word pairs by position inside every aligned row, padded, with a running index.
+
+    ``rows`` has a row per document with the array ``rows`` of struct(original, braille), as ``aligned_rows`` makes it.
+    The pairs of all rows are one array, so a word's number is its place in it.
     """
-    parents = blocks.filter(F.col("parent_id").isNotNull()).select(key, F.col("parent_id").alias("id")).distinct()
-    w = Window.partitionBy(key).orderBy("seq")
-    leaves = blocks.join(parents, [key, "id"], "left_anti")
-    leaves = leaves.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    n = leaves.groupBy(key).agg(F.first("_n").alias("_n"))
-    c = _chunks(stored, key, braille, "chunk").withColumnRenamed("i", "j").join(n, key)
-    # every chunk knows its leaf, so the join is on equal keys
-    c = c.select(key, F.least(F.col("j"), F.col("_n") - 1).cast("int").alias("_i"), "j", "chunk")
-    hit = leaves.withColumn("_i", F.col("_i").cast("int")).join(c, [key, "_i"], "left")
-    cells = hit.groupBy(key, "id").agg(
-        F.first("parent_id").alias("parent_id"), F.first("seq").alias("seq"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "chunk")))), lambda s: s["chunk"]), "\n\n").alias("cells"),
-    )
-    inner = cells.filter(F.col("parent_id").isNotNull() & (F.col("cells") != "")).groupBy(key, F.col("parent_id").alias("id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "cells"))), lambda s: s["cells"]), "\n\n").alias("cells")
-    )
-    tops = blocks.join(parents, [key, "id"], "left_semi").select(key, "id", "parent_id", "seq").join(inner, [key, "id"], "left")
-    return cells.select(key, "id", "parent_id", "cells").unionByName(tops.select(key, "id", "parent_id", F.coalesce("cells", F.lit("")).alias("cells")))
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+
+    def pairs(r: Column, n: Column) -> Column:
+        both = F.struct(R.words(R.text(r["original"])).alias("a"), R.words(R.text(r["braille"])).alias("b"))
+        return R.let(
+            both,
+            # a row without words on either side is one pair of nothing
+            lambda v: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(v["a"]), F.size(v["b"]), F.lit(1)) - 1),
+                lambda i: F.struct(n.alias("row_no"), i.alias("pos"), at(v["a"], i).alias("original"), at(v["b"], i).alias("cells")),
+            ),
+        )
+
+    every = rows.select(key, F.posexplode(F.flatten(F.transform("rows", pairs))).alias("word_index", "_w"))
+    return every.select(key, "_w.*", "word_index")
+
+
+def attach_braille(df: DataFrame, keys: list[str] | None = None, tree: str = "tree", braille: str = "braille") -> DataFrame:
+    """Leaf k of a document's block tree takes paragraph k of its Braille, the last leaf takes the rest, parents join
+    their children.  Tree and Braille are in one row, so nothing is joined: (id, parent_id, cells) per node."""
+    keys = keys or ["doc_id"]
+    nodes = K.attached(F.col(tree), paragraphs(F.col(braille)))
+    return df.select(*keys, F.explode(nodes).alias("_n")).select(*keys, "_n.id", "_n.parent_id", "_n.cells")
 
 
 def is_math_text(col: Column) -> Column:
@@ -158,22 +153,24 @@ def interaction_keys(tokens: DataFrame, block: str, segment: str) -> DataFrame:
 
 
 def display_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per line and word: the raw and the repaired word and a running index."""
+    """Per line and word: the raw and the repaired word and a running index, its place among all words of the text."""
     x = F.regexp_replace(F.replace(R.text(text), F.lit("\r\n"), F.lit("\n")), r"\s+\z", "")
-    lines = df.select(key, F.posexplode(F.split(x, "\n")).alias("line_no", "_l"))
-    raw = F.regexp_extract_all("_l", F.lit(r"\S+"), 0)
-    lines = lines.withColumn("_raw", raw).withColumn("_fix", F.regexp_extract_all(WR.repair_text(F.col("_l")), F.lit(r"\S+"), 0))
-    n = F.greatest(F.size("_raw"), F.size("_fix"))
-    words = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            F.coalesce(F.get("_raw", i), F.lit("")).alias("raw"),
-            F.coalesce(F.get("_fix", i), F.get("_raw", i), F.lit("")).alias("repaired"),
-        ),
-    )
-    w = Window.partitionBy(key).orderBy("line_no", "pos")
-    e = lines.select(key, "line_no", F.posexplode(words).alias("pos", "_w"))
-    return e.select(key, "line_no", "pos", "_w.raw", "_w.repaired", (F.row_number().over(w) - 1).alias("word_index"))
+    shown = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), 0)
+
+    def words(line: Column, n: Column) -> Column:
+        return R.let(
+            F.struct(shown(line).alias("raw"), shown(WR.repair_text(line)).alias("fix")),
+            lambda v: F.transform(
+                F.slice(F.sequence(F.lit(0), F.greatest(F.size(v["raw"]), F.size(v["fix"]))), F.lit(1), F.greatest(F.size(v["raw"]), F.size(v["fix"]))),
+                lambda i: F.struct(
+                    n.alias("line_no"), i.alias("pos"), F.coalesce(F.get(v["raw"], i), F.lit("")).alias("raw"),
+                    F.coalesce(F.get(v["fix"], i), F.get(v["raw"], i), F.lit("")).alias("repaired"),
+                ),
+            ),
+        )
+
+    e = df.select(key, F.posexplode(F.flatten(F.transform(F.split(x, "\n"), words))).alias("word_index", "_w"))
+    return e.select(key, "_w.*", "word_index")
 
 
 def review_pages(original_pages: Column, braille: Column) -> Column:

@@ -324,13 +324,13 @@ def block_ids(blocks: DataFrame, key: str = "doc_id", page: str = "page_no", ord
     return b.withColumn("id", K.block_id(F.col(page), F.col("ord")))
 
 
-def _children(blocks: DataFrame, kind: str) -> DataFrame:
+def _of_kind(blocks: DataFrame, kind: str) -> DataFrame:
     return blocks.filter(F.col("type") == kind)
 
 
 def equation_steps(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """One child row per line of an equation group."""
-    x = _children(blocks, "equation_group").select(key, F.col("id").alias("parent_id"), F.posexplode("lines").alias("ord", "content"))
+    x = _of_kind(blocks, "equation_group").select(key, F.col("id").alias("parent_id"), F.posexplode("lines").alias("ord", "content"))
     two = F.lpad((F.col("ord") + 1).cast("string"), F.greatest(F.lit(2), F.length((F.col("ord") + 1).cast("string"))), F.lit("0"))
     return x.select(
         key, "parent_id", F.concat("parent_id", F.lit("-step-"), two).alias("id"), "ord", F.lit("equation_step").alias("type"), "content"
@@ -342,7 +342,7 @@ def example_parts(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     first = R.strip(F.element_at("lines", 1))
     head = lambda g: R.extract(first, P.EXAMPLE_START, g)
     rest = R.strip(F.array_join(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), " "))
-    s = _children(blocks, "example").select(
+    s = _of_kind(blocks, "example").select(
         key, F.col("id").alias("parent_id"),
         F.concat(F.when(head(1) != "", "WORKED EXAMPLE ").otherwise("EXAMPLE "), head(3)).alias("title"),
         R.strip(F.concat_ws(" ", R.strip(head(4)), rest)).alias("_body"),
@@ -367,7 +367,7 @@ INLINE_NOTE = r"^(.+?)(\((?i:If|When|Assume|Provided)\b.*)$"
 
 def theorem_parts(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Heading, introduction, numbered rules, notes and body of every theorem."""
-    x = _children(blocks, "theorem").select(key, F.col("id").alias("parent_id"), F.posexplode("lines").alias("line_no", "_l"))
+    x = _of_kind(blocks, "theorem").select(key, F.col("id").alias("parent_id"), F.posexplode("lines").alias("line_no", "_l"))
     t = R.strip(F.col("_l"))
     intro = R.extract(t, rf"^.+?({THEOREM_INTRO}.*)$", 1)
     title = R.strip(R.sub(F.substring(t, F.lit(1), F.length(t) - F.length(intro)), r"[-—–:\s]+$", ""))
@@ -453,6 +453,13 @@ def transcode_blocks(blocks: DataFrame, keys: list[str] | None = None) -> DataFr
     return g.select(*keys, F.explode(done).alias("_z")).select(*keys, *[F.col(f"_z.{c}").alias(c) for c in [*rest, "braille"]])
 
 
+def transcoded(tree: Column, mode: Column) -> Column:
+    """Block tree of a document -> array of struct(id, parent_id, type, cells): leaves converted, parents joined, in the row."""
+    return R.let(
+        F.transform(K.leaves(tree), lambda l: l.withField("cells", block_cells(l["content"], l["type"], mode))), K.with_parents
+    )
+
+
 def first_text(*cols: Column) -> Column:
     """First value that is neither null nor empty, else ''."""
     return F.coalesce(*[F.when(c != "", c) for c in cols], F.lit(""))
@@ -462,38 +469,75 @@ ORIGINAL_FIELDS = ["original_text", "normalized_content", "original_content", "c
 BRAILLE_FIELDS = ["braille_text", "braille_content", "braille"]
 
 
-def _fields(df: DataFrame, names: list[str]) -> list[Column]:
-    return [F.col(n) for n in names if n in df.columns]
+KEPT_WHOLE = ["equation_group", "theorem"]
 
 
-def display_segments(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What a reader shows: leaves and whole equation groups or theorems, empties dropped."""
-    has_child = blocks.filter(F.col("parent_id").isNotNull()).groupBy(key, F.col("parent_id").alias("id")).agg(F.lit(True).alias("_kids"))
-    kept_whole = ["equation_group", "theorem"]
-    b = blocks.join(has_child, [key, "id"], "left")
-    tops = blocks.select(key, F.col("id").alias("parent_id"), F.col("type").alias("_ptype"))
-    b = b.join(tops, [key, "parent_id"], "left")
-    group = F.coalesce(F.col("type").isin(kept_whole), F.lit(False))
-    shown = (F.col("_kids").isNull() | group) & ~F.coalesce(F.col("_ptype").isin(kept_whole), F.lit(False))
-    original = first_text(*_fields(blocks, ORIGINAL_FIELDS))
-    braille = first_text(*_fields(blocks, BRAILLE_FIELDS + ORIGINAL_FIELDS[1:]))
-    out = b.filter(shown).select(key, "id", F.coalesce("type", F.lit("paragraph")).alias("type"), original.alias("original"), braille.alias("cells"))
-    return out.filter((F.col("original") != "") | (F.col("cells") != ""))
+def _node(get, names: list[str]):
+    """First value with text (``any_of``) and first that is not null (``given``) among alternative fields of a node."""
+    any_of = lambda wanted: first_text(*[get(n) for n in wanted if n in names])
+    given = lambda wanted: F.coalesce(*[get(n) for n in wanted if n in names], F.lit(""))
+    return any_of, given
 
 
-def normalize_review_blocks(blocks: DataFrame) -> DataFrame:
-    """Fill missing ids and texts of stored blocks, drop blocks without any text."""
-    i = F.col("ord").cast("string")
-    fallback = F.when(F.col("parent_id").isNotNull(), F.concat("parent_id", F.lit("-child-"), i)).otherwise(
-        F.concat(F.lit("page-"), F.col("page_no").cast("string"), F.lit("-block-"), i)
-    )
-    cols = [F.col(c) for c in blocks.columns if c not in ("id", "original_text", "braille_text")]
-    out = blocks.select(
-        *cols, F.coalesce(F.when(F.col("id") != "", F.col("id")), fallback).alias("id"),
-        F.coalesce(*_fields(blocks, ["original_text", "original_content", "normalized_content", "content", "text"]), F.lit("")).alias("original_text"),
-        F.coalesce(*_fields(blocks, BRAILLE_FIELDS), F.lit("")).alias("braille_text"),
+def _children(blocks: DataFrame) -> list[str]:
+    return blocks.schema["children"].dataType.elementType.fieldNames()
+
+
+def display_segments(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What a reader shows: whole equation groups and theorems with their ``lines``, else the leaves; empties dropped.
+
+    ``blocks`` has a row per top block with its ``children``; texts may stand in any of the alternative fields.
+    """
+    keys = keys or ["doc_id"]
+    names = _children(blocks)
+
+    def shown(get, fields: list[str], id: Column, kind: Column, lines: Column | None = None) -> Column:
+        any_of, _ = _node(get, fields)
+        texts = [any_of(ORIGINAL_FIELDS).alias("original"), any_of(BRAILLE_FIELDS + ORIGINAL_FIELDS[1:]).alias("cells")]
+        return F.struct(id.alias("id"), kind.alias("type"), *texts, *([] if lines is None else [lines.alias("lines")]))
+
+    no_lines = F.array().cast("array<struct<id:string,type:string,original:string,cells:string>>")
+    with_text = lambda x: (x["original"] != "") | (x["cells"] != "")
+    line_id = lambda id, i: F.concat(F.coalesce(id, F.lit("equation-group")), F.lit("-line-"), (i + 1).cast("string"))
+    own = lambda c, default, fallback: shown(lambda n: c[n], names, F.coalesce(F.when(c["id"] != "", c["id"]), fallback), F.coalesce(c["type"], F.lit(default)))
+    parts = lambda d: F.filter(F.transform("children", lambda c, i: own(c, d, line_id(F.col("id"), i))), with_text)
+    leaf = shown(F.col, blocks.columns, F.coalesce(F.when(F.col("id") != "", F.col("id")), F.lit("segment")), F.when(F.col("type") != "", F.col("type")).otherwise("paragraph"), no_lines)
+    single = F.array(shown(F.col, blocks.columns, line_id(F.col("id"), F.lit(0)), F.lit("equation_step")))
+    several = F.size("children") > 0
+    group = (
+        F.when(F.col("type") == "equation_group", F.array(leaf.withField("lines", F.when(several, parts("equation_step")).otherwise(single))))
+        .when((F.col("type") == "theorem") & several, F.array(leaf.withField("lines", parts("paragraph"))))
+        .when(several, F.transform(parts("paragraph"), lambda c: c.withField("lines", no_lines)))
+        .otherwise(F.array(leaf))
     )
-    return out.filter((F.col("original_text") != "") | (F.col("braille_text") != ""))
+    rows = blocks.select(*keys, F.explode(group).alias("_s"))
+    return rows.select(*keys, "_s.*").where("original <> '' OR cells <> '' OR size(lines) > 0")
+
+
+def normalize_review_blocks(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Stored blocks with the ids and texts they lack, flat; a block without any text goes, unless it has children.
+
+    Of alternative fields the first that is not null counts.  A missing id is ``page-P-block-I``, and of a child
+    ``parent-child-I``.
+    """
+    keys = keys or ["doc_id"]
+    originals = ["original_text", "original_content", "normalized_content", "content", "text"]
+    filled = lambda id, fallback: F.coalesce(F.when(id != "", id), fallback)
+
+    def node(get, fields: list[str], id: Column, parent: Column, order: Column) -> Column:
+        _, given = _node(get, fields)
+        return F.struct(
+            id.alias("id"), parent.alias("parent_id"), order.cast("int").alias("ord"), given(originals).alias("original_text"),
+            given(BRAILLE_FIELDS).alias("braille_text"),
+        )
+
+    top = filled(F.col("id"), F.concat(F.lit("page-"), F.col("page_no").cast("string"), F.lit("-block-"), F.col("ord").cast("string")))
+    names = _children(blocks)
+    b = blocks.withColumn("_id", top)
+    child = lambda c, i: node(lambda n: c[n], names, filled(c["id"], F.concat(F.col("_id"), F.lit("-child-"), i.cast("string"))), F.col("_id"), i)
+    b = b.withColumn("_top", node(F.col, blocks.columns, F.col("_id"), F.lit(None).cast("string"), F.col("ord")))
+    b = b.where("_top.original_text <> '' OR _top.braille_text <> '' OR size(children) > 0")
+    return b.select(*keys, F.explode(F.concat(F.array("_top"), F.transform("children", child))).alias("_n")).select(*keys, "_n.*")
 
 
 def _normalized(text: Column, source_type: Column, improve: bool) -> Column:

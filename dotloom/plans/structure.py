@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import blocks as K
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import regex as R
@@ -224,47 +225,74 @@ def _(spark, sf):
     return S.placeholders(_typed(spark, sf))
 
 
-def _block_tree(spark, sf) -> DataFrame:
-    """Flat tree: typed blocks, and the steps of equation groups as children."""
-    b = _typed(spark, sf)
-    tops = b.select("doc_id", "id", F.lit(None).cast("string").alias("parent_id"), "ord", "type", "content", (F.col("ord") * 1000).alias("seq"))
-    at = b.select("doc_id", F.col("id").alias("parent_id"), F.col("ord").alias("_o"))
-    kids = S.equation_steps(b).join(at, ["doc_id", "parent_id"]).select(
-        "doc_id", "id", "parent_id", "ord", "type", "content", (F.col("_o") * 1000 + F.col("ord") + 1).alias("seq")
-    )
-    return tops.unionByName(kids)
+def _tree(spark, sf) -> DataFrame:
+    """The block tree of every marked document, in its row."""
+    return marked_pages(spark, sf).select("doc_id", K.tree(F.col("pages")).alias("tree"))
+
+
+_TREE = """, st AS (SELECT doc_id, page_no, id AS parent_id, ord AS po, CAST(generate_subscripts(x, 1) - 1 AS INT) AS ord, unnest(x) AS content FROM (SELECT doc_id, page_no, id, ord, string_split(raw, chr(10)) AS x FROM ti WHERE type = 'equation_group')),
+ tree AS (SELECT doc_id, page_no, id, CAST(NULL AS VARCHAR) AS parent_id, ord, type, content, page_no * 1000000 + ord * 1000 AS seq FROM ti
+  UNION ALL SELECT doc_id, page_no, concat(parent_id, '-step-', lpad(CAST(ord + 1 AS VARCHAR), 2, '0')), parent_id, ord, 'equation_step', content, page_no * 1000000 + po * 1000 + ord + 1 FROM st)"""
+_LEAVES = "lf AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.doc_id = t.doc_id AND c.parent_id = t.id))"
+_WITH_PARENTS = """SELECT doc_id, id, parent_id, type, cells FROM lc
+UNION ALL SELECT t.doc_id, t.id, t.parent_id, t.type, coalesce(string_agg(lc.cells, chr(10) || chr(10) ORDER BY lc.seq) FILTER (WHERE lc.cells <> ''), '') FROM tree t JOIN lc ON lc.doc_id = t.doc_id AND lc.parent_id = t.id GROUP BY t.doc_id, t.id, t.parent_id, t.type"""
 
 
-_TREE = """, st AS (SELECT doc_id, id AS parent_id, ord AS po, CAST(generate_subscripts(x, 1) - 1 AS INT) AS ord, unnest(x) AS content FROM (SELECT doc_id, id, ord, string_split(raw, chr(10)) AS x FROM ti WHERE type = 'equation_group')),
- tree AS (SELECT doc_id, id, CAST(NULL AS VARCHAR) AS parent_id, ord, type, content, ord * 1000 AS seq FROM ti
-  UNION ALL SELECT doc_id, concat(parent_id, '-step-', lpad(CAST(ord + 1 AS VARCHAR), 2, '0')), parent_id, ord, 'equation_step', content, po * 1000 + ord + 1 FROM st)"""
+def _converted_sql() -> str:
+    """Cells of the leaves: line by line, or the text code for text blocks in text mode."""
+    from .transcoding import line_sql, strict_sql
 
+    text = f"{D.strip('content')}"
+    return f"""{_LEAVES}, l1 AS (SELECT doc_id, id, parent_id, type, seq, {text} AS content, doc_id % 2 = 0 AND type <> 'equation_group' AS prose FROM lf),
+ l2 AS (SELECT doc_id, id, CAST(generate_subscripts(x, 1) AS INT) AS i, unnest(x) AS line FROM (SELECT doc_id, id, string_split(content, chr(10)) AS x FROM l1 WHERE NOT prose)),
+ l3 AS (SELECT doc_id, id, string_agg({line_sql('line')}, chr(10) ORDER BY i) AS cells FROM l2 GROUP BY doc_id, id),
+ lc AS (SELECT l1.doc_id, l1.id, parent_id, type, seq, CASE WHEN content = '' THEN '' WHEN prose THEN {strict_sql(Q.fix_encoding('content'))} ELSE l3.cells END AS cells FROM l1 LEFT JOIN l3 ON l3.doc_id = l1.doc_id AND l3.id = l1.id)"""
 
-@catalog.add("transcoded_blocks", "D16")
+
+@_typed_query("transcoded_blocks", "D16", f"{_TREE}, {_converted_sql()} {_WITH_PARENTS}")
 def _(spark, sf):
-    tree = _block_tree(spark, sf).withColumn("mode", F.when(F.col("doc_id") % 2 == 0, "text").otherwise("nemeth"))
-    return S.transcode_blocks(tree).select("doc_id", "id", "parent_id", "type", "braille")
+    mode = F.when(F.col("doc_id") % 2 == 0, "text").otherwise("nemeth")
+    t = _tree(spark, sf).select("doc_id", F.explode(S.transcoded(F.col("tree"), mode)).alias("_n"))
+    return t.select("doc_id", "_n.*")
+
+
+def _stored_blocks(spark, sf) -> DataFrame:
+    """Typed blocks as they are stored: some texts and ids missing, some in another field."""
+    t = _typed(spark, sf)
+    kept = lambda o, c: F.when(o % 3 == 0, "").otherwise(F.concat(F.lit("#"), c))
+    child = lambda c: c.withField("original_text", kept(c["ord"], c["content"])).withField("braille_text", F.lit(None).cast("string"))
+    return t.withColumns({
+        "original_text": kept(F.col("ord"), F.col("content")), "braille_text": F.lit(None).cast("string"),
+        "children": F.transform("children", child),
+    })
 
 
-@_typed_query("display_segments", "D17", f"""{_TREE}, x AS (SELECT *, CASE WHEN ord % 3 = 0 THEN '' ELSE concat('#', content) END AS original_text FROM tree)
-SELECT doc_id, id, type, CASE WHEN original_text <> '' THEN original_text ELSE content END AS original, content AS cells FROM x WHERE parent_id IS NULL AND content <> ''""")
+@_typed_query("display_segments", "D17", f"""{_TREE}, x AS (SELECT *, CASE WHEN ord % 3 = 0 THEN '' ELSE concat('#', content) END AS o FROM tree),
+ y AS (SELECT *, CASE WHEN o <> '' THEN o ELSE content END AS original FROM x),
+ z AS (SELECT doc_id, parent_id, string_agg(concat(id, '=', original, '=', content), chr(10) ORDER BY seq) AS lines FROM y WHERE parent_id IS NOT NULL GROUP BY doc_id, parent_id)
+SELECT y.doc_id, id, type, original, content AS cells, coalesce(lines, '') AS lines FROM y LEFT JOIN z ON z.doc_id = y.doc_id AND z.parent_id = y.id WHERE y.parent_id IS NULL AND (original <> '' OR content <> '')""")
 def _(spark, sf):
-    tree = _block_tree(spark, sf)
-    tree = tree.withColumn("original_text", F.when(F.col("ord") % 3 == 0, "").otherwise(F.concat(F.lit("#"), "content"))).withColumn("braille_text", F.lit(None).cast("string"))
-    return S.display_segments(tree)
+    line = lambda l: F.concat_ws("=", l["id"], l["original"], l["cells"])
+    return S.display_segments(_stored_blocks(spark, sf)).withColumn("lines", F.array_join(F.transform("lines", line), "\n"))
 
 
-@_typed_query("normalized_review_blocks", "D18", f"""{_TREE}, x AS (SELECT doc_id, CASE WHEN ord % 4 <> 1 THEN id END AS id, parent_id, ord, CASE WHEN ord % 5 = 2 THEN NULL ELSE content END AS c FROM tree)
-SELECT doc_id, coalesce(id, CASE WHEN parent_id IS NOT NULL THEN concat(parent_id, '-child-', ord) ELSE concat('page-1-block-', ord) END) AS id, parent_id, ord, c AS original_text, '' AS braille_text FROM x WHERE c IS NOT NULL AND c <> ''""")
+@_typed_query("normalized_review_blocks", "D18", f"""{_TREE}, x AS (SELECT doc_id, page_no, CASE WHEN ord % 4 <> 1 THEN id END AS id, id AS own, parent_id, ord, CASE WHEN ord % 5 = 2 THEN NULL ELSE content END AS c FROM tree),
+ y AS (SELECT *, coalesce(id, concat('page-', page_no, '-block-', ord)) AS new FROM x WHERE parent_id IS NULL)
+SELECT doc_id, new AS id, CAST(NULL AS VARCHAR) AS parent_id, ord, coalesce(c, '') AS original_text, '' AS braille_text FROM y WHERE coalesce(c, '') <> '' OR EXISTS (SELECT 1 FROM x k WHERE k.doc_id = y.doc_id AND k.parent_id = y.own)
+UNION ALL SELECT k.doc_id, coalesce(k.id, concat(y.new, '-child-', k.ord)), y.new, k.ord, coalesce(k.c, ''), '' FROM x k JOIN y ON y.doc_id = k.doc_id AND y.own = k.parent_id""")
 def _(spark, sf):
-    t = _block_tree(spark, sf).select(
-        "doc_id", F.lit(1).alias("page_no"), F.when(F.col("ord") % 4 != 1, F.col("id")).alias("id"), "parent_id", "ord",
-        F.when(F.col("ord") % 5 == 2, None).otherwise(F.col("content")).alias("content"),
-    )
-    return S.normalize_review_blocks(t).select("doc_id", "id", "parent_id", "ord", "original_text", "braille_text")
+    id, content = lambda o, i: F.when(o % 4 != 1, i), lambda o, c: F.when(o % 5 == 2, None).otherwise(c)
+    child = lambda c: c.withField("id", id(c["ord"], c["id"])).withField("content", content(c["ord"], c["content"]))
+    t = _typed(spark, sf).withColumns({
+        "id": id(F.col("ord"), F.col("id")), "content": content(F.col("ord"), F.col("content")), "children": F.transform("children", child)
+    })
+    return S.normalize_review_blocks(t)
+
+
+_PLAIN = plain_blocks_sql("(SELECT doc_id, 1 AS page_no, CAST(generate_subscripts(x, 1) AS INT) AS line_no, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM marked_docs))")
 
 
-@catalog.add("plain_page_blocks", "D9")
+@catalog.add("plain_page_blocks", "D9", recursive(with_views(f"WITH {_PLAIN} SELECT doc_id, i - 1 AS line_no, block_no, text FROM pb", "marked_docs")))
 def _(spark, sf):
     d = marked_docs(spark, sf).select("doc_id", "text")
     return S.segment_plain(d)
@@ -496,17 +524,23 @@ def _(spark, sf):
  ax AS (SELECT doc_id, row_no, o, b, unnest(range(greatest(len(o), len(b)))) AS p FROM aw)
 SELECT doc_id, row_no, CAST(p AS INT) AS pos, coalesce(o[p + 1], '') AS original, coalesce(b[p + 1], '') AS cells, row_number() OVER (PARTITION BY doc_id ORDER BY row_no, p) - 1 AS word_index FROM ax""", "paragraph_docs"))
 def _(spark, sf):
-    return A.align_words(A.align_paragraphs(_pairs(spark, sf)))
+    return A.align_words(_pairs(spark, sf).select("doc_id", A.aligned_rows(F.col("text"), F.col("braille")).alias("rows")))
+
+
+def _attachable(spark, sf) -> DataFrame:
+    """The block tree of every marked document beside a stored text of three-line paragraphs."""
+    d = marked_pages(spark, sf)
+    lines = F.split(F.array_join("pages", "\n"), "\n")
+    stored = F.array_join(F.transform(lines, lambda l, i: F.concat(l, F.when(i % 3 == 2, "\n").otherwise(""))), "\n")
+    return d.select("doc_id", K.tree(F.col("pages")).alias("tree"), stored.alias("braille"))
 
 
-@catalog.add("attached_braille", "J3", with_views(f"""WITH {_TYPED}{_TREE}, lf AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.doc_id = t.doc_id AND c.parent_id = t.id)),
- ch AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({D.strip('text')}, '\\n{{2,}}'), lambda p: {D.strip('p')}), lambda p: p <> '') AS c FROM paragraph_docs),
- lc AS (SELECT lf.doc_id, id, parent_id, seq, CASE WHEN i = n - 1 THEN array_to_string(c[i + 1:], chr(10) || chr(10)) ELSE coalesce(c[i + 1], '') END AS cells FROM lf JOIN ch USING (doc_id))
-SELECT doc_id, id, parent_id, cells FROM lc
-UNION ALL SELECT t.doc_id, t.id, t.parent_id, coalesce(string_agg(lc.cells, chr(10) || chr(10) ORDER BY lc.seq) FILTER (WHERE lc.cells <> ''), '') FROM tree t JOIN lc ON lc.doc_id = t.doc_id AND lc.parent_id = t.id GROUP BY t.doc_id, t.id, t.parent_id""", "marked_docs", "marked_lines", "paragraph_docs"))
+@_typed_query("attached_braille", "J3", f"""{_TREE}, {_LEAVES},
+ ch AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({D.strip('text')}, '\\n{{2,}}'), lambda p: {D.strip('p')}), lambda p: p <> '') AS c FROM (SELECT doc_id, string_agg(concat(text, CASE WHEN line_no % 3 = 2 THEN chr(10) ELSE '' END), chr(10) ORDER BY line_no) AS text FROM marked_lines GROUP BY doc_id)),
+ lc AS (SELECT lf.doc_id, id, parent_id, type, seq, CASE WHEN i = n - 1 THEN array_to_string(c[i + 1:], chr(10) || chr(10)) ELSE coalesce(c[i + 1], '') END AS cells FROM lf JOIN ch USING (doc_id))
+SELECT doc_id, id, parent_id, cells FROM ({_WITH_PARENTS})""")
 def _(spark, sf):
-    stored = paragraph_docs(spark, sf).select("doc_id", F.col("text").alias("braille"))
-    return A.attach_braille(_block_tree(spark, sf), stored)
+    return A.attach_braille(_attachable(spark, sf))
 
 
 _TOKENS = {True: A.MATH_TOKENS, False: r"\s+|[^\s]+"}

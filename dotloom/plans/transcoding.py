@@ -202,9 +202,14 @@ def _(spark, sf):
     return equations(spark, sf).select("p_partkey", "equation", M.linear_math_to_cells(F.col("equation")).alias("cells"))
 
 
+def line_sql(line: str) -> str:
+    """Cells of one line: the mathematics code where the line asks for it and is linear, else the text code."""
+    return f"CASE WHEN {S.is_math_line(line)} THEN coalesce({_linear(line, 'lenient')}, {lenient_sql(line)}) ELSE {lenient_sql(line)} END"
+
+
 @catalog.add("converted_texts", "C4", with_views(f"""
 WITH l AS (SELECT doc_id, CAST(generate_subscripts(x, 1) AS INT) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM marked_docs)),
- c AS (SELECT doc_id, i, CASE WHEN {S.is_math_line('line')} THEN coalesce({_linear('line', 'lenient')}, {lenient_sql('line')}) ELSE {lenient_sql('line')} END AS braille FROM l)
+ c AS (SELECT doc_id, i, {line_sql('line')} AS braille FROM l)
 SELECT doc_id, string_agg(braille, chr(10) ORDER BY i) AS braille FROM c GROUP BY doc_id""", "marked_docs"))
 def _(spark, sf):
     return T.convert_lines(marked_docs(spark, sf).select("doc_id", "text")).select("doc_id", "braille")
