@@ -69,9 +69,17 @@ def probably_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     place = F.xxhash64(F.col(key))
     word = F.floor(F.pmod(place, F.lit(FILTER_BITS)) / 64).cast("int")
     bit = F.pmod(place, F.lit(64)).cast("int")
-    set_bits = wanted.select(word.alias("_word"), bit.alias("_bit"))
-    bits = set_bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    return df.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+    at, of = fresh(df, "_word"), fresh(df, "_bits")
+    bits = wanted.select(word.alias(at), bit.alias("bit")).groupBy(at).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias(of))
+    return df.withColumn(at, word).join(F.broadcast(bits), at).where(F.getbit(of, bit) == 1).drop(at, of)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(name: str = "text") -> Column:

@@ -15,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -24,7 +25,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import written
+from dotloom.llm.common import fresh, written
 
 MAX_LANGUAGES = 500
 #: Longer runs of letters are cut into consecutive words of this many.
@@ -215,42 +216,51 @@ def train(labelled: DataFrame, path: str | None = None, steps: int = EM_STEPS) -
 
 
 class Scorer:
-    """Log probabilities of the tokens met so far, up to a bounded number."""
+    """Log probabilities of the tokens met so far, up to a bounded number.
+
+    Tokens are known by their 64-bit hashes, in order, so one takes some forty bytes.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.int64)
         self.rows = np.zeros((0, len(self.model.languages)))
         self.letters = np.zeros(0, bool)
 
-    def learn(self, tokens: set[str]) -> None:
-        cut = {t: words_of(t) for t in tokens}
-        words = list({w for ws in cut.values() for w in ws})
+    def learn(self, hashes: np.ndarray, tokens: list[str]) -> None:
+        cut = [words_of(t) for t in tokens]
+        words = list({w for ws in cut for w in ws})
         place = {w: i for i, w in enumerate(words)}
         scores = log_probabilities(words, self.model.path, self.model.p)
         new = np.zeros((len(cut), scores.shape[1]))
         letters = np.zeros(len(cut), bool)
-        for k, (t, ws) in enumerate(cut.items()):
-            self.index[t] = len(self.rows) + k
+        for k, ws in enumerate(cut):
             letters[k] = any(w.isalpha() or any(map(str.isalpha, w)) for w in ws)
             for w in ws:
                 new[k] += scores[place[w]]
-        self.rows = np.vstack([self.rows, new])
-        self.letters = np.append(self.letters, letters)
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.rows = hashes[order], np.vstack([self.rows, new])[order]
+        self.letters = np.append(self.letters, letters)[order]
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        if len(self.index) > CACHE_TOKENS:
+        if len(self.hashes) > CACHE_TOKENS:
             self.forget()
         docs = [t.lower().split() for t in texts]
-        new = set().union(*docs).difference(self.index) if docs else set()
-        if new:
-            self.learn(new)
+        tokens = list(chain.from_iterable(docs))
+        hashes = np.fromiter(map(hash, tokens), np.int64, len(tokens))  # the same in all workers of an application
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if new.any():
+            self.learn(distinct[new], [tokens[i] for i in first[new].tolist()])
+        places = np.searchsorted(self.hashes, distinct)[where]
+        ends = np.cumsum([0, *map(len, docs)])
         langs, scores = [], []
-        for tokens in docs:
-            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            at = places[a:b]
             if not self.model.languages or not self.letters[at].any():
                 langs.append("und")
                 scores.append(0.0)
@@ -292,6 +302,7 @@ def predicted(text: Column, model: Model, spark) -> Column:
                 langs += a
                 scores += b
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
     return predict(text)
 
@@ -301,8 +312,9 @@ def identify(docs: DataFrame, labelled: DataFrame, path: str | None = None) -> D
 
     Only the text is looked at.  Repeated rows and extra columns stay; an empty table stays empty.
     """
-    got = docs.withColumn("_predicted", predicted(F.col("text"), train(labelled, path), docs.sparkSession))
-    return got.withColumns({"lang_pred": F.col("_predicted.lang_pred"), "score": F.col("_predicted.score")}).drop("_predicted")
+    own = fresh(docs, "predicted")
+    got = docs.withColumn(own, predicted(F.col("text"), train(labelled, path), docs.sparkSession))
+    return got.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)
 
 
 def held_out(doc_id: Column) -> Column:

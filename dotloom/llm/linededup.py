@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import probably_in, text_of, written
+from dotloom.llm.common import fresh, probably_in, text_of, written
 from dotloom.llm.ngramjoin import mixed
 
 #: Shorter lines are kept as they are: one edit makes another word of a word.
@@ -176,14 +176,16 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = (
         stored.select("at", "h", "c").join(decided.select("h", "c", F.col("at").alias("first"), "near"), ["h", "c"])
         .where("near or at <> first")
-        .groupBy(F.col("at.doc").alias("_ld_doc"), F.col("at.text_key").alias("_ld_key")).agg(F.collect_set("at.line_no").alias("_ld_gone"))
+        .groupBy(F.col("at.doc").alias("doc"), F.col("at.text_key").alias("key")).agg(F.collect_set("at.line_no").alias("gone"))
     )
     lines = F.split("text", "\n")
-    gone_lines = F.coalesce("_ld_gone", F.array().cast("array<int>"))
+    doc, key, set_ = (fresh(docs, c) for c in ("_ld_doc", "_ld_key", "_ld_gone"))
+    gone = gone.toDF(doc, key, set_)
+    gone_lines = F.coalesce(set_, F.array().cast("array<int>"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(gone_lines, i))
-    own = {"text": text_of(), "_ld_doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "_ld_key": F.xxhash64(text_of())}
+    own = {"text": text_of(), doc: F.coalesce("doc_id", F.lit(2**63 - 1)), key: F.xxhash64(text_of())}
     return (
-        docs.withColumns(own).join(gone, ["_ld_doc", "_ld_key"], "left")
+        docs.withColumns(own).join(gone, [doc, key], "left")
         .withColumns({"n_lines": F.size(lines), "n_removed": F.size(gone_lines), "text": F.array_join(kept, "\n")})
-        .drop("_ld_doc", "_ld_key", "_ld_gone")
+        .drop(doc, key, set_)
     )

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import probably_in, text_of, written
+from dotloom.llm.common import fresh, probably_in, text_of, written
 from dotloom.llm.components import components
 
 U = np.uint64
@@ -341,12 +341,12 @@ def first_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     Of rows with that id, and of repeated rows, the one of the least text hash stays.  Documents without words are
     not linked with anything and stay.  Columns stay as they are.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(text_of()))
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(text_of()))
     joined = labelled(docs, width, num, den, keep_signatures=False)
     best = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "text_key")
     wordy = joined.where("component is not null").select("doc_id", "text_key", "component").distinct()
     stay = wordy.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "text_key")
     stay = written(stay.unionByName(joined.where("component is null").select("doc_id", "text_key").distinct()))
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    same = keyed["doc_id"].eqNullSafe(stay["doc_id"]) & (keyed[key] == stay["text_key"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)

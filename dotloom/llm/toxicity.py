@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import probably_in, written
+from dotloom.llm.common import fresh, probably_in, written
 
 STEM_LETTERS = 4
 PRIOR = 500.0  # documents' words that the Dirichlet prior weighs
@@ -294,5 +294,6 @@ def detect(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     Repeated rows and extra columns stay; an empty table stays empty; without labels of both kinds no word counts.
     """
     model = train(docs, labelled)
-    got = docs.withColumn("_scored", scored(F.col("text"), model, docs.sparkSession))
-    return got.withColumns({"score": F.col("_scored.score"), "passages": F.col("_scored.passages")}).drop("_scored")
+    own = fresh(docs, "scored")
+    got = docs.withColumn(own, scored(F.col("text"), model, docs.sparkSession))
+    return got.withColumns({"score": F.col(f"{own}.score"), "passages": F.col(f"{own}.passages")}).drop(own)
