@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dotloom.llm import bpe, langid, linededup, mixing, ngramjoin
-from dotloom.llm.common import table, written
+from dotloom.llm.common import fresh, table, written
 
 #: Documents whose language is less likely than this, against all others, are rejected.
 LEAST_SCORE = 0.5
@@ -28,8 +28,9 @@ def _without_replacing(docs: DataFrame, names: tuple[str, ...], stage: Callable[
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; text without a letter is rejected."""
     labelled = docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text")
-    told = docs.withColumn("_told", langid.predicted(F.col("text"), langid.train(labelled), spark))
-    return told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= LEAST_SCORE)).drop("_told")
+    own = fresh(docs, "told")
+    told = docs.withColumn(own, langid.predicted(F.col("text"), langid.train(labelled), spark))
+    return told.where((F.col(f"{own}.lang_pred") != "und") & (F.col(f"{own}.score") >= LEAST_SCORE)).drop(own)
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
