@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dotloom.llm import pretokens as pre
+from dotloom.llm.common import only, remembers, settle
 
 END = -1  # key of a trie node at which a word or token ends
 LONG_BYTES = 256  # longer pre-tokens are a path of their own, not part of the trie
 BLOCK_CHARS = 2_000_000  # characters of text whose unknown pre-tokens share one trie
 CACHE_CHUNKS = 300_000
+CACHE_PAIRS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -91,6 +93,8 @@ class Encoder:
                 y, next_y = self.halves[y][0], ry
             else:
                 x, next_x = self.halves[x][1], rx
+        if len(self._follows) >= CACHE_PAIRS:
+            self._follows.clear()
         self._follows[(a, b)] = ok
         return ok
 
@@ -232,6 +236,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _forget() -> None:
+    encoder.cache_clear()
+    decimals.cache_clear()
+
+
+remembers("bpe", _forget)
+
+
 @lru_cache(maxsize=2)
 def decimals(path: str) -> dict[int, str]:
     return {i: str(i) for i in encoder(path).bytes}
@@ -255,11 +267,32 @@ def encoded(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("bpe")
+        for batch in batches:
+            yield _lists([x for b in blocks([t or "" for t in batch.to_pylist()]) for x in encoder(where).encode(b)])
+
+    return encode(text)
+
+
+def _lists(ids: list[array]) -> pa.ListArray:
+    ends = pa.array([0, *_running(len(x) for x in ids)], pa.int32())
+    flat = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(ends, flat)
+
+
+def checked(text: Column, path: str | None = None) -> Column:
+    """Struct of ids and of decoded_sha256, the digest of the text that the ids decode to, in one pass."""
+    where = path or pre.default_vocabulary()
+
+    @F.arrow_udf("ids array<int>, decoded_sha256 string")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("bpe")
+        enc = encoder(where)
         for batch in batches:
-            ids = [x for b in blocks([t or "" for t in batch.to_pylist()]) for x in encoder(where).encode(b)]
-            ends = pa.array([0, *_running(len(x) for x in ids)], pa.int32())
-            flat = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.ListArray.from_arrays(ends, flat)
+            ids = [x for b in blocks([t or "" for t in batch.to_pylist()]) for x in enc.encode(b)]
+            digests = [sha256(enc.decode(x).encode()).hexdigest() for x in ids]
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
+        settle()
 
     return encode(text)
 
@@ -285,6 +318,7 @@ def round_trip(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("bpe")
         enc, names = encoder(where), decimals(where)
         for batch in batches:
             n, a, b = [], [], []

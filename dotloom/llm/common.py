@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,32 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Tell what a Python worker keeps between tasks for an operator, by the function that gives it up."""
+    _memories[operator] = forget
+
+
+def only(operator: str) -> None:
+    """Called where an operator's code begins in a worker: what others left behind goes."""
+    for name, forget in _memories.items():
+        if name != operator:
+            forget()
+    settle()
+
+
+def settle() -> None:
+    """Give freed memory back to the system: workers idle while later stages run on the same executors."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 #: Bits of the fixed-size filter of ``probably_in``.
 FILTER_BITS = 1 << 23
 

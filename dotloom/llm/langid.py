@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import fresh, written
+from dotloom.llm.common import fresh, only, remembers, settle, written
 
 MAX_LANGUAGES = 500
 #: Longer runs of letters are cut into consecutive words of this many.
@@ -276,6 +276,14 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
+def _forget() -> None:
+    _scorers.clear()
+    pieces.cache_clear()
+
+
+remembers("langid", _forget)
+
+
 def scorer(model: Model) -> Scorer:
     if model.key not in _scorers:
         _scorers.clear()
@@ -295,6 +303,7 @@ def predicted(text: Column, model: Model, spark) -> Column:
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from dotloom.llm.bpe import blocks
 
+        only("langid")
         for batch in batches:
             langs, scores = [], []
             for block in blocks([t or "" for t in batch.to_pylist()]):
@@ -302,7 +311,7 @@ def predicted(text: Column, model: Model, spark) -> Column:
                 langs += a
                 scores += b
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
-        pa.default_memory_pool().release_unused()
+        settle()
 
     return predict(text)
 

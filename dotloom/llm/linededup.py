@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import fresh, probably_in, text_of, written
+from dotloom.llm.common import fresh, only, probably_in, settle, text_of, written
 from dotloom.llm.ngramjoin import mixed
 
 #: Shorter lines are kept as they are: one edit makes another word of a word.
@@ -88,6 +88,7 @@ def keys(lines: DataFrame, parts: int | None) -> DataFrame:
             own = [batch.column(c).take(take) for c in ("h", "c", "at")]
             return pa.RecordBatch.from_arrays([*columns, *own], ["key", "place", "size", "h", "c", "at"])
 
+        only("linededup")
         for batch in batches:
             rows, found, places, sizes, held = [], [], [], [], 0
             for i, line in enumerate(batch.column("line").to_pylist()):
@@ -105,6 +106,7 @@ def keys(lines: DataFrame, parts: int | None) -> DataFrame:
                     rows, found, places, sizes, held = [], [], [], [], 0
             if rows:
                 yield flushed()
+        settle()
 
     at = lines.schema["at"].dataType.simpleString()
     return lines.select("h", "c", "at", "line").mapInArrow(emit, f"key long, place int, size int, h long, c long, at {at}")

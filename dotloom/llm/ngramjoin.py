@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import fresh, probably_in, text_of, written
+from dotloom.llm.common import fresh, only, probably_in, remembers, settle, text_of, written
 from dotloom.llm.components import components
 
 U = np.uint64
@@ -42,6 +42,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+remembers("ngramjoin", _words.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -164,6 +165,7 @@ def signed(text: Column, width: int, num: int, den: int) -> Column:
 
     @F.arrow_udf("node long, n_shingles long, signatures array<long>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("ngramjoin")
         for batch in batches:
             nodes, sizes, signs, seen = [], [], [], set()
             for t in batch.to_pylist():
@@ -176,6 +178,7 @@ def signed(text: Column, width: int, num: int, den: int) -> Column:
             yield pa.StructArray.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _longs(signs)], ["node", "n_shingles", "signatures"]
             )
+        settle()
 
     return sign(text)
 
@@ -185,10 +188,12 @@ def sets(text: Column, width: int) -> Column:
 
     @F.arrow_udf("node long, shingles array<long>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("ngramjoin")
         for batch in batches:
             h = [shingles(t, width) for t in batch.to_pylist()]
             nodes = pa.array([node_of(x) if len(x) else None for x in h], pa.int64())
             yield pa.StructArray.from_arrays([nodes, _longs(h)], ["node", "shingles"])
+        settle()
 
     return hashed(text)
 
@@ -274,6 +279,7 @@ def links(groups: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect all nodes of one component of the join."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngramjoin")
         at, nodes, own, held = None, [], [], []
 
         def found() -> pa.RecordBatch:
@@ -294,6 +300,7 @@ def links(groups: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
                 held.append(values[ends[r] : ends[r + 1]].copy())
         if len(nodes) > 1:
             yield found()
+        settle()
 
     dealt = units(groups).join(sets_, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     return written(dealt.select("unit", "i", "j", "own", "node", "shingles").mapInArrow(verify, "a long, b long"))
