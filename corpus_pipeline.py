@@ -57,9 +57,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digest of the text that they decode to."""
-    ids = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    return bpe.decode_documents(ids).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
+    """Token ids of every document, and the digest of the text that they decode to.
+
+    Null and empty texts have no ids; whole texts are encoded, however long; repeated rows stay, and no rows give none.
+    """
+    own = docs.select("doc_id", "lang", "source", bpe.checked(F.col("text")).alias("r"))
+    return own.select("doc_id", "lang", "source", "r.ids", F.size("r.ids").cast("long").alias("n_tokens"), "r.decoded_sha256")
 
 
 STAGES = [
