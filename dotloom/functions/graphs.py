@@ -68,6 +68,22 @@ PAYLOAD_TYPES = {
     "en": {"line graph": "line graph", "function graph": "function graph", "coordinate plane graph": "coordinate-plane graph"},
     "tr": {"line graph": "çizgi grafiği", "function graph": "fonksiyon grafiği", "coordinate plane graph": "koordinat düzlemi grafiği"},
 }
+#: Modes of an analysis: labels in English and Turkish; others are unknown.
+MODE_LABELS = {"ai-vision": ("AI Vision", "AI Vision"), "offline-basic": ("Offline Basic", "Offline Basic")}
+UNKNOWN_MODE = ("Unknown mode", "Bilinmeyen mod")
+AXIS_STATUS = {"en": ("Present", "Not confirmed"), "tr": ("Var", "Doğrulanmadı")}
+#: Flags of the axes: where each may stand, the first given one counting, and what it is by default.
+AXIS_FLAGS = {
+    "has_x_axis": (["axes.has_x_axis", "has_x_axis", "coordinate_plane_present"], True),
+    "has_y_axis": (["axes.has_y_axis", "has_y_axis", "coordinate_plane_present"], True),
+    "origin_visible": (["axes.origin_visible", "origin_visible"], False),
+}
+#: Supplied texts: where each may stand, the first with text counting, and what it is by default.
+GIVEN_TEXTS = {
+    "title": (["title"], ""), "caption": (["caption_text", "captionText"], ""), "tip": (["classroom_tip", "classroomTip"], ""),
+    "mode": (["mode_used", "modeUsed", "analysisMode"], "offline-basic"), "mode_label": (["analysisModeLabel"], ""),
+    "cells": (["explanation_braille"], ""),
+}
 CHART_KINDS = [
     (r"histogram|bins?|frequency\s+distribution", "histogram"), (r"scatter|scatterplot|dot\s*plot|nokta|dağılım|dagilim", "scatter"),
     (r"bar|column|sütun|sutun|çubuk|cubuk", "bar"), (r"pie|circle\s*chart|pasta|dilim", "pie"),
@@ -87,7 +103,9 @@ FEATURE_JSON = (
 PAYLOAD_JSON = (
     "graph_type string, confidence string, equation_text string, shape_summary string, uncertainties array<string>, notes array<string>, "
     "natural_description string, braille_friendly_description string, x_intercept_text string, y_intercept_text string, "
-    "axes struct<has_x_axis:boolean,has_y_axis:boolean,origin_visible:boolean,scale_notes:string>, key_features " + FEATURE_JSON
+    "axes struct<has_x_axis:boolean,has_y_axis:boolean,origin_visible:boolean,scale_notes:string>, "
+    "has_x_axis boolean, has_y_axis boolean, coordinate_plane_present boolean, origin_visible boolean, scale_notes string, "
+    + "".join(f"{n} string, " for names, _ in GIVEN_TEXTS.values() for n in names) + "key_features " + FEATURE_JSON
 )
 
 
@@ -448,22 +466,60 @@ def trend_label(kind: Column, f: Column, locale: str = "en") -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for kv in TREND_LABELS_TR.items() for v in kv]), english)
 
 
-def display_record(kind: Column, f: Column, eq: Column, confidence: Column, axes: Column, locale: str = "en") -> Column:
-    """Labelled record of a graph for display."""
-    tr = locale == "tr"
-    labels = TYPE_LABELS["tr" if tr else "en"]
-    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in labels.items() for v in kv]), kind), F.lit(labels["unknown"]))
-    present, absent = ("Var", "Doğrulanmadı") if tr else ("Present", "Not confirmed")
-    axis = lambda c: F.when(F.coalesce(c, F.lit(True)), present).otherwise(absent)
+def _at(payload: Column, path: str) -> Column:
+    for name in path.split("."):
+        payload = payload[name]
+    return payload
+
+
+def normalize_axes(payload: Column) -> Column:
+    """struct(has_x_axis, has_y_axis, origin_visible, scale_notes) of a payload, all filled."""
+    flags = [F.coalesce(*[_at(payload, p) for p in paths], F.lit(default)).alias(n) for n, (paths, default) in AXIS_FLAGS.items()]
+    notes = E.squeeze(R.text(F.coalesce(payload["axes"]["scale_notes"], payload["scale_notes"])))
+    return F.struct(*flags, notes.alias("scale_notes"))
+
+
+def given_texts(payload: Column) -> Column:
+    """Texts that came with a payload, trimmed: struct(title, caption, tip, mode, mode_label, cells)."""
+
+    def first(paths: list[str], default: str) -> Column:
+        own = [R.strip(R.text(_at(payload, p))) for p in paths]
+        return F.coalesce(*[F.when(t != "", t) for t in own], F.lit(default))
+
+    return F.struct(*[first(paths, default).alias(n) for n, (paths, default) in GIVEN_TEXTS.items()])
+
+
+def _label(key: Column, labels: dict[str, str], default: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in labels.items() for v in kv]), key), F.lit(default))
+
+
+def mode_label(given: Column, locale: str = "en") -> Column:
+    i = int(locale == "tr")
+    known = _label(F.lower(given["mode"]), {k: v[i] for k, v in MODE_LABELS.items()}, UNKNOWN_MODE[i])
+    return F.when(given["mode_label"] != "", given["mode_label"]).otherwise(known)
+
+
+def display_record(p: Column, locale: str = "en") -> Column:
+    """Labelled record of a normalised payload ``p`` for display; what was supplied goes before what is made up."""
+    lang = "tr" if locale == "tr" else "en"
+    f, eq, axes, given = p["features"], p["equation"], p["axes"], p["given"]
+    label = _label(p["graph_type"], TYPE_LABELS[lang], TYPE_LABELS[lang]["unknown"])
+    present, absent = AXIS_STATUS[lang]
+    axis = lambda c: F.when(c, present).otherwise(absent)
     joined = lambda n: F.array_join(F.transform(f[n], point_text), ", ")
-    tips = TIPS["tr" if tr else "en"]
+    supplied = lambda n, own: F.when(given[n] != "", given[n]).otherwise(own)
+    title = F.concat(label, F.lit(" açıklaması" if lang == "tr" else " description"))
+    tip = F.when(R.text(eq) != "", TIPS[lang][0]).otherwise(TIPS[lang][1])
+    notes = F.filter(F.concat(F.array(axes["scale_notes"]), p["notes"]), lambda n: n != "")
     return F.struct(
-        F.concat(label, F.lit(" açıklaması" if tr else " description")).alias("title"), label.alias("graph_type"),
+        supplied("title", title).alias("title"), label.alias("graph_type"), (axes["has_x_axis"] | axes["has_y_axis"]).alias("coordinate_plane"),
         axis(axes["has_x_axis"]).alias("axis_x"), axis(axes["has_y_axis"]).alias("axis_y"),
-        trend_label(kind, f, locale).alias("trend"), joined("x_intercepts").alias("x_intercepts"), joined("y_intercepts").alias("y_intercepts"),
-        R.text(eq).alias("equation"), F.format_string("%.2f", F.coalesce(confidence, F.lit(0.68))).alias("confidence"),
-        F.when(R.text(eq) != "", tips[0]).otherwise(tips[1]).alias("tip"),
-    )
+        trend_label(p["graph_type"], f, locale).alias("trend"), joined("x_intercepts").alias("x_intercepts"), joined("y_intercepts").alias("y_intercepts"),
+        R.strip(R.text(eq)).alias("equation"), given["caption"].alias("caption"), p["natural_description"].alias("explanation"),
+        p["compact_description"].alias("compact"), notes.alias("notes"), F.format_string("%.2f", F.coalesce(p["confidence"], F.lit(0.68))).alias("confidence"),
+        p["confidence"].alias("confidence_score"), given["mode"].alias("mode"), mode_label(given, locale).alias("mode_label"), p["summary"].alias("summary"),
+        supplied("tip", tip).alias("tip"),
+    )
 
 
 LINEAR = r"(?i)^(?:y|f\(x\))=([+\-]?)(\d*(?:\.\d+)?)x(?:(\+|-)(\d+(?:\.\d+)?))?$"

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import blocks as K
+from ..functions import language as L
 from ..functions import regex as R
 from ..functions import wordrepair as WR
+from . import structure as S
+from .transcoding import PAGE_MARKER
 
 # --- fixed values: mathematical token shapes -----------------------------------
 MATH_TEXT = r"\blim\b|√|∫|∑|→|=|\^|/|·|[(){}\[\]]"
@@ -222,3 +225,33 @@ def review_pages(original_pages: Column, braille: Column) -> Column:
     )
     empty = F.array().cast("array<struct<original:string,braille:string>>")
     return R.let(parts, lambda s: F.when(F.size(s["pages"]) == 0, empty).otherwise(share(s)))
+
+
+def review_documents(
+    df: DataFrame, key: str = "doc_id", text: str = "text", braille: str = "braille", source_type: str = "source_type", marker: str = PAGE_MARKER
+) -> DataFrame:
+    """Stored documents -> their pages side by side: page_no, original, braille, and the page's mode and language.
+
+    Braille that has page markers is cut by them; where its pages are as many as the original's they are paired, else
+    its paragraphs are shared out to the original pages (see ``review_pages``).
+    """
+    source = F.col(source_type)
+
+    def pair(v: Column) -> Column:
+        originals, cells = v["o"], v["b"]
+        paired = F.transform(originals, lambda p, i: F.struct(p.alias("original"), F.coalesce(F.get(cells, i), F.lit("")).alias("braille")))
+        keep = v["marked"] & ((F.size(originals) <= 1) | (F.size(originals) == F.size(cells)))
+        whole = F.when(v["marked"], F.array_join(cells, "\n\n")).otherwise(v["raw"])
+        return F.when(keep, paired).otherwise(review_pages(originals, whole))
+
+    raw = R.strip(F.replace(R.text(braille), F.lit("\r\n"), F.lit("\n")))
+    marked = raw.contains(marker)
+    both = F.struct(
+        S.review_page_texts(F.col(text), source, marker).alias("o"), raw.alias("raw"), marked.alias("marked"),
+        F.when(marked, S.review_page_texts(raw, source, marker)).otherwise(F.array().cast("array<string>")).alias("b"),
+    )
+    rows = df.select(key, source_type, F.posexplode(R.let(both, pair)).alias("_p", "_r"))
+    return rows.select(
+        key, (F.col("_p") + 1).alias("page_no"), "_r.original", "_r.braille", K.structure(F.col("_r.original"), source)["mode"].alias("mode"),
+        L.detect_language(L.language_scores(F.col("_r.original")))["language"].alias("language"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import equations as E
 from ..functions import graphs as G
 from ..functions import regex as R
+from .transcoding import convert_text
 
 
 def read_graph_payloads(df: DataFrame, json_col: str) -> DataFrame:
@@ -20,9 +21,8 @@ def normalize_payloads(df: DataFrame, json_col: str) -> DataFrame:
     The stages are separate projections, so each value is computed once.
     """
     keep = [c for c in df.columns if c != json_col]
-    p = read_graph_payloads(df, json_col).select(
-        *keep, "payload", G.normalize_features(G.read_payload(F.col(json_col))).alias("_given")
-    )
+    p = read_graph_payloads(df, json_col).select(*keep, "payload")
+    p = p.withColumn("_given", G.normalize_features(F.col("payload")))
     eq = E.squeeze(F.translate(R.text("payload.equation_text"), "−–—", "---"))
     p = p.withColumn("equation", F.when(eq != "", eq)).withColumn("_e", E.equation_features(F.col("equation")))
     summary = E.squeeze(F.col("payload.shape_summary"))
@@ -36,13 +36,27 @@ def normalize_payloads(df: DataFrame, json_col: str) -> DataFrame:
     more = F.coalesce("payload.notes", F.array().cast("array<string>"))
     return p.select(
         *keep, kind.alias("graph_type"), G.normalize_confidence(F.col("payload.confidence")).alias("confidence"),
-        "equation", "summary", "features", "payload.axes",
+        "equation", "summary", "features", G.normalize_axes(F.col("payload")).alias("axes"), G.given_texts(F.col("payload")).alias("given"),
         F.when(G.is_well_formed(natural), natural).otherwise(G.describe(kind, F.col("equation"), F.col("summary"), f)).alias("natural_description"),
         F.when(G.is_well_formed(compact, True), compact).otherwise(G.describe(kind, F.col("equation"), F.col("summary"), f, True)).alias("compact_description"),
         G.relations(kind, f).alias("relations"), G.unique_texts(F.concat(notes, more, F.col("_r.notes"))).alias("notes"),
     )
 
 
+NORMALIZED = [
+    "graph_type", "confidence", "equation", "summary", "features", "axes", "given", "natural_description", "compact_description", "notes"
+]
+
+
+def display_records(normalized: DataFrame, keys: list[str], locales: tuple[str, ...] = ("en",)) -> DataFrame:
+    """Normalised payloads -> their records for display in each locale, with the explanation in cells."""
+    p = normalized.select(*keys, F.struct(*NORMALIZED).alias("_p"))
+    each = F.array(*[F.struct(F.lit(loc).alias("locale"), G.display_record(F.col("_p"), loc).alias("r")) for loc in locales])
+    r = p.select(*keys, F.col("_p.given.cells").alias("_given"), F.explode(each).alias("_r")).select(*keys, "_given", "_r.locale", "_r.r.*")
+    synced = F.when(F.col("compact") != "", F.col("compact")).otherwise(F.col("explanation"))
+    return r.withColumn("cells", F.when(F.col("_given") != "", F.col("_given")).otherwise(convert_text(synced))).drop("_given")
+
+
 def pick_labels(lines: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
     """Title, axis names and caption of every page from its recognised lines.
 

@@ -48,51 +48,17 @@ def split_blocks(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def classify_blocks(blocks: DataFrame, key: str = "doc_id", source_type: str = "source_type") -> DataFrame:
-    """Block rows with their structure type; one shuffle by document at most."""
-    t = R.strip(F.col("text"))
-    f = blocks.select(
-        key, "block_no", "line_no", "text", "break_after", source_type,
-        F.length(t).alias("_len"), P.is_list_like(t).alias("_list"), P.is_formula_like(t).alias("_formula"),
-        P.is_heading(t).alias("_head"), P.is_sentence_terminal(t).alias("_end"),
-    )
-    f = f.withColumn("_plain", ~F.col("_list") & ~F.col("_formula") & ~F.col("_head"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    nxt = lambda c: F.lead(c).over(w)
-    same = nxt("block_no") == F.col("block_no")
-    f = f.withColumn("_cont", F.coalesce(same & F.col("_plain") & nxt("_plain"), F.lit(False)))
-    f = f.withColumn("_wrap", F.col("_cont") & ~F.col("_end") & ((F.col("_len") >= 18) | (nxt("_len") >= 18)))
-    g = f.groupBy(key, "block_no").agg(
-        F.first(source_type).alias(source_type),
-        F.count("*").alias("n_lines"), F.avg("_len").alias("_avg"), F.count_if("_cont").alias("_c"),
-        F.count_if("_wrap").alias("_w"), F.count_if(F.col("_len") <= 44).alias("_s"),
-        F.bool_or("_list").alias("_l"), F.bool_or("_formula").alias("_f"), F.bool_or("_head").alias("_h"),
-        F.max_by("break_after", "line_no").alias("break_after"),
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("lines"),
-    )
-    n = F.col("n_lines")
-    most = F.greatest(F.lit(1), F.floor((n - 1) * 0.6))
-    kind = (
-        F.when((n == 1) & F.col("_h"), LINES)
-        .when(F.col("_l") | F.col("_f"), F.when(F.col("_c") > 0, MIXED).otherwise(LINES))
-        .when((F.col("_c") >= most) & (F.col("_avg") >= 26), REAL)
-        .when((F.col(source_type) == "pdf") & (F.col("_w") >= most), REAL)
-        .when(F.col("_s") >= F.greatest(F.lit(2), F.ceil(n * 0.7)), LINES)
-        .when(F.col("_avg") >= 58, REAL)
-        .otherwise(F.when(F.col("_c") > 0, MIXED).otherwise(LINES))
-    )
-    return g.select(key, "block_no", kind.alias("type"), "n_lines", "break_after", "lines", source_type)
+def classify_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type") -> DataFrame:
+    """Documents -> one row per block between blank lines (block_no from 1), with its structure type; no exchange."""
+    blocks = K.structure(F.col(text), F.col(source_type))["blocks"]
+    rows = df.select(key, F.posexplode(blocks).alias("_i", "_b"))
+    return rows.select(key, (F.col("_i") + 1).alias("block_no"), "_b.type", F.size("_b.lines").alias("n_lines"), "_b.break_after", "_b.lines")
 
 
-def document_structure_mode(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Document type and mode.  A document had blank lines exactly when some
-    block was followed by one (leading blanks aside)."""
-    g = blocks.groupBy(key).agg(
-        F.min("type").alias("_lo"), F.max("type").alias("_hi"), F.bool_or("break_after").alias("_blank"),
-        F.count("*").alias("n_blocks"),
-    )
-    kind = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(MIXED)
-    return g.select(key, kind.alias("classification"), K.mode_of(kind, F.col("_blank")).alias("mode"), "n_blocks")
+def document_structure_mode(df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type") -> DataFrame:
+    """Documents with their structure class, mode and number of blocks; no exchange."""
+    s = df.select(key, K.structure(F.col(text), F.col(source_type)).alias("_s"))
+    return s.select(key, "_s.classification", "_s.mode", F.size("_s.blocks").alias("n_blocks"))
 
 
 def rebuild_text(df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type") -> DataFrame:
@@ -540,38 +506,30 @@ def normalize_review_blocks(blocks: DataFrame, keys: list[str] | None = None) ->
     return b.select(*keys, F.explode(F.concat(F.array("_top"), F.transform("children", child))).alias("_n")).select(*keys, "_n.*")
 
 
-def _normalized(text: Column, source_type: Column, improve: bool) -> Column:
-    """Repaired, structured and (if asked) improved text: struct(text, mode, blocks, readability)."""
-    plain = R.let(
-        WR.repair_text(text),
-        lambda x: F.when(B.structure_mode(x, source_type) == "line-preserved", x).otherwise(B.collapse_paragraphs(x)),
-    )
-    first = R.let(plain, lambda x: K.rebuilt(x, K.structure(x, source_type), RP.merge_wrapped_lines)["text"])
-    better = R.let(first, lambda x: R.let(
-        Q.readability(x, source_type), lambda r: F.struct((r["improved"] if improve else x).alias("text"), r["score"].alias("score"))
-    ))
+def _normalized(df: DataFrame, text: str, source_type: str, improve: bool) -> DataFrame:
+    """Repaired, structured and (if asked) improved text: adds _text, _mode, _spoken, _score.
 
-    def final(v: Column) -> Column:
-        return R.let(
-            K.structure(v["text"], source_type),
-            lambda s: F.struct(
-                K.rebuilt(v["text"], s, RP.merge_wrapped_lines)["text"].alias("text"), s["mode"].alias("mode"),
-                K.spoken_language(s["blocks"]).alias("spoken"), v["score"].alias("readability"),
-            ),
-        )
-
-    return R.let(better, final)
+    A stage is a projection of its own; each works on the row.
+    """
+    src, keep = F.col(source_type), [F.col(f"`{c}`") for c in df.columns]
+    d = df.withColumn("_x", WR.repair_text(F.col(text)))
+    whole = F.when(B.structure_mode(F.col("_x"), src) == "line-preserved", F.col("_x")).otherwise(B.collapse_paragraphs(F.col("_x")))
+    d = d.select(*keep, whole.alias("_x"))
+    d = d.withColumn("_s", K.structure(F.col("_x"), src))
+    d = d.select(*keep, K.rebuilt(F.col("_x"), F.col("_s"), RP.merge_wrapped_lines)["text"].alias("_x"))
+    d = d.withColumn("_r", Q.readability(F.col("_x"), src))
+    d = d.select(*keep, (F.col("_r.improved") if improve else F.col("_x")).alias("_x"), F.col("_r.score").alias("_score"))
+    d = d.withColumn("_s", K.structure(F.col("_x"), src))
+    d = d.withColumn("_text", K.rebuilt(F.col("_x"), F.col("_s"), RP.merge_wrapped_lines)["text"])
+    d = d.withColumn("_spoken", K.spoken_language(F.col("_s.blocks")))
+    told = F.when(F.col("_spoken") != "unknown", F.col("_spoken")).otherwise(_language(F.col("_text")))
+    return d.select(*keep, "_text", F.col("_s.mode").alias("_mode"), told.alias("_spoken"), "_score")
 
 
 def _language(text: Column) -> Column:
     return L.detect_language(L.language_scores(text))["language"]
 
 
-def _told(v: Column) -> Column:
-    """Language of the blocks, and that of the whole text only where these don't tell."""
-    return F.when(v["spoken"] != "unknown", v["spoken"]).otherwise(_language(v["text"]))
-
-
 def process_documents(
     df: DataFrame, key: str = "doc_id", text: str = "text", source_type: str = "source_type", improve: bool = True
 ) -> DataFrame:
@@ -581,10 +539,10 @@ def process_documents(
     and the document's mode, language and readability.  A document's language is that of its blocks, and of its whole
     text only where the blocks don't tell.
     """
-    d = df.select(key, source_type, _normalized(F.col(text), F.col(source_type), improve).alias("_d"))
+    d = _normalized(df.select(key, source_type, text), text, source_type, improve)
     pages = d.select(
-        key, source_type, F.col("_d.mode").alias("document_mode"), "_d.readability", _told(F.col("_d")).alias("document_language"),
-        F.posexplode(paginate(F.col("_d.text"), F.col("_d.mode"))).alias("_p", "page"),
+        key, source_type, F.col("_mode").alias("document_mode"), F.col("_score").alias("readability"), F.col("_spoken").alias("document_language"),
+        F.posexplode(paginate(F.col("_text"), F.col("_mode"))).alias("_p", "page"),
     )
     return pages.select(
         key, (F.col("_p") + 1).alias("page_no"), "page", K.structure(F.col("page"), F.col(source_type))["mode"].alias("mode"),
@@ -601,24 +559,27 @@ def process_pages(
     Each page is processed on its own and pages without text go; the others are numbered anew.  A layout is
     struct(width, lines), a line struct(text, x0, y0, x1, y1); the blocks of a page with lines come from these, by the
     order of the pages that are left, and else from its text.  Adds the document's mode, language (of the whole text,
-    else from its pages) and readability to every page.
+    else from its pages) and readability to every page.  The pages of a document meet once, by its key.
     """
-    src = F.col(source_type)
-    done = F.filter(F.transform(F.col(pages), lambda p: _normalized(p, src, improve)), lambda v: v["text"] != "")
-    d = df.select(key, source_type, (F.lit(None) if layouts is None else F.col(layouts)).alias("_l"), done.alias("_ps"))
-    whole = R.strip(F.array_join(F.transform("_ps", lambda v: v["text"]), "\n\n"))
-    d = d.withColumn("_spoken", F.transform("_ps", _told)).withColumn("_whole", whole)
-    d = d.select(
-        key, "_l", "_ps", "_spoken", Q.readability(F.col("_whole"), src)["score"].alias("readability"), _language(F.col("_whole")).alias("_lang"),
-        K.mode_of_pages(F.transform("_ps", lambda v: v["mode"])).alias("document_mode"),
-    ).withColumn("document_language", F.when(F.col("_lang") != "unknown", F.col("_lang")).otherwise(K.language_of_pages(F.col("_spoken"))))
-    rows = d.select(key, "document_mode", "document_language", "readability", "_l", "_spoken", F.posexplode("_ps").alias("_p", "_v"))
-    plain = K.page_tree(F.col("_v.text"), F.col("_p") + 1)
-    blocks = plain
+    own = F.lit(None).cast("string") if layouts is None else F.col(layouts)
+    rows = df.select(key, source_type, own.alias("_l"), F.posexplode(pages).alias("_n", "_page"))
+    done = _normalized(rows, "_page", source_type, improve).where("_text <> ''")
+    page = F.struct("_n", F.col("_text").alias("page"), F.col("_mode").alias("mode"), F.col("_spoken").alias("language"))
+    g = done.groupBy(key, source_type).agg(F.array_sort(F.collect_list(page)).alias("_ps"), F.first("_l").alias("_l"))
+    g = g.withColumn("_whole", R.strip(F.array_join(F.transform("_ps", lambda v: v["page"]), "\n\n")))
+    g = g.withColumn("_told", _language(F.col("_whole"))).withColumn("_score", Q.readability(F.col("_whole"), F.col(source_type))["score"])
+    mode = K.mode_of_pages(F.transform("_ps", lambda v: v["mode"]))
+    language = K.language_of_pages(F.transform("_ps", lambda v: v["language"]))
+    g = g.select(
+        key, "_l", mode.alias("document_mode"), F.when(F.col("_told") != "unknown", F.col("_told")).otherwise(language).alias("document_language"),
+        F.col("_score").alias("readability"), F.posexplode("_ps").alias("_p", "_v"),
+    )
+    blocks = K.page_tree(F.col("_v.page"), F.col("_p") + 1)
     if layouts is not None:
-        own = F.get(F.col("_l"), F.col("_p"))
-        blocks = F.when(F.coalesce(F.size(own["lines"]), F.lit(0)) > 0, G.page_tree(own["lines"], own["width"], F.col("_p") + 1)).otherwise(plain)
-    return rows.select(
-        key, (F.col("_p") + 1).alias("page_no"), F.col("_v.text").alias("page"), F.col("_v.mode").alias("mode"),
-        F.get("_spoken", F.col("_p")).alias("language"), "document_mode", "document_language", "readability", blocks.alias("blocks"),
+        lay = F.get(F.col("_l"), F.col("_p"))
+        placed = G.page_tree(lay["lines"], lay["width"], F.col("_p") + 1)
+        blocks = F.when(F.coalesce(F.size(lay["lines"]), F.lit(0)) > 0, placed).otherwise(blocks)
+    return g.select(
+        key, (F.col("_p") + 1).alias("page_no"), "_v.page", "_v.mode", "_v.language", "document_mode", "document_language", "readability",
+        blocks.alias("blocks"),
     )

@@ -238,6 +238,12 @@ def json_payloads(spark, sf) -> DataFrame:
             F.when(k % 4 == 0, F.col("summary")).alias("shape_summary"),
             F.struct(F.array(F.struct(F.lit("1").alias("x"), F.lit(True).alias("approx"))).alias("x_intercepts"), F.when(k % 5 == 0, "(0, 3)").alias("vertex")).alias("key_features"),
             F.array(F.lit("scale is faint")).alias("uncertainties"),
+            # axes, mode and texts stand in one of several places, or nowhere
+            F.when(k % 3 == 0, F.struct(F.when(k % 2 == 0, False).alias("has_x_axis"), F.lit(True).alias("origin_visible"), F.lit("  one   unit ").alias("scale_notes"))).alias("axes"),
+            F.when(k % 4 == 1, False).alias("has_y_axis"), F.when(k % 5 == 0, False).alias("coordinate_plane_present"), F.when(k % 7 == 0, "top level").alias("scale_notes"),
+            F.when(k % 3 == 1, "AI-Vision").when(k % 3 == 2, " ").alias("mode_used"), F.when(k % 6 == 2, "other").alias("analysisMode"),
+            F.when(k % 9 == 0, "Own label").alias("analysisModeLabel"), F.when(k % 5 == 1, "").alias("caption_text"), F.when(k % 5 < 3, " Figure 1 ").alias("captionText"),
+            F.when(k % 8 == 0, " A title ").alias("title"), F.when(k % 8 == 3, "Look at the axes.").alias("classroomTip"), F.when(k % 10 == 0, "⠁⠃").alias("explanation_braille"),
         )
     )
     return d.select("p_partkey", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("json"))
@@ -252,8 +258,24 @@ def _(spark, sf):
     )
 
 
+@catalog.add("graph_axes_and_texts", "K9 K17", """
+WITH g AS (SELECT p_partkey, p_partkey % 3 = 0 AS ax, p_partkey AS k FROM part),
+ m AS (SELECT *, CASE k % 3 WHEN 1 THEN 'AI-Vision' ELSE CASE WHEN k % 6 = 2 THEN 'other' ELSE 'offline-basic' END END AS mode FROM g)
+SELECT p_partkey, coalesce(CASE WHEN ax AND k % 2 = 0 THEN false END, CASE WHEN k % 5 = 0 THEN false END, true) AS has_x_axis,
+ coalesce(CASE WHEN k % 4 = 1 THEN false END, CASE WHEN k % 5 = 0 THEN false END, true) AS has_y_axis, ax AS origin_visible,
+ CASE WHEN ax THEN 'one unit' WHEN k % 7 = 0 THEN 'top level' ELSE '' END AS scale_notes, mode,
+ CASE WHEN k % 9 = 0 THEN 'Own label' WHEN mode = 'AI-Vision' THEN 'AI Vision' WHEN mode = 'other' THEN 'Unknown mode' ELSE 'Offline Basic' END AS label_en,
+ CASE WHEN k % 9 = 0 THEN 'Own label' WHEN mode = 'AI-Vision' THEN 'AI Vision' WHEN mode = 'other' THEN 'Bilinmeyen mod' ELSE 'Offline Basic' END AS label_tr,
+ CASE WHEN k % 5 < 3 THEN 'Figure 1' ELSE '' END AS caption, CASE WHEN k % 8 = 0 THEN 'A title' ELSE '' END AS title,
+ CASE WHEN k % 8 = 3 THEN 'Look at the axes.' ELSE '' END AS tip FROM m""")
+def _(spark, sf):
+    p = GO.read_graph_payloads(json_payloads(spark, sf), "json").select("p_partkey", G.normalize_axes(F.col("payload")).alias("a"), G.given_texts(F.col("payload")).alias("g"))
+    return p.select(
+        "p_partkey", "a.*", "g.mode", G.mode_label(F.col("g")).alias("label_en"), G.mode_label(F.col("g"), "tr").alias("label_tr"), "g.caption", "g.title", "g.tip"
+    )
+
+
 @catalog.add("graph_display_records", "K17")
 def _(spark, sf):
     n = GO.normalize_payloads(json_payloads(spark, sf), "json")
-    rec = lambda loc: G.display_record(F.col("graph_type"), F.col("features"), F.col("equation"), F.col("confidence"), F.col("axes"), loc)
-    return n.withColumn("en", rec("en")).withColumn("tr", rec("tr")).select("p_partkey", "en.*", F.col("tr.graph_type").alias("graph_type_tr"), F.col("tr.trend").alias("trend_tr"), F.col("tr.tip").alias("tip_tr"))
+    return GO.display_records(n, ["p_partkey"], ("en", "tr")).withColumn("notes", F.array_join("notes", "|"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import transcode as X
-from ..sources import readers, writers
+from ..sources import packs, readers, writers
 from . import duck as D
 from .catalog import catalog
 from .streams import _scratch
@@ -44,9 +44,35 @@ def _(spark, sf):
     return spark.read.option("lineSep", writers.PAGE_SEPARATOR).text(path).select(F.col("value").alias("page"))
 
 
-@catalog.add("text_files_read", "A4 A10", f"SELECT concat({D.strip(strict_sql('text'))}, chr(10)) AS original_text, 'manual' AS source_type FROM documents WHERE {D.strip(strict_sql('text'))} <> ''")
+_EXPORTED = f"{D.strip(strict_sql('text'))}"
+
+
+@catalog.add("text_pack_read", "A10", f"SELECT concat(doc_id, '.txt') AS name, {_EXPORTED} AS text FROM documents")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", X.to_braille_strict(F.col("text")).alias("braille_text"))
     path = _scratch(spark) + "/txt"
-    writers.write_txt(docs.filter(F.trim("braille_text") != "").repartition(F.col("doc_id")), path, "doc_id")
+    writers.write_txt(docs, path, "doc_id")
+    return packs.read_pack(spark, path)
+
+
+@catalog.add("brf_pack_read", "A9", f"""
+WITH b AS (SELECT doc_id, {_EXPORTED} AS braille FROM documents), {WRAPPED}
+SELECT concat(doc_id, '.brf') AS name, coalesce(q.text, '') AS text FROM documents LEFT JOIN (SELECT doc_id, string_agg(page, concat(chr(10), chr(12), chr(10)) ORDER BY page_no) AS text FROM p WHERE doc_id IN (SELECT doc_id FROM b WHERE braille <> '') GROUP BY doc_id) q USING (doc_id)""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", X.to_braille_strict(F.col("text")).alias("braille_text"))
+    path = _scratch(spark) + "/brf"
+    writers.write_brf(docs, path, "doc_id")
+    return packs.read_pack(spark, path)
+
+
+@catalog.add("text_files_read", "A4", """
+SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS original_text, 'manual' AS source_type
+FROM (SELECT doc_id, doc_id // 64 AS shelf, regexp_replace(text, '[^a-z]+', ' ', 'g') AS text FROM documents) GROUP BY shelf""")
+def _(spark, sf):
+    """Text files of sixty-four documents each, a line for each document, in order."""
+    line, shelf = F.regexp_replace("text", "[^a-z]+", " ").alias("value"), F.floor(F.col("doc_id") / 64).alias("shelf")
+    docs = table(spark, sf, "documents").select("doc_id", shelf, line)
+    path = _scratch(spark) + "/txt"
+    dealt = docs.repartition("shelf").sortWithinPartitions("shelf", "doc_id")
+    dealt.select("shelf", "value").write.mode("overwrite").partitionBy("shelf").text(path)
     return readers.read_text_documents(spark, path + "/*/*.txt").select("original_text", "source_type")

@@ -114,7 +114,7 @@ def _(spark, sf):
     return d.select("doc_id", Q.needs_second_pass(t, F.col("items"), F.col("n")).alias("page"), Q.image_needs_second_pass(t).alias("image"))
 
 
-_IMP = S.improve_spacing("text")
+IMPROVED = S.improve_spacing("text")
 _SUGGEST = [
     "regexp_matches(text, '\\t| {2,}')", "regexp_matches(text, '\\n{3,}')", "regexp_matches(text, '[•●▪◦]')", "long_lines > 0", "runs > 0",
     "len(regexp_extract_all(t, '[.!?]')) <= 1 AND length(t) > 180", "source_type IN ('pdf', 'image', 'camera')",
@@ -122,7 +122,7 @@ _SUGGEST = [
 
 
 @catalog.add("readability", "F6", with_views(f"""
-WITH x AS (SELECT doc_id, source_type, text, {_IMP} AS t FROM marked_docs),
+WITH x AS (SELECT doc_id, source_type, text, {IMPROVED} AS t FROM marked_docs),
  c AS (SELECT *, len(list_filter(string_split(t, chr(10)), lambda l: length(l) > 84)) AS long_lines, len(regexp_extract_all(t, '\\d{{4,}}')) AS runs FROM x)
 SELECT doc_id, CAST(floor(greatest(35.0, 100 - long_lines * 8 - runs * 6 - greatest(0, length(t) - 500) / 18) + 0.5) AS BIGINT) AS score,
  concat_ws('|', {', '.join(f"CASE WHEN {c} THEN {D.q(s)} END" for c, s in zip(_SUGGEST, Q.SUGGESTIONS))}) AS suggestions,
@@ -151,7 +151,7 @@ def scores_sql(src: str, key: str) -> str:
    coalesce(enw, 0) * 2 + {D.count('text', G.ENGLISH_HINTS)} * 2 AS en FROM {src} s LEFT JOIN wc USING ({key}))"""
 
 
-_DETECT = """CASE WHEN tokens = 0 OR (tr = 0 AND en = 0) THEN 'unknown' WHEN tr > 0 AND en > 0 AND abs(tr - en) <= greatest(2.0, greatest(tr, en) * 0.35) THEN 'mixed' WHEN tr > en THEN 'tr' ELSE 'en' END AS language,
+DETECT = """CASE WHEN tokens = 0 OR (tr = 0 AND en = 0) THEN 'unknown' WHEN tr > 0 AND en > 0 AND abs(tr - en) <= greatest(2.0, greatest(tr, en) * 0.35) THEN 'mixed' WHEN tr > en THEN 'tr' ELSE 'en' END AS language,
  CASE WHEN tokens = 0 THEN 0.0 WHEN tr = 0 AND en = 0 THEN 0.2 WHEN tr > 0 AND en > 0 AND abs(tr - en) <= greatest(2.0, greatest(tr, en) * 0.35) THEN least(0.92, 0.52 + greatest(tr, en) / greatest(tokens * 2, 1))
  ELSE least(0.99, 0.58 + abs(tr - en) / greatest(tokens + 2, 4)) END AS confidence"""
 _R6 = "floor(confidence * 1e6 + 0.5) / 1e6 AS confidence"
@@ -166,14 +166,14 @@ def _(spark, sf):
     return marked_docs(spark, sf).select("doc_id", G.language_scores(F.col("text")).alias("_s")).select("doc_id", "_s.*")
 
 
-@catalog.add("detected_languages", "G2", with_views(f"WITH {scores_sql('marked_docs', 'doc_id')}, d AS (SELECT doc_id, {_DETECT} FROM sc) SELECT doc_id, language, {_R6} FROM d", "marked_docs"))
+@catalog.add("detected_languages", "G2", with_views(f"WITH {scores_sql('marked_docs', 'doc_id')}, d AS (SELECT doc_id, {DETECT} FROM sc) SELECT doc_id, language, {_R6} FROM d", "marked_docs"))
 def _(spark, sf):
     return LO.with_language(marked_docs(spark, sf)).select("doc_id", "language", _r6())
 
 
 @catalog.add("languages_by_blocks", "G3", with_views(f"""
 WITH b AS (SELECT doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS block_no, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x FROM paragraph_docs)),
- {scores_sql('b', 'doc_id, block_no')}, d AS (SELECT doc_id, block_no, {_DETECT} FROM sc),
+ {scores_sql('b', 'doc_id, block_no')}, d AS (SELECT doc_id, block_no, {DETECT} FROM sc),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (language = 'unknown'), confidence DESC, block_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM d),
  k AS (SELECT doc_id, count(DISTINCT language) AS kinds FROM d WHERE language <> 'unknown' GROUP BY doc_id),
  f AS (SELECT r.doc_id, CASE WHEN coalesce(kinds, 0) > 1 THEN 'mixed' ELSE language END AS language, CASE WHEN coalesce(kinds, 0) > 1 THEN 0.9 WHEN language = 'unknown' THEN 0.0 ELSE confidence END AS confidence
@@ -185,7 +185,7 @@ def _(spark, sf):
 
 
 @catalog.add("language_confusion", "G4", f"""
-WITH {scores_sql('documents', 'doc_id')}, d AS (SELECT doc_id, {_DETECT} FROM sc)
+WITH {scores_sql('documents', 'doc_id')}, d AS (SELECT doc_id, {DETECT} FROM sc)
 SELECT lang, count(*) FILTER (WHERE language = 'en') AS detected_en, count(*) FILTER (WHERE language = 'mixed') AS detected_mixed,
  count(*) FILTER (WHERE language = 'tr') AS detected_tr, count(*) FILTER (WHERE language = 'unknown') AS detected_unknown FROM d JOIN documents USING (doc_id) GROUP BY lang""")
 def _(spark, sf):

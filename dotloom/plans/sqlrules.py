@@ -141,6 +141,17 @@ def normalize_pdf_math(x: str) -> str:
     return trim(D.sub_all(x, B.PDF_MATH))
 
 
+def normalize_structured_math(x: str) -> str:
+    """A limit that its subscript follows at once is marked, so that the rule for late subscripts passes it by."""
+    squeeze = lambda t: trim(D.sub(t, r"\s+", " "))
+    t = trim(D.sub_all(x, B.STRUCTURED_MATH))
+    marked = f"regexp_replace({t}, '(?i)\\b(lim)(\\s+x→)', '\\1' || chr(1) || '\\2', 'g')"
+    late = D.sub(marked, B.LIMIT_ORDER[0].replace("(?!x→)", ""), B.LIMIT_ORDER[1])
+    t = squeeze(f"replace({late}, chr(1), '')")
+    t = squeeze(D.sub(t, *B.ROOT_RADICAND))
+    return squeeze(D.sub_all(t, B.NTH_ROOTS))
+
+
 def formula_tokens(x: str) -> str:
     rules = [
         (r"(^|[^\p{L}]):nt\(", "$1int("), (r"(^|[^\p{L}]):nf([^A-Za-z0-9_]|$)", "$1inf$2"),

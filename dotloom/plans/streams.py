@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-
+from ..functions import predicates as P
+from ..sources.writers import read_library
 from ..streaming import jobs as J
-
+from . import duck as D, sqlrules as Q
 from .catalog import catalog
-from .views import library_docs
+from .transcoding import line_sql, strict_sql
+from .views import library_docs, with_views
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -20,18 +21,29 @@ def _scratch(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-@catalog.add("streamed_conversions", "L1 A8")
+def _streamed_sql() -> str:
+    """The conversions of the library, document by document: text code, or line by line."""
+    lines = """l1 AS (SELECT doc_id, CAST(generate_subscripts(x, 1) AS INT) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(original_text, '\\n{2,}', chr(10) || chr(10), 'g'), chr(10)) AS x FROM m WHERE mode <> 'text'))"""
+    return with_views(f"""WITH m AS (SELECT *, CASE WHEN source_type IN ('image', 'camera') THEN 'ocr' WHEN {D.matches('original_text', P.NEMETH_HINT)} THEN 'nemeth' ELSE 'text' END AS mode FROM library_docs),
+ {lines}, l2 AS (SELECT doc_id, string_agg({line_sql('line')}, chr(10) ORDER BY i) AS cells FROM l1 GROUP BY doc_id)
+SELECT doc_id, source_type, mode AS conversion_mode, array_to_string(list_filter([source_type, mode], lambda t: t <> ''), ',') AS tags,
+ CASE WHEN mode = 'text' THEN {strict_sql(Q.fix_encoding('original_text'))} ELSE cells END AS braille_text FROM m LEFT JOIN l2 USING (doc_id)""", "library_docs")
+
+
+@catalog.add("streamed_conversions", "L1 A8", _streamed_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     base = _scratch(spark)
     docs = library_docs(spark, sf).select("doc_id", "user_id", "file_name", "original_text", "source_type")
     docs.write.mode("overwrite").parquet(f"{base}/in")
     J.stream_convert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("doc_id", "conversion_mode", "braille_text")
+    return read_library(spark, f"{base}/out").select(
+        "doc_id", "source_type", "conversion_mode", F.array_join("tags", ",").alias("tags"), "braille_text"
+    )
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,8 @@ from ..operators import align as A, layout as E, structure as S, transcoding as
 from . import duck as D, sqlrules as Q
 from .catalog import catalog
 from .sqlrepair import segments_sql
-from .sqlstructure import plain_blocks_sql, recursive
+from .sqlstructure import paginated_sql, plain_blocks_sql, rebuilt_sql, recursive, renamed, shared_sql, stored_pages_sql, structure_sql
+from .texts import HYPHENATED, hyphenated_pages
 from .views import library_docs, marked_docs, marked_lines, marked_pages, paragraph_docs, paragraph_text, table, with_views
 
 # ------------------------------------------------------------------ structure
@@ -26,6 +27,7 @@ def _pdocs(spark, sf) -> DataFrame:
 
 _PLINES = """pl AS (SELECT doc_id, source_type, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS text FROM (
  SELECT doc_id, source_type, string_split(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 4 THEN x || chr(10) ELSE x END), chr(10)), chr(10)) AS l FROM marked_docs))"""
+_PDOCS = """pd AS (SELECT doc_id, source_type, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 4 THEN x || chr(10) ELSE x END), chr(10)) AS text FROM marked_docs)"""
 _BLOCKS = f"""{_PLINES}, f1 AS (SELECT *, {Q.trim('text')} = '' AS b FROM pl),
  f2 AS (SELECT *, coalesce(lag(b) OVER w, true) AS pb, coalesce(lead(b) OVER w, false) AS nb FROM f1 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
  f3 AS (SELECT *, CAST(sum(CASE WHEN NOT b AND pb THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS block_no FROM f2),
@@ -48,23 +50,19 @@ _CLASSES = f"""{_BLOCKS}, c1 AS (SELECT doc_id, source_type, block_no, line_no,
    WHEN s >= greatest(2, ceil(n * 0.7)) THEN 'LINE_BASED' WHEN av >= 58 THEN 'REAL_PARAGRAPH' WHEN c > 0 THEN 'MIXED' ELSE 'LINE_BASED' END AS type FROM c5)"""
 
 
-def _class_blocks(spark, sf) -> DataFrame:
-    return S.classify_blocks(S.split_blocks(S.split_lines(_pdocs(spark, sf))))
-
-
 @catalog.add("block_structure_types", "D2", with_views(f"WITH {_CLASSES} SELECT doc_id, block_no, type, n_lines FROM cb", "marked_docs"))
 def _(spark, sf):
-    return _class_blocks(spark, sf).select("doc_id", "block_no", "type", "n_lines")
+    return S.classify_blocks(_pdocs(spark, sf)).select("doc_id", "block_no", "type", "n_lines")
 
 
 @catalog.add("document_structure_modes", "D3", with_views(f"""WITH {_CLASSES}, g AS (SELECT doc_id, min(type) AS lo, max(type) AS hi, bool_or(break_after) AS bk, count(*) AS n_blocks FROM cb GROUP BY doc_id),
  k AS (SELECT *, CASE WHEN lo = hi THEN lo ELSE 'MIXED' END AS classification FROM g)
 SELECT doc_id, classification, CASE classification WHEN 'LINE_BASED' THEN 'line_preserved' WHEN 'REAL_PARAGRAPH' THEN CASE WHEN bk THEN 'paragraph_preserved' ELSE 'plain_prose' END ELSE 'mixed_structured' END AS mode, n_blocks FROM k""", "marked_docs"))
 def _(spark, sf):
-    return S.document_structure_mode(_class_blocks(spark, sf))
+    return S.document_structure_mode(_pdocs(spark, sf))
 
 
-@catalog.add("rebuilt_texts", "D4")
+@catalog.add("rebuilt_texts", "D4", recursive(with_views(f"WITH {_PDOCS}, {rebuilt_sql('pd', 'doc_id', 'rb')} SELECT doc_id, classification, mode, text AS clean_text, fixes FROM rbr", "marked_docs")))
 def _(spark, sf):
     return S.rebuild_text(_pdocs(spark, sf)).select("doc_id", "classification", "mode", "clean_text", F.array_join("fixes", ",").alias("fixes"))
 
@@ -79,7 +77,7 @@ def _(spark, sf):
     return S.paginate_lines(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@catalog.add("pages_by_paragraphs", "D6")
+@catalog.add("pages_by_paragraphs", "D6", recursive(with_views(f"WITH pm AS (SELECT doc_id, 'plain_prose' AS mode, text FROM paragraph_docs), {paginated_sql('pm', 'doc_id', 'pg')} SELECT doc_id, page_no, page FROM pgp", "paragraph_docs")))
 def _(spark, sf):
     return S.paginate_blocks(paragraph_docs(spark, sf).select("doc_id", "text"))
 
@@ -129,11 +127,20 @@ def _(spark, sf):
     return S.split_pages(_stored(spark, sf))
 
 
-@catalog.add("stored_or_new_pages", "D8")
+_STORED_OR_NEW = f"""so AS (SELECT doc_id, (['manual', 'pdf', 'manual'])[doc_id % 3 + 1] AS source_type, replace(text, chr(10) || chr(10), chr(10) || '{T.PAGE_MARKER}' || chr(10)) AS text FROM paragraph_docs
+  UNION ALL SELECT -doc_id - 1, source_type, text FROM marked_docs UNION ALL SELECT 1000000000 + doc_id, 'pdf', string_agg(text, chr(10) || '{T.PAGE_MARKER}' || chr(10) ORDER BY page_no) FROM pages3 GROUP BY doc_id)"""
+
+
+@catalog.add("stored_or_new_pages", "D8", recursive(with_views(f"WITH {HYPHENATED}, {_STORED_OR_NEW}, {stored_pages_sql('so', 'sp', T.PAGE_MARKER)} SELECT doc_id, page_no, page FROM spq", "paragraph_docs", "marked_docs", "layout_lines")))
 def _(spark, sf):
     kind = F.element_at(F.array(F.lit("manual"), F.lit("pdf"), F.lit("manual")), (F.col("doc_id") % 3 + 1).cast("int"))
     marked = _stored(spark, sf).withColumn("source_type", kind)
-    return S.stored_or_new_pages(marked.unionByName(marked_docs(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text", "source_type")))
+    plain = marked_docs(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text", "source_type")
+    pages = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    cut = hyphenated_pages(spark, sf).groupBy((F.col("doc_id") + 1_000_000_000).alias("doc_id")).agg(
+        F.array_join(F.transform(pages, lambda p: p["text"]), f"\n{T.PAGE_MARKER}\n").alias("text"), F.lit("pdf").alias("source_type")
+    )
+    return S.stored_or_new_pages(marked.unionByName(plain).unionByName(cut))
 
 
 @catalog.add("stripped_markers", "D8", with_views(f"WITH {_STORED} SELECT doc_id, replace(stored, '{chr(10)}{T.PAGE_MARKER}{chr(10)}', chr(10) || chr(10)) AS text FROM st", "paragraph_docs"))
@@ -298,9 +305,75 @@ def _(spark, sf):
     return S.segment_plain(d)
 
 
-@catalog.add("processed_documents", "D19")
+def _block_rows(blocks: Column) -> Column:
+    """Blocks as comparable text: id, type, number of children, content."""
+    row = lambda b: F.concat_ws("|", b["id"], b["type"], F.size(b["children"]).cast("string"), b["content"])
+    return F.array_join(F.transform(blocks, row), "\n--\n")
+
+
+_BLOCK_ROWS = "string_agg(concat_ws('|', concat('block-', page_no, '-', lpad(CAST(block_no AS VARCHAR), 4, '0')), type, CASE WHEN type = 'equation_group' THEN n_lines ELSE 0 END, content), chr(10) || '--' || chr(10) ORDER BY block_no)"
+
+
+def normalized_sql(src: str, keys: str, p: str) -> str:
+    """Repair, structure, improvement and language: ``src(keys, source_type, text)`` -> ``{p}(keys, source_type, mode, text, score, language)``."""
+    from .quality import DETECT, IMPROVED, scores_sql
+    from .texts import COLLAPSED, LINE_MODE
+
+    on = f"USING ({keys})"
+    return f"""{segments_sql(src, keys)},
+ {p}1 AS (SELECT {keys}, source_type, x AS text FROM (SELECT {keys}, string_agg(CASE WHEN confidence >= 0.85 THEN fixed ELSE seg END, '' ORDER BY pos) AS x FROM sg GROUP BY {keys}) JOIN (SELECT {keys}, source_type FROM {src}) {on}),
+ {p}2 AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda l: {Q.trim('l')}), lambda l: l <> '') AS ls FROM {p}1),
+ {p}3 AS (SELECT {keys}, source_type, CASE WHEN {LINE_MODE} THEN text ELSE {COLLAPSED} END AS text FROM {p}2),
+ {rebuilt_sql(f'{p}3', keys, p + 'a')},
+ {p}4 AS (SELECT {keys}, source_type, {IMPROVED} AS t FROM {p}ar),
+ {p}5 AS (SELECT {keys}, source_type, {Q.trim('t')} AS text, CAST(floor(greatest(35.0, 100 - len(list_filter(string_split(t, chr(10)), lambda l: length(l) > 84)) * 8 - len(regexp_extract_all(t, '\\d{{4,}}')) * 6 - greatest(0, length(t) - 500) / 18) + 0.5) AS BIGINT) AS score FROM {p}4),
+ {rebuilt_sql(f'{p}5', keys, p + 'b')},
+ {p}6 AS (SELECT {keys}, block_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM {p}bl GROUP BY {keys}, block_no),
+ {renamed(scores_sql(f'{p}6', f'{keys}, block_no'), p + 'l')}, {p}7 AS (SELECT {keys}, block_no, {DETECT} FROM {p}lsc),
+ {p}8 AS (SELECT {keys}, CASE WHEN count(DISTINCT language) > 1 THEN 'mixed' ELSE min(language) END AS spoken FROM {p}7 WHERE language <> 'unknown' GROUP BY {keys}),
+ {renamed(scores_sql(f'{p}br', keys), p + 'w')}, {p}9 AS (SELECT {keys}, {DETECT} FROM {p}wsc),
+ {p} AS MATERIALIZED (SELECT {keys}, r.source_type, r.mode, r.text, score, coalesce(spoken, language) AS language FROM {p}br r JOIN {p}9 {on} JOIN (SELECT {keys}, score FROM {p}5) {on} LEFT JOIN {p}8 {on})"""
+
+
+def _page_values_sql(src: str, p: str) -> str:
+    """Mode, language and blocks of pages ``src(doc_id, page_no, source_type, page)``: ``{p}(doc_id, page_no, mode, language, blocks)``."""
+    from .quality import DETECT, scores_sql
+
+    texts = f"(SELECT doc_id, page_no, source_type, page AS text FROM {src})"
+    lines = f"(SELECT doc_id, page_no, CAST(generate_subscripts(x, 1) AS INT) AS line_no, unnest(x) AS text FROM (SELECT doc_id, page_no, string_split(page, chr(10)) AS x FROM {src}))"
+    return f"""{structure_sql(texts, 'doc_id, page_no', p)}, {renamed(scores_sql(texts, 'doc_id, page_no'), p)}, {p}1 AS (SELECT doc_id, page_no, {DETECT} FROM {p}sc),
+ {plain_blocks_sql(lines, p + 'q')}, {typed_sql(p + 'q', 'doc_id, page_no', 'line_no')}, {p}2 AS (SELECT doc_id, page_no, {_BLOCK_ROWS} AS blocks FROM ty GROUP BY doc_id, page_no),
+ {p} AS (SELECT doc_id, page_no, g.mode, language, coalesce(blocks, '') AS blocks FROM {p}g g JOIN {p}1 USING (doc_id, page_no) LEFT JOIN {p}2 USING (doc_id, page_no))"""
+
+
+@catalog.add("processed_documents", "D19", recursive(with_views(f"""WITH nd AS (SELECT doc_id, source_type, text FROM marked_docs), {normalized_sql('nd', 'doc_id', 'nm')},
+ {paginated_sql('nm', 'doc_id', 'pg')}, px AS (SELECT doc_id, page_no, source_type, page FROM pgp JOIN (SELECT doc_id, source_type FROM nm) USING (doc_id)), {_page_values_sql('px', 'pv')}
+SELECT pgp.doc_id, pgp.page_no, page, pv.mode, pv.language, nm.mode AS document_mode, nm.language AS document_language, nm.score AS readability, pv.blocks FROM pgp JOIN pv USING (doc_id, page_no) JOIN nm USING (doc_id)""", "marked_docs")))
 def _(spark, sf):
-    return S.process_documents(marked_docs(spark, sf))
+    return S.process_documents(marked_docs(spark, sf)).withColumn("blocks", _block_rows(F.col("blocks")))
+
+
+def _paged(spark, sf) -> DataFrame:
+    """Documents as pages of nine lines; the lines of documents with even ids have places."""
+    d = marked_pages(spark, sf)
+    n, lines = F.length, lambda p: F.split(p, "\n")
+
+    def placed(p: Column) -> Column:
+        def line(t: Column, i: Column) -> Column:
+            x0, y = F.when(i % 5 == 3, 100).otherwise(72), 768 - 14 * i - 20 * F.floor(i / 4).cast("int")
+            return F.struct(
+                t.alias("text"), x0.cast("double").alias("x0"), y.cast("double").alias("y0"),
+                (x0 + F.least(F.lit(440), 6 * n(t))).cast("double").alias("x1"), (y + 12).cast("double").alias("y1"),
+            )
+
+        return F.struct(F.lit(612.0).alias("width"), F.transform(lines(p), line).alias("lines"))
+
+    return d.withColumn("layouts", F.when(F.col("doc_id") % 2 == 0, F.transform("pages", placed)))
+
+
+@catalog.add("processed_pages", "D19")
+def _(spark, sf):
+    return S.process_pages(_paged(spark, sf), layouts="layouts").withColumn("blocks", _block_rows(F.col("blocks")))
 
 
 # ---------------------------------------------------------------------- layout
@@ -604,10 +677,28 @@ def _(spark, sf):
     return A.display_rows(marked_docs(spark, sf))
 
 
-@catalog.add("review_pages", "J8")
-def _(spark, sf):
+def _reviewed(spark, sf) -> DataFrame:
+    """Stored documents: with and without page markers, in both texts, in one, and as many or one less."""
+    d, mark = F.col("doc_id"), F.lit(f"\n{T.PAGE_MARKER}\n")
     p = _pairs(spark, sf)
-    pages = S.pages_by_blocks(F.col("text"))
-    return p.select("doc_id", F.posexplode(A.review_pages(pages, F.col("braille"))).alias("_p", "_r")).select(
-        "doc_id", (F.col("_p") + 1).alias("page_no"), "_r.original", "_r.braille"
+    paged = lambda c: F.replace(F.col(c), F.lit("\n\n"), mark)
+    return p.select(
+        "doc_id", F.when(d % 5 == 3, "pdf").otherwise("manual").alias("source_type"), F.when(d % 5 == 0, F.col("text")).otherwise(paged("text")).alias("text"),
+        F.when(d % 5 < 2, F.col("braille")).when(d % 5 == 2, F.concat(F.lit("⠁"), mark, F.col("braille"))).otherwise(paged("braille")).alias("braille"),
     )
+
+
+_REVIEWED = f"""{_PAIRS}, rv AS (SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'pdf' ELSE 'manual' END AS source_type, CASE WHEN doc_id % 5 = 0 THEN text ELSE replace(text, chr(10) || chr(10), concat(chr(10), '{T.PAGE_MARKER}', chr(10))) END AS text,
+  CASE WHEN doc_id % 5 < 2 THEN braille WHEN doc_id % 5 = 2 THEN concat('⠁', chr(10), '{T.PAGE_MARKER}', chr(10), braille) ELSE replace(braille, chr(10) || chr(10), concat(chr(10), '{T.PAGE_MARKER}', chr(10))) END AS cells FROM pa),
+ {stored_pages_sql('(SELECT doc_id, source_type, text FROM rv)', 'ro', T.PAGE_MARKER)},
+ rc AS (SELECT doc_id, source_type, cells AS text FROM rv WHERE contains(cells, '{T.PAGE_MARKER}')), {stored_pages_sql('rc', 'rk', T.PAGE_MARKER)},
+ rn AS (SELECT doc_id, count(*) AS n FROM roq GROUP BY doc_id), rm AS (SELECT doc_id, count(*) AS m, string_agg(page, chr(10) || chr(10) ORDER BY page_no) AS whole FROM rkq GROUP BY doc_id),
+ rb AS (SELECT doc_id, coalesce(whole, cells) AS text, m IS NOT NULL AND (n <= 1 OR n = m) AS keep FROM rv LEFT JOIN rn USING (doc_id) LEFT JOIN rm USING (doc_id)),
+ {shared_sql('roq', '(SELECT doc_id, text FROM rb)', 'rs')}, rp AS (SELECT doc_id, page_no, source_type, page FROM roq JOIN (SELECT doc_id, source_type FROM rv) USING (doc_id)), {_page_values_sql('rp', 'pv')}"""
+
+
+@catalog.add("review_pages", "J8", recursive(with_views(f"""WITH {_REVIEWED}
+SELECT roq.doc_id, roq.page_no, roq.page AS original, CASE WHEN keep THEN coalesce(rkq.page, '') ELSE rss.cells END AS braille, pv.mode, pv.language
+FROM roq JOIN rb USING (doc_id) JOIN pv ON pv.doc_id = roq.doc_id AND pv.page_no = roq.page_no LEFT JOIN rkq ON rkq.doc_id = roq.doc_id AND rkq.page_no = roq.page_no LEFT JOIN rss ON rss.doc_id = roq.doc_id AND rss.page_no = roq.page_no""", "paragraph_docs")))
+def _(spark, sf):
+    return A.review_documents(_reviewed(spark, sf))

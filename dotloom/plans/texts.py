@@ -12,6 +12,7 @@ from ..operators import repair as RP
 from . import duck as D, sqlrules as S
 from .catalog import catalog
 from .sqlrepair import segments_sql
+from .sqlstructure import merged_sql, recursive
 from .views import library_docs, marked_docs, marked_lines, table, with_views
 
 
@@ -38,13 +39,32 @@ _scalar("fix_encoding", "B1", B.fix_encoding, S.fix_encoding)
 _line_scalar("normalize_math_input", "B2", B.normalize_math_input, S.normalize_math_input)
 _line_scalar("normalize_pdf_math", "B3", B.normalize_pdf_math, S.normalize_pdf_math)
 _line_scalar("repair_formula_tokens", "B5", B.repair_formula_tokens, S.formula_tokens)
-_line_scalar("normalize_structured_math", "B11", B.normalize_structured_math, None)
+_line_scalar("normalize_structured_math", "B11", B.normalize_structured_math, S.normalize_structured_math)
 _scalar("improve_text", "B13", B.improve_text, lambda x: S.trim(S.improve_spacing(x)))
 _line_scalar("normalize_line", "B14", B.normalize_line, S.normalize_line)
 _line_scalar("clean_optional", "B17", B.clean_optional, S.clean_optional)
 
 
-@catalog.add("join_math_lines", "B4")
+def _continues(x: str) -> str:
+    return f"({x} <> '' AND {S.any_of(x, *RP.MATH_CONTINUATION)})"
+
+
+_LIM, _UNDER = (lambda x: D.matches(x, r"\blim\b")), (lambda x: D.matches(x, RP.LIMIT_SUBSCRIPT))
+_TAKEN = f"""CASE WHEN {D.matches('a0', RP.RULE_HEADING)} AND {_continues('a1')} AND {_LIM('a1')} AND {_UNDER('a2')} THEN CASE WHEN {_continues('a3')} THEN 3 ELSE 2 END
+  WHEN {D.matches('a0', RP.RULE_HEADING)} AND {_continues('a1')} THEN 1 WHEN {_LIM('a0')} AND {_UNDER('a1')} THEN CASE WHEN {_continues('a2')} THEN CASE WHEN {_continues('a3')} THEN 3 ELSE 2 END ELSE 1 END
+  WHEN {D.matches('a0', RP.LIMIT_WITH_SUBSCRIPT)} AND {_continues('a1')} THEN 1 ELSE 0 END"""
+
+
+@catalog.add("join_math_lines", "B4", recursive(with_views(f"""WITH jn AS (SELECT doc_id, {S.normalize_pdf_math('text')} AS t FROM marked_docs),
+ j0 AS (SELECT doc_id, CAST(generate_subscripts(x, 1) AS INT) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(t, '\\n{{2,}}', chr(10) || chr(10), 'g'), chr(10)) AS x FROM jn WHERE t <> '')),
+ j1 AS (SELECT doc_id, i, {S.normalize_pdf_math('line')} AS a0 FROM j0),
+ j2 AS (SELECT *, {', '.join(f"coalesce(lead(a0, {k}) OVER w, '') AS a{k}" for k in (1, 2, 3))} FROM j1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ j3 AS (SELECT *, {_TAKEN} AS n FROM j2),
+ j4 AS MATERIALIZED (SELECT doc_id, i, a0, n, CASE WHEN n > 0 THEN {S.normalize_pdf_math("concat_ws(' ', nullif(a0, ''), nullif(a1, ''), CASE WHEN n > 1 THEN nullif(a2, '') END, CASE WHEN n > 2 THEN nullif(a3, '') END)")} ELSE a0 END AS made FROM j3),
+ j5 AS (SELECT DISTINCT doc_id, 0 AS i, 0 AS skip, CAST(NULL AS VARCHAR) AS out, 'x' AS last FROM j4
+  UNION ALL SELECT n.doc_id, n.i, CASE WHEN p.skip > 0 THEN p.skip - 1 WHEN n.a0 = '' AND p.last = '' THEN 0 ELSE n.n END, CASE WHEN p.skip > 0 OR (n.a0 = '' AND p.last = '') THEN NULL ELSE n.made END, CASE WHEN p.skip > 0 OR (n.a0 = '' AND p.last = '') THEN p.last ELSE n.made END
+  FROM j5 p JOIN j4 n ON n.doc_id = p.doc_id AND n.i = p.i + 1)
+SELECT doc_id, {S.trim("regexp_replace(coalesce(x, ''), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS result FROM jn LEFT JOIN (SELECT doc_id, string_agg(out, chr(10) ORDER BY i) AS x FROM j5 GROUP BY doc_id) USING (doc_id)""", "marked_docs")))
 def _(spark, sf):
     return marked_docs(spark, sf).select("doc_id", RP.join_math_lines(F.col("text")).alias("result"))
 
@@ -118,6 +138,11 @@ _COLLAPSED = S.trim(
 )
 
 
+#: Texts (``text``, with their lines ``ls``) whose lines are kept, and the others with lines joined.
+LINE_MODE = """(source_type = 'pdf' OR (len(ls) > 1 AND (len(list_filter(ls, lambda l: length(l) <= 60)) / len(ls) >= 0.55 OR len(list_filter(ls, lambda l: regexp_matches(l, '[=∫√π∞≤≥⇔⇒⊂∈]'))) > 0)))"""
+COLLAPSED = _COLLAPSED.replace("@x@", D.sub("text", r"[^\S\n]*\n[^\S\n]*", "\n"))
+
+
 @catalog.add("collapse_or_preserve", "B10", with_views(f"""
 WITH x AS (SELECT doc_id, source_type, text, list_filter(list_transform(string_split(text, chr(10)), lambda l: {S.trim('l')}), lambda l: l <> '') AS ls FROM (
   SELECT doc_id, (['manual','pdf','image','camera'])[doc_id % 4 + 1] AS source_type, text FROM paragraph_docs)),
@@ -146,7 +171,7 @@ def _(spark, sf):
 
 
 # pages of three lines; every third page ends in a hyphenated word, every ninth is one word
-_PAGES = f"""g AS (SELECT doc_id, CAST(line_no // 3 AS INT) AS page_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM layout_lines GROUP BY doc_id, line_no // 3),
+HYPHENATED = f"""g AS (SELECT doc_id, CAST(line_no // 3 AS INT) AS page_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM layout_lines GROUP BY doc_id, line_no // 3),
  pages3 AS (SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 9 = 4 THEN concat({D.extract('text', r'[a-z]+', 0)}, '-')
   WHEN (doc_id + page_no) % 3 = 0 THEN concat({D.sub('text', r'[^\p{L}]+$', '')}, '-') ELSE text END AS text FROM g)"""
 
@@ -168,7 +193,7 @@ def hyphenated_pages(spark, sf):
 
 
 @catalog.add("repair_page_breaks", "B15", with_views(f"""
-WITH RECURSIVE {_PAGES},
+WITH RECURSIVE {HYPHENATED},
  f AS (SELECT *, regexp_matches(regexp_replace(text, '\\s+$', ''), '\\p{{L}}{{2,}}-$') AS ends, {D.extract('text', r'^\s*(\p{L}+)', 1)} AS first,
    regexp_matches(regexp_replace(text, '\\s+$', ''), '^\\s*\\p{{L}}+-$') AS only FROM pages3),
  e AS (SELECT *, coalesce(lead(first) OVER (PARTITION BY doc_id ORDER BY page_no), '') AS nxt FROM f),
@@ -182,7 +207,9 @@ def _(spark, sf):
     return RP.repair_page_breaks(hyphenated_pages(spark, sf))
 
 
-@catalog.add("merge_wrapped_lines", "B16")
+@catalog.add("merge_wrapped_lines", "B16", recursive(with_views(f"""WITH ml AS (SELECT doc_id, 0 AS grp, CAST(generate_subscripts(x, 1) AS INT) AS i, len(x) AS n, regexp_replace(unnest(x), '\\s+$', '') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM marked_docs)),
+ {merged_sql('ml', 'doc_id', 'mg')}, mt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY seg) AS merged FROM mgo GROUP BY doc_id), mf AS (SELECT doc_id, string_agg(fix, ',' ORDER BY ofs) AS fixes FROM mgx GROUP BY doc_id)
+SELECT doc_id, coalesce(merged, '') AS merged, coalesce(fixes, '') AS fixes FROM marked_docs LEFT JOIN mt USING (doc_id) LEFT JOIN mf USING (doc_id)""", "marked_docs")))
 def _(spark, sf):
     d = marked_docs(spark, sf).select("doc_id", RP.merge_wrapped_lines(F.split("text", "\n")).alias("_m"))
     return d.select(

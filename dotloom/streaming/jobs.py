@@ -17,6 +17,7 @@ from ..functions import text as B
 from ..functions import transcode as X
 from ..operators import library as L
 from ..operators.transcoding import convert_text
+from ..sources.writers import append_documents
 
 DOCUMENT_SCHEMA = "doc_id long, user_id string, file_name string, original_text string, source_type string"
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -33,11 +34,19 @@ def convert_columns(df: DataFrame) -> DataFrame:
 
 
 def stream_convert(spark: SparkSession, src_dir: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Convert every new upload once and append it to the library."""
+    """Convert every new upload once and append it to the library.
+
+    Every micro-batch is a batch of ``append_documents``: one that runs again after a failure replaces its own rows.
+    """
     src = spark.readStream.schema(DOCUMENT_SCHEMA).parquet(src_dir)
+    tags = F.array(F.col("source_type"), F.col("conversion_mode"))
+
+    def append(rows: DataFrame, batch: int) -> None:
+        append_documents(rows, sink, batch)
+
     return (
-        convert_columns(src).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(sink)
+        convert_columns(src).withColumn("tags", tags).writeStream.foreachBatch(append).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 

@@ -13,7 +13,7 @@ from dotloom.operators import align as A, graphs as GO, layout as LA, structure
 from dotloom.operators.transcoding import PAGE_MARKER
 from dotloom.plans import structure as PS
 from dotloom.plans.views import library_docs
-from dotloom.sources import readers, writers
+from dotloom.sources import packs, readers, writers
 from dotloom.streaming import jobs
 
 
@@ -43,9 +43,9 @@ def test_layout_items(spark, folder):
              [("1.", 70, 760, 10), ("Kökler", 86, 760, 40), (",", 126, 760, 4), ("Next", 70, 740, 30), ("far", 70, 600, 20)]]
     (folder / "l.json").write_text(json.dumps({"doc_id": "d", "pages": [{"page_no": 1, "width": 612, "height": 792, "items": items}]}))
     got = readers.read_layout_items(spark, str(folder / "l.json"))
-    lines = LA.items_to_lines(got)
+    lines = LA.items_to_lines(LA.pages(got))
     assert [r.text for r in lines.orderBy("line_no").collect()] == ["1. Kökler,", "Next", "far"]
-    gaps = LA.blank_line_gaps(lines)
+    gaps = LA.blank_line_gaps(LA.pages(lines))
     assert [r.text for r in gaps.orderBy("ord").collect()] == ["1. Kökler,", "Next", "", "far"]
 
 
@@ -55,40 +55,72 @@ def test_library_sinks(spark, folder):
     df = spark.createDataFrame(rows, cols)
     writers.append_documents(df, str(folder / "lib"))
     writers.append_documents(df, str(folder / "lib"))
-    lib = spark.read.parquet(str(folder / "lib"))
+    lib = writers.read_library(spark, str(folder / "lib"))
     assert lib.count() == 4 and lib.filter("doc_id = 1").first().tags == ["my-tag"]
     writers.write_brf(df, str(folder / "brf"), "doc_id")
-    assert next((folder / "brf" / "doc_id=1").glob("*.txt")).read_text() == "ab\n\f\nen\n"
+    assert packs.fetch(str(folder / "brf"), "1.brf").decode() == "ab\n\f\nen" and packs.fetch(str(folder / "brf"), "3.brf") is None
     writers.write_brf(df, str(folder / "all"), "doc_id", combined=True)
     text = "".join(p.read_text() for p in sorted((folder / "all").glob("part-*")))
     assert text.removesuffix("\n\f\n") == "ab\n\f\nen\n\f\na"
     writers.write_txt(df, str(folder / "txt"), "doc_id")
-    assert next((folder / "txt" / "doc_id=1").glob("*.txt")).read_text() == "⠁⠃\n\f\n⠑⠝\n"
+    assert {r.name: r.text for r in packs.read_pack(spark, str(folder / "txt")).collect()} == {"1.txt": "⠁⠃\n\f\n⠑⠝", "2.txt": "⠁"}
+
+
+def test_batches_are_appended_once(spark, folder):
+    df = spark.createDataFrame([(1, "manual", ["A"]), (2, "pdf", [])], "doc_id int, source_type string, tags array<string>")
+    path = str(folder / "lib")
+    writers.append_documents(df, path, 0)
+    writers.append_documents(df.withColumn("doc_id", F.col("doc_id") + 10), path, 1)
+    writers.append_documents(df.withColumn("doc_id", F.col("doc_id") + 20), path, 1)  # the batch again, after a failure
+    assert sorted(r.doc_id for r in writers.read_library(spark, path).collect()) == [1, 2, 21, 22]
+
+
+def test_packs(spark, folder):
+    path = str(folder / "pack")
+    docs = spark.range(0, 5000, 1, 20).select(
+        F.concat(F.lit("n"), F.col("id")).alias("name"), F.when(F.col("id") % 7 == 0, None).otherwise(F.repeat(F.lit("ü☃x"), (F.col("id") % 50).cast("int"))).alias("text")
+    )
+    packs.write_pack(docs, path, 6)
+    files = list((folder / "pack").glob("*.pack"))
+    assert len(files) == 6 and len(packs.manifest_of(path)["parts"]) == 6
+    got = {r.name: r.text for r in packs.read_pack(spark, path).collect()}
+    assert got == {r.name: r.text or "" for r in docs.collect()}
+    assert packs.fetch(path, "n51") == "ü☃x".encode() and packs.fetch(path, "n49") == b"" and packs.fetch(path, "m") is None
+    one = packs.read_pack(spark, path, "n52")
+    assert one.rdd.getNumPartitions() == 1 and [r.text for r in one.collect()] == ["ü☃xü☃x"]
+    # files of tasks that no manifest names are not read; appended records are
+    (folder / "pack" / "part-lost.pack").write_bytes(b"half")
+    packs.write_pack(spark.createDataFrame([("n51", "again"), (None, None)], "name string, text string"), path, 6, "append")
+    assert packs.read_pack(spark, path).count() == 5002 and packs.read_pack(spark, path, "n51").count() == 2
+    packs.write_pack(docs.limit(0), path, 2)
+    assert packs.read_pack(spark, path).count() == 0 and packs.fetch(path, "n1") is None
 
 
 def test_stream_equals_batch(spark, folder):
     docs = library_docs(spark, SF_DIR).select("doc_id", "user_id", "file_name", "original_text", "source_type")
     docs.write.parquet(str(folder / "in"))
     jobs.stream_convert(spark, str(folder / "in"), str(folder / "out"), str(folder / "cp")).awaitTermination()
-    streamed = spark.read.parquet(str(folder / "out"))
+    streamed = writers.read_library(spark, str(folder / "out"))
     batch = jobs.convert_columns(docs)
     assert streamed.count() == batch.count()
     assert streamed.select(*batch.columns).exceptAll(batch).isEmpty()
     # a second run over the same files converts nothing again
     jobs.stream_convert(spark, str(folder / "in"), str(folder / "out"), str(folder / "cp")).awaitTermination()
-    assert spark.read.parquet(str(folder / "out")).count() == batch.count()
+    assert writers.read_library(spark, str(folder / "out")).count() == batch.count()
 
 
 def test_reading_order_is_a_permutation(spark):
-    o = PS._ordered(spark, SF_DIR)
-    bad = o.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("ord").alias("d"), F.max("ord").alias("m")).filter("n <> d OR m <> n - 1")
+    o = LA.reading_order(PS._pages(spark, SF_DIR))
+    assert o.select("page_no").distinct().count() > 1
+    bad = o.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.count_distinct("ord").alias("d"), F.max("ord").alias("m")).filter("n <> d OR m <> n - 1")
     assert bad.isEmpty()
 
 
 def test_every_leaf_is_aligned_once(spark):
-    tree = PS._block_tree(spark, SF_DIR)
-    got = A.attach_braille(tree, PS.paragraph_docs(spark, SF_DIR).select("doc_id", F.col("text").alias("braille")))
-    assert got.count() == tree.count() == got.select("doc_id", "id").distinct().count()
+    d = PS._attachable(spark, SF_DIR)
+    got = A.attach_braille(d)
+    nodes = d.selectExpr("sum(size(tree) + aggregate(tree, 0, (a, b) -> a + size(b.children))) n").first().n
+    assert got.count() == nodes == got.select("doc_id", "id").distinct().count()
 
 
 def test_review_pages_keep_every_chunk(spark):
