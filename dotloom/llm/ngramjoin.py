@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import fresh, only, probably_in, remembers, settle, text_of, written
+from dotloom.llm.common import fresh, only, probably_in, remembers, settle, text_of, tidy, written
 from dotloom.llm.components import components
 
 U = np.uint64
@@ -308,6 +308,7 @@ def links(groups: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
 
 def labelled(docs: DataFrame, width: int, num: int, den: int, keep_signatures: bool) -> DataFrame:
     """doc_id, text_key, n_shingles, component (a node; null for an empty set) and component_id of every row of ``docs``."""
+    tidy(docs.sparkSession)  # what earlier work left
     texts = docs.select("doc_id", text_of().alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("text_key"), signed(F.col("text"), width, num, den).alias("s"))
     if keep_signatures:
@@ -318,7 +319,9 @@ def labelled(docs: DataFrame, width: int, num: int, den: int, keep_signatures: b
         nodes = written(plain.select("doc_id", "text_key", "s.node", F.size("s.shingles").cast("long").alias("n_shingles")))
         signs = rows.select("s.node", "s.signatures")
     members = written(candidate_groups(signs.select("node", F.explode("signatures").alias("sig"))))
+    tidy(docs.sparkSession)  # the signatures' shuffle
     found = links(members, fetched_sets(texts, members, nodes, width), num, den)
+    tidy(docs.sparkSession)  # the candidates' sets
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
