@@ -235,13 +235,17 @@ def blocks_in_order(typed: Column) -> Column:
     return R.let(typed, arrange)
 
 
-def page_tree(lines: Column, page_width: Column, page_no: Column) -> Column:
-    """Blocks of one page of positioned lines, in the shape of ``blocks.page_tree``."""
-    numbered = F.transform(
+def numbered(lines: Column) -> Column:
+    """Lines struct(text, x0, y0, x1, y1) with their line_no."""
+    return F.transform(
         lines,
         lambda l, i: F.struct(i.alias("line_no"), l["text"].alias("text"), *[l[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]),
     )
 
+
+def page_tree(in_order: Column, page_no: Column) -> Column:
+    """Typed blocks of one page in their order, in the shape of ``blocks.page_tree``."""
+
     def block(b: Column, i: Column) -> Column:
         return R.let(
             K.block_id(page_no, i),
@@ -252,7 +256,7 @@ def page_tree(lines: Column, page_width: Column, page_no: Column) -> Column:
             ),
         )
 
-    return F.transform(blocks_in_order(typed_blocks(blocks(regions(ordered(numbered), page_width), page_width))), block)
+    return F.transform(in_order, block)
 
 
 # ------------------------------------------------------------- positioned items

@@ -563,9 +563,11 @@ def process_pages(
     """
     own = F.lit(None).cast("string") if layouts is None else F.col(layouts)
     rows = df.select(key, source_type, own.alias("_l"), F.posexplode(pages).alias("_n", "_page"))
-    done = _normalized(rows, "_page", source_type, improve).where("_text <> ''")
+    done = _normalized(rows, "_page", source_type, improve)
     page = F.struct("_n", F.col("_text").alias("page"), F.col("_mode").alias("mode"), F.col("_spoken").alias("language"))
     g = done.groupBy(key, source_type).agg(F.array_sort(F.collect_list(page)).alias("_ps"), F.first("_l").alias("_l"))
+    # pages without text go here: a filter before the exchange would repeat all stages that made the text
+    g = g.withColumn("_ps", F.filter("_ps", lambda v: v["page"] != ""))
     g = g.withColumn("_whole", R.strip(F.array_join(F.transform("_ps", lambda v: v["page"]), "\n\n")))
     g = g.withColumn("_told", _language(F.col("_whole"))).withColumn("_score", Q.readability(F.col("_whole"), F.col(source_type))["score"])
     mode = K.mode_of_pages(F.transform("_ps", lambda v: v["mode"]))
@@ -574,12 +576,19 @@ def process_pages(
         key, "_l", mode.alias("document_mode"), F.when(F.col("_told") != "unknown", F.col("_told")).otherwise(language).alias("document_language"),
         F.col("_score").alias("readability"), F.posexplode("_ps").alias("_p", "_v"),
     )
-    blocks = K.page_tree(F.col("_v.page"), F.col("_p") + 1)
+    page_no = F.col("_p") + 1
+    g = g.withColumn("_plain", K.page_tree(F.col("_v.page"), page_no))
+    blocks = F.col("_plain")
     if layouts is not None:
-        lay = F.get(F.col("_l"), F.col("_p"))
-        placed = G.page_tree(lay["lines"], lay["width"], F.col("_p") + 1)
-        blocks = F.when(F.coalesce(F.size(lay["lines"]), F.lit(0)) > 0, placed).otherwise(blocks)
+        # a stage is a projection of its own; pages without lines have none of any kind
+        g = g.withColumns({"_w": F.coalesce(F.get("_l", F.col("_p"))["width"], F.lit(float(G.PAGE_WIDTH))), "_o": G.numbered(F.get("_l", F.col("_p"))["lines"])})
+        g = g.withColumn("_o", G.ordered(F.col("_o")))
+        g = g.withColumn("_o", G.regions(F.col("_o"), F.col("_w")))
+        g = g.withColumn("_o", G.blocks(F.col("_o"), F.col("_w")))
+        g = g.withColumn("_o", G.typed_blocks(F.col("_o")))
+        g = g.withColumn("_o", G.blocks_in_order(F.col("_o")))
+        blocks = F.when(F.size("_o") > 0, G.page_tree(F.col("_o"), page_no)).otherwise(blocks)
     return g.select(
-        key, (F.col("_p") + 1).alias("page_no"), "_v.page", "_v.mode", "_v.language", "document_mode", "document_language", "readability",
+        key, page_no.alias("page_no"), "_v.page", "_v.mode", "_v.language", "document_mode", "document_language", "readability",
         blocks.alias("blocks"),
     )
