@@ -4,9 +4,26 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors as an archive, once an application, where Python code runs in them."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        archive = Path(tempfile.mkdtemp(prefix="dotloom-")) / "dotloom-library.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                z.write(file, file.relative_to(PACKAGE.parent))
+        context.addPyFile(str(archive))
+
 
 def local_session(app: str = "dotloom", cpus: str | int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench.  A cluster brings its own session."""

@@ -22,9 +22,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 SCHEMA = "name string, text string"
 MANIFEST = "manifest.json"
 _TAIL = struct.Struct("<QQ")  # where the table begins, and how long it is
@@ -117,13 +119,6 @@ class PackReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.name = options["path"], options.get("name")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",) and self.name is None:
-                self.name = f.value
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         known = manifest_of(self.path)
         wanted = None if self.name is None else bucket_of(self.name, known["buckets"])
@@ -166,6 +161,8 @@ class PackSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format ``pack`` known to a session, and this package to its executors."""
+    ship(spark)
     spark.dataSource.register(PackSource)
 
 
