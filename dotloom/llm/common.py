@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import sys
 import tempfile
 import uuid
@@ -87,17 +86,6 @@ def settle() -> None:
             pass
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of what has been written and is no longer referred to.
-
-    It does so when the driver's heap is collected, which a driver with little to do hardly ever is by itself.
-    """
-    gc.collect()
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.java.lang.System.gc()
-
-
 #: Bits of the fixed-size filter of ``probably_in``.
 FILTER_BITS = 1 << 23
 
