@@ -19,7 +19,7 @@ TYPE_ALIASES = {
 CONFIDENCE_WORDS = {"high": 0.92, "medium": 0.68, "low": 0.38}
 REFERENCE_LABEL = "x-constant reference"
 VISUAL_PHRASES = (
-    r"(?i)\b(?:as seen|you can see|shown|visible|looks like|appears to show|blue line|red line|green line|black line)\b"
+    r"(?i)(?<!\w)(?:as seen|you can see|shown|visible|looks like|appears to show|blue line|red line|green line|black line)(?!\w)"
 )
 SUMMARY = {
     "line": ("straight line rising from left to right", "straight line falling from left to right"),
@@ -120,21 +120,37 @@ def read_payload(json: Column) -> Column:
 
 
 def _decimal(text: Column) -> Column:
-    return E.number(R.strip(R.replace_all(F.translate(R.text(text), "−–—", "---"), [(",", ".")])))
+    return R.let(R.strip(R.replace_all(F.translate(R.text(text), "−–—", "---"), [(",", ".")])), E.number)
 
 
 def parse_point(raw: Column, x: float | None = None, y: float | None = None) -> Column:
     """A point written as '(1, 2)', [1, 2, label] or {"x": 1, "y": 2}."""
-    t = R.strip(R.text(raw))
-    obj = F.from_json(t, "x string, y string, approx string, label string")
-    arr = F.from_json(t, "array<string>")
     pair = r"^\(?\s*([-+]?\d*\.?\d+)\s*,\s*([-+]?\d*\.?\d+)\s*\)?$"
-    px = F.when(t.startswith("{"), F.coalesce(_decimal(obj["x"]), F.lit(x).cast("double"))).when(t.startswith("["), _decimal(F.get(arr, F.lit(0)))).otherwise(E.number(R.extract(t, pair, 1)))
-    py = F.when(t.startswith("{"), F.coalesce(_decimal(obj["y"]), F.lit(y).cast("double"))).when(t.startswith("["), _decimal(F.get(arr, F.lit(1)))).otherwise(E.number(R.extract(t, pair, 2)))
-    label = E.squeeze(F.when(t.startswith("{"), obj["label"]).when(t.startswith("["), F.get(arr, F.lit(2))))
-    approx = F.when(t.startswith("{"), F.lower(R.strip(R.text(obj["approx"]))) == "true").otherwise(False)
-    made = F.struct(px.alias("x"), py.alias("y"), approx.alias("approx"), F.when(label != "", label).alias("label"))
-    return R.let(made, lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), F.struct(E._zero(p["x"]).alias("x"), E._zero(p["y"]).alias("y"), p["approx"].alias("approx"), p["label"].alias("label")).cast(E.POINT)))
+
+    def coordinates(px: Column, py: Column, approx: Column, label: Column) -> Column:
+        return F.struct(px.alias("x"), py.alias("y"), approx.alias("approx"), F.when(label != "", label).alias("label"))
+
+    def from_object(o: Column) -> Column:
+        px, py = F.coalesce(_decimal(o["x"]), F.lit(x).cast("double")), F.coalesce(_decimal(o["y"]), F.lit(y).cast("double"))
+        return coordinates(px, py, F.lower(R.strip(R.text(o["approx"]))) == "true", E.squeeze(o["label"]))
+
+    def from_list(a: Column) -> Column:
+        at = lambda i: F.get(a, F.lit(i))
+        return coordinates(_decimal(at(0)), _decimal(at(1)), F.lit(False), E.squeeze(at(2)))
+
+    def read(t: Column) -> Column:
+        # each spelling is read only where a value has it
+        return (
+            F.when(t.startswith("{"), R.let(F.from_json(t, "x string, y string, approx string, label string"), from_object))
+            .when(t.startswith("["), R.let(F.from_json(t, "array<string>"), from_list))
+            .when(t != "", coordinates(E.number(R.extract(t, pair, 1)), E.number(R.extract(t, pair, 2)), F.lit(False), F.lit("")))
+        )
+
+    def point(p: Column) -> Column:
+        known = F.struct(E._zero(p["x"]).alias("x"), E._zero(p["y"]).alias("y"), p["approx"].alias("approx"), p["label"].alias("label"))
+        return F.when(p["x"].isNotNull() & p["y"].isNotNull(), known.cast(E.POINT))
+
+    return R.let(R.let(R.strip(R.text(raw)), read), point)
 
 
 def _points(raw: Column, x: float | None = None, y: float | None = None) -> Column:
@@ -164,11 +180,10 @@ def unique_texts(values: Column) -> Column:
 def normalize_features(p: Column) -> Column:
     """Key features of a payload as a typed feature struct."""
     k = p["key_features"]
-    legacy = lambda raw, axis: F.when(
-        parse_point(raw).isNotNull(), F.array(parse_point(raw))
-    ).when(_decimal(raw).isNotNull(), F.array(E.point(_decimal(raw), F.lit(0.0)) if axis == "x" else E.point(F.lit(0.0), _decimal(raw))))
     none = F.array().cast(f"array<{E.POINT}>")
-    listed = lambda pts, raw, axis: F.when(F.size(pts) > 0, pts).otherwise(F.coalesce(legacy(raw, axis), none))
+    on_axis = lambda axis: lambda n: F.when(n.isNotNull(), F.array(E.point(n, F.lit(0.0)) if axis == "x" else E.point(F.lit(0.0), n)))
+    legacy = lambda raw, axis: F.coalesce(R.let(parse_point(raw), lambda p: F.when(p.isNotNull(), F.array(p))), R.let(_decimal(raw), on_axis(axis)), none)
+    listed = lambda pts, raw, axis: R.let(pts, lambda ps: F.when(F.size(ps) > 0, ps).otherwise(legacy(raw, axis)))
     direction = F.lower(E.squeeze(k["opens"]))
     axis = E.squeeze(k["axis_of_symmetry"])
     return E.features(
@@ -350,7 +365,7 @@ def clean_sentence(text: Column) -> Column:
     """One sentence without purely visual phrases, closed by a full stop."""
     t = R.sub(E.squeeze(text), VISUAL_PHRASES, "")
     t = R.strip(F.regexp_replace(F.regexp_replace(t, r"\s+,", ","), r"\s+\.", "."))
-    return F.when((t == "") | t.endswith("."), t).otherwise(F.concat(t, F.lit(".")))
+    return R.let(t, lambda c: F.when((c == "") | c.endswith("."), c).otherwise(F.concat(c, F.lit("."))))
 
 
 def _opening(kind: Column, f: Column, compact: bool) -> Column:
