@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
-from dotloom.functions import graphs as G
+from dotloom.functions import graphs as G, language as L
 from dotloom.plans import views as V
 
 
@@ -18,3 +18,14 @@ def test_sentences_and_points_are_read_once(spark, apply):
     assert apply(G.clean_sentence, [" a  line shown , as seen here .", "ends.", None, "foreshown"]) == ["a line,  here.", "ends.", "", "foreshown."]
     points = apply(lambda c: G.parse_point(c, y=0.0), ["(1, -2.5)", '[1, "2", "a  b"]', '{"x": "−1", "approx": true}', "{broken", "", None, "x"])
     assert [p and tuple(p) for p in points] == [(1.0, -2.5, False, None), (1.0, 2.0, False, "a b"), (-1.0, 0.0, True, None), None, None, None, None]
+
+
+def test_documents_of_one_row_group_are_dealt_over_tasks(spark):
+    for view in (V.marked_docs, V.paragraph_docs, V.layout_lines):
+        assert view(spark, SF_DIR).select(F.spark_partition_id().alias("p")).distinct().count() > 8, view
+
+
+def test_language_scores_are_counted_once(spark, apply):
+    told = str(L.detect_language(L.language_scores(F.col("x"))))
+    assert told.count("belirli") == 2 and told.count("lower(") == 1  # a stop word and a hint
+    assert [tuple(r) for r in apply(lambda c: L.language_scores(c), ["the line and bu", None, "İşlem"])] == [(4, 2, 8), (0, 0, 0), (1, 8, 0)]
