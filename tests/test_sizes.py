@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 from dotloom.functions import graphs as G, language as L
-from dotloom.plans import views as V
+from dotloom.plans import catalog, views as V
 
 
 def test_small_rows_of_much_work_are_dealt_over_tasks(spark):
@@ -29,3 +29,9 @@ def test_language_scores_are_counted_once(spark, apply):
     told = str(L.detect_language(L.language_scores(F.col("x"))))
     assert told.count("belirli") == 2 and told.count("lower(") == 1  # a stop word and a hint
     assert [tuple(r) for r in apply(lambda c: L.language_scores(c), ["the line and bu", None, "İşlem"])] == [(4, 2, 8), (0, 0, 0), (1, 8, 0)]
+
+
+def test_text_files_hold_every_document_in_cells(spark):
+    got = [r.original_text for r in catalog.queries["text_files_read"](spark, SF_DIR).select("original_text").collect()]
+    kept = V.table(spark, SF_DIR, "documents").where(F.regexp_like("text", F.lit(r"[A-Za-z]"))).count()
+    assert sum(any("\u2800" <= c <= "\u28ff" for c in t) for t in got) >= kept > 100
