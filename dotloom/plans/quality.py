@@ -9,7 +9,7 @@ from ..operators import language as LO
 from . import duck as D, sqlrules as S
 from .catalog import catalog
 from .texts import _TR_LOWER
-from .views import layout_lines, library_docs, marked_docs, paragraph_docs, table, with_views
+from .views import dealt, layout_lines, library_docs, marked_docs, paragraph_docs, table, with_views
 
 
 def _any(x: str, ps: list[str]) -> str:
@@ -74,7 +74,7 @@ _SPACED = "(CASE WHEN doc_id % 2 = 1 THEN trim(regexp_replace(text, '([a-zA-Z])'
 
 def candidates(spark, sf):
     """Two readings of every page: the text, and one with spaced or prefixed letters."""
-    d = table(spark, sf, "documents")
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text"))
     spaced = F.trim(F.regexp_replace(F.col("text"), "([a-zA-Z])", "$1 "))
     b = F.when(F.col("doc_id") % 2 == 1, spaced).otherwise(F.concat(F.lit("lim x→c f(x) = L "), F.col("text")))
     return d.select("doc_id", F.col("text").alias("text_a"), b.alias("text_b"))

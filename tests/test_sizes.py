@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
-from dotloom.functions import graphs as G, language as L
-from dotloom.plans import catalog, views as V
+from dotloom.functions import graphs as G, language as L, quality as Q, regex as R
+from dotloom.plans import catalog, quality as PQ, views as V
 
 
 def test_small_rows_of_much_work_are_dealt_over_tasks(spark):
@@ -35,3 +35,13 @@ def test_text_files_hold_every_document_in_cells(spark):
     got = [r.original_text for r in catalog.queries["text_files_read"](spark, SF_DIR).select("original_text").collect()]
     kept = V.table(spark, SF_DIR, "documents").where(F.regexp_like("text", F.lit(r"[A-Za-z]"))).count()
     assert sum(any("\u2800" <= c <= "\u28ff" for c in t) for t in got) >= kept > 100
+
+
+def test_candidates_are_dealt_and_boundaries_look_at_one_side(spark, apply):
+    assert PQ.candidates(spark, SF_DIR).select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    assert R.java(r"\blim\b") == r"(?<!\w)lim(?!\w)" and R.java(r"\b[A-Za-z]\d") == r"(?<!\w)[A-Za-z]\d"
+    for kept in (r"\bx?y", r"\bx*", r"\d\b", r"(?:a|bc)\b", r"\b\s", r"\bx{0,2}", r"[ab]?\b"):
+        assert R._ASCII_BOUNDARY in R.java(kept), kept
+    texts = ["a lim", "alim", "limb", "lim", "\u00e9lim lim\u00e9", "_lim", "1lim lim1", "LIM-lim"]
+    whole = apply(lambda c: F.regexp_count(c, F.lit(Q.LIMIT_WORD.replace(r"\b", R._ASCII_BOUNDARY))), texts)
+    assert apply(lambda c: R.count(c, Q.LIMIT_WORD), texts) == whole == [1, 0, 0, 1, 2, 0, 0, 2]
