@@ -45,3 +45,29 @@ def test_candidates_are_dealt_and_boundaries_look_at_one_side(spark, apply):
     texts = ["a lim", "alim", "limb", "lim", "\u00e9lim lim\u00e9", "_lim", "1lim lim1", "LIM-lim"]
     whole = apply(lambda c: F.regexp_count(c, F.lit(Q.LIMIT_WORD.replace(r"\b", R._ASCII_BOUNDARY))), texts)
     assert apply(lambda c: R.count(c, Q.LIMIT_WORD), texts) == whole == [1, 0, 0, 1, 2, 0, 0, 2]
+
+
+def test_merging_asks_the_seam_and_agrees_with_pairs(spark):
+    """The fold holds what merging line by line gives, and reads a long paragraph once."""
+    import time
+
+    from dotloom.functions import predicates as P
+    from dotloom.operators import repair as RP
+
+    given = [
+        ["kale ola-", "cak bir"], ["gelece", "gız biz"], ["we add x", "+ y here"], ["the sin", "(x) is"], ["foo–", "–bar  baz"], ["A Head", "b"], ["ve x si-", "n(x) tam"],
+    ]
+    a, b = F.col("l")[0], F.col("l")[1]
+    pair = F.when(P.can_merge(a, b), F.array(RP.merged_line(a, b, RP.joins_without_space(a, b)))).otherwise(F.col("l"))
+    df = spark.createDataFrame([(l,) for l in given], "l array<string>")
+    for r in df.select("l", RP.merge_wrapped_lines(F.col("l"))["lines"].alias("got"), pair.alias("want")).collect():
+        assert r.got == r.want, r
+
+    def seconds(n: int) -> float:
+        long = spark.range(1).select(F.array_repeat(F.lit("some ordinary words that go on and on in a paragraph"), n).alias("l"))
+        t0 = time.perf_counter()
+        assert long.select(F.length(RP.merge_wrapped_lines(F.col("l"))["lines"][0])).first()[0] == 53 * n - 1
+        return time.perf_counter() - t0
+
+    seconds(10)
+    assert seconds(4000) < 20  # some minutes when the merged line is read again at every step
