@@ -71,3 +71,15 @@ def test_merging_asks_the_seam_and_agrees_with_pairs(spark):
 
     seconds(10)
     assert seconds(4000) < 20  # some minutes when the merged line is read again at every step
+
+
+def test_rare_runs_are_looked_for_by_their_rarest_sign_first(spark, apply):
+    texts = ["x S c", "xSc", "a Sc", "S cx", "lim  LIM\nlim", "xlim lim lim", "x x x x", "ax x x x", "S S S S", "c c c c", "c cc c", "lim limb LIM _lim", "", "a b  c dd e", "a", "aa\tb"]
+    for pattern, hint in Q.HINTS.items():
+        assert apply(lambda c: Q._matches(c, pattern), texts) == apply(lambda c: R.matches(c, pattern), texts), pattern
+        assert hint != pattern and str(Q._matches(F.col("x"), pattern)).count("rlike(") == 2
+    assert apply(lambda c: R.count(c, Q.LIMIT_WORD_LED), texts) == apply(lambda c: R.count(c, Q.LIMIT_WORD), texts)
+    single = apply(lambda c: F.regexp_count(c, F.lit(r"(?<!\S)\S(?!\S)")) / F.greatest(Q._token_count(c), F.lit(1)), texts)
+    assert apply(Q._single_ratio, texts) == single
+    symbols = R.java(r"[=≠≤≥∞∫√±×÷→←↔⇔∈∉^/_]")
+    assert "(?<=" in symbols and apply(lambda c: c.rlike(symbols), ["a", "→", "↑", "^", "-", "x≠y", "∀", "_"]) == [False, True, False, True, False, True, False, True]
