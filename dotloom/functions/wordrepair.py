@@ -59,7 +59,7 @@ DICTIONARY = {**{w: w for w in WHOLE_WORDS}, **CORRUPTED_WORDS}
 
 def tr_lower(col: Column) -> Column:
     """Lower case with Turkish i rules (I -> ı, İ -> i)."""
-    return F.lower(F.translate(col, "Iİ", "ıi"))
+    return F.lower(R.replace_all(col, [("I", "ı"), ("İ", "i")]))
 
 
 def tr_upper(col: Column) -> Column:
@@ -224,6 +224,12 @@ def needs_repair(tok: Column) -> Column:
     return tok.rlike('[":˘¸¨]') | tr_lower(tok).isin(list(DICTIONARY))
 
 
+def repairable_segments(col: Column) -> Column:
+    """Text -> array of struct(text, confidence, changed) over the segments that repair looks at; all others stay as they are."""
+    words = F.regexp_extract_all(col, F.lit(rf"[{WORD_CHARS}]+"), 0)
+    return F.transform(F.filter(words, lambda t: needs_repair(t) & t.rlike(rf"[{WORD_LETTERS}]")), repair_token)
+
+
 def repair_segments(col: Column) -> Column:
     """Text -> array of struct(text, confidence, changed) over all segments."""
     return F.transform(

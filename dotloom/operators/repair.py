@@ -43,8 +43,9 @@ def repair_words(tokens: DataFrame, word: str = "word") -> DataFrame:
 def repair_report(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per document: segments changed and accepted, best confidence.  No shuffle."""
     x = R.replace_all(R.text(text), [("\r\n", "\n"), ("ƒ", "f")])
-    mapped = B.repair_formula_tokens(x)
-    seg = WR.repair_segments(F.col("_m"))
+    # every formula token holds a colon
+    mapped = F.when(F.col("_x").contains(":"), B.repair_formula_tokens(F.col("_x"))).otherwise(F.col("_x"))
+    seg = WR.repairable_segments(F.col("_m"))
     staged = df.withColumn("_x", x).withColumn("_m", mapped).withColumn("_s", seg)
     changed = F.filter("_s", lambda s: s["changed"])
     formula = F.col("_m") != F.col("_x")

@@ -83,3 +83,13 @@ def test_rare_runs_are_looked_for_by_their_rarest_sign_first(spark, apply):
     assert apply(Q._single_ratio, texts) == single
     symbols = R.java(r"[=≠≤≥∞∫√±×÷→←↔⇔∈∉^/_]")
     assert "(?<=" in symbols and apply(lambda c: c.rlike(symbols), ["a", "→", "↑", "^", "-", "x≠y", "∀", "_"]) == [False, True, False, True, False, True, False, True]
+
+
+def test_only_segments_that_repair_looks_at_are_kept(spark, apply):
+    from dotloom.functions import wordrepair as WR
+
+    texts = ["plain words, and  more.", 'k"ume ve i:lem', "KAL¸s :nt(x) su¨re", "", "12 34"]
+    all_changed = lambda c: F.filter(WR.repair_segments(c), lambda s: s["changed"])
+    few = lambda c: F.filter(WR.repairable_segments(c), lambda s: s["changed"])
+    assert apply(few, texts) == apply(all_changed, texts)
+    assert apply(lambda c: F.size(WR.repairable_segments(c)), texts)[0] == 0
