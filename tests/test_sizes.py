@@ -93,3 +93,12 @@ def test_only_segments_that_repair_looks_at_are_kept(spark, apply):
     few = lambda c: F.filter(WR.repairable_segments(c), lambda s: s["changed"])
     assert apply(few, texts) == apply(all_changed, texts)
     assert apply(lambda c: F.size(WR.repairable_segments(c)), texts)[0] == 0
+
+
+def test_arrow_rules_run_only_where_an_arrow_may_be(spark, apply):
+    from dotloom.functions import text as B
+
+    texts = ["x S c", "xSc = 2", "a -> b", "lim x S\r\nc", "no arrows=here", "a  b\t→ c", None, "", "S", "xS cd", "a->"]
+    whole = lambda c: R.strip(R.sub_all(R.text(c), B.PDF_MATH))
+    assert apply(B.normalize_pdf_math, texts) == apply(whole, texts)
+    assert str(B.normalize_pdf_math(F.col("x"))).count("CASE WHEN") == 1
