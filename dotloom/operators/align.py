@@ -101,7 +101,8 @@ def _tokens(text: Column, is_math: Column) -> Column:
 
 
 def _is_space(token: Column) -> Column:
-    return token.rlike(r"^\s")
+    first = F.ascii(token)
+    return (first == 32) | first.between(9, 13)
 
 
 def highlight_tokens(df: DataFrame, text: str, is_math: Column) -> DataFrame:
@@ -109,16 +110,18 @@ def highlight_tokens(df: DataFrame, text: str, is_math: Column) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     toks = _tokens(F.col(text), is_math)
     space = _is_space
-    kind = lambda t, m: F.when(space(t), "space").when(~m, "word").when(R.matches(t, MATH_OPERATOR), "operator").otherwise("math")
+    # most tokens are words, so one cheap test goes before that of the operators
+    operator = lambda t: (F.length(t) == 1) & R.matches(t, MATH_OPERATOR)
+    kind = lambda s, t, m: F.when(s, "space").when(~m, "word").when(operator(t), "operator").otherwise("math")
     x = df.withColumn("_m", is_math).withColumn("_t", toks)
     # a token's index is its place in the array of those that are not spaces
-    x = x.withColumn("_z", F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))))
-    x = x.withColumn("_shown", F.filter("_z", lambda z: ~space(z["token"])))
-    one = lambda z, k: F.struct(z["pos"].alias("pos"), z["token"].alias("token"), k.cast("int").alias("token_index"))
+    x = x.withColumn("_z", F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("token"), space(t).alias("space"))))
+    x = x.withColumn("_shown", F.filter("_z", lambda z: ~z["space"]))
+    one = lambda z, k: F.struct(z["pos"].alias("pos"), z["token"].alias("token"), k.cast("int").alias("token_index"), z["space"].alias("space"))
     shown = F.transform("_shown", lambda z, k: one(z, k))
-    spaces = F.transform(F.filter("_z", lambda z: space(z["token"])), lambda z: one(z, F.lit(None)))
+    spaces = F.transform(F.filter("_z", lambda z: z["space"]), lambda z: one(z, F.lit(None)))
     e = x.select(*keep, "_m", F.size("_shown").alias("n_tokens"), F.explode(F.concat(shown, spaces)).alias("_z"))
-    return e.select(*keep, "_z.pos", "_z.token", kind(F.col("_z.token"), F.col("_m")).alias("kind"), "_z.token_index", "n_tokens")
+    return e.select(*keep, "_z.pos", "_z.token", kind(F.col("_z.space"), F.col("_z.token"), F.col("_m")).alias("kind"), "_z.token_index", "n_tokens")
 
 
 def counterpart(index: Column, n: Column, m: Column) -> Column:

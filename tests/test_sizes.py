@@ -102,3 +102,10 @@ def test_arrow_rules_run_only_where_an_arrow_may_be(spark, apply):
     whole = lambda c: R.strip(R.sub_all(R.text(c), B.PDF_MATH))
     assert apply(B.normalize_pdf_math, texts) == apply(whole, texts)
     assert str(B.normalize_pdf_math(F.col("x"))).count("CASE WHEN") == 1
+
+
+def test_tokens_are_counted_by_document_without_an_exchange_of_them(spark):
+    plan = catalog.queries["highlight_tokens"](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") >= 4
+    executed = catalog.queries["highlight_tokens"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning(kind") == 1  # of the sums by document, not of the tokens of every document
