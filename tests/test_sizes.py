@@ -109,3 +109,12 @@ def test_tokens_are_counted_by_document_without_an_exchange_of_them(spark):
     assert plan.count("HashAggregate") >= 4
     executed = catalog.queries["highlight_tokens"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning(kind") == 1  # of the sums by document, not of the tokens of every document
+
+
+def test_items_are_placed_by_one_walk_and_stay_with_their_document(spark):
+    from dotloom.plans import structure as PS
+
+    items = PS._items(spark, SF_DIR)
+    assert "slice" not in items._jdf.queryExecution().optimizedPlan().toString()  # all words before a word, for every word
+    plan = catalog.queries["lines_from_items"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
