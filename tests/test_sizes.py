@@ -118,3 +118,17 @@ def test_items_are_placed_by_one_walk_and_stay_with_their_document(spark):
     assert "slice" not in items._jdf.queryExecution().optimizedPlan().toString()  # all words before a word, for every word
     plan = catalog.queries["lines_from_items"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_plain_expressions_are_written_without_a_fold(spark, apply):
+    from dotloom.functions import mathcode as M
+    from dotloom.operators import transcoding as T
+
+    plain = lambda c: M._plain_cells(M.raw_tokens(c), "strict")
+    assert apply(plain, ["x + 2", "ab c", "x^2, y", "", "-x", "x + - y", "sin x", "(x)", "pi", "x ="])[3:] == [None] * 7
+    lines = ["x + 2", "ab c", "x^2, y", "3 · a"]
+    assert apply(plain, lines) == apply(M.linear_math_to_cells, lines) == ["⠭ ⠬ ⠼⠃", "⠁⠃ ⠈⠡ ⠉", "⠭ ⠘ ⠼⠃ ⠂ ⠽", "⠼⠉ ⠈⠡ ⠁"]
+    df = spark.createDataFrame([(1, "x + 2\n\n a/b\n(x) ")], "doc_id int, text string")
+    rows = T.explode_expressions(df)
+    assert [(r.line_no, r.expression) for r in rows.collect()] == [(0, "x + 2"), (3, "(x)")]
+    assert "Filter" not in rows._jdf.queryExecution().executedPlan().toString().replace("filter(", "")  # a rule behind a filter is worked out twice
