@@ -132,3 +132,15 @@ def test_plain_expressions_are_written_without_a_fold(spark, apply):
     rows = T.explode_expressions(df)
     assert [(r.line_no, r.expression) for r in rows.collect()] == [(0, "x + 2"), (3, "(x)")]
     assert "Filter" not in rows._jdf.queryExecution().executedPlan().toString().replace("filter(", "")  # a rule behind a filter is worked out twice
+
+
+def test_lines_are_trimmed_without_patterns_and_names_begin_with_a_class(spark, apply):
+    from dotloom.functions import predicates as P
+
+    assert "regexp_replace" not in str(R.strip(F.col("x"))) and "regexp_replace" not in str(P.is_equation_continuation(F.col("x")))
+    texts = [" \t\n\x0b\f\r a b \r\n", "\xa0a\xa0", "", "   ", None, "é\n"]
+    assert apply(R.strip, texts) == apply(lambda c: F.regexp_replace(c, r"^\s+|\s+\z", ""), texts)
+    assert apply(R.rstrip, texts) == apply(lambda c: F.regexp_replace(c, r"\s+\z", ""), texts)
+    named = R.java(P.LAYOUT_MATH_NAME)
+    assert "(?=[" in named
+    assert apply(lambda c: c.rlike(named), ["a LIM b", "slim", "lim_", "(log)", "int", "élim", "diffs"]) == [True, False, False, True, True, True, False]
