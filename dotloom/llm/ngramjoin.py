@@ -6,9 +6,11 @@ link differ in at most k shingles.  The shingle domain is cut into n1 partitions
 the sets differ in at most k2 = k // n1 shingles, so that of its n2 cells some n2 - k2 agree.  A signature is the hash of
 what the set has in one such subset of cells; all subsets are enumerated, and sets that link share a signature.
 
-Nodes that share signatures, directly or through others, are a cluster; only its members can link.  Clusters are
-verified exactly, in blocks of bounded size: a member is copied to the blocks it meets, pairs of members are never
-rows.  A block returns links that connect what is connected in it, at most one less than its members.
+Nodes that share signatures, directly or through others, are a cluster; only its members can link.  Clusters, or their
+groups where these are less to copy, are met in blocks of bounded size: a member is copied to the blocks it meets, pairs
+of members are never rows.  They meet twice.  First with counts of their shingles by bin, which are short and differ by no
+more than the sets do; members that may still link make new, smaller clusters.  These are verified exactly, with
+all shingles.  A block returns links that connect what is connected in it, at most one less than its members.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from dotloom.llm.components import components
 U = np.uint64
 CACHE_WORDS = 100_000
 BLOCK = 512  # nodes in a block of a unit, about
-WIDE = 64 * BLOCK  # nodes of a cluster that is verified as a whole
+FEWEST_BINS, MOST_BINS = 64, 4096  # of a set's counts; between them, an eighth of its shingles at least
 COLUMNS = 4096  # shingles whose incidence a block holds at a time
 
 
@@ -151,6 +153,17 @@ def node_of(h: np.ndarray) -> int:
     return int(mixed(np.atleast_1d(mixed(h).sum(dtype=U) + U(len(h))))[0].astype(np.int64))
 
 
+def counts(h: np.ndarray) -> np.ndarray:
+    """Shingles of a set by bin, 255 at most; the number of bins is a power of two."""
+    bins = min(max(FEWEST_BINS, 1 << (len(h) // 8).bit_length()), MOST_BINS)
+    return np.minimum(np.bincount((h & U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def folded(c: np.ndarray, bins: int) -> np.ndarray:
+    """The counts of the same set in fewer bins."""
+    return np.minimum(c.reshape(-1, bins).sum(axis=0, dtype=np.int64), 255).astype(np.int16)
+
+
 def _longs(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, U)
@@ -158,25 +171,27 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signed(text: Column, width: int, num: int, den: int) -> Column:
-    """Struct of node (null for an empty set), n_shingles and signatures of a text.
+    """Struct of node (null for an empty set), n_shingles, the set's counts by bin and signatures of a text.
 
     In a batch, only the first of equal sets carries signatures.
     """
 
-    @F.arrow_udf("node long, n_shingles long, signatures array<long>")
+    @F.arrow_udf("node long, n_shingles long, counts binary, signatures array<long>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         only("ngramjoin")
         for batch in batches:
-            nodes, sizes, signs, seen = [], [], [], set()
+            nodes, sizes, bins, signs, seen = [], [], [], [], set()
             for t in batch.to_pylist():
                 h = shingles(t, width)
                 node = node_of(h) if len(h) else None
                 nodes.append(node)
                 sizes.append(len(h))
+                bins.append(counts(h).tobytes())
                 signs.append(np.empty(0, U) if node is None or node in seen else scheme(num, den).signatures(h))
                 seen.add(node)
             yield pa.StructArray.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _longs(signs)], ["node", "n_shingles", "signatures"]
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), _longs(signs)],
+                ["node", "n_shingles", "counts", "signatures"],
             )
         settle()
 
@@ -198,6 +213,22 @@ def sets(text: Column, width: int) -> Column:
     return hashed(text)
 
 
+def counted(text: Column, width: int) -> Column:
+    """Struct of node (null for an empty set), n_shingles and the set's counts by bin of a text."""
+
+    @F.arrow_udf("node long, n_shingles long, counts binary")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("ngramjoin")
+        for batch in batches:
+            h = [shingles(t, width) for t in batch.to_pylist()]
+            nodes = pa.array([node_of(x) if len(x) else None for x in h], pa.int64())
+            sizes = pa.array([len(x) for x in h], pa.int64())
+            yield pa.StructArray.from_arrays([nodes, sizes, pa.array([counts(x).tobytes() for x in h], pa.binary())], ["node", "n_shingles", "counts"])
+        settle()
+
+    return count(text)
+
+
 def candidate_groups(signs: DataFrame) -> DataFrame:
     """(gid, node, least) of nodes that share a signature; signatures of the same nodes make one group."""
     w = Window.partitionBy("sig")
@@ -218,25 +249,96 @@ def fetched_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, width: i
     return written(exact.select(sets(F.col("text"), width).alias("s")).select("s.*").dropDuplicates(["node"]))
 
 
-def units(groups: DataFrame) -> DataFrame:
-    """(unit, i, j, own, node): which blocks of which unit a node is verified in, and its own block there.
+def clustered(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, gid, node) of the members of groups that ``edges`` (a, b) connect; a group is cut where nothing connects it."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    root = ends.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return groups.select("gid", "node").join(root, "node").select("root", F.xxhash64("gid", "root").alias("gid"), "node")
 
-    A unit is a cluster of groups or, if that has more than ``WIDE`` nodes, each of its groups.  Its nodes are dealt
-    to blocks of about ``BLOCK``, and every block meets every other one and itself.
+
+def units(members: DataFrame) -> DataFrame:
+    """(unit, i, j, own, node): which blocks of which unit a node is met in, and its own block there.
+
+    ``members`` is as ``clustered`` returns it.  A unit is a cluster, all members of a root, or each of its groups,
+    whichever means fewer copies.  Its nodes are dealt to blocks of about ``BLOCK``, and every block meets every other one and itself.
     """
-    root = components(groups.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    copies = lambda size: size * F.ceil(size / BLOCK)
     nodes = members.select("root", "node").distinct()
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    close = nodes.join(sizes.where(F.col("size") <= WIDE), "root").select(F.col("root").alias("unit"), "node", "size")
-    wide = members.join(sizes.where(F.col("size") > WIDE).select("root"), "root", "left_semi")
-    wide = wide.select(F.col("gid").alias("unit"), "node", F.count(F.lit(1)).over(Window.partitionBy("gid")).alias("size"))
+    by_group = members.groupBy("root", "gid").agg(F.count(F.lit(1)).alias("m"))
+    apart = by_group.groupBy("root").agg(F.sum(copies(F.col("m"))).alias("apart"))
+    sizes = written(sizes.join(apart, "root").select("root", "size", (copies(F.col("size")) <= F.col("apart")).alias("whole")))
+    close = nodes.join(sizes.where("whole"), "root").select(F.col("root").alias("unit"), "node", "size")
+    groups = members.join(sizes.where("not whole").select("root"), "root", "left_semi")
+    groups = groups.join(by_group.select("gid", F.col("m").alias("size")), "gid").select(F.col("gid").alias("unit"), "node", "size")
     n = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("node"), n)
-    dealt = close.unionByName(wide).select("unit", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    dealt = close.unionByName(groups).where("size > 1").select("unit", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
     return dealt.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
 
 
+def may_link(nodes: list[int], sizes: np.ndarray, held: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect all nodes whose sets may link by their counts.
+
+    Sets of together s shingles link if at most s * (den - num) / (den + num) of these are in one set only, and the counts
+    of two sets differ by no more than that.
+    """
+    c = [np.frombuffer(x, np.uint8) for x in held]
+    bins, tables = np.array([len(x) for x in c]), {}
+
+    def table(level: int) -> np.ndarray:
+        if level not in tables:
+            tables[level] = np.zeros((len(c), level), np.int16)
+            for r in np.nonzero(bins >= level)[0]:
+                tables[level][r] = folded(c[r], level)
+        return tables[level]
+
+    left, out = np.arange(len(nodes)), []
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            most = (sizes[left] + sizes[x]) * (den - num)
+            near = np.abs(sizes[left] - sizes[x]) * (den + num) <= most
+            if near.any():
+                t = table(min(bins[x], bins[left[near]].min()))
+                differ = np.abs(t[left[near]] - t[x]).sum(axis=1, dtype=np.int64)
+                near[near] = differ * (den + num) <= most[near]
+                out += [(nodes[x], nodes[y]) for y in left[near]]
+                reached += left[near].tolist()
+                left = left[~near]
+    return out
+
+
+def possible(groups: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that connect all members of groups that may link by the counts of ``nodes``."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngramjoin")
+        at, held = None, []
+
+        def found() -> pa.RecordBatch:
+            own, sizes, bins = zip(*held)
+            pairs = may_link(own, np.array(sizes), bins, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for unit, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "i", "j", "node", "n_shingles", "counts"))):
+                if (unit, i, j) != at:
+                    if len(held) > 1:
+                        yield found()
+                    at, held = (unit, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield found()
+        settle()
+
+    clusters = written(clustered(groups, groups.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    counts_of = nodes.select("node", "n_shingles", "counts").dropDuplicates(["node"])
+    dealt = units(clusters).join(counts_of, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return written(dealt.select("unit", "i", "j", "node", "n_shingles", "counts").mapInArrow(meet, "a long, b long").distinct())
+
+
 def forest(nodes: np.ndarray, own: np.ndarray, sets_: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what links connect among these sets, those within one of two blocks left to its own turn."""
     flat = np.concatenate(sets_)
@@ -275,8 +377,8 @@ def forest(nodes: np.ndarray, own: np.ndarray, sets_: list[np.ndarray], num: int
     return out
 
 
-def links(groups: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all nodes of one component of the join."""
+def links(members: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of one component of the join, among ``members`` as ``clustered`` returns them."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("ngramjoin")
@@ -302,7 +404,7 @@ def links(groups: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
             yield found()
         settle()
 
-    dealt = units(groups).join(sets_, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    dealt = units(members).join(sets_, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     return written(dealt.select("unit", "i", "j", "own", "node", "shingles").mapInArrow(verify, "a long, b long"))
 
 
@@ -314,10 +416,11 @@ def labelled(docs: DataFrame, width: int, num: int, den: int, keep_signatures: b
         stored = written(rows.select("doc_id", "text_key", "s.*"))
         nodes, signs = stored.drop("signatures"), stored.select("node", "signatures")
     else:
-        plain = texts.select("doc_id", F.xxhash64("text").alias("text_key"), sets(F.col("text"), width).alias("s"))
-        nodes = written(plain.select("doc_id", "text_key", "s.node", F.size("s.shingles").cast("long").alias("n_shingles")))
+        plain = texts.select("doc_id", F.xxhash64("text").alias("text_key"), counted(F.col("text"), width).alias("s"))
+        nodes = written(plain.select("doc_id", "text_key", "s.*"))
         signs = rows.select("s.node", "s.signatures")
-    members = written(candidate_groups(signs.select("node", F.explode("signatures").alias("sig"))))
+    groups = written(candidate_groups(signs.select("node", F.explode("signatures").alias("sig"))))
+    members = written(clustered(groups, possible(groups, nodes, num, den)))
     found = links(members, fetched_sets(texts, members, nodes, width), num, den)
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
