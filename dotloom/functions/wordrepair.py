@@ -224,6 +224,22 @@ def needs_repair(tok: Column) -> Column:
     return tok.rlike('[":˘¸¨]') | tr_lower(tok).isin(list(DICTIONARY))
 
 
+def _beginnings() -> str:
+    """The first three letters of the dictionary's words in either case, not behind a small letter: a class first, few words are left behind it."""
+    either = {"i": "iİ", "ı": "ıI"}
+    spelled = lambda c: f"[{either.get(c, c + c.upper())}]"
+    by_first: dict[str, list[str]] = {}
+    for w in sorted({w[:3] for w in DICTIONARY if not set(w) & set('":˘¸¨')}):
+        by_first.setdefault(w[0], []).append("".join(map(spelled, w[1:])))
+    branches = "|".join(f"{spelled(c)}(?:{'|'.join(ends)})" for c, ends in by_first.items())
+    return rf"(?=[{''.join(spelled(c)[1:-1] for c in by_first)}])(?<![a-z])(?:{branches})"
+
+
+def may_need_repair(line: Column) -> Column:
+    """False only where ``repair_text`` leaves a line as it is: no marker, no "ƒ" and no word that begins as one of the dictionary."""
+    return line.rlike('[":¨¸\r\u0192-\u02d8]') | line.rlike(_beginnings())
+
+
 def repairable_segments(col: Column) -> Column:
     """Text -> array of struct(text, confidence, changed) over the segments that repair looks at; all others stay as they are."""
     words = F.regexp_extract_all(col, F.lit(rf"[{WORD_CHARS}]+"), 0)

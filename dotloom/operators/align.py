@@ -165,13 +165,18 @@ def display_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def words(line: Column, n: Column) -> Column:
         return R.let(
-            F.struct(shown(line).alias("raw"), shown(WR.repair_text(line)).alias("fix")),
-            lambda v: F.transform(
-                F.slice(F.sequence(F.lit(0), F.greatest(F.size(v["raw"]), F.size(v["fix"]))), F.lit(1), F.greatest(F.size(v["raw"]), F.size(v["fix"]))),
-                lambda i: F.struct(
-                    n.alias("line_no"), i.alias("pos"), F.coalesce(F.get(v["raw"], i), F.lit("")).alias("raw"),
-                    F.coalesce(F.get(v["fix"], i), F.get(v["raw"], i), F.lit("")).alias("repaired"),
-                ),
+            F.struct(shown(line).alias("raw"), F.when(WR.may_need_repair(line), shown(WR.repair_text(line))).alias("fix")),
+            # a line that needs no repair is read once
+            lambda v: F.when(
+                v["fix"].isNull(), F.transform(v["raw"], lambda w, i: F.struct(n.alias("line_no"), i.alias("pos"), w.alias("raw"), w.alias("repaired")))
+            ).otherwise(
+                F.transform(
+                    F.slice(F.sequence(F.lit(0), F.greatest(F.size(v["raw"]), F.size(v["fix"]))), F.lit(1), F.greatest(F.size(v["raw"]), F.size(v["fix"]))),
+                    lambda i: F.struct(
+                        n.alias("line_no"), i.alias("pos"), F.coalesce(F.get(v["raw"], i), F.lit("")).alias("raw"),
+                        F.coalesce(F.get(v["fix"], i), F.get(v["raw"], i), F.lit("")).alias("repaired"),
+                    ),
+                )
             ),
         )
 
