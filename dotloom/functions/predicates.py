@@ -45,6 +45,9 @@ NOTE_START = r"^\((?:If|Suppose|Let|Assume|For|When|Provided)\b"
 NUMBERED_SECTION = r"^\d+(?:\.\d+)+\s+\S"
 EXAMPLE_START = r"^(?:(Worked)\s+)?(EXAMPLE|Example)\s+(\d+(?:\.\d+)?)(?:\s*[:.\-]?\s*)?(.*)$"
 THEOREM_MATH = r"(?i)lim|ƒ|f\(x\)|g\(x\)|xSc|x→c|=|≠|#|·|\+|-|/|\^|√|[∑∫]"
+# The same in two looks: a class of signs, and names behind a class of what begins them.
+THEOREM_SIGN = r"[ƒ=≠#·+\-/^√∑∫]"
+THEOREM_NAME = r"(?i)(?=[lfgx])(?:lim|f\(x\)|g\(x\)|xSc|x→c)"
 CONTINUATION = [
     r"(?i)^x\s*(?:Sc|→c|->c)", r"^[a-zA-Z]\(x\)", r"^[()]", r"^[+\-*/=]",
 ]
@@ -70,8 +73,11 @@ def _capitalised(trimmed: Column) -> Column:
 def is_math_line(col: Column) -> Column:
     """Should this line go to the mathematics code rather than the text code?"""
 
+    # counted by what is left without them: a count of matches makes each letter a value
+    letters = lambda t: F.length(t) - F.length(F.regexp_replace(t, MATH_LETTERS + "++", ""))
+
     def decide(t: Column, n: Column) -> Column:
-        prose = (n >= 4) & (R.count(t, MATH_LETTERS) / F.greatest(F.length(t), F.lit(1)) > 0.4)
+        prose = (n >= 4) & (letters(t) / F.greatest(F.length(t), F.lit(1)) > 0.4)
         math = (
             R.matches(t, MATH_FUNCTIONS)
             | ((n <= 3) & (R.matches(t, MATH_SHORT_OPERATORS) | R.matches(t, MATH_LETTER_OPERATION)))
@@ -83,9 +89,24 @@ def is_math_line(col: Column) -> Column:
     return R.let(R.strip(R.text(col)), lambda t: R.let(_word_count(t), lambda n: decide(t, n)))
 
 
+def _ends(t: Column, signs: str) -> Column:
+    """Does a value end in one of the signs?  Only its end is read."""
+    out = t.endswith(signs[0])
+    for s in signs[1:]:
+        out = out | t.endswith(s)
+    return out
+
+
+def _sentence_end(t: Column) -> Column:
+    """SENTENCE_END, from the end."""
+    return _ends(F.rtrim(t, F.lit("\"')]")), ".!?…")
+
+
 def is_formula_like(col: Column) -> Column:
     t = R.text(col)
-    return R.matches(t, FORMULA_SYMBOL) | R.matches(t, FORMULA_CALL) | R.matches(t, FORMULA_OPERATION)
+    # what the longer patterns can't do without is looked for first
+    called = t.contains("(") & R.matches(t, FORMULA_CALL)
+    return R.matches(t, FORMULA_SYMBOL) | called | (R.matches(t, "[+/*=]") & R.matches(t, FORMULA_OPERATION))
 
 
 def is_list_like(col: Column) -> Column:
@@ -106,7 +127,7 @@ def is_heading(col: Column) -> Column:
 
 
 def is_sentence_terminal(col: Column) -> Column:
-    return R.matches(R.strip(R.text(col)), SENTENCE_END)
+    return _sentence_end(R.strip(R.text(col)))
 
 
 def is_plain_line(col: Column) -> Column:
@@ -130,7 +151,7 @@ def structure_facts(trimmed: Column) -> Column:
             head,
             lambda h: F.struct(
                 F.length(t).alias("len"), item.alias("list"), formula.alias("formula"), h.alias("head"),
-                R.matches(t, SENTENCE_END).alias("end"), (~item & ~formula & ~h).alias("plain"),
+                _sentence_end(t).alias("end"), (~item & ~formula & ~h).alias("plain"),
             ),
         )
 
@@ -152,10 +173,14 @@ def is_rule_item(col: Column) -> Column:
     return R.matches(R.strip(R.text(col)), RULE_ITEM)
 
 
+def _layout_call(t: Column) -> Column:
+    return t.contains("(x)") & R.matches(t, LAYOUT_MATH_CALL)
+
+
 def is_layout_math(col: Column) -> Column:
     t = R.strip(R.text(col))
     return ~R.matches(t, RULE_ITEM) & (
-        R.matches(t, LAYOUT_MATH_SYMBOL) | R.matches(t, LAYOUT_MATH_NAME) | R.matches(t, LAYOUT_MATH_CALL)
+        R.matches(t, LAYOUT_MATH_SYMBOL) | R.matches(t, LAYOUT_MATH_NAME) | _layout_call(t)
     )
 
 
@@ -221,7 +246,7 @@ def is_note_start(col: Column) -> Column:
 def is_theorem_math(col: Column) -> Column:
     """Line of a theorem body that reads as mathematics."""
     t = R.strip(R.text(col))
-    return (t != "") & (R.matches(t, THEOREM_MATH) | is_equation_step(t) | is_layout_math(t))
+    return (t != "") & (R.matches(t, THEOREM_SIGN) | R.matches(t, THEOREM_NAME) | is_equation_step(t) | is_layout_math(t))
 
 
 def is_equation_continuation(col: Column) -> Column:
@@ -268,7 +293,7 @@ def layout_facts(col: Column) -> Column:
 
     def derived(v: Column) -> Column:
         t, n, math, caption, kw, rule = (v[k] for k in ("t", "n", "math", "caption", "kw", "rule"))
-        full_stop = R.matches(t, r"[.!?…]$")
+        full_stop = _ends(t, ".!?…")
         prose = ~math & ((n >= 7) | (full_stop & (n >= 4)))
         short = (
             n.between(2, 7) & ~math & ~caption & kw.isNull() & R.matches(t, SHORT_EXPLANATION)
@@ -293,7 +318,7 @@ def layout_facts(col: Column) -> Column:
         )
 
     def shared(t: Column) -> Column:
-        found = R.matches(t, LAYOUT_MATH_SYMBOL) | R.matches(t, LAYOUT_MATH_NAME) | R.matches(t, LAYOUT_MATH_CALL)
+        found = R.matches(t, LAYOUT_MATH_SYMBOL) | R.matches(t, LAYOUT_MATH_NAME) | _layout_call(t)
         return R.let(
             F.struct(found.alias("m"), R.matches(t, RULE_ITEM).alias("r")),
             lambda f: R.let(
