@@ -6,6 +6,8 @@ position), never on ranges, so no pairs are formed inside a document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import blocks as K
@@ -24,8 +26,15 @@ MATH_OPERATOR = r"^[=+\-*/^(){}\[\],.:;]$"
 
 def paragraphs(col: Column) -> Column:
     """Text -> array of its non-empty paragraphs."""
-    x = R.strip(F.replace(R.text(col), F.lit("\r\n"), F.lit("\n")))
-    return F.filter(F.transform(F.split(x, "\n{2,}"), R.strip), lambda p: p != "")
+    x = R.text(col)
+    x = F.when(x.contains("\r"), F.replace(x, F.lit("\r\n"), F.lit("\n"))).otherwise(x)
+    return F.filter(F.transform(F.split(x, "\n{2,}"), _stripped), lambda p: p != "")
+
+
+def _stripped(p: Column) -> Column:
+    """``R.strip``, which measures every character, only where a value begins or ends with white space."""
+    edges = [side(F.lit(s)) for s in R.SPACES for side in (p.startswith, p.endswith)]
+    return F.when(reduce(lambda a, b: a | b, edges), R.strip(p)).otherwise(p)
 
 
 def aligned_rows(original: Column, braille: Column) -> Column:
@@ -67,21 +76,22 @@ def align_words(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     ``rows`` has a row per document with the array ``rows`` of struct(original, braille), as ``aligned_rows`` makes it.
     The pairs of all rows are one array, so a word's number is its place in it.
     """
-    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
 
-    def pairs(r: Column, n: Column) -> Column:
-        both = F.struct(R.words(R.text(r["original"])).alias("a"), R.words(R.text(r["braille"])).alias("b"))
-        return R.let(
-            both,
-            # a row without words on either side is one pair of nothing
-            lambda v: F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(v["a"]), F.size(v["b"]), F.lit(1)) - 1),
-                lambda i: F.struct(n.alias("row_no"), i.alias("pos"), at(v["a"], i).alias("original"), at(v["b"], i).alias("cells")),
-            ),
-        )
-
-    every = rows.select(key, F.posexplode(F.flatten(F.transform("rows", pairs))).alias("word_index", "_w"))
-    return every.select(key, "_w.*", "word_index")
+    # a row without words on a side has one empty word there, as padding gives it
+    words = lambda t: F.split(_stripped(R.text(t)), r"\s+")
+    sides = F.transform("rows", lambda r: F.struct(words(r["original"]).alias("a"), words(r["braille"]).alias("b")))
+    n = lambda r: F.greatest(F.size(r["a"]), F.size(r["b"]))
+    padded = lambda side: F.flatten(
+        F.transform("_s", lambda r: F.when(F.size(r[side]) == n(r), r[side]).otherwise(F.concat(r[side], F.array_repeat(F.lit(""), n(r) - F.size(r[side])))))
+    )
+    # columns of the words of all rows, filled without a step for each word
+    every = F.arrays_zip(
+        F.flatten(F.transform("_s", lambda r, i: F.array_repeat(i, n(r)))).alias("row_no"),
+        F.flatten(F.transform("_s", lambda r: F.sequence(F.lit(0), n(r) - 1))).alias("pos"),
+        padded("a").alias("original"), padded("b").alias("cells"),
+    )
+    shown = rows.select(key, sides.alias("_s")).select(key, F.posexplode(every).alias("word_index", "_w"))
+    return shown.select(key, "_w.row_no", "_w.pos", "_w.original", "_w.cells", "word_index")
 
 
 def attach_braille(df: DataFrame, keys: list[str] | None = None, tree: str = "tree", braille: str = "braille") -> DataFrame:

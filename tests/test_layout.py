@@ -167,6 +167,19 @@ def test_plans(spark):
         assert "Window" not in plan and "Python" not in plan and "Arrow" not in plan, name
 
 
+def test_word_pairs_without_a_step_for_each_word(spark):
+    from dotloom.operators import align as A
+
+    rows = [(1, [("a b", "⠁ ⠃ ⠉"), ("c", "")]), (2, [("", "⠁\t⠃"), ("\x0b d  e ", None)]), (3, [("", "")]), (4, [])]
+    df = spark.createDataFrame(rows, "doc_id int, rows array<struct<original:string,braille:string>>")
+    got = A.align_words(df)
+    assert "posexplode(arrays_zip(" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0, 0, "a", "⠁", 0), (1, 0, 1, "b", "⠃", 1), (1, 0, 2, "", "⠉", 2), (1, 1, 0, "c", "", 3),
+        (2, 0, 0, "", "⠁", 0), (2, 0, 1, "", "⠃", 1), (2, 1, 0, "d", "", 2), (2, 1, 1, "e", "", 3), (3, 0, 0, "", "", 0),
+    ]
+
+
 def test_review_of_marked_pages(spark):
     mark = f"\n{PAGE_MARKER}\n"
     rows = [

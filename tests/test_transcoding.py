@@ -55,6 +55,23 @@ def test_lenient(apply):
     assert apply(X.to_braille_lenient, LENIENT) == list(LENIENT.values())
 
 
+def test_lenient_has_one_result_in_both_forms(apply):
+    """Texts in Latin-1 are converted with listed classes and stand-ins; results are those of the form for any text."""
+    pieces = ["AB", "A", "b", "É", "ß", "ªº", "1", "23", "(", '"', "½", "×", " ", "\n", "\xa0", "\x85", "\x0b", "=", "ÀÞ", "."]
+    texts = ["".join(pieces[(i * k + j * j) % len(pieces)] for j in range(7)) for i in range(20) for k in range(1, 20)]
+    assert apply(X.to_braille_lenient, texts) == apply(X._lenient_any, texts) == apply(X._lenient_latin_1, texts)
+    odd = ["A\x01B 1\x02", "\x03AB", "AB^2C", "ŞA AB ğ"]
+    assert apply(X.to_braille_lenient, odd) == apply(X._lenient_any, odd)
+
+
+def test_lenient_reads_latin_1_with_listed_classes(spark):
+    """A range in a class is asked for at every character; the form for Latin-1 has none beside the digits."""
+    import re as _re
+
+    plan = spark.range(1).select(X._lenient_latin_1(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert not _re.findall(r"[A-Za-zÀ-ÿ]-[A-Za-zÀ-ÿ]|\\p\{", plan) and "\x02$0" in plan and C.NUMBER + "$0" not in plan
+
+
 def test_null_is_empty(spark):
     df = spark.createDataFrame([(None,)], "x string")
     assert df.select(X.to_braille_strict(F.col("x")), X.to_braille_lenient(F.col("x"))).first() == ("", "")
