@@ -1,9 +1,11 @@
 """Byte-pair encoding and decoding by a prefix-sharing trie (operator 1).
 
-Distinct pre-tokens of a block of documents go into a trie.  A depth-first walk gives every node the last token
-of the encoding of its prefix: the token ``t`` that ends there and may follow the last token of the prefix
-without ``t``.  Exactly one such token exists, so one look at the ancestors replaces the merges, and a prefix
-that many words share is encoded once.  Following last tokens back from a word's node lists its ids.
+Distinct pre-tokens of a block of documents, sorted, are a trie in depth-first order: what a word shares with the one
+before it are its ancestors.  The walk gives every node the last token of the encoding of its prefix: the token ``t`` that
+ends there and may follow the last token of the prefix without ``t``.  Exactly one such token exists, so one look at the
+ancestors replaces the merges, and a prefix that many words share is encoded once.  The tokens that end at a node are
+known from the longest end of its prefix that begins a token (an Aho-Corasick automaton of the vocabulary).  Following
+last tokens back from a word's node lists its ids.
 
 Documents are never shuffled: each task encodes its own rows block by block, with a bounded memory of chunks.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from dotloom.llm import pretokens as pre
 from dotloom.llm.common import only, remembers, settle
 
-END = -1  # key of a trie node at which a word or token ends
+END = -1  # of a node at which no token ends
 LONG_BYTES = 256  # longer pre-tokens are a path of their own, not part of the trie
 BLOCK_CHARS = 2_000_000  # characters of text whose unknown pre-tokens share one trie
 CACHE_CHUNKS = 300_000
@@ -47,12 +49,7 @@ class Encoder:
         self.bytes: dict[int, bytes] = {i: b for b, i in self.ids.items()}
         self.special = pre.specials(path)
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
-        self.tokens: dict = {}  # the vocabulary as a trie
-        for token, i in self.ids.items():
-            node = self.tokens
-            for b in token:
-                node = node.setdefault(b, {})
-            node[END] = i
+        self._automaton()
         # a token's merge: its rank and its halves; single bytes have rank -1
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -111,68 +108,86 @@ class Encoder:
             known = self._whole[t] = parts == [t]
         return known
 
-    def step(self, live: list[tuple[int, dict]], b: int, last: list[int]) -> tuple[list[tuple[int, dict]], int]:
-        """Prolongs a prefix by one byte.
-
-        ``live`` has, longest first, the places from which the prefix's rest begins a token, with their nodes of
-        the vocabulary's trie.  Returns the same for the longer prefix, and its last token.
-        """
-        grown, found, follows = [], -1, self._follows
-        for start, node in live:
-            node = node.get(b)
-            if node is not None:
-                grown.append((start, node))
-                if found < 0 and (t := node.get(END)) is not None:
-                    if start == 0:
-                        ok = self.whole(t)
-                    elif (ok := follows.get((last[start], t))) is None:
-                        ok = self.follows(last[start], t)
-                    if ok:
-                        found = t
-        if found < 0:
-            raise ValueError("the vocabulary lacks a byte")
-        return grown, found
+    def _automaton(self) -> None:
+        """The vocabulary as a trie, its node 0 the empty string; each node with its longest end that is a node."""
+        self.moves: list[dict[int, int]] = [{}]
+        own, above = [END], [(0, 0)]
+        for token, i in self.ids.items():
+            node = 0
+            for b in token:
+                to = self.moves[node].get(b)
+                if to is None:
+                    to = self.moves[node][b] = len(own)
+                    self.moves.append({})
+                    own.append(END)
+                    above.append((node, b))
+                node = to
+            own[node] = i
+        #: by node, the tokens that end there with their lengths, longest first
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        self.back = [0] * len(own)
+        row = list(self.moves[0].values())
+        while row:
+            for node in row:
+                parent, b = above[node]
+                self.back[node] = back = self._from(self.back[parent], b) if parent else 0
+                t = own[node]
+                self.ends[node] = self.ends[back] if t == END else ((t, len(self.bytes[t])), *self.ends[back])
+            row = [to for node in row for to in self.moves[node].values()]
+
+    def _from(self, node: int, b: int) -> int:
+        """The node of the longest end of ``node`` prolonged by ``b``."""
+        while (to := self.moves[node].get(b)) is None:
+            if not node:
+                return 0
+            node = self.back[node]
+        return to
+
+    def walk(self, w: bytes, depth: int, nodes: list[int], last: list[int]) -> None:
+        """Fills in nodes and last tokens of the prefixes of ``w`` that are longer than ``depth``."""
+        moves, back, ends, follows = self.moves, self.back, self.ends, self._follows
+        node = nodes[depth]
+        for b in w[depth:]:
+            while (to := moves[node].get(b)) is None and node:
+                node = back[node]
+            node = to or 0
+            depth += 1
+            for t, n in ends[node]:
+                if n == depth:
+                    ok = self.whole(t)
+                elif (ok := follows.get((last[depth - n], t))) is None:
+                    ok = self.follows(last[depth - n], t)
+                if ok:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            nodes[depth], last[depth] = node, t
 
     def traced(self, end: int, last: list[int]) -> array:
-        out = array("i")
+        out, token = [], self.bytes
         while end:
-            out.append(last[end])
-            end -= len(self.bytes[last[end]])
-        out.reverse()
-        return out
+            out.append(t := last[end])
+            end -= len(token[t])
+        return array("i", out[::-1])
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, array]:
         """Ids of distinct pre-tokens, shared prefixes encoded once."""
         out: dict[bytes, array] = {}
-        root: dict = {}
-        for w in words:
+        # for the word at hand, the nodes and last tokens of its prefixes
+        nodes, last, before = [0] * (LONG_BYTES + 1), [0] * (LONG_BYTES + 1), b""
+        for w in sorted(words):
             if len(w) > LONG_BYTES:
-                last, live = [0], []
-                for start, b in enumerate(w):
-                    live, t = self.step([*live, (start, self.tokens)], b, last)
-                    last.append(t)
-                out[w] = self.traced(len(w), last)
+                ends = [0] * (len(w) + 1)
+                self.walk(w, 0, [0] * (len(w) + 1), ends)
+                out[w] = self.traced(len(w), ends)
                 continue
-            node = root
-            for b in w:
-                child = node.get(b)
-                if child is None:
-                    child = node[b] = {}
-                node = child
-            node[END] = w
-        # the walk keeps, for the node at hand, the last tokens of its ancestors' prefixes
-        last = [0] * (LONG_BYTES + 1)
-        todo: list[tuple[int, int, dict, list]] = [(b, 0, n, [(0, self.tokens)]) for b, n in root.items()]
-        while todo:
-            b, depth, node, live = todo.pop()
-            live, last[depth + 1] = self.step(live, b, last)
-            depth += 1
-            live.append((depth, self.tokens))
-            for b, child in node.items():
-                if b == END:
-                    out[child] = self.traced(depth, last)
-                else:
-                    todo.append((b, depth, child, live))
+            depth = 0
+            for x, y in zip(w, before):
+                if x != y:
+                    break
+                depth += 1
+            self.walk(w, depth, nodes, last)
+            out[w], before = self.traced(len(w), last), w
         return out
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -191,7 +206,8 @@ class Encoder:
 
     def learn(self, chunks: set[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
         """Remembers the ids of new chunks that follow ``lead``; returns those of chunks too long to remember."""
-        pieces = {c: [p.encode() for p in pre.pretokens(lead + c, self.path)] for c in chunks if lead or c}
+        cut = pre.letters_cut if lead == " " and not pre.UNUSUAL.search("".join(chunks)) else lambda c: None
+        pieces = {c: [p.encode() for p in cut(c) or pre.pretokens(lead + c, self.path)] for c in chunks if lead or c}
         ids = self.pieces
         ids |= self.encode_words({p for ps in pieces.values() for p in ps if p not in ids})
         rare = {"": b""} if "" in chunks and not lead else {}
@@ -207,7 +223,7 @@ class Encoder:
             self.old_later, self.later = self.later, {}
             self.first.clear()
         cut = [[(pre.chunks(t), s) for t, s in self.segments(text)] for text in texts]
-        new = {c for doc in cut for cs, _ in doc for c in cs[1:]}.difference(self.later)
+        new = set().union(*(cs[1:] for doc in cut for cs, _ in doc)).difference(self.later)
         kept = {c: b for c in new if (b := self.old_later.get(c)) is not None}
         self.later |= kept
         rare = self.learn(new.difference(kept), " ", self.later)

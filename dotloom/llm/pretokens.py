@@ -49,6 +49,21 @@ def pretokens(chunk: str, path: str) -> list[str]:
     return _pattern().findall(chunk)
 
 
+#: One of these after letters is a pre-token, whatever it is.
+_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def letters_cut(chunk: str) -> list[str] | None:
+    """Pre-tokens, after a space, of a chunk of letters and at most one sign behind them; None for any other chunk.
+
+    Only for chunks without a character of ``UNUSUAL``.
+    """
+    if chunk.isalpha():
+        return [f" {chunk}"]
+    word, sign = chunk[:-1], chunk[-1:]
+    return [f" {word}", sign] if sign in _SIGNS and word.isalpha() else None
+
+
 def chunks(text: str) -> list[str]:
     """Chunks of a text without special strings; all but the first leave out the space they begin with.
 

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from conftest import SF_DIR
-from dotloom.llm import bpe, queries, tokencount
+from dotloom.llm import bpe, pretokens as pre, queries, tokencount
 
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a   b\n\n c", "\n", "\n \n", "it's I'll we'd", "x y   z", "\x1c a\x1d b \x85c",
@@ -65,3 +65,26 @@ def test_queries(spark, lib):
         assert (one[i].n_tokens, one[i].ids_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert one[i].decoded_sha256 == sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         assert two[i].n_tokens == len(ids)
+
+
+def test_words_are_cut_and_looked_up_once(lib, monkeypatch):
+    """Letters with a sign behind them are cut without the pattern; every byte of the sorted words is one move."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for chunk in ["word", "Été", "ªa", "a'", "don't", "x.", "x..", "1", "a1", "'", ".", "", "a\n", "ß—"]:
+        cut = None if pre.UNUSUAL.search(chunk) else pre.letters_cut(chunk)
+        assert cut is None or cut == [f" {chunk}"[a:b] for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(f" {chunk}")], chunk
+    asked = []
+    monkeypatch.setattr(pre, "pretokens", lambda c, p, f=pre.pretokens: asked.append(c) or f(c, p))
+    enc, text = bpe.Encoder(path), "a zwölf words, words; and zwölfte ones. b2"
+    assert enc.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == [" b2", "a"]
+
+
+def test_tokens_that_end_at_a_prefix(lib):
+    """The automaton's tokens are all those that the read bytes end with, longest first."""
+    enc = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    word, node = " unbelievable—日本".encode(), 0
+    for i, b in enumerate(word):
+        node = enc._from(node, b)
+        ends = [enc.ids[word[k : i + 1]] for k in range(i + 1) if word[k : i + 1] in enc.ids]
+        assert [t for t, _ in enc.ends[node]] == ends and [n for _, n in enc.ends[node]] == [len(enc.bytes[t]) for t in ends]
