@@ -133,3 +133,9 @@ def test_segments(spark):
         ("seg_5", " ", "space"), ("seg_6", "2", "word"),
     ]
     assert not re.search("[a-z]", "".join(r.braille for r in rows))
+
+
+def test_an_empty_text_counts_as_an_unmapped_empty_string(spark):
+    rows = [(1, ""), (2, ""), (3, None), (4, "a\u4e01b\u4e00\u4e01"), (None, "\u4e01")]
+    out = T.unmapped_characters(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {r.ch: (r.occurrences, r.documents) for r in out.collect()} == {"": (2, 2), "\u4e01": (3, 1), "\u4e00": (1, 1)}
