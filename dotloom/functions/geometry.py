@@ -60,7 +60,7 @@ def median(values: Column) -> Column:
 
 
 def _all(items: Column, name: str) -> Column:
-    return F.transform(items, lambda l: l[name])
+    return items[name]
 
 
 def _positive(items: Column, name: str) -> Column:
@@ -263,42 +263,42 @@ def page_tree(in_order: Column, page_no: Column) -> Column:
 # ------------------------------------------------------------- positioned items
 
 
-def _texts(own: Column, piece) -> Column:
-    """The words of items, each made once, joined by ``piece(item, place, items)``."""
-    worded = F.transform(own, lambda i: i.withField("word", R.strip(F.regexp_replace(i["str"], r"\s+", " "))))
-    return R.let(worded, lambda ws: F.array_join(F.transform(ws, lambda i, k: piece(i, k, ws)), ""))
-
-
 def item_lines(items: Column) -> Column:
     """Items -> lines from the top: struct(line_no, text, x0, x1, y, height, y0, y1, items).
 
     Items share a line until the drop exceeds max(0.45 heights, 3).  Texts join with a space where the gap exceeds
     max(0.2 heights, 2.4) and no punctuation closes or opens, or where an item itself begins or ends in space.
     """
-    clean = F.filter(F.transform(items, lambda i: i.withField("str", R.text(i["str"]))), lambda i: R.strip(i["str"]) != "")
+    # what is asked of an item is made once, before the items of a line are looked at together
+    made = lambda i: F.struct(
+        i["str"].alias("str"), *[i[c].alias(c) for c in ("x", "y", "width", "height")], R.strip(F.regexp_replace(i["str"], R.UNEVEN_SPACE, " ")).alias("word"),
+        (i["x"] + i["width"]).alias("end"), (i["y"] - i["height"]).alias("low"), (i["y"] + i["height"]).alias("high"),
+    )
+    clean = F.transform(F.filter(items, lambda i: R.strip(R.text(i["str"])) != ""), made)
     down = sorted_by(clean, lambda i: -i["y"], lambda i: i["x"])
     rows = islands(down, lambda p, i: p["y"] - i["y"] > F.greatest(i["height"] * 0.45, F.lit(3.0)))
+    sign = lambda signs, c: F.lit(signs).contains(c)
 
     def line(row: Column, n: Column) -> Column:
         def joined(own: Column) -> Column:
-            def piece(i: Column, k: Column, ws: Column) -> Column:
-                before = F.get(ws, k - 1)
-                gap = i["x"] - before["x"] - before["width"]
-                spaced = (
-                    (gap > F.greatest(i["height"] * 0.2, F.lit(2.4))) & ~F.left(i["word"], F.lit(1)).isin(*CLOSING)
-                    & ~F.right(R.strip(before["str"]), F.lit(1)).isin(*OPENING)
-                )
-                loose = F.left(i["str"], F.lit(1)).isin(*R.SPACES) | F.right(before["str"], F.lit(1)).isin(*R.SPACES)
-                return F.when(k == 0, i["word"]).otherwise(F.concat(F.when(spaced | loose, " ").otherwise(""), i["word"]))
+            def piece(i: Column, k: Column) -> Column:
+                def after(before: Column) -> Column:
+                    gap = i["x"] - before["x"] - before["width"]
+                    spaced = (
+                        (gap > F.greatest(i["height"] * 0.2, F.lit(2.4))) & ~sign(CLOSING, F.substring(i["word"], 1, 1))
+                        & ~sign(OPENING, F.substring(before["word"], -1, 1))
+                    )
+                    loose = sign(R.SPACES, F.substring(i["str"], 1, 1)) | sign(R.SPACES, F.substring(before["str"], -1, 1))
+                    return F.concat(F.when(spaced | loose, " ").otherwise(""), i["word"])
+
+                return F.when(k == 0, i["word"]).otherwise(after(F.get(own, k - 1)))
 
-            ends = F.transform(own, lambda i: i["x"] + i["width"])
             ys = _all(own, "y")
             return F.struct(
-                n.alias("line_no"), B.normalize_pdf_math(_texts(own, piece)).alias("text"),
-                F.array_min(_all(own, "x")).alias("x0"), F.array_max(ends).alias("x1"),
+                n.alias("line_no"), B.normalize_pdf_math(F.array_join(F.transform(own, piece), "")).alias("text"),
+                F.array_min(_all(own, "x")).alias("x0"), F.array_max(_all(own, "end")).alias("x1"),
                 (F.aggregate(ys, F.lit(0.0), lambda a, y: a + y) / F.size(ys)).alias("y"), F.array_max(_all(own, "height")).alias("height"),
-                F.array_min(F.transform(own, lambda i: i["y"] - i["height"])).alias("y0"),
-                F.array_max(F.transform(own, lambda i: i["y"] + i["height"])).alias("y1"), own.alias("items"),
+                F.array_min(_all(own, "low")).alias("y0"), F.array_max(_all(own, "high")).alias("y1"), own.alias("items"),
             )
 
         return R.let(sorted_by(row, lambda i: i["x"]), joined)
@@ -326,7 +326,7 @@ def _columns(items: Column) -> Column:
     return slices(items, F.aggregate(items, start, step, lambda s: s["at"]))
 
 
-def _stacked(lines: Column) -> Column:
+def _stacked(lines: Column, own_items) -> Column:
     """Text of a group of stacked lines: items above and below the base line become fractions and limits."""
     relation = lambda l: R.matches(l["text"], "[=≠≤≥]")
     # base line: the highest with a relation sign, else the widest
@@ -356,10 +356,10 @@ def _stacked(lines: Column) -> Column:
 
         return text
 
-    items = sorted_by(F.flatten(_all(lines, "items")), lambda i: i["x"], lambda i: i["y"])
+    items = sorted_by(F.flatten(F.transform(lines, own_items)), lambda i: i["x"], lambda i: i["y"])
     return R.let(
         F.array_max(ranked)["y"],
-        lambda base: B.normalize_pdf_math(F.regexp_replace(F.array_join(F.transform(_columns(items), column(base)), " "), r"\s+,", ",")),
+        lambda base: B.normalize_pdf_math(F.regexp_replace(F.array_join(F.transform(R.let(items, _columns), column(base)), " "), r"\s+,", ",")),
     )
 
 
@@ -380,8 +380,8 @@ def merged_lines(lines: Column) -> Column:
             & (minor(l) | minor(p)) & (l["math"] | p["math"])
         )
 
-    def one(g: Column) -> Column:
-        text = F.when(F.size(g) > 1, _stacked(g)).otherwise(F.get(g, F.lit(0))["text"])
+    def one(g: Column, ls: Column) -> Column:
+        text = F.when(F.size(g) > 1, _stacked(g, lambda l: F.get(ls, l["line_no"])["items"])).otherwise(F.get(g, F.lit(0))["text"])
         low, high = lambda c: F.array_min(_all(g, c)), lambda c: F.array_max(_all(g, c))
         return R.let(
             text,
@@ -391,5 +391,7 @@ def merged_lines(lines: Column) -> Column:
             ),
         )
 
-    known = F.transform(lines, lambda l: l.withField("math", is_math_fragment(l["text"])))
-    return F.transform(islands(sorted_by(known, lambda l: -l["y"], lambda l: l["x0"]), apart), one)
+    # the items stay where they are, at the place of their line's number; only stacked lines ask for them
+    brief = lambda l: F.struct(*[l[c].alias(c) for c in ("line_no", "text", "x0", "x1", "y", "height", "y0", "y1")], is_math_fragment(l["text"]).alias("math"))
+    down = lambda ls: sorted_by(F.transform(ls, brief), lambda l: -l["y"], lambda l: l["x0"])
+    return R.let(lines, lambda ls: F.transform(islands(down(ls), apart), lambda g: one(g, ls)))

@@ -40,6 +40,9 @@ PDF_MATH = [
 # What the rules of broken arrows ask for; the rules before them don't make it.
 ARROWS = slice(4, 7)
 ARROW_HINT = r"S\s*c"
+PDF_SIGNS = r"[\n/=ƒ–—→≠-≥∕]"
+# Runs of blanks that are more or other than one space.
+BLANKS = r"\t[ \t]*+| [ \t]++"
 STRUCTURED_MATH = [
     (r"(?i)\blim\s*x\s*S\s*c\b", "lim x→c"), (r"(?i)\blimxSc\b", "lim x→c"),
     (r"(?i)\blim\s*x\s*S\s*-\s*([0-9]+)", "lim x→-$1"), (r"(?i)\blimxS-([0-9]+)", "lim x→-$1"),
@@ -100,7 +103,10 @@ def normalize_math_input(col: Column) -> Column:
 def normalize_pdf_math(col: Column) -> Column:
     def repaired(t: Column) -> Column:
         rest = [r for r in PDF_MATH if r not in PDF_MATH[ARROWS]]
-        return R.strip(F.when(t.contains("->") | R.matches(t, ARROW_HINT), R.sub_all(t, PDF_MATH)).otherwise(R.sub_all(t, rest)))
+        arrows = t.contains("->") | R.matches(t, ARROW_HINT)
+        # without any of their signs all rules but that of blanks leave a text as it is
+        plain = F.regexp_replace(t, BLANKS, " ")
+        return R.strip(F.when(arrows, R.sub_all(t, PDF_MATH)).when(t.rlike(PDF_SIGNS), R.sub_all(t, rest)).otherwise(plain))
 
     return R.let(R.text(col), repaired)
 
@@ -110,7 +116,7 @@ def repair_formula_tokens(col: Column) -> Column:
 
 
 def _squeeze(col: Column) -> Column:
-    return R.strip(F.regexp_replace(col, r"\s+", " "))
+    return R.strip(F.regexp_replace(col, R.UNEVEN_SPACE, " "))
 
 
 def normalize_structured_math(col: Column) -> Column:
@@ -146,7 +152,7 @@ def improve_text(col: Column) -> Column:
 
 def normalize_line(col: Column) -> Column:
     t = R.replace_all(R.text(col), [("\r\n", "\n"), (" ", " ")])
-    return R.rstrip(F.regexp_replace(t, r"[ \t]+", " "))
+    return R.rstrip(F.regexp_replace(t, BLANKS, " "))
 
 
 def clean_optional(col: Column) -> Column:
@@ -178,5 +184,5 @@ def collapse_paragraphs(col: Column) -> Column:
     """Single line breaks become spaces, blank lines stay."""
     t = F.regexp_replace(R.text(col), r"[^\S\n]*\n[^\S\n]*", "\n")
     t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
-    t = F.regexp_replace(t, r"[^\S\n]+", " ")
+    t = F.regexp_replace(t, r"[^\S\n](?:(?<! )[^\S\n]*+|[^\S\n]++)", " ")
     return R.strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))

@@ -144,3 +144,34 @@ def test_lines_are_trimmed_without_patterns_and_names_begin_with_a_class(spark,
     named = R.java(P.LAYOUT_MATH_NAME)
     assert "(?=[" in named
     assert apply(lambda c: c.rlike(named), ["a LIM b", "slim", "lim_", "(log)", "int", "élim", "diffs"]) == [True, False, False, True, True, True, False]
+
+
+def test_places_of_words_are_sums_by_run_and_within(spark):
+    from dotloom.plans import structure as PS
+
+    texts = ["", " ", "a", " a  bc ", " ".join("w" * (k % 5) for k in range(100)), "ğü 😀 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = [r.p for r in df.select("i", PS._word_places(F.col("x")).alias("p")).orderBy("i").collect()]
+    for text, places in zip(texts, got):
+        at = 0
+        for word, place in zip(text.split(" "), places, strict=True):
+            assert (place.at, place.w) == (at, word)
+            at += len(word) + 1
+
+
+def test_a_let_is_no_mapped_array(spark):
+    told = str(R.let(F.col("x"), lambda v: F.concat(v, v)))
+    assert told.startswith("Column<'aggregate(") and "transform" not in told  # what is mapped is copied
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, x string")
+    assert [r.y for r in df.select(R.let(F.col("x"), lambda v: F.concat(v, F.coalesce(v, F.lit("")))).alias("y")).collect()] == ["aa", None]
+
+
+def test_items_stay_in_their_line_until_it_is_stacked(spark):
+    from dotloom.functions import geometry as G
+
+    told = str(G.merged_lines(F.col("lines")))
+    assert told.count("items") == 1  # where stacked lines ask for them
+    rows = [("a", 10.0, 700.0), (" b", 18.0, 700.0), (")", 40.0, 700.0), ("x", 10.0, 680.0), ("=", 18.0, 680.0), ("  ", 30.0, 680.0)]
+    df = spark.createDataFrame([(1, [(t, x, y, 6.0 * len(t), 12.0) for t, x, y in rows])], "k int, items array<struct<str:string,x:double,y:double,width:double,height:double>>")
+    lines = df.select(F.explode(G.item_lines(F.col("items"))).alias("l")).select("l.*").orderBy("line_no").collect()
+    assert [(l.text, l.x0, l.x1, l.y0, l.y1) for l in lines] == [("a b)", 10.0, 46.0, 688.0, 712.0), ("x =", 10.0, 24.0, 668.0, 692.0)]
