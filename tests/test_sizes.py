@@ -175,3 +175,31 @@ def test_items_stay_in_their_line_until_it_is_stacked(spark):
     df = spark.createDataFrame([(1, [(t, x, y, 6.0 * len(t), 12.0) for t, x, y in rows])], "k int, items array<struct<str:string,x:double,y:double,width:double,height:double>>")
     lines = df.select(F.explode(G.item_lines(F.col("items"))).alias("l")).select("l.*").orderBy("line_no").collect()
     assert [(l.text, l.x0, l.x1, l.y0, l.y1) for l in lines] == [("a b)", 10.0, 46.0, 688.0, 712.0), ("x =", 10.0, 24.0, 668.0, 692.0)]
+
+
+def test_even_lines_are_not_rewritten(apply):
+    from dotloom.functions import predicates as P
+    from dotloom.functions import text as B
+
+    texts = ["a b", " a  b ", "\ta\t b\n\nc", "a \t b", "", None, "a\x0b b", "a" * 90 + " b " * 30, " ".join("ab" for _ in range(11)), "x  y"]
+    squeezed = lambda c: R.strip(F.regexp_replace(R.text(c), r"\s+", " "))
+    assert apply(lambda c: B._squeeze(R.text(c)), texts) == apply(squeezed, texts)
+    blanks = lambda c: R.rstrip(F.regexp_replace(F.replace(F.replace(R.text(c), F.lit("\r\n"), F.lit("\n")), F.lit("\xa0"), F.lit(" ")), r"[ \t]+", " "))
+    assert apply(B.normalize_line, texts) == apply(blanks, texts)
+    words = lambda c: F.least(F.regexp_count(R.strip(R.text(c)), F.lit(r"\S+")), F.lit(P.MOST_WORDS))
+    assert apply(lambda c: P._word_count(R.strip(R.text(c))), texts) == apply(words, texts)
+
+
+def test_documents_ask_only_what_their_pages_show(apply):
+    from dotloom.functions import wordrepair as WR
+
+    texts = ["", None, "the and for", "ve ile bir", "the ve", "12 = 3", "Bu bölüm, the page", "şşş the list and the text", "x" * 2000, "a  b\t1234 56789\n" + "y" * 90, "z" * 1669, "z" * 1700]
+    both = lambda c: L.detect_language(L.language_scores(c))["language"]
+    assert apply(L.language_of, texts) == apply(both, texts) and "tokens" not in str(L.language_of(F.col("x")))
+    rated = lambda c: F.struct(*[Q.readability(c, F.lit("pdf"))[k].alias(k) for k in ("score", "improved")])
+    assert apply(Q.improved_and_score, texts) == apply(rated, texts)
+    words = ['K"okler ve\n\n  "usler', "plain line\nkısm: bel:rl:\n", "p:\nx :nt(2) l:m(x)", "a¸sa˘gıda\r\nhi¸c ƒ", "", None, "\n"]
+    segments = lambda c: F.array_join(F.transform(WR.repair_segments(c), lambda s: F.when(s["confidence"] >= WR.ACCEPT, s["text"])), "|")
+    got = apply(WR.repair_text, words)
+    assert got[0] == "Kökler ve\n\n  üsler" and got[1] == "plain line\nkısmi belirli\n" and got[2] == "pi\nx int(2) lim(x)" and got[4:] == ["", "", "\n"]
+    assert got[3].split("\n") == ["aşağıda", "hiç f"] and apply(segments, ["plain"]) == [""]
